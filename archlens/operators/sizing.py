@@ -1,0 +1,23 @@
+"""Choosing between the plain and the split form of a per-key operator.
+
+Window and percentile groups of ordinary size belong in one task each. A group
+past the limit must be split. One counting job over the key columns (partial
+counts, one number to the driver) decides which form a plan takes; both forms
+return the same rows.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+GROUP_LIMIT = 1_000_000
+LIMIT_CONF = "spark.archlens.groupLimit"
+
+
+def group_fits(df: DataFrame, keys: list[str]) -> bool:
+    """Whether every ``keys`` group of ``df`` is small enough for one task."""
+    limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(GROUP_LIMIT)))
+    if limit <= 0:
+        return False
+    top = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.max("n").alias("n")).first()["n"])
+    return (top or 0) <= limit
