@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("trajectory",)
+MODULES = ("trajectory", "catalog", "windows")
 
 
 def query(key: str, sql: str | None = None):
