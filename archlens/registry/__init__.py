@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("trajectory", "catalog", "windows")
+MODULES = ("trajectory", "catalog", "windows", "preserve")
 
 
 def query(key: str, sql: str | None = None):
