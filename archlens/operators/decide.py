@@ -172,50 +172,56 @@ def bind_pairs(candidates: DataFrame) -> DataFrame:
         "file_id", F.explode("_p").alias("p")).select("file_id", "p.a", "p.b")
 
 
+def _least_squares(pairs: np.ndarray, anchor: int, channels: list[int], rounds: int,
+                   tolerance: float, limit: int):
+    """(cost, shift per channel, dropped) with ``anchor`` at 0, or None."""
+    live = pairs
+    spot = {c: i for i, c in enumerate(channels)}
+    for _ in range(rounds):
+        if not len(live):
+            return None
+        m = np.zeros((len(live), len(channels)))
+        rows = np.arange(len(live))
+        m[rows, [spot[c] for c in live["b"]]] += 1
+        m[rows, [spot[c] for c in live["a"]]] -= 1
+        free = np.delete(m, spot[anchor], axis=1) * live["weight"][:, None]
+        x = np.linalg.lstsq(free, live["delay"] * live["weight"], rcond=None)[0]
+        shift = np.insert(np.rint(x), spot[anchor], 0.0)
+        miss = m @ shift - live["delay"]
+        if np.abs(miss).max() <= tolerance:
+            if np.abs(shift).max() > limit:
+                return None
+            return float(miss @ miss), shift, len(pairs) - len(live)
+        live = np.delete(live, np.abs(miss).argmax())
+    return None
+
+
 def solve_offsets(pairs: DataFrame, *, rounds: int = 6, tolerance: float = 2.0, limit: int = 4816) -> DataFrame:
     """Integer offsets per channel from pair delays (file_id, a, b, delay, weight).
 
-    Weighted least squares with the anchor channel at 0, dropping the worst pair
-    until all fit; the anchor of least squared residual wins. A file has at most
-    28 pairs, so a group is small by definition of the input.
+    Weighted least squares with one channel at 0, dropping the worst pair until
+    all fit; the anchor of least squared residual wins. Rows are one per channel
+    pair, at most 28 per file, so a file's pairs travel as one short array.
     """
-    def solve(rows: pd.DataFrame, anchor: int):
-        channels = sorted(set(rows.a) | set(rows.b))
-        live, free = rows, [c for c in channels if c != anchor]
-        at = {c: i for i, c in enumerate(free)}
-        for _ in range(rounds):
-            if live.empty:
-                return None
-            m = np.zeros((len(live), len(free)))
-            for i, (a, b) in enumerate(zip(live.a, live.b)):
-                if a != anchor:
-                    m[i, at[a]] -= 1
-                if b != anchor:
-                    m[i, at[b]] += 1
-            w = live.weight.to_numpy(float)
-            x = np.linalg.lstsq(m * w[:, None], live.delay.to_numpy(float) * w, rcond=None)[0]
-            shift = dict(zip(free, np.rint(x))) | {anchor: 0.0}
-            miss = live.b.map(shift) - live.a.map(shift) - live.delay
-            if miss.abs().max() <= tolerance:
-                return None if max(map(abs, shift.values())) > limit else (float((miss ** 2).sum()), shift, len(rows) - len(live))
-            live = live.drop(index=miss.abs().idxmax())
-        return None
-
-    def per_file(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["a", "b"]).reset_index(drop=True)
-        best = None
-        for anchor in sorted(set(rows.a) | set(rows.b)):
-            got = solve(rows, anchor)
-            if got and (best is None or got[0] < best[0]):
-                best = (*got, anchor)
-        if best is None:
-            return pd.DataFrame({"file_id": [], "channel": [], "anchor": [], "shift": [], "cost": [], "dropped": []})
-        cost, shift, dropped, anchor = best
-        return pd.DataFrame({"file_id": key[0], "channel": list(shift), "anchor": anchor,
-                             "shift": [int(v) for v in shift.values()], "cost": cost, "dropped": dropped})
+    packed = pairs.groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("a", "b", "delay", "weight"))).alias("p"))
+    kind = [("a", "i8"), ("b", "i8"), ("delay", "f8"), ("weight", "f8")]
+
+    def per_batch(batches):
+        for batch in batches:
+            out = []
+            for file_id, items in zip(batch["file_id"], batch["p"]):
+                rows = np.array([(i["a"], i["b"], i["delay"], i["weight"]) for i in items], dtype=kind)
+                channels = sorted(set(rows["a"].tolist()) | set(rows["b"].tolist()))
+                tried = [(*got, c) for c in channels if (
+                    got := _least_squares(rows, c, channels, rounds, tolerance, limit)) is not None]
+                if tried:
+                    cost, shift, dropped, anchor = min(tried, key=lambda t: t[0])
+                    out += [(file_id, c, anchor, int(v), cost, dropped) for c, v in zip(channels, shift)]
+            yield pd.DataFrame(out, columns=["file_id", "channel", "anchor", "shift", "cost", "dropped"])
 
     schema = "file_id bigint, channel bigint, anchor bigint, shift bigint, cost double, dropped bigint"
-    return pairs.groupBy("file_id").applyInPandas(per_file, schema)
+    return packed.mapInPandas(per_batch, schema)
 
 
 def robust_lines(points: DataFrame, keys: list[str], *, trials: int = 256, limit: float = 3.0, min_gap: float = 1.0) -> DataFrame:

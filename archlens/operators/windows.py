@@ -306,12 +306,12 @@ def cadence(packets: DataFrame) -> DataFrame:
 
 
 def interpolate(points: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", y: str = "y",
-                size: int = BLOCK) -> DataFrame:
+                size: int = BLOCK, fits: bool | None = None) -> DataFrame:
     """Linear interpolation of ``points`` at the ``grid`` times, edges held."""
     both = points.select(*keys, t, y, F.lit(False).alias("_g")).unionByName(
         grid.select(*keys, t, F.lit(None).cast("double").alias(y), F.lit(True).alias("_g")))
     merged = both.groupBy(*keys, t).agg(F.max(y).alias(y), F.bool_or("_g").alias("_g"))
-    fits = group_fits(merged, keys)
+    fits = group_fits(merged, keys) if fits is None else fits
     seen = F.when(F.col(y).isNotNull(), F.struct(F.col(t).alias("t"), F.col(y).alias("y")))
     around = carry(merged, keys, t, seen, "_p", size=size, fits=fits)
     around = carry(around, keys, t, seen, "_n", size=size, fits=fits, forward=False)

@@ -18,10 +18,10 @@ def dec_02(spark, sf):
     return view(spark, sf, "v_track_a").select("track_id", is_aligned(ms, ms * 0.1, 30, 5).alias("aligned"))
 
 
-@query("dec_03", with_views("""SELECT track_id, m AS material, round(CASE WHEN m THEN CASE WHEN displacement_ms > 0 THEN dm / displacement_ms ELSE 1e9 END END, 6) AS ratio FROM (SELECT *, dm >= 3 * displacement_ms AS m FROM (SELECT *, delay_samples * 1000 / 48000 AS dm FROM tr))""", TR))
+@query("dec_03", with_views("""SELECT track_id, m AS material, round(CASE WHEN m THEN CASE WHEN displacement_ms > 0 THEN dm / displacement_ms ELSE 1e9 END END + 1e-9, 6) AS ratio FROM (SELECT *, dm >= 3 * displacement_ms AS m FROM (SELECT *, delay_samples * 1000 / 48000 AS dm FROM tr))""", TR))
 def dec_03(spark, sf):
     m = d.materiality(F.col("delay_samples"), F.col("displacement_ms"), 48000.0, 3.0)
-    return rounded(tracks(spark, sf).select("track_id", m["material"].alias("material"), F.least(m["ratio"], F.lit(1e9)).alias("ratio")))
+    return rounded(tracks(spark, sf).select("track_id", m["material"].alias("material"), F.when(m["ratio"] > 1e9, 1e9).otherwise(m["ratio"] + 1e-9).alias("ratio")))
 
 
 AG_T = "SELECT o_orderkey AS track_id, CAST(o_orderkey % 900 AS DOUBLE) AS delay_samples, CAST(o_orderkey % 900 + o_custkey % 7 AS DOUBLE) AS shift_samples FROM orders"
@@ -71,17 +71,20 @@ def jon_11(spark, sf):
     return rounded(d.compose_reference(decisions, pairs))
 
 
-EDGES = "SELECT vec_id % 40 AS a, (vec_id * 7) % 40 AS b, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 1.0 + label / 10.0{d} END AS median, 20 + vec_id % 60 AS samples FROM embeddings WHERE vec_id % 40 < (vec_id * 7) % 40"
+# strength of channel pairs: node = file * 8 + channel
+EDGES = "SELECT l_orderkey * 8 + l_linenumber AS a, l_orderkey * 8 + 1 + l_suppkey % 7 AS b, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 1.0 + l_discount * 6 END AS median, CAST(l_quantity AS BIGINT) AS samples FROM lineitem"
 COMP = f"""
-ed AS (SELECT DISTINCT a, b FROM ({EDGES.format(d='::DOUBLE')}) WHERE median >= 1.3 AND samples >= 30 AND median IS NOT NULL),
-reach(node, label) AS (SELECT node, node FROM (SELECT DISTINCT vec_id % 40 AS node FROM embeddings) UNION SELECT r.node, x.q FROM reach r JOIN (SELECT a AS p, b AS q FROM ed UNION SELECT b, a FROM ed) x ON x.p = r.label),
+ed AS (SELECT DISTINCT a, b FROM ({EDGES}) WHERE median >= 1.3 AND samples >= 20 AND a <> b),
+reach(node, label) AS (SELECT node, node FROM (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS node FROM lineitem UNION SELECT b FROM ed) UNION SELECT r.node, x.q FROM reach r JOIN (SELECT a AS p, b AS q FROM ed UNION SELECT b, a FROM ed) x ON x.p = r.label),
 comp AS (SELECT node, min(label) AS label FROM reach GROUP BY node)"""
 
 
 def components(spark, sf):
-    pairs = table_sql(spark, sf, EDGES.format(d="D"), "embeddings")
-    nodes = view(spark, sf, "embeddings").select((F.col("vec_id") % 40).alias("node"))
-    return d.connected_groups(nodes, d.pair_edges(pairs, 1.3, 30))
+    pairs = table_sql(spark, sf, EDGES, "lineitem")
+    edges = d.pair_edges(pairs, 1.3, 20)
+    nodes = view(spark, sf, "v_stream").select((F.col("file_id") * 8 + F.col("stream_index")).alias("node"))
+    linked = edges.where("a <> b").select(F.col("b").alias("node"))
+    return d.connected_groups(nodes.unionByName(linked), edges)
 
 
 @query("dec_06", f"WITH RECURSIVE {COMP} SELECT node, label FROM comp")
@@ -89,10 +92,10 @@ def dec_06(spark, sf):
     return components(spark, sf)
 
 
-@query("dec_07", f"WITH RECURSIVE {COMP} SELECT label, arg_min(node, (CASE WHEN node % 3 = 0 THEN (node * 13) % 40 ELSE 1000000 END, node)) AS anchor, count(*) AS n_members FROM comp GROUP BY label")
+@query("dec_07", f"WITH RECURSIVE {COMP} SELECT label, arg_min(node, (CASE WHEN node % 3 = 0 THEN (node * 5) % 8 ELSE 1000000 END, node)) AS anchor, count(*) AS n_members FROM comp GROUP BY label")
 def dec_07(spark, sf):
     members = components(spark, sf).withColumnRenamed("node", "member")
-    order = view(spark, sf, "embeddings").select((F.col("vec_id") % 40).alias("member")).distinct().where("member % 3 = 0").withColumn("place", (F.col("member") * 13) % 40)
+    order = members.where("member % 3 = 0").select("member", ((F.col("member") * 5) % 8).alias("place"))
     return d.group_anchors(members, order)
 
 
