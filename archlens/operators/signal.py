@@ -85,12 +85,13 @@ def decimated(blocks: DataFrame, size: int, factor: int) -> DataFrame:
     return read.select(*CH, F.col("out_block").alias("block_no"), sg.decimate(F.col("x"), factor, margin).alias("samples"))
 
 
-def frame_delays(blocks: DataFrame, size: int, *, frame: int, hop: int, search: int, gate: float = sg.RMS_GATE) -> DataFrame:
+def frame_delays(blocks: DataFrame, size: int, *, frame: int, hop: int, search: int, gate: float = sg.RMS_GATE,
+                 pairs: DataFrame | None = None) -> DataFrame:
     """One whitened-correlation delay per frame of each pair; not measurable is null."""
-    ranges = pcm.frame_ranges(pair_lengths(blocks, size), frame, hop)
-    pairs = read_pairs(blocks, ranges, size, before=search, after=search)
+    ranges = pcm.frame_ranges(pair_lengths(blocks, size) if pairs is None else pairs, frame, hop)
+    read = read_pairs(blocks, ranges, size, before=search, after=search)
     g = sg.gcc_phat(F.col("ref_x"), F.col("tgt_x"), lag0=search, lo=-search, hi=search, gate=gate)
-    return pairs.select(*KEYS, "frame_no", (F.col("start") + frame // 2).alias("center_sample"), g.alias("g")).select(
+    return read.select(*KEYS, "frame_no", (F.col("start") + frame // 2).alias("center_sample"), g.alias("g")).select(
         *KEYS, "frame_no", "center_sample", "g.*")
 
 
