@@ -7,7 +7,8 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("trajectory", "catalog", "windows", "preserve", "ledger", "experiments", "decide", "curves", "signal", "plans")
+MODULES = ("trajectory", "catalog", "windows", "preserve", "ledger", "experiments", "decide",
+           "curves", "signal", "plans", "streams")
 
 
 def query(key: str, sql: str | None = None):

@@ -130,8 +130,8 @@ def mixed(spark, sf, policy="detect"):
     return ap.mix(b, gains, policy=policy)
 
 
-@query("agg_23", with_views(f"""SELECT file_id, sink, count(*) AS n_samples, round(max(abs(v)), 6) AS peak, arg_max(at, (abs(v), -at)) AS peak_at, count(*) FILTER (abs(v) > 1) AS clip_count, count(*) FILTER (abs(v) > 1) AS hard_clipped, NULL::VARCHAR AS reason FROM (
- SELECT file_id, sink, block_no * 64 + i AS at, sum(samples[i + 1] * gain) AS v FROM pcm JOIN (VALUES {', '.join(f'({s}::BIGINT, {c}, {x}::DOUBLE)' for s, c, x in GAINS)}) g(sink, channel, gain) USING (channel), range(64) r(i) GROUP BY ALL) GROUP BY file_id, sink""", PCM))
+@query("agg_23", with_views(f"""SELECT file_id, sink, count(*) AS n_samples, round(max(abs(v)), 6) AS peak, arg_max(k, (abs(v), -k)) AS peak_at, count(*) FILTER (abs(v) > 1) AS clip_count, count(*) FILTER (abs(v) > 1) AS hard_clipped, NULL::VARCHAR AS reason FROM (
+ SELECT file_id, sink, block_no * 64 + i AS k, sum(samples[i + 1] * gain) AS v FROM pcm JOIN range(64) r(i) ON TRUE JOIN (VALUES {', '.join(f'({s}::BIGINT, {c}, {x}::DOUBLE)' for s, c, x in GAINS)}) g(sink, channel, gain) USING (channel) GROUP BY ALL) GROUP BY file_id, sink""", PCM))
 def agg_23(spark, sf):
     return rounded(ap.mix_statistics(mixed(spark, sf, "hard_clip"), size=SIZE, policy="hard_clip"))
 
