@@ -6,11 +6,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
-from .ordered import neighbours, running_sum
+from .ordered import carry, neighbours, running_sum
 from .quantiles import exact_quantiles
-from .sizing import GROUP_LIMIT, group_fits
+from .sizing import group_fits
 from .trajectory import KEYS
-from .windows import interpolate, window_spine
 
 # Curve profile.
 MIN_CC, JUMP_LIMIT, MAX_SHIFT = 0.08, 30.0, 4800.0
@@ -159,11 +158,23 @@ def smooth_residual(points: DataFrame, keys: list[str], *, duration: float, span
 
 
 def on_grid(points: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Points interpolated at every whole second, edges held."""
-    fits = seconds <= GROUP_LIMIT and group_fits(points, keys)
-    names = points.select(*keys).distinct()
-    grid = window_spine(names, F.lit(seconds).cast("bigint")).select(*keys, F.col("window_no").cast("double").alias("t_sec"))
-    return interpolate(points.select(*keys, F.col("t_sec").cast("double").alias("t_sec"), "y"), grid, keys, "t_sec", "y", fits=fits)
+    """Points interpolated at seconds 0..seconds-1, edges held.
+
+    Each point fills the stretch up to the next one, so only the few points are
+    ordered and the grid rows are made in place, without a shuffle.
+    """
+    fits = group_fits(points, keys)
+    rows = points.select(*keys, F.col("t_sec").cast("double").alias("t"), "y")
+    here = F.struct("t", "y")
+    linked = carry(rows, keys, "t", here, "_n", forward=False, strict=True, fits=fits)
+    linked = carry(linked, keys, "t", F.col("t"), "_p", strict=True, fits=fits)
+    low = F.when(F.col("_p").isNull(), 0).otherwise(F.greatest(F.ceil("t"), F.lit(0)))
+    high = F.when(F.col("_n").isNull(), seconds - 1).otherwise(F.least(F.ceil("_n.t") - 1, F.lit(seconds - 1)))
+    filled = linked.where(low <= high).withColumn("g", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
+    share = (F.col("g") - F.col("t")) / (F.col("_n.t") - F.col("t"))
+    between = F.col("y") + (F.col("_n.y") - F.col("y")) * share
+    inside = F.col("_n").isNotNull() & (F.col("g") > F.col("t"))
+    return filled.select(*keys, F.col("g").cast("double").alias("t_sec"), F.when(inside, between).otherwise(F.col("y")).alias("y"))
 
 
 def residual_curve(points: DataFrame, keys: list[str], *, seconds: int, span: float, hop: float) -> DataFrame:

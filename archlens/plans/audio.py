@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalar import bitrate_text, channel_parts, is_pcm, samples_from_seconds
 from ..operators.ordered import carry, neighbours, running_sum
 from ..operators.sizing import group_fits
+from ..session import cut_lineage
 
 # Codecs an output format can be inherited from, and lossless formats.
 FORMAT_FOR_CODEC = {"aac": "aac", "opus": "opus", "flac": "flac"}
@@ -85,12 +86,15 @@ def mapping_issues(entries: DataFrame, selected: DataFrame, known: DataFrame) ->
     Structure (fan-in, index order, copies, collapse) is only judged for plans
     whose references are all valid.
     """
-    ok = _resolved(selected, known).where(F.col("reason").isNull()).select("plan_id", "canonical").distinct()
+    # both tables feed several checks each, so they are written out once
+    ok = cut_lineage(_resolved(selected, known).where(F.col("reason").isNull()).select("plan_id", "canonical").distinct())
     r = _resolved(entries, known).join(ok.withColumn("_selected", F.lit(True)), ["plan_id", "canonical"], "left")
     r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("_selected").isNull(), "audio_mapping_not_selected")))
+    broken = r.where(F.col("reason").isNotNull()).select("plan_id").distinct().withColumn("_broken", F.lit(True))
+    r = cut_lineage(r.select("plan_id", "output_index", "channel_id", "canonical", "reason").join(broken, "plan_id", "left"))
     bad = r.where(F.col("reason").isNotNull())
     out = bad.select("plan_id", "reason", F.col("channel_id").alias("location"))
-    good = r.join(bad.select("plan_id").distinct(), "plan_id", "left_anti")
+    good = r.where(F.col("_broken").isNull())
     text = lambda c: F.col(c).cast("string")
     fan = good.groupBy("plan_id", "output_index").agg(F.count_distinct("canonical").alias("k")).where("k > 1").select(
         "plan_id", F.lit("audio_mix_not_supported").alias("reason"), text("output_index").alias("location"))

@@ -1,10 +1,8 @@
 """Source and stream queries. Files and snapshots go to the cluster's shared folder."""
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
-from ..session import configure, shared_dir
+from ..session import configure, scratch_path
 from ..sources import isobmff, ledgers, media, wav
 from ..streaming import jobs
 from . import query
@@ -12,11 +10,6 @@ from .catalog import PATHS, classed, paths
 from .trajectory import rounded
 
 
-def scratch(spark):
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/archlens-{uuid.uuid4().hex}"
-
-
 def stream_of(spark, sf, table):
     configure(spark)
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
@@ -34,7 +27,7 @@ def src_03(spark, sf):
     rows = classed(spark, sf).select(
         F.col("name").alias("source"), F.lit("HQ").alias("preset"), "codec", "width", F.col("size_bytes").alias("source_size_bytes"),
         F.when(F.col("width") != 0, F.col("ob_kbps")).alias("container_bitrate_kbps"), F.lit("").alias("profile"), F.lit(1).alias("not_a_column"))
-    path = scratch(spark)
+    path = scratch_path(spark)
     ledgers.write_ledger(rows, "pre", path)
     return rounded(ledgers.read_ledger(spark, "pre", path).select("source", "preset", "codec", "width", "source_size_bytes", "container_bitrate_kbps", "profile"))
 
@@ -90,7 +83,7 @@ def src_06(spark, sf):
 
 @query("str_01", with_views("SELECT path_id, path FROM p WHERE regexp_matches(lower(path), '\\.(mp4|mov)$')", f"p AS ({PATHS})"))
 def str_01(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     pages = stream_of(spark, sf, "pages").select(F.col("page_id").alias("path_id"), F.expr(
         "concat(url, CASE page_id % 4 WHEN 0 THEN '/Clip 1.mov' WHEN 1 THEN '/clip.a.MP4' WHEN 2 THEN '/.hidden' ELSE '' END)").alias("path"))
     run = jobs.process_arrivals(media.select_media(pages), lambda df, n: df.write.mode("append").parquet(f"{path}/arrived"), f"{path}/checkpoint")
@@ -125,7 +118,7 @@ def _split(text):
 
 @query("str_02", STATUS_SQL)
 def str_02(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     jobs.status_snapshots(job_events(stream_of(spark, sf, "events")), f"{path}/status", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/status").drop("finished", "meta")
 
@@ -137,14 +130,14 @@ def str_02_batch(spark, sf):
 
 @query("snk_03", STATUS_SQL.replace("SELECT a.source", "SELECT TRUE AS finished, 'alpha' AS run, a.source", 1))
 def snk_03(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     jobs.write_snapshot(jobs.latest_status(job_events(view(spark, sf, "events"))), path, finished=True, meta={"run": "alpha"})
     return spark.read.parquet(path).withColumn("run", F.col("meta")["run"]).drop("meta")
 
 
 @query("str_03", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k)) GROUP BY ALL""")
 def str_03(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     done = stream_of(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS backend", "value AS fps")
     windows = jobs.throughput(done, window="2 hours", slide="1 hour", late="1 hour")
     writer = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
@@ -161,7 +154,7 @@ def str_03_rolling(spark, sf):
 
 @query("str_04", """SELECT url AS source, CASE WHEN bool_or(page_id % 3 = 0) THEN 'before' ELSE 'run' END AS origin, 1::BIGINT AS times FROM pages GROUP BY url""")
 def str_04(spark, sf):
-    path = scratch(spark)
+    path = scratch_path(spark)
     done = view(spark, sf, "pages").where("page_id % 3 = 0").select(F.col("url").alias("source"), F.lit("before").alias("origin")).distinct()
     done.write.parquet(f"{path}/finished")
     for _ in range(2):  # the second run is a restart: nothing is left to do

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/archlens-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a table in the shared folder, and read back.
+
+    Later steps reread it instead of recomputing, and a lost executor costs a
+    reread. Computed once, unlike a checkpoint, which runs its last stage twice.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
