@@ -86,8 +86,8 @@ def theil_sen(points: DataFrame, keys: list[str], max_pairs: int = MAX_PAIRS) ->
     exact = ids.where(few & (F.col("idx") + 1 < F.col("n"))).select(
         *keys, F.col("idx").alias("i"), F.explode(F.sequence(F.col("idx") + 1, F.col("n") - 1)).alias("j"))
     draw = F.explode(F.sequence(F.lit(0), F.lit(max_pairs - 1)))
-    drawn = ids.where(~few & (F.col("idx") == 0)).select(*keys, "n", draw.alias("k")).select(
-        *keys, F.pmod(F.xxhash64("k", F.lit("i")), F.col("n")).alias("i"), F.pmod(F.xxhash64("k", F.lit("j")), F.col("n")).alias("j"))
+    drawn = ids.where(~few & (F.col("idx") == 0)).select(*keys, "n", draw.alias("_k")).select(
+        *keys, F.pmod(F.xxhash64("_k", F.lit("i")), F.col("n")).alias("i"), F.pmod(F.xxhash64("_k", F.lit("j")), F.col("n")).alias("j"))
     pairs = exact.unionByName(drawn)
     end = lambda s: points.select(*keys, F.col("idx").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
     slopes = pairs.join(end("i"), [*keys, "i"]).join(end("j"), [*keys, "j"])
@@ -148,7 +148,7 @@ def smooth_residual(points: DataFrame, keys: list[str], *, duration: float, span
     low = F.greatest(F.lit(0), F.ceil((t - 1.5 * span) / hop)).cast("bigint")
     high = F.least(F.lit(last), F.floor((t + 0.5 * span) / hop)).cast("bigint")
     reached = points.where(low <= high).select(*keys, "y", F.explode(F.sequence(low, high)).alias("m"))
-    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="k", fits=fits).where(F.col("k") >= min_points)
+    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="_k", fits=fits).where(F.col("_k") >= min_points)
     # one row per centre, so counting a key's centres is a small window
     smooth = med.select(*keys, (F.col("m") * hop + span / 2).alias("t_sec"), "y",
                         F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_c")).where("_c >= 2").drop("_c")

@@ -247,9 +247,9 @@ def robust_lines(points: DataFrame, keys: list[str], *, trials: int = 256, limit
     packed = lines.groupBy(*keys).agg(F.collect_list(F.struct("trial", "a", "b")).alias("lines"))
     near = F.abs(F.col("y") - F.col("l.a") - F.col("l.b") * F.col("t")) <= limit
     scored = points.join(packed, keys).select(*keys, "t", "y", "w", F.explode("lines").alias("l"))
-    scores = scored.groupBy(*keys, "l").agg(F.sum(F.when(near, F.col("w"))).alias("score"), F.count_if(near).alias("k"))
-    best = scores.where("k >= 3").groupBy(*keys).agg(
-        F.max_by("l", F.struct(F.round("score", 9), (-F.col("l.trial")).alias("x"))).alias("l"))
+    scores = scored.groupBy(*keys, "l").agg(F.sum(F.when(near, F.col("w"))).alias("_score"), F.count_if(near).alias("_k"))
+    best = scores.where("_k >= 3").groupBy(*keys).agg(
+        F.max_by("l", F.struct(F.round("_score", 9), (-F.col("l.trial")).alias("x"))).alias("l"))
     kept = points.join(best, keys).where(near)
     w2 = F.col("w") * F.col("w")
     sums = kept.groupBy(*keys).agg(

@@ -266,8 +266,8 @@ def agreement(candidates: DataFrame, keys: list[str], tolerance: int = 2) -> Dat
     """
     from pyspark.sql import Window as W
     near = W.partitionBy(*keys).orderBy("delay").rangeBetween(-tolerance, tolerance)
-    scored = candidates.withColumn("k", F.count(F.lit(1)).over(near)).withColumn("q", F.sum("quality").over(near))
-    best = scored.groupBy(*keys).agg(F.max_by("delay", F.struct("k", F.round("q", 9), (-F.col("delay")).alias("x"))).alias("center"))
+    scored = candidates.withColumn("_k", F.count(F.lit(1)).over(near)).withColumn("_q", F.sum("quality").over(near))
+    best = scored.groupBy(*keys).agg(F.max_by("delay", F.struct("_k", F.round("_q", 9), (-F.col("delay")).alias("x"))).alias("center"))
     members = candidates.join(best, keys).where(F.abs(F.col("delay") - F.col("center")) <= tolerance)
     # candidates of one window: a handful of estimators
     return members.groupBy(*keys).agg(
