@@ -16,6 +16,7 @@ MIN_CC, JUMP_LIMIT, MAX_SHIFT = 0.08, 30.0, 4800.0
 OUTLIER, MAX_RESIDUAL, MIN_WEIGHT = 30.0, 100.0, 1e-6
 MAX_PAIRS = 20000
 MODE_REACH, MODE_GAP = 2, 4
+CLAMP_CHUNK = 16384
 
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str,
@@ -97,11 +98,12 @@ def theil_sen(points: DataFrame, keys: list[str], max_pairs: int = MAX_PAIRS) ->
     return points.select(*keys).distinct().join(med, keys, "left").fillna(0.0, ["slope"])
 
 
-def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *, adaptive: bool = True) -> DataFrame:
+def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *, adaptive: bool = True,
+                chunk: int = CLAMP_CHUNK) -> DataFrame:
     """Each point moved to within a limit of the one before it, in ``idx`` order.
 
-    The recurrence is sequential, so a key's anchors (one per time bin) are
-    folded as one ordered array.
+    The recurrence is sequential, so a key's points (one per time bin) are
+    folded as one ordered array of at most ``chunk`` points at a time.
     """
     if adaptive:
         slope = theil_sen(points.withColumn("x", F.col("idx").cast("double")), keys)
@@ -111,15 +113,31 @@ def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *
     else:
         wide = points.withColumn("limit", F.lit(limit))
     extra = [c for c in points.columns if c not in (*keys, "idx", "y")]
+    last = points.agg(F.max("idx").alias("i")).first()["i"] or 0
+    chunks = int(last) // chunk + 1
+    if chunks == 1:
+        return _fold_clamp(wide.withColumn("_from", F.lit(None).cast("double")), keys, extra)
+    # longer series advance chunk by chunk, all keys together, handing on the last value
+    wide, start, done = cut_lineage(wide), None, None
+    for c in range(chunks):
+        part = wide.where(F.floor(F.col("idx") / F.lit(chunk)) == c)
+        part = part.withColumn("_from", F.lit(None).cast("double")) if start is None else part.join(start, keys, "left")
+        out = cut_lineage(_fold_clamp(part, keys, extra))
+        start = out.groupBy(*keys).agg(F.max_by("y", "idx").alias("_from"))
+        done = out if done is None else done.unionByName(out)
+    return done
+
+
+def _fold_clamp(rows: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("idx", "y", *extra)))
-    grouped = wide.groupBy(*keys, "limit").agg(ordered.alias("p"))
-    start = F.array(F.col("p")[0]["y"])
+    grouped = rows.groupBy(*keys, "limit", "_from").agg(ordered.alias("p"))
+    empty = F.array().cast("array<double>")
 
     def step(acc: Column, item: Column) -> Column:
-        prev = F.element_at(acc, -1)
+        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_from"), item["y"])
         return F.array_append(acc, F.least(F.greatest(item["y"], prev - F.col("limit")), prev + F.col("limit")))
 
-    folded = grouped.withColumn("ys", F.aggregate(F.slice("p", 2, F.size("p")), start, step))
+    folded = grouped.withColumn("ys", F.aggregate("p", empty, step))
     return folded.select(*keys, F.explode(F.arrays_zip("p", "ys")).alias("z")).select(
         *keys, "z.p.idx", *[F.col(f"z.p.{c}") for c in extra], F.col("z.ys").alias("y"))
 

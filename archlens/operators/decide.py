@@ -3,10 +3,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, upper_median
 
 # Status per reason and decision, eligibility reasons, binding gates.
 STATUS_OF_REASON = {
@@ -37,14 +37,13 @@ def materiality(delay_samples: Column, displacement_ms: Column, rate: float, k:
 def agreement(windows: DataFrame, tracks: DataFrame, *, absolute: float, relative: float, sigma: float, rate: float) -> DataFrame:
     """Second estimate against the applied shift, with the widest of three tolerances.
 
-    ``windows`` (track_id, window_no, value_ms) holds a handful of re-measured
-    windows per track; their upper median is the second estimate.
+    ``windows`` (track_id, window_no, value_ms) holds the re-measured windows of
+    each track; their upper median is the second estimate.
     """
-    values = F.array_sort(F.collect_list("value_ms"))
-    per = windows.where(F.col("value_ms").isNotNull()).groupBy("track_id").agg(
-        values.alias("_v"), F.stddev_samp("value_ms").alias("spread_ms"))
-    middle = F.col("_v")[F.floor(F.size("_v") / 2).cast("int")] * rate / 1000
-    joined = tracks.join(per, "track_id", "left").withColumn("independent", middle)
+    known = windows.where(F.col("value_ms").isNotNull())
+    middle = upper_median(known, ["track_id"], "value_ms", "_mid")
+    per = known.groupBy("track_id").agg(F.stddev_samp("value_ms").alias("spread_ms")).join(middle, "track_id")
+    joined = tracks.join(per, "track_id", "left").withColumn("independent", F.col("_mid") * rate / 1000)
     rel = F.lit(relative) * F.abs("delay_samples")
     sig = F.coalesce(F.lit(sigma) * F.col("spread_ms") * rate / 1000, F.lit(0.0))
     tol = F.greatest(F.lit(float(absolute)), rel, sig)

@@ -36,11 +36,24 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column,
         return out.select(
             *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)],
             *([F.col("_n").alias(count)] if count else []))
-    return _binned(values, keys, probs, count)
+    n = F.col("_n") - 1
+    return _binned(values, keys, {name: F.lit(p) * n for name, p in probs.items()}, count)
 
 
-def _binned(values: DataFrame, keys: list[str], probs: dict[str, float],
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str, *,
+                 fits: bool | None = None) -> DataFrame:
+    """The middle value, or the upper of the two middle ones."""
+    values = (df.select(*keys, F.col(value).cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull()))
+    if group_fits(values, keys) if fits is None else fits:
+        ordered = values.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
+        return ordered.select(*keys, F.col("_a")[F.floor(F.size("_a") / 2).cast("int")].alias(out))
+    return _binned(values, keys, {out: F.floor(F.col("_n") / 2)}, None)
+
+
+def _binned(values: DataFrame, keys: list[str], ranks: dict[str, Column],
             count: str | None) -> DataFrame:
+    """Values at (possibly fractional) 0-based ranks, by coarse bins of a histogram."""
     hist = (
         values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_bin", _bin(F.col("_v")))
@@ -53,7 +66,6 @@ def _binned(values: DataFrame, keys: list[str], probs: dict[str, float],
         .withColumn("_n", F.sum("_bc").over(per_key))
         .withColumn("_base", F.col("_end") - F.col("_bc"))
     )
-    ranks = {name: F.lit(p) * (F.col("_n") - 1) for name, p in probs.items()}
 
     def holds(rank: Column) -> Column:
         return (F.col("_base") <= rank) & (rank < F.col("_end"))

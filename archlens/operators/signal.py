@@ -4,11 +4,13 @@
 """
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pcm, signal as sg
 from ..functions.scalar import is_pcm, rms_dbfs
+from ..session import cut_lineage
 from .ordered import neighbours
 from .quantiles import exact_quantiles
 from .sizing import group_fits
@@ -22,6 +24,7 @@ MIN_CHANNELS, MAX_CHANNELS = 3, 8
 TRACK_RADIUS, TRACK_PER_MINUTE, TRACK_MIN_CC = 96, 8, 0.06
 POLARITY_MIN_CC, POLARITY_SHARE = 0.25, 0.8
 FULL_HALF = 8
+TRACK_CHUNK = 4096
 
 
 def eligibility(files: DataFrame, streams: DataFrame) -> DataFrame:
@@ -208,17 +211,19 @@ TRACK_SCHEMA = ("file_id bigint, ref bigint, tgt bigint, window_no bigint, delay
 
 
 def track_windows(found: DataFrame, *, rate: float, radius: int = TRACK_RADIUS, per_minute: float = TRACK_PER_MINUTE,
-                  min_cc: float = TRACK_MIN_CC) -> DataFrame:
+                  min_cc: float = TRACK_MIN_CC, chunk: int = TRACK_CHUNK) -> DataFrame:
     """Follow the delay from window to window.
 
     The correlation surfaces come from a parallel stage; here only the
     prediction is carried. The first window is searched in full (two tries),
     later ones around the last valid lag; a weak window is invalid and does not
-    move the prediction. A pair has one short row per window of a take.
+    move the prediction. All pairs advance together by ``chunk`` windows at a
+    time, handing on the last lag, so no task holds more of a pair than that.
     """
     def follow(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("window_no")
-        prev, out, tries = None, [], 0
+        known, tries = rows["_prev"].iloc[0], int(rows["_tries"].iloc[0])
+        prev, out = (None if pd.isna(known) else int(known)), []
         for w, start, surface in zip(rows.window_no, rows.start, rows.surface):
             reach = radius + int(round(per_minute * start / rate / 60))
             delay, cc = None, 0.0
@@ -227,14 +232,30 @@ def track_windows(found: DataFrame, *, rate: float, radius: int = TRACK_RADIUS,
                 lo, hi = (0, len(surface) - 1) if prev is None else (max(0, prev - reach + half), min(len(surface) - 1, prev + reach + half))
                 tries += prev is None
                 if lo <= hi:
-                    k = max(range(lo, hi + 1), key=lambda i: abs(surface[i]))
+                    k = lo + int(np.abs(surface[lo:hi + 1]).argmax())
                     cc = float(surface[k])
                     if abs(cc) >= min_cc:
                         delay = prev = k - half
-            out.append((*key, w, delay, cc, delay is not None, 1 if cc >= 0 else -1, reach))
-        return pd.DataFrame(out, columns=["file_id", "ref", "tgt", "window_no", "delay_samples", "cc", "valid", "polarity", "radius"])
-
-    return found.groupBy(*KEYS).applyInPandas(follow, TRACK_SCHEMA)
+            out.append((*key, w, delay, cc, delay is not None, 1 if cc >= 0 else -1, reach, tries))
+        return pd.DataFrame(out, columns=["file_id", "ref", "tgt", "window_no", "delay_samples", "cc", "valid", "polarity", "radius", "tries"])
+
+    last = found.agg(F.max("window_no").alias("w")).first()["w"] or 0
+    chunks = int(last) // chunk + 1
+    if chunks > 1:
+        found = cut_lineage(found)
+    state = found.select(*KEYS).distinct().select(*KEYS, F.lit(None).cast("bigint").alias("_prev"), F.lit(0).cast("bigint").alias("_tries"))
+    done = None
+    for c in range(chunks):
+        part = found.where(F.floor(F.col("window_no") / F.lit(chunk)) == c) if chunks > 1 else found
+        rows = part.join(state, KEYS).groupBy(*KEYS).applyInPandas(follow, TRACK_SCHEMA + ", tries bigint")
+        if chunks > 1:
+            rows = cut_lineage(rows)
+            ended = rows.groupBy(*KEYS).agg(
+                F.max_by("delay_samples", F.when(F.col("valid"), F.col("window_no"))).alias("_d"), F.max("tries").alias("_t"))
+            state = state.join(ended, KEYS, "left").select(
+                *KEYS, F.coalesce(F.col("_d").cast("bigint"), "_prev").alias("_prev"), F.coalesce("_t", "_tries").alias("_tries"))
+        done = rows if done is None else done.unionByName(rows)
+    return done.drop("tries")
 
 
 def independent_delays(blocks: DataFrame, size: int, *, window: int, hop: int, max_lag: int, min_dbfs: float = -50.0,

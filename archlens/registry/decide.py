@@ -58,16 +58,15 @@ def jon_15(spark, sf):
     return d.attach_status(positions, rows, GATE)
 
 
-@query("jon_11", with_views("""SELECT t.file_id, t.track_id, r.track_id AS ref_id, round(CASE WHEN r.decision = 'fixed' THEN CASE WHEN r.track_id % 4 = 0 THEN r.usable_frames + 0.5 ELSE r.usable_frames END ELSE 0 END + t.mad_ms, 6)::DOUBLE AS composed_samples FROM v_track_a t JOIN v_track_a r ON r.file_id = t.file_id AND r.track_id = t.file_id % 1000 * 10 + 5
- WHERE t.decision = 'untouched' AND r.decision IN ('fixed', 'already_aligned') AND t.track_id % 9 <> 0 AND NOT (r.decision = 'fixed' AND r.track_id % 4 = 0)""").replace("r.track_id = t.file_id % 1000 * 10 + 5", "r.track_id % 6 = t.track_id % 6 AND r.track_id % 5 = 0"))
+@query("jon_11", with_views("""SELECT t.file_id, t.track_id, r.track_id AS ref_id, round(CASE WHEN r.decision = 'fixed' THEN r.usable_frames ELSE 0 END + t.mad_ms, 6)::DOUBLE AS composed_samples FROM v_track_a t JOIN (SELECT file_id, min(track_id) AS rid FROM v_track_a GROUP BY ALL) m USING (file_id) JOIN v_track_a r ON r.track_id = m.rid
+ WHERE t.decision = 'untouched' AND r.decision IN ('fixed', 'already_aligned') AND t.track_id % 9 <> 0 AND NOT (r.decision = 'fixed' AND r.track_id % 4 = 0)"""))
 def jon_11(spark, sf):
     a = view(spark, sf, "v_track_a")
     shift = F.when(F.col("decision") == "fixed", F.when(F.col("track_id") % 4 == 0, F.col("usable_frames") + 0.5).otherwise(F.col("usable_frames").cast("double")))
     decisions = a.select("file_id", "track_id", "decision", shift.alias("shift_samples"))
-    # measured pairs of a file: references are its tracks divisible by five
-    refs = a.where("track_id % 5 = 0").select("file_id", F.col("track_id").alias("ref_id"), (F.col("track_id") % 6).alias("k"))
-    pairs = a.withColumn("k", F.col("track_id") % 6).join(refs, ["file_id", "k"]).select(
-        "file_id", "track_id", "ref_id", F.when(F.col("track_id") % 9 != 0, F.col("mad_ms")).alias("delay_samples"))
+    # every track was measured against the first one of its file
+    refs = a.groupBy("file_id").agg(F.min("track_id").alias("ref_id"))
+    pairs = a.join(refs, "file_id").select("file_id", "track_id", "ref_id", F.when(F.col("track_id") % 9 != 0, F.col("mad_ms")).alias("delay_samples"))
     return rounded(d.compose_reference(decisions, pairs))
 
 

@@ -78,6 +78,8 @@ def test_clamp_jumps(forms):
         want.append(min(max(v, want[-1] - 30), want[-1] + 30))
     got = c.clamp_jumps(df, ["k"], 30.0, adaptive=False).orderBy("idx").collect()
     assert [r.y for r in got] == want
+    chunked = c.clamp_jumps(df, ["k"], 30.0, adaptive=False, chunk=2).orderBy("idx").collect()
+    assert [r.y for r in chunked] == want
     steep = forms.createDataFrame([(1, i, 6, i * 90.0) for i in range(6)], "k bigint, idx bigint, n bigint, y double")
     assert [r.y for r in c.clamp_jumps(steep, ["k"]).orderBy("idx").collect()] == [i * 90.0 for i in range(6)]
 

@@ -108,6 +108,9 @@ def test_tracker_follows_and_skips_weak_windows(spark):
     b = blocks_of(spark, {1: [x, y]}, 128)
     got = g.track_windows(g.surfaces(b, 128, window=1024, hop=512, search=64), rate=RATE, radius=8, min_cc=0.3).toPandas()
     assert set(got[got.valid].delay_samples) == {6} and 0 < (~got.valid).sum() < len(got) / 2
+    parts = g.track_windows(g.surfaces(b, 128, window=1024, hop=512, search=64), rate=RATE, radius=8, min_cc=0.3, chunk=4).toPandas()
+    order = lambda p: p.sort_values("window_no").reset_index(drop=True)
+    assert order(got).equals(order(parts))
 
 
 def test_apply_and_verify_shifts(spark):
