@@ -16,7 +16,7 @@ MIN_CC, JUMP_LIMIT, MAX_SHIFT = 0.08, 30.0, 4800.0
 OUTLIER, MAX_RESIDUAL, MIN_WEIGHT = 30.0, 100.0, 1e-6
 MAX_PAIRS = 20000
 MODE_REACH, MODE_GAP = 2, 4
-CLAMP_CHUNK = 16384
+CLAMP_CHUNK = 4096
 
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str,
@@ -255,7 +255,7 @@ def dominant_mode(rows: DataFrame, keys: list[str], min_rows: int = 3) -> DataFr
 
 def separated_modes(rows: DataFrame, keys: list[str], k: int = 3, min_gap: int = MODE_GAP) -> DataFrame:
     """The k heaviest delays at least ``min_gap`` apart, with the weight around each."""
-    item = F.struct((-F.col("w")).alias("order"), "delay", "near_w")
+    item = F.struct((-F.round("w", 9)).alias("order"), "delay", "near_w")
     ranked = _smoothed(rows, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("h"))
     empty = F.array().cast("array<struct<delay:bigint,weight:double>>")
     fits = lambda acc, x: (F.size(acc) < k) & ~F.exists(acc, lambda a: F.abs(a["delay"] - x["delay"]) < min_gap)

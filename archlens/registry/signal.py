@@ -81,7 +81,15 @@ def sig_09(spark, sf):
     return rounded(g.pair_strength(blocks(spark, sf), SIZE, frame=512, hop=256, search=32, samples=10))
 
 
-@query("sig_10")
+# direct sums over the overlap of two windows, against the library's transforms
+NCC = """
+nw AS (SELECT t.file_id, t.channel, w, w * 512 AS start, r.x[w * 512 + 1:w * 512 + 1024] AS p, t.x[w * 512 + 1:w * 512 + 1024] AS q FROM ax t JOIN ax r ON r.file_id = t.file_id AND r.channel = 0 AND t.channel > 0 JOIN range(100) s(w) ON w * 512 + 1024 <= len(t.x)),
+nm AS (SELECT * REPLACE ([v - list_avg(p) for v in p] AS p, [v - list_avg(q) for v in q] AS q) FROM nw),
+nc AS (SELECT file_id, channel, w, start, lag, list_dot_product(p[greatest(1, 1 - lag):least(1024, 1024 - lag)], q[greatest(1, 1 + lag):least(1024, 1024 + lag)]) / sqrt(list_dot_product(p, p) * list_dot_product(q, q)) AS cc FROM nm, range(-40, 41) l(lag))"""
+
+
+@query("sig_10", with_views("SELECT file_id, 0::BIGINT AS ref, channel AS tgt, w AS window_no, start, arg_max(lag, abs(cc)) AS lag, round(arg_max(cc, abs(cc)), 6) AS cc, round(max(abs(cc)), 6) AS abs_cc FROM nc GROUP BY ALL", PCM,
+                            "ax AS (SELECT file_id, channel, flatten(list(samples ORDER BY block_no)) AS x FROM pcm GROUP BY ALL)", NCC))
 def sig_10(spark, sf):
     return rounded(g.window_peaks(blocks(spark, sf), SIZE, window=1024, hop=512, search=40))
 
