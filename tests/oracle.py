@@ -23,9 +23,8 @@ def _norm(value):
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, float):
-        if math.isnan(value):
-            return "nan"
-        return round(value, 6) + 0.0
+        # queries round what they return, so values must agree to the last bit
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, (list, tuple)):
         return tuple(_norm(v) for v in value)
     return value
