@@ -7,17 +7,21 @@ return the same rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GROUP_LIMIT = 1_000_000
 LIMIT_CONF = "spark.archlens.groupLimit"
 
 
+def fits_limit(spark: SparkSession, rows: int) -> bool:
+    """Whether a group of ``rows`` rows is small enough for one task."""
+    return 0 <= rows <= int(spark.conf.get(LIMIT_CONF, str(GROUP_LIMIT))) - 1
+
+
 def group_fits(df: DataFrame, keys: list[str]) -> bool:
     """Whether every ``keys`` group of ``df`` is small enough for one task."""
-    limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(GROUP_LIMIT)))
-    if limit <= 0:
+    if not fits_limit(df.sparkSession, 0):
         return False
     top = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
            .agg(F.max("n").alias("n")).first()["n"])
-    return (top or 0) <= limit
+    return fits_limit(df.sparkSession, top or 0)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import BLOCK, carry, neighbours, running_max, running_sum, runs
 from .quantiles import exact_quantiles
-from .sizing import group_fits
+from .sizing import fits_limit, group_fits
 from .trajectory import KEYS
 
 WINDOW = [*KEYS, "window_no"]
@@ -53,29 +53,45 @@ def pair_lengths(frames: DataFrame, n_samples: int) -> DataFrame:
     return frames.select(*KEYS).distinct().withColumn("n_samples", F.lit(n_samples).cast("bigint"))
 
 
-def aggregate_frames(frames: DataFrame, lengths: DataFrame, *, hop: int, min_frames: int) -> DataFrame:
-    """Frames to windows by latest start; a window below the frame floor is invalid."""
+def plan_fits(lengths: DataFrame, hop: int) -> bool:
+    """Whether the longest plan has few enough windows for one task.
+
+    Read off the lengths, so the plan itself is not computed to find out.
+    """
+    top = lengths.agg(F.max("n_samples").alias("n")).first()["n"] or 0
+    return fits_limit(lengths.sparkSession, -(-top // hop))
+
+
+def aggregate_frames(frames: DataFrame, lengths: DataFrame, *, hop: int, min_frames: int,
+                     fits: bool | None = None) -> DataFrame:
+    """Frames to windows by latest start; a window below the frame floor is invalid.
+
+    ``fits`` is whether the frames of every pair fit one task (see ``sizing``);
+    then those of every window do.
+    """
+    fits = group_fits(frames, KEYS) if fits is None else fits
     placed = frames.where(F.col("delay_samples").isNotNull()).withColumn(
         "window_no", latest_start(F.col("center_sample"), hop))
-    return _plan(placed, window_spine(lengths, required_windows(F.col("n_samples"), hop)), min_frames)
+    return _plan(placed, window_spine(lengths, required_windows(F.col("n_samples"), hop)), min_frames, fits)
 
 
 def aggregate_nearest(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
-                      min_frames: int, min_confidence: float = 0.3) -> DataFrame:
+                      min_frames: int, min_confidence: float = 0.3, fits: bool | None = None) -> DataFrame:
     """Confident frames to measured windows by nearest centre."""
+    fits = group_fits(frames, KEYS) if fits is None else fits
     placed = good_frames(frames, min_confidence).join(lengths, KEYS).withColumn(
         "window_no", clip(nearest_centre(F.col("center_sample"), window, hop),
                           required_windows(F.col("n_samples"), hop)))
     spine = window_spine(lengths, measured_windows(F.col("n_samples"), window, hop))
-    return _plan(placed, spine, min_frames)
+    return _plan(placed, spine, min_frames, fits)
 
 
 def good_frames(frames: DataFrame, min_confidence: float) -> DataFrame:
     return frames.where(F.col("delay_samples").isNotNull() & (F.col("confidence") >= min_confidence))
 
 
-def _plan(placed: DataFrame, spine: DataFrame, min_frames: int) -> DataFrame:
-    medians = exact_quantiles(placed, WINDOW, "delay_samples", {"_med": 0.5}, count="_n")
+def _plan(placed: DataFrame, spine: DataFrame, min_frames: int, fits: bool) -> DataFrame:
+    medians = exact_quantiles(placed, WINDOW, "delay_samples", {"_med": 0.5}, count="_n", fits=fits)
     n = F.coalesce("_n", F.lit(0))
     plan = spine.join(medians, WINDOW, "left").select(
         *WINDOW, n.alias("n_frames"), (n >= min_frames).alias("valid"),
@@ -148,9 +164,9 @@ def merge_intervals(intervals: DataFrame, keys: list[str], gap: int = 0,
     ).select(*keys, "start", (F.col("end") - F.col("start")).alias("count"))
 
 
-def evidence(plan: DataFrame, min_coverage: float) -> DataFrame:
+def evidence(plan: DataFrame, min_coverage: float, fits: bool | None = None) -> DataFrame:
     """Coverage, sizes and state counts of each plan."""
-    fits = group_fits(plan, KEYS)
+    fits = group_fits(plan, KEYS) if fits is None else fits
     stated = gap_states(plan, fits)
     size = F.abs(F.when(F.col("valid"), F.col("shift")))
     med = exact_quantiles(plan, KEYS, size, {"median_abs_shift": 0.5}, fits=fits)
@@ -185,7 +201,7 @@ def residual_summary(residuals: DataFrame, keys: list[str], value: str) -> DataF
 
 def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
     """What a measured plan would deliver: coverage, gaps, density and seam steps."""
-    fits = group_fits(plan, KEYS)
+    fits = plan_fits(lengths, hop)
     wide, window, keep = neighbours(plan, KEYS, "window_no", 1, fits=fits)
     stepped = (
         wide.withColumn("_prev", F.lag("shift").over(window)).where(keep)
@@ -210,8 +226,8 @@ def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
 def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
              min_frames: int, rate: float) -> DataFrame:
     """What holding across bounded gaps costs, and whole against fractional shifts."""
-    plan = aggregate_nearest(frames, lengths, window=window, hop=hop, min_frames=min_frames)
-    fits = group_fits(plan, KEYS)
+    frames_fit, fits = group_fits(frames, KEYS), plan_fits(lengths, hop)
+    plan = aggregate_nearest(frames, lengths, window=window, hop=hop, min_frames=min_frames, fits=frames_fit)
     placed = good_frames(frames, 0.3).join(lengths, KEYS).withColumn(
         "window_no", clip(nearest_centre(F.col("center_sample"), window, hop),
                           required_windows(F.col("n_samples"), hop)))
@@ -219,10 +235,9 @@ def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
         plan.where("valid").select(*WINDOW, F.col("delay_samples").alias("m")), WINDOW)
     held = held.withColumn("frac", F.abs(F.col("d") - F.col("m"))).withColumn(
         "whole", F.abs(F.col("d") - F.rint("m")))
-    frames_fit = group_fits(frames, KEYS)
     frac = exact_quantiles(held, KEYS, "frac", {"fractional_p90": 0.9}, fits=frames_fit)
     whole = exact_quantiles(held, KEYS, "whole", {"integer_p90": 0.9}, fits=frames_fit)
-    mads = exact_quantiles(held, WINDOW, "frac", {"mad": 0.5})
+    mads = exact_quantiles(held, WINDOW, "frac", {"mad": 0.5}, fits=frames_fit)
     mads = exact_quantiles(mads, KEYS, F.col("mad") * SCALED_MAD * 1000 / rate,
                            {"window_mad_p50_ms": 0.5, "window_mad_p90_ms": 0.9}, fits=fits)
     seen = F.when(F.col("valid"), F.struct(F.col("window_no").alias("w"), F.col("delay_samples").alias("d")))
@@ -277,7 +292,7 @@ def smallest_window(frames: DataFrame, lengths: DataFrame, *, window: int, hop:
     binned = good_frames(frames, min_confidence).groupBy(
         *KEYS, latest_start(F.col("center_sample"), hop).alias("window_no")).agg(F.count(F.lit(1)).alias("n"))
     spine = window_spine(lengths, required_windows(F.col("n_samples"), hop))
-    fits = group_fits(spine, KEYS)
+    fits = plan_fits(lengths, hop)
     dense = spine.join(binned, WINDOW, "left").fillna(0, ["n"])
     total = binned.groupBy(*KEYS).agg(F.sum("n").alias("_total"))
     summed = running_sum(dense, KEYS, "window_no", F.col("n"), "_cum", fits=fits).join(total, KEYS, "left")

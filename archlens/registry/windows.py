@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..operators import windows as w
+from ..operators.sizing import fits_limit
 from ..operators.trajectory import KEYS
 from . import query
 from .trajectory import rounded
@@ -33,6 +34,11 @@ def plan(spark, sf):
     return w.aggregate_frames(f, w.pair_lengths(f, N), hop=HOP, min_frames=FLOOR)
 
 
+def fits(spark):
+    """A plan of these queries has N / HOP windows, whatever the frames are."""
+    return fits_limit(spark, N // HOP + 1)
+
+
 @query("agg_04", with_views(f"SELECT {K}, window_no, n_frames, valid, round(delay_samples, 6) AS delay_samples, shift FROM plan", PLAN))
 def agg_04(spark, sf):
     return rounded(plan(spark, sf))
@@ -40,7 +46,7 @@ def agg_04(spark, sf):
 
 @query("win_01", with_views(f"SELECT {K}, window_no, state FROM states", PLAN, STATE))
 def win_01(spark, sf):
-    return w.gap_states(plan(spark, sf)).select(*w.WINDOW, "state")
+    return w.gap_states(plan(spark, sf), fits(spark)).select(*w.WINDOW, "state")
 
 
 @query("win_02", with_views(f"""SELECT {K}, window_no, coalesce(ps, 0) AS hold, CASE WHEN valid THEN shift ELSE 0 END AS no_correction_gap, coalesce(ps, 0) AS explicit_state, coalesce(ps, ns, 0) AS "current",
@@ -49,13 +55,13 @@ def win_01(spark, sf):
   first_value(CASE WHEN valid THEN shift END IGNORE NULLS) OVER b AS ns, first_value(CASE WHEN valid THEN window_no END IGNORE NULLS) OVER b AS nw FROM plan
  WINDOW a AS (PARTITION BY {K} ORDER BY window_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY {K} ORDER BY window_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", PLAN))
 def win_02(spark, sf):
-    return w.fill_gaps(plan(spark, sf)).drop("valid", "shift")
+    return w.fill_gaps(plan(spark, sf), fits(spark)).drop("valid", "shift")
 
 
 @query("win_03", with_views(f"""SELECT {K}, valid AS flag, min(window_no) AS run_start, max(window_no) AS run_end, count(*) AS run_length FROM (
  SELECT *, window_no - row_number() OVER (PARTITION BY {K}, valid ORDER BY window_no) AS g FROM plan) GROUP BY {K}, valid, g""", PLAN))
 def win_03(spark, sf):
-    return w.runs(plan(spark, sf), KEYS, "window_no", F.col("valid"))
+    return w.runs(plan(spark, sf), KEYS, "window_no", F.col("valid"), fits=fits(spark))
 
 
 INTERVALS = "SELECT user_id AS file_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - 1704067200 AS start, CAST(round(value * 300) AS BIGINT) * (event_id % 7) AS count FROM events"
@@ -75,7 +81,7 @@ def win_04(spark, sf):
  max(abs(shift)) AS max_abs_shift, count(*) FILTER (state = 'TRUSTED') AS trusted, count(*) FILTER (state = 'REENTRY') AS reentry, count(*) FILTER (state = 'UNRESOLVED_GAP') AS unresolved_gap,
  round(median(abs(shift)), 6)::DOUBLE AS median_abs_shift, round(count(*) FILTER (valid) / count(*), 6)::DOUBLE AS coverage, count(*) FILTER (valid) / count(*) >= 0.4 AS coverage_ok FROM states GROUP BY ALL""", PLAN, STATE))
 def agg_07(spark, sf):
-    return rounded(w.evidence(plan(spark, sf), 0.4))
+    return rounded(w.evidence(plan(spark, sf), 0.4, fits(spark)))
 
 
 RES = "SELECT user_id AS file_id, CASE WHEN event_type = 'error' OR user_id % 10 = 0 THEN NULL ELSE (value - 245) / 50 END AS residual FROM events"
@@ -120,7 +126,7 @@ def jon_06(spark, sf):
     f = frames(spark, sf)
     points = plan(spark, sf).where("valid").select(*KEYS, (F.col("window_no") * HOP).alias("t"), F.col("delay_samples").alias("y"))
     grid = w.window_spine(w.pair_lengths(f, N), F.lit(44).cast("bigint")).select(*KEYS, (F.col("window_no") * 480000).alias("t"))
-    return rounded(w.interpolate(points, grid, KEYS, size=64 * 65536))
+    return rounded(w.interpolate(points, grid, KEYS, size=64 * 65536, fits=fits_limit(spark, 64)))
 
 
 @query("agg_22", with_views(f"""SELECT {K}, 15::BIGINT AS n_needed, count(*) AS n_measured, count(*) FILTER (valid) AS n_resolved, round(count(*) FILTER (valid) / count(*), 6) AS resolved_fraction, round(count(*) FILTER (valid) / 15, 6) AS coverage, 15 - count(*) AS seam,
