@@ -247,7 +247,7 @@ def dominant_mode(rows: DataFrame, keys: list[str], min_rows: int = 3) -> DataFr
         F.max_by("delay", F.struct("support", (-F.col("delay")).alias("x"))).alias("center"), F.max("support").alias("support"),
         F.sum("c").alias("n")).where(F.col("n") >= min_rows)
     inliers = rows.join(top, keys).where(F.abs(F.col("delay") - F.col("center")) <= MODE_REACH)
-    med = weighted_median(inliers, keys, "delay", "quality")
+    med = weighted_median(inliers, keys, "delay", "quality", group_fits(rows, keys))
     spread = inliers.groupBy(*keys).agg((F.max("delay") - F.min("delay")).alias("inlier_spread"))
     return top.join(med, keys).join(spread, keys).select(
         *keys, F.col("median").cast("bigint").alias("delay"), "support", "n", (F.col("support") / F.col("n")).alias("support_frac"), "inlier_spread")

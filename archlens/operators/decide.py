@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .quantiles import exact_quantiles, upper_median
+from .sizing import group_fits
 
 # Status per reason and decision, eligibility reasons, binding gates.
 STATUS_OF_REASON = {
@@ -144,9 +145,9 @@ def rigid_pairs(windows: DataFrame, strengths: DataFrame, *, min_windows: int =
     keys = ["file_id", "a", "b"]
     cand = strengths.where(F.col("median") >= gates["candidate_snr"]).select(*keys, "median")
     rows = windows.join(cand, keys)
-    valid = rows.where("valid")
-    q = exact_quantiles(valid, keys, "delay_samples", {"lag10": 0.1, "lag90": 0.9})
-    c = exact_quantiles(valid, keys, F.abs("signed_cc"), {"abs_cc": 0.5})
+    valid, fits = rows.where("valid"), group_fits(windows, keys)
+    q = exact_quantiles(valid, keys, "delay_samples", {"lag10": 0.1, "lag90": 0.9}, fits=fits)
+    c = exact_quantiles(valid, keys, F.abs("signed_cc"), {"abs_cc": 0.5}, fits=fits)
     counts = rows.groupBy(*keys).agg(
         F.first("median").alias("median"), F.count(F.lit(1)).alias("n_windows"), F.count_if("valid").alias("n_valid"),
         F.avg(F.when(F.col("valid"), (F.col("signed_cc") > 0).cast("double"))).alias("positive"))
@@ -258,7 +259,7 @@ def robust_lines(points: DataFrame, keys: list[str], *, trials: int = 256, limit
     fit = sums.withColumn("slope", b).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("st")) / F.col("sw")).select(
         *keys, "n_inliers", "slope", "intercept")
     resid = kept.join(fit, keys).select(*keys, F.abs(F.col("y") - F.col("intercept") - F.col("slope") * F.col("t")).alias("r"))
-    return fit.join(exact_quantiles(resid, keys, "r", {"r_p50": 0.5, "r_p90": 0.9, "r_max": 1.0}), keys)
+    return fit.join(exact_quantiles(resid, keys, "r", {"r_p50": 0.5, "r_p90": 0.9, "r_max": 1.0}, fits=group_fits(points, keys)), keys)
 
 
 def accurate_tier(extras: DataFrame, min_shift_samples: int = 5) -> DataFrame:
