@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 # A hot key must not be pinned to one task because an earlier join or group
 # already hash-partitioned by a prefix of the wanted keys; the third setting
 # makes Spark reshuffle on the full key set, and AQE may split skewed joins
-# even when that costs a further exchange.
+# even when that costs a further exchange. Rows that carry sample arrays are
+# wide, so few of them make an Arrow batch.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
 }
 
 
