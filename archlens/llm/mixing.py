@@ -61,34 +61,49 @@ def source_targets(docs: DataFrame, source: str, size: str, weights: list[int],
         F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size: str = "size",
-        weights: list[int], max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """``docs`` plus mix_source_size, mix_target (its source's) and mix_copies (times the mix takes it).
+def source_rates(docs: DataFrame, *, source: str = "source", size: str = "size", weights: list[int],
+                 max_epochs: int = 3) -> DataFrame:
+    """(source, source_size, target, rate): how often the mix takes each document of a source, on average."""
+    cap = F.lit(float(max_epochs))
+    return source_targets(docs, source, size, weights, max_epochs).select(
+        "source", "source_size", "target",
+        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), cap)).otherwise(0.0)
+        .alias("rate"))
+
 
-    Hot sources cost nothing: sizes are pre-aggregated before the shuffle, and
-    the per-source rates (one row a source) are joined back, broadcast by
-    Spark's own size check. A null source is a source of its own; rows without
-    words are taken as often as their source's rate says, with 0 words. Rows
-    that repeat a document id and size share its decision.
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: list[int], max_epochs: int = 3, seed: int = 7) -> DataFrame:
+    """``docs`` plus the struct ``mix``: source_size, target (its source's) and copies (times it is taken).
+
+    Hot sources cost nothing: sizes are summed before the shuffle, and the
+    per-source rates (one row a source) are joined back, broadcast by Spark's
+    own size check only. A null source is a source of its own; rows without
+    words are taken as often as their source's rate says, with 0 words; a
+    source without words is not taken. Rows that repeat a document id share its
+    decision. A column already named ``mix`` is replaced.
     """
-    rates = (source_targets(docs, source, size, weights, max_epochs)
-             .select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-                     F.col("target").alias("mix_target"),
-                     F.when(F.col("source_size") > 0,
-                            F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs))))
-                     .otherwise(0.0).alias("mix_rate")))
-    whole = F.floor("mix_rate")
-    return (docs.join(rates, docs[source].eqNullSafe(rates["mix_source"]), "left")
-            .withColumn("mix_copies",
-                        (whole + (uniform(F.col(doc_id), seed) < F.col("mix_rate") - whole).cast("long"))
-                        .cast("long"))
-            .drop("mix_source", "mix_rate"))
+    sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rates = source_rates(sized, weights=weights, max_epochs=max_epochs)
+    return with_copies(docs, rates, doc_id=doc_id, source=source, seed=seed)
+
+
+def with_copies(docs: DataFrame, rates: DataFrame, *, doc_id: str = "doc_id", source: str = "source",
+                seed: int = 7) -> DataFrame:
+    """``docs`` plus the struct ``mix`` from given ``source_rates``."""
+    rated = docs.join(rates.select(F.struct("*").alias("__rate")),
+                      docs[source].eqNullSafe(F.col("__rate.source")), "left")
+    whole = F.floor("__rate.rate")
+    once_more = uniform(F.col(doc_id), seed) < F.col("__rate.rate") - whole
+    return rated.withColumn("mix", F.struct(
+        F.col("__rate.source_size").alias("source_size"), F.col("__rate.target").alias("target"),
+        (whole + once_more.cast("long")).cast("long").alias("copies"))).drop("__rate")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row per taken copy, numbered by ``copy`` from 0."""
-    return (mixed.where("mix_copies > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("mix_copies") - 1).cast("int")))))
+    """One row per taken copy: the columns before ``mix``, and ``copy`` from 0."""
+    taken = mixed.where("mix.copies > 0")
+    return (taken.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("mix.copies") - 1).cast("int"))))
+            .drop("mix"))
 
 
 ORACLE = f"""
@@ -129,7 +144,6 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, sources weighing 1, 2, 3 in turn, at most 3 epochs."""
     sized = cut_lineage(table(spark, sf_dir, "documents")
                         .select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    mixed = mix(sized, weights=[1, 2, 3], max_epochs=3)
-    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"),
-                        F.col("mix_target").alias("target"),
-                        (F.col("size") * F.col("mix_copies")).alias("taken"))
+    mixed = with_copies(sized, source_rates(sized, weights=[1, 2, 3], max_epochs=3))
+    return mixed.select("doc_id", "size", "mix.source_size", "mix.target",
+                        (F.col("size") * F.col("mix.copies")).alias("taken"))

@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("mixing", "sharding", "line_rules", "rule_ensemble", "near_dups")
+MODULES = ("mixing", "sharding", "line_rules", "rule_ensemble", "near_dups", "bpe")
 
 
 def query(key: str, sql: str | None = None):
@@ -26,3 +26,4 @@ def table(spark, sf_dir: str, name: str):
 def load() -> None:
     for name in MODULES:
         import_module(f"archlens.llm.{name}")
+    QUERIES["pipeline"] = import_module("corpus_pipeline").run
