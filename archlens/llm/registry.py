@@ -7,7 +7,8 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("mixing", "sharding", "line_rules", "rule_ensemble", "near_dups", "bpe", "vector_dups")
+MODULES = ("mixing", "sharding", "line_rules", "rule_ensemble", "near_dups", "bpe", "vector_dups", "packing",
+           "separator_scan", "licences")
 
 
 def query(key: str, sql: str | None = None):
