@@ -2,25 +2,31 @@
 
 Texts with equal bags are one node. Nodes that share a band meet at the
 bucket's first node; the pairs are verified on the whole bags, links become
-components, and only buckets that still hold several components are looked at
-again. No bucket is written out as all its pairs.
+components. Buckets that still hold several components are cut into blocks and
+compared inside tasks; no bucket is written out as its pairs.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from archlens.llm import bags as B, words as W
 from archlens.llm.components import components
+from archlens.llm.grouped import sorted_groups
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
 
 BANDS, ROWS = 40, 6      # a pair of similarity 0.8 shares no band once in 190,000 times
-FEW = 8                  # leaders of an unsettled bucket in its first further round
+BLOCK = 128              # texts of an unsettled bucket compared together
+SIGMAS = 4.5             # a pair is not verified if its signatures put it so far below the threshold
 
 SIGNED = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-BAG = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("elements", T.ArrayType(T.LongType()))])
+BAG = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("elements", T.ArrayType(T.LongType())),
+                    T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.BinaryType())])
 
 
 def _lists(owner_counts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -46,16 +52,20 @@ def _signed(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BAG)
 def _bag(texts: pa.Array) -> pa.Array:
-    names, values, counts = [], [], []
+    names, values, counts, sketches, bands = [], [], [], [], []
     for part in B.slices(W.utf8(texts)):
         bag = B.bags(part)
         names += B.digests(len(part), *bag)
         owner, element = B.elements(*bag)
         values.append(element)
         counts.append(np.bincount(owner, minlength=len(part)))
+        table = B.signatures(len(part), *bag, BANDS * ROWS)
+        sketches += [x.tobytes() for x in (table.view(np.uint64) & np.uint64(0xFF)).astype(np.uint8)]
+        bands += [x.tobytes() for x in B.band_keys(table, BANDS)]
     flat = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
     count = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-    return pa.StructArray.from_arrays([pa.array(names, pa.binary()), _lists(count, flat)], ["bag", "elements"])
+    return pa.StructArray.from_arrays([pa.array(names, pa.binary()), _lists(count, flat),
+                                       pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], BAG.names)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -68,12 +78,85 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root, n): members of buckets that hold more than one component."""
-    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(key, one, two, block, node, root): block pairs of buckets that hold more than one component.
+
+    Members in the component of the bucket's first node ("main") are compared
+    with the others only, so a large component costs as many rows as it has
+    members for each block of others.
+    """
+    leads = roots.select(F.col("node").alias("a"), F.col("root").alias("lead"))
+    known = (members.where("node <> a").join(roots, "node", "left").join(leads, "a", "left")
+             .select("key", "node", F.coalesce("root", "node").alias("root"),
+                     (F.coalesce("root", "node") == F.coalesce("lead", "a")).alias("main")))
     mixed = (known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                      F.count(F.lit(1)).alias("n"))
-             .where("lo <> hi").select("key", "n"))
-    return cut_lineage(known.join(mixed, "key").select("key", "node", "root", "n"))
+                                      F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others"))
+             .where("lo <> hi")
+             .select("key", F.ceil(F.col("mains") / BLOCK).alias("mains"), F.ceil(F.col("others") / BLOCK).alias("others")))
+    placed = known.join(mixed, "key").withColumn("hash", F.xxhash64("node"))
+    own = F.when(F.col("main"), F.col("others") + F.pmod("hash", F.greatest("mains", F.lit(1)))).otherwise(
+        F.pmod("hash", "others"))
+    last = F.when(F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    return (placed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                    "block", "node", "root"))
+
+
+def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join components of a block pair, from sorted rows with sketches, bands and elements."""
+    for rows, bounds in sorted_groups(batches, ["key", "one", "two"]):
+        found: list[list[int]] = [[], []]
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if end - start > 1:
+                for a, b in _block_links(rows.slice(start, end - start), percent):
+                    found[0].append(a)
+                    found[1].append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+
+def _block_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    key, node, root, block = (rows[c].to_numpy() for c in ("key", "node", "root", "block"))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+    bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), dtype=np.int64).reshape(len(node), -1)
+    elements = rows["elements"].combine_chunks()
+    sizes = np.diff(elements.offsets.to_numpy())
+    within = rows["one"][0] == rows["two"][0]
+    least = percent / 100
+    floor = least - SIGMAS * (least * (1 - least) / sketch.shape[1]) ** 0.5
+    pairs = []
+    for k in range(len(node)):  # the parts that a smaller and a larger bag can share bound their similarity
+        rest = np.arange(k + 1, len(node))
+        fits = ((root[rest] != root[k]) & ((block[rest] != block[k]) | within)
+                & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])))
+        rest = rest[fits]
+        near = (sketch[rest] == sketch[k]).mean(axis=1)
+        rest, near = rest[near >= floor], near[near >= floor]
+        same = bands[rest] == bands[k]  # a pair belongs to the first bucket that it shares
+        first = bands[k][same.argmax(axis=1)] == key[0]
+        pairs += zip(near[first].tolist(), [k] * int(first.sum()), rest[first].tolist())
+    parent = {int(r): int(r) for r in root}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    sorted_elements: dict[int, np.ndarray] = {}
+
+    def bag(k: int) -> np.ndarray:
+        if k not in sorted_elements:
+            sorted_elements[k] = np.sort(elements[k].values.to_numpy())
+        return sorted_elements[k]
+
+    links = []
+    for _, a, b in sorted(pairs, reverse=True):
+        x, y = find(int(root[a])), find(int(root[b]))
+        if x != y:  # one component needs no further link
+            both = len(np.intersect1d(bag(a), bag(b), assume_unique=True))
+            if 100 * both >= percent * (sizes[a] + sizes[b] - both):
+                parent[x] = y
+                links.append((int(node[a]), int(node[b])))
+    return links
 
 
 def duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -101,33 +184,21 @@ def duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     heads = nodes.select("node", "head", F.col("bag").alias("own")).join(wanted, "node")
-    # an id with several texts brings them all; only the node's own bag stays
+    # an id with several texts brings them all; only the node's own bag stays (a node twice is harmless)
     held = cut_lineage(source.join(heads, source["doc_id"] == heads["head"])
                        .withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "mark"])
                        .withColumn("s", _bag.asNondeterministic()("text"))
-                       .where("s.bag = own").select("node", "s.elements"))
+                       .where("s.bag = own").select("node", "s.elements", "s.sketch", "s.bands"))
 
     links = cut_lineage(_verified(pairs, held, percent))
     roots = components(links)
-    rest = members.where("node <> a").select("key", "node")
-    done, part = pairs, FEW
-    while True:
-        # every pair of a bucket is verified, or inside one component already
-        rest = _unsettled(rest, roots)
-        if rest.isEmpty():
-            break
-        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(float(part)) / F.col("n")
-        rest = cut_lineage(rest.withColumn("leads", turn))
-        lead = rest.where("leads").select("key", F.col("node").alias("x"), F.col("root").alias("xr"))
-        met = (lead.join(rest, "key").where("root <> xr AND (NOT leads OR x < node)")
-               .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-               .join(done, ["a", "b"], "left_anti"))
-        met = cut_lineage(met)
-        done = done.union(met)
-        links = links.union(cut_lineage(_verified(met, held, percent)))
-        roots = components(links)
-        rest = rest.where("NOT leads").select("key", "node")
-        part *= 4
+    # every further pair of a bucket is inside one component, or looked at in a block
+    placed = (_unsettled(members, roots).join(held, "node")
+              .select("key", "one", "two", "block", "node", "root", "elements", "sketch", "bands")
+              .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two"))
+    more = cut_lineage(placed.mapInArrow(functools.partial(_link_blocks, percent=percent), "a long, b long"))
+    if not more.isEmpty():
+        roots = components(links.union(more))
     return _classes(signed, nodes, roots)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from archlens.llm.components import components
+from archlens.llm.grouped import sorted_groups
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
 
@@ -87,29 +88,19 @@ def _block_links(cosine: np.ndarray, codes: np.ndarray, here: int, least: float)
     return linked
 
 
-def _compare(groups: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Counts and local roots of sorted rows (key, one, two, block, node, copies, unit, signs)."""
-    held: pa.Table | None = None
-    for batch in groups:
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        place = np.stack([rows[c].to_numpy() for c in ("key", "one", "two")], axis=1)
-        starts = np.flatnonzero(np.any(np.diff(place, axis=0, prepend=place[:1] - 1), axis=1))
-        held = rows.slice(int(starts[-1])) if len(starts) else rows
-        yield from _compare_rows(rows, starts, least)
-    if held is not None:
-        yield from _compare_rows(held, np.array([0, held.num_rows]), least)
-
-
-def _compare_rows(rows: pa.Table, starts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    if len(starts) < 2:
-        return
+    for rows, bounds in sorted_groups(batches, ["key", "one", "two"]):
+        yield from _compare_rows(rows, bounds, least)
+
+
+def _compare_rows(rows: pa.Table, bounds: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     node, copies, block = (rows[c].to_numpy() for c in ("node", "copies", "block"))
     table_number = rows["key"].to_numpy() & 0xFF
     one, two = rows["one"].to_numpy(), rows["two"].to_numpy()
     units, signs = rows["unit"].to_pylist(), rows["signs"].to_pylist()
     out: list[list] = [[], [], []]
-    for a, b in zip(starts[:-1], starts[1:]):
+    for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a < 2:
             continue
         vectors = np.frombuffer(b"".join(units[a:b])).reshape(b - a, -1)
