@@ -54,7 +54,7 @@ def src_05(spark, sf):
     le = lambda v, d: little_endian(F.lit(v), d)
     header = F.concat(ascii_hex("RIFF"), little_endian(n + 36, 8), ascii_hex("WAVEfmt "), le(16, 8), le(1, 4), le(2, 4), le(48000, 8), le(192000, 8), le(4, 4), le(16, 4), ascii_hex("data"), little_endian(n, 8))
     files = view(spark, sf, "v_base").select(F.concat(F.lit("f"), "file_id", F.lit("-"), "block_no", F.lit(".wav")).alias("path"), F.unhex(F.concat(header, data)).alias("content"))
-    rows = wav.blocks_from_content(files, 12)
+    rows = wav.blocks_from_content(files, 12).where("error IS NULL")
     return rounded(rows.select("path", "channel", "block_no", "start_sample", "sample_rate", F.size("samples").cast("bigint").alias("n"),
                                F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total")))
 

@@ -38,20 +38,41 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .getOrCreate())
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Where none is set, a local session (tests, bench) gets a temporary folder of
+    its own; on a cluster that would be a different disk on every machine, so
+    there it is an error.
+    """
     context = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(current)
-    return current
+    if current:
+        return current
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/archlens-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/archlens-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder; call it when results are read."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark).rstrip('/')}/archlens-{spark.sparkContext.applicationId}-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern) or []:
+        files.delete(found.getPath(), True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

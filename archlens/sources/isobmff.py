@@ -21,16 +21,30 @@ CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "udta", "tref", "d
 CHUNK = 1 << 20
 
 
+BROKEN = "broken"
+
+
 def _children(f, start: int, end: int) -> Iterator[tuple[str, int, int, int]]:
-    """(type, start, payload start, end) of the boxes in a range; stops at a broken size."""
-    while start + 8 <= end:
-        f.seek(start)
-        size, kind = struct.unpack(">I4s", f.read(8))
+    """(type, start, payload start, end) of the boxes in a range.
+
+    A size that cannot be right ends the range with one ``broken`` entry from there on.
+    """
+    while start < end:
+        head = _at(f, start, 16)
+        if end - start < 8 or len(head) < 8:
+            if any(head[:end - start]):  # zero padding is not a box, nor a fault
+                yield BROKEN, start, start, end
+            return
+        size, kind = struct.unpack(">I4s", head[:8])
         data = start + 8
         if size == 1:
-            size, data = struct.unpack(">Q", f.read(8))[0], start + 16
+            if len(head) < 16:
+                yield BROKEN, start, start, end
+                return
+            size, data = struct.unpack(">Q", head[8:])[0], start + 16
         size = size or end - start
         if size < data - start or start + size > end:
+            yield BROKEN, start, start, end
             return
         yield kind.decode("latin-1"), start, data, start + size
         start += size
@@ -55,23 +69,30 @@ def _facts(f, kind: str, data: int, end: int, parent: str) -> dict:
     if kind == "ftyp":
         return {"brand": _at(f, data, 4).decode("latin-1")}
     if kind == "mvhd":
-        wide = _at(f, data, 1) == b"\1"
-        ts, dur = struct.unpack(">IQ", _at(f, data + 20, 12)) if wide else struct.unpack(">II", _at(f, data + 12, 8))
-        return {"timescale": ts, "duration": dur}
-    if kind == "hdlr":
+        body = _at(f, data, min(32, end - data))
+        if body[:1] == b"\1" and len(body) == 32:
+            return dict(zip(("timescale", "duration"), struct.unpack(">IQ", body[20:])))
+        if body[:1] == b"\0" and len(body) >= 20:
+            return dict(zip(("timescale", "duration"), struct.unpack(">II", body[12:20])))
+        return {}
+    if kind == "hdlr" and end - data >= 12:
         return {"handler": _at(f, data + 8, 4).decode("latin-1")}
     if kind == "stsd" and end - data >= 16:
         return {"entry": _at(f, data + 12, 4).decode("latin-1")}
-    if kind == "uuid":
+    if kind == "uuid" and end - data >= 16:
         return {"guid": _at(f, data, 16).hex(), "sha256": _digest(f, data + 16, end)}
-    if parent.endswith("tref"):
+    if parent.endswith("/tref") and kind != BROKEN:
         n = (end - data) // 4
         return {"references": ",".join(map(str, struct.unpack(f">{n}I", _at(f, data, 4 * n))))}
     return {}
 
 
 def walk(path: str, f, size: int) -> Iterator[tuple]:
-    """Every box of a file in order, with the few facts its kind carries."""
+    """Every box of a file in order, with the few facts its kind carries.
+
+    Where a size is wrong a row of type ``broken`` says from which byte to which
+    the range could not be read.
+    """
     number, stack = 0, [("", iter(_children(f, 0, size)))]
     while stack:
         parent, boxes = stack[-1]
@@ -143,13 +164,16 @@ def container_facts(boxes: DataFrame) -> DataFrame:
         F.max("brand").alias("brand"), (at("moov") < at("mdat")).alias("moov_first"),
         (F.max("duration") / F.max("timescale")).alias("mvhd_sec"), has(F.col("type") == "trak").alias("trak_count"),
         has(F.col("type") == "uuid").alias("uuid_count"), (has(F.col("parent").endswith("/tref") & (F.col("type") == "cdsc")) > 0).alias("has_cdsc"),
-        F.max(F.when(F.col("entry").isin("rtmd", "djmd"), F.col("entry"))).alias("data_entry"), has(F.col("type") == "meta").alias("meta_scopes"))
+        F.max(F.when(F.col("entry").isin("rtmd", "djmd"), F.col("entry"))).alias("data_entry"),
+        has((F.col("type") == "meta") & F.col("parent").isin("", "/moov")).alias("meta_scopes"))
 
 
 def uuid_items(boxes: DataFrame) -> DataFrame:
     """Inventory rows (path, ctx, guid, sha): root, moov, or the handler of the track."""
     track = F.regexp_extract("parent", r"(/moov/trak\[\d+\])", 1)
-    handlers = boxes.where("type = 'hdlr'").groupBy("path", track.alias("_t")).agg(F.max("handler").alias("_h"))
+    # a QuickTime track has a second handler, of its data, below minf
+    own = F.col("parent").endswith("/mdia") & (F.col("type") == "hdlr")
+    handlers = boxes.where(own).groupBy("path", track.alias("_t")).agg(F.max("handler").alias("_h"))
     items = boxes.where("type = 'uuid'").withColumn("_t", track).join(handlers, ["path", "_t"], "left")
     ctx = F.when(F.col("parent") == "", "root").when(F.col("_t") == "", "moov").otherwise(F.concat(F.lit("trak:"), F.coalesce("_h", F.lit(""))))
     return items.select("path", ctx.alias("ctx"), "guid", F.col("sha256").alias("sha"))

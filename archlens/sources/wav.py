@@ -7,16 +7,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import list_files, open_file
 
 SCHEMA = ("path string, channel bigint, block_no bigint, start_sample bigint, sample_rate bigint, "
-          "samples array<float>")
+          "samples array<float>, error string")
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 # Format codes of the fmt chunk.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
+READABLE = {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)}
 
 
 @dataclass
@@ -29,34 +31,46 @@ class Header:
     data_len: int
 
 
-def read_header(f, size: int) -> Header | None:
-    """Format facts and the place of the sample data; None if not a readable WAV."""
-    f.seek(0)
-    head = f.read(12)
-    if len(head) < 12 or head[:4] not in (b"RIFF", b"RF64") or head[8:] != b"WAVE":
-        return None
+class Unreadable(ValueError):
+    """A file that does not give samples, with the reason."""
+
+
+def _take(f, where: int, count: int) -> bytes:
+    f.seek(where)
+    got = f.read(count)
+    if len(got) < count:
+        raise Unreadable(f"ends inside a header at byte {where}")
+    return got
+
+
+def read_header(f, size: int) -> Header:
+    """Format facts and the place of the sample data; :class:`Unreadable` where there are none."""
+    head = _take(f, 0, 12) if size >= 12 else b""
+    if head[:4] not in (b"RIFF", b"RF64") or head[8:] != b"WAVE":
+        raise Unreadable("not a RIFF/WAVE file")
     at, fmt, wide = 12, None, None
     while at + 8 <= size:
-        f.seek(at)
-        name, length = struct.unpack("<4sI", f.read(8))
+        name, length = struct.unpack("<4sI", _take(f, at, 8))
         if name == b"ds64":
-            wide = struct.unpack("<QQ", f.read(16))[1]
+            wide = struct.unpack("<QQ", _take(f, at + 8, 16))[1]
         elif name == b"fmt ":
-            raw = f.read(min(length, 40))
+            raw = _take(f, at + 8, min(max(length, 16), 40))
             code, channels, rate, _, _, bits = struct.unpack("<HHIIHH", raw[:16])
             if code == EXTENSIBLE and len(raw) >= 26:
                 code = struct.unpack("<H", raw[24:26])[0]
             fmt = (code, channels, rate, bits)
         elif name == b"data":
-            if fmt is None or not fmt[1] or fmt[3] % 8:
-                return None
+            if fmt is None:
+                raise Unreadable("sample data before its format")
+            if not fmt[1] or (fmt[0], fmt[3]) not in READABLE:
+                raise Unreadable(f"unsupported format: code {fmt[0]}, {fmt[3]} bits, {fmt[1]} channels")
             length = wide if length == 0xFFFFFFFF and wide else length
             return Header(*fmt, at + 8, min(length, size - at - 8))
         at += 8 + length + (length & 1)
-    return None
+    raise Unreadable("no sample data")
 
 
-def decode(raw: bytes, head: Header) -> np.ndarray | None:
+def decode(raw: bytes, head: Header) -> np.ndarray:
     """Interleaved bytes as float32 (frames, channels) in [-1, 1)."""
     if head.code == FLOAT and head.bits in (32, 64):
         x = np.frombuffer(raw, f"<f{head.bits // 8}").astype(np.float32)
@@ -65,17 +79,31 @@ def decode(raw: bytes, head: Header) -> np.ndarray | None:
         x = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) >> 8).astype(np.float32) / (1 << 23)
     elif head.code == PCM and head.bits in (16, 32):
         x = np.frombuffer(raw, f"<i{head.bits // 8}").astype(np.float64) / (1 << (head.bits - 1))
-    elif head.code == PCM and head.bits == 8:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     else:
-        return None
+        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     return x.astype(np.float32).reshape(-1, head.channels)
 
 
-def read_blocks(path: str, f, size: int, block: int, low: int, high: int) -> Iterator[tuple]:
-    """Blocks whose first byte lies in [low, high): a file split by bytes loses none."""
-    head = read_header(f, size)
-    if head is None:
+def _batch(columns: dict[str, list | np.ndarray], samples: pa.Array) -> pa.RecordBatch:
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    arrays = [pa.array(columns[n], k) for n, k in zip(NAMES, kinds)]
+    return pa.RecordBatch.from_arrays([*arrays, samples, pa.array(columns["error"], pa.string())], NAMES)
+
+
+def read_blocks(path: str, f, size: int, block: int, low: int, high: int, strict: bool = False) -> Iterator[pa.RecordBatch]:
+    """Blocks whose first byte lies in [low, high): a file split by bytes loses none.
+
+    One batch holds a block of every channel. A file that cannot be read is one
+    row with ``error`` (from the part at byte 0), or raises if ``strict``.
+    """
+    try:
+        head = read_header(f, size)
+    except Unreadable as why:
+        if strict:
+            raise Unreadable(f"{path}: {why}") from None
+        if low == 0:
+            none = pa.nulls(1, pa.list_(pa.float32()))
+            yield _batch({n: [None] for n in NAMES} | {"path": [path], "error": [str(why)]}, none)
         return
     frame = head.channels * head.bits // 8
     step = block * frame
@@ -83,13 +111,12 @@ def read_blocks(path: str, f, size: int, block: int, low: int, high: int) -> Ite
     at = head.data_at + first * step
     end = head.data_at + head.data_len // frame * frame
     while at < min(high, end):
-        f.seek(at)
-        x = decode(f.read(min(step, end - at)), head)
-        if x is None:
-            return
-        n = (at - head.data_at) // step
-        for c in range(head.channels):
-            yield path, c, n, n * block, head.rate, x[:, c].tolist()
+        x = decode(_take(f, at, min(step, end - at)), head)
+        n, c = (at - head.data_at) // step, head.channels
+        bounds = pa.array(np.arange(c + 1) * len(x), pa.int32())
+        samples = pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(x.T).ravel()))
+        yield _batch({"path": [path] * c, "channel": range(c), "block_no": [n] * c, "start_sample": [n * block] * c,
+                      "sample_rate": [head.rate] * c, "error": [None] * c}, samples)
         at += step
 
 
@@ -106,18 +133,23 @@ class WavReader(DataSourceReader):
         self.path = options["path"]
         self.block = int(options.get("blockSamples", 48000))
         self.split = int(options.get("splitBytes", 128 << 20))
+        self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
 
     def partitions(self) -> list[Split]:
         return [Split(p, n, lo, min(lo + self.split, n))
-                for p, n in list_files(self.path, (".wav", ".wave", ".bwf")) for lo in range(0, n, self.split)]
+                for p, n in list_files(self.path, (".wav", ".wave", ".bwf")) for lo in range(0, max(n, 1), self.split)]
 
-    def read(self, split: Split) -> Iterator[tuple]:
+    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         with open_file(split.path) as f:
-            yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high)
+            yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high, self.strict)
 
 
 class WavBlocks(DataSource):
-    """``spark.read.format("wav_blocks")`` after ``spark.dataSource.register(WavBlocks)``."""
+    """``spark.read.format("wav_blocks")`` after ``spark.dataSource.register(WavBlocks)``.
+
+    Files that give no samples are rows with a reason in ``error``; with option
+    ``mode=FAILFAST`` the read fails on them instead.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -132,12 +164,9 @@ class WavBlocks(DataSource):
 
 def blocks_from_content(files: DataFrame, block: int) -> DataFrame:
     """The same rows from a (path, content) table of small files."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"])
-                    for r in read_blocks(p, io.BytesIO(c), len(c), block, 0, len(c))]
-            yield pd.DataFrame(rows, columns=names)
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from read_blocks(path, io.BytesIO(content), len(content), block, 0, len(content))
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -1,4 +1,5 @@
 """Files on disk: listing, WAV blocks, boxes, ledgers; streams over a folder."""
+import io
 import struct
 import wave
 
@@ -28,7 +29,12 @@ def test_wav_blocks(spark, tmp_path, width, split):
     (tmp_path / "junk.wav").write_bytes(b"not a wav")
     spark.dataSource.register(wav.WavBlocks)
     df = spark.read.format("wav_blocks").option("path", str(tmp_path)).option("blockSamples", 64).option("splitBytes", split).load()
-    got = df.toPandas()
+    got = df.where("error IS NULL").toPandas()
+    junk = df.where("error IS NOT NULL").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.samples, r.error) for r in junk] == [("junk.wav", None, "not a RIFF/WAVE file")]
+    strict = spark.read.format("wav_blocks").option("path", str(tmp_path)).option("mode", "FAILFAST").load()
+    with pytest.raises(Exception, match="not a RIFF/WAVE file"):
+        strict.count()
     assert len(got) == 2 * 16 and set(got.sample_rate) == {48000}
     for c in range(2):
         part = got[got.channel == c].sort_values("block_no")
@@ -36,6 +42,15 @@ def test_wav_blocks(spark, tmp_path, width, split):
         assert list(part.start_sample) == [64 * i for i in range(16)]
 
 
+def test_wav_errors():
+    header = b"RIFF\x00\x00\x00\x00WAVE"
+    a_law = b"fmt " + struct.pack("<IHHIIHH", 16, 6, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", 4) + bytes(4)
+    for raw, why in ((b"", "not a RIFF"), (header, "no sample data"), (header + b"fmt \x10\x00\x00\x00\x01", "ends inside"),
+                     (header + b"data" + bytes(4), "before its format"), (header + a_law, "unsupported format: code 6")):
+        rows = [r for b in wav.read_blocks("p", io.BytesIO(raw), len(raw), 8, 0, max(1, len(raw))) for r in b.to_pylist()]
+        assert len(rows) == 1 and why in rows[0]["error"] and rows[0]["path"] == "p"
+
+
 def mp4_box(kind, body=b""):
     return struct.pack(">I", len(body) + 8) + kind.encode() + body
 
@@ -43,7 +58,8 @@ def mp4_box(kind, body=b""):
 def sample_movie():
     hdlr = mp4_box("hdlr", bytes(8) + b"soun" + bytes(12))
     stsd = mp4_box("stsd", bytes(4) + struct.pack(">I", 1) + struct.pack(">I", 16) + b"ipcm" + bytes(8))
-    trak = mp4_box("trak", mp4_box("mdia", hdlr + mp4_box("minf", mp4_box("stbl", stsd))) + mp4_box("uuid", b"\x01" * 16 + b"abc"))
+    data_hdlr = mp4_box("hdlr", bytes(4) + b"dhlr" + b"url " + bytes(12))
+    trak = mp4_box("trak", mp4_box("mdia", hdlr + mp4_box("minf", data_hdlr + mp4_box("stbl", stsd))) + mp4_box("uuid", b"\x01" * 16 + b"abc"))
     mvhd = mp4_box("mvhd", bytes(12) + struct.pack(">II", 600, 6000) + bytes(4))
     wide = struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 16 + 100) + bytes(100)
     return mp4_box("ftyp", b"isom" + bytes(4)) + wide + mp4_box("moov", mvhd + trak + mp4_box("uuid", b"\x02" * 16 + b"z"))
@@ -60,7 +76,12 @@ def test_boxes(spark, tmp_path):
     fact = isobmff.container_facts(a).first()
     assert (fact.brand, fact.moov_first, fact.mvhd_sec, fact.trak_count, fact.uuid_count) == ("isom", False, 10.0, 1, 2)
     assert sorted(r.ctx for r in isobmff.uuid_items(a).collect()) == ["moov", "trak:soun"]
-    assert a.where("entry = 'ipcm'").count() == 1 and df.where("path LIKE '%b.mov'").count() == 1
+    assert a.where("entry = 'ipcm'").count() == 1 and [(r.type, r.start, r.size) for r in df.where("path LIKE '%b.mov'").orderBy("box_no").collect()] == [("ftyp", 0, 16), ("broken", 16, 44)]
+    for cut in range(len(sample_movie())):  # no cut makes it fail, and none goes unsaid but those between boxes
+        kinds = [r[3] for r in isobmff.walk("p", io.BytesIO(sample_movie()[:cut]), cut)]
+        whole = max(b for b in (0, 16, 132) if b <= cut)
+        padding = cut - whole < 8 and not any(sample_movie()[whole:cut])
+        assert ("broken" in kinds) == (not padding)
 
 
 def test_listing(spark, tmp_path):
