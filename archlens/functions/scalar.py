@@ -168,11 +168,16 @@ def failure_class(log: Column) -> Column:
 
 def _line_with(log: Column, needle: str) -> Column:
     line = F.trim(F.regexp_extract(log, rf"(?im)^(.*{needle}.*)$", 1))
-    return F.substring(F.when(line == "", needle).otherwise(line), 1, DETAIL_CHARS)
+    return F.when(line == "", needle).otherwise(line)
+
+
+def short_detail(detail: Column) -> Column:
+    """The detail as reports show it; :func:`reader_failure` gives it whole."""
+    return F.substring(detail, 1, DETAIL_CHARS)
 
 
 def reader_failure(log: Column, code: Column) -> tuple[Column, Column]:
-    """(reason, detail) for a reader that failed; the first matching rule wins."""
+    """(reason, whole detail) for a reader that failed; the first matching rule wins."""
     low = F.lower(F.coalesce(log, F.lit("")))
     loader = code.isNotNull() & F.pmod(code, F.lit(1 << 32)).isin(*LOADER_CODES)
     empty = F.regexp_replace(low, r"\s+", "") == ""
@@ -180,7 +185,9 @@ def reader_failure(log: Column, code: Column) -> tuple[Column, Column]:
     rules = [
         (loader, "startup_failed", F.concat(F.lit("loader failure rc=0x"),
                                             F.lpad(F.hex(F.pmod(code, F.lit(1 << 32))), 8, "0"))),
-        (empty, "startup_failed", F.lit("no tool output at all")),
+        (empty, "startup_failed", F.concat(
+            F.lit("no tool output at all (rc="), F.coalesce(code.cast("string"), F.lit("None")),
+            F.lit("); the process did not start"))),
         (low.contains("unable to decode by"), "capability_refused", _line_with(log, "unable to decode")),
         (low.contains("invalid device id") | low.contains("no device"), "device_unavailable",
          _line_with(log, "device")),
@@ -197,7 +204,7 @@ def reader_failure(log: Column, code: Column) -> tuple[Column, Column]:
         reason = F.when(test, name) if reason is None else reason.when(test, name)
         detail = F.when(test, text) if detail is None else detail.when(test, text)
     return (reason.otherwise("decode_failed"),
-            detail.otherwise(F.substring(F.element_at(lines, -1), 1, DETAIL_CHARS)))
+            detail.otherwise(F.element_at(lines, -1)))
 
 
 def reader_name(log: Column) -> Column:

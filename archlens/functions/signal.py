@@ -197,6 +197,38 @@ def ncc_lags(ref, tgt, *, lo: int, hi: int):
     return run(ref, tgt)
 
 
+def ncc_at(ref, tgt, lags, *, search: int, least: int):
+    """Per lag: the correlation there, the strongest within ``search`` of it, and that one's offset.
+
+    A correlation takes the samples that both windows share at the lag, means
+    removed; it is 0 over fewer than ``least`` of them or where one is silent.
+    """
+    kind = T.StructType([T.StructField("cc", T.DoubleType()), T.StructField("best", T.DoubleType()),
+                         T.StructField("offset", T.LongType())])
+
+    def at(a: np.ndarray, b: np.ndarray, lag: int) -> float:
+        n = len(a) - abs(lag)
+        if n < max(1, least):
+            return 0.0
+        x, y = (a[:n], b[lag:lag + n]) if lag >= 0 else (a[-lag:-lag + n], b[:n])
+        x, y = x - x.mean(), y - y.mean()
+        scale = np.sqrt((x @ x) * (y @ y))
+        return float(x @ y / scale) if scale >= 1e-9 else 0.0
+
+    @F.pandas_udf(T.ArrayType(kind))
+    def run(refs: pd.Series, tgts: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for a, b, lags_ in zip(refs, tgts, wanted):
+            a, b, row = np.asarray(a, float), np.asarray(b, float), []
+            for lag in lags_:
+                near = [at(a, b, int(lag) + k) for k in range(-search, search + 1)]
+                best = int(np.abs(near).argmax())
+                row.append({"cc": near[search], "best": near[best], "offset": best - search})
+            out.append(row)
+        return pd.Series(out, dtype=object)
+    return run(ref, tgt, lags)
+
+
 def low_pass(factor: int) -> np.ndarray:
     """Windowed-sinc taps for decimation by ``factor``, unit gain at zero."""
     half = TAPS_PER_FACTOR * factor // 2

@@ -200,9 +200,12 @@ def solve_offsets(pairs: DataFrame, *, rounds: int = 6, tolerance: float = 2.0,
     """Integer offsets per channel from pair delays (file_id, a, b, delay, weight).
 
     Weighted least squares with one channel at 0, dropping the worst pair until
-    all fit; the anchor of least squared residual wins. Rows are one per channel
-    pair, at most 28 per file, so a file's pairs travel as one short array.
+    all fit; the anchor of least squared residual wins. A file whose pairs never
+    fit, or only with shifts beyond ``limit``, keeps its channels with no shift
+    and a ``reason``. Several rows of one pair count as their mean delay with
+    their summed weight, so a file's pairs (at most 28) travel as one short array.
     """
+    pairs = pairs.groupBy("file_id", "a", "b").agg(F.avg("delay").alias("delay"), F.sum("weight").alias("weight"))
     packed = pairs.groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct("a", "b", "delay", "weight"))).alias("p"))
     kind = [("a", "i8"), ("b", "i8"), ("delay", "f8"), ("weight", "f8")]
@@ -215,12 +218,15 @@ def solve_offsets(pairs: DataFrame, *, rounds: int = 6, tolerance: float = 2.0,
                 channels = sorted(set(rows["a"].tolist()) | set(rows["b"].tolist()))
                 tried = [(*got, c) for c in channels if (
                     got := _least_squares(rows, c, channels, rounds, tolerance, limit)) is not None]
-                if tried:
+                if not tried:
+                    out += [(file_id, c, None, None, None, None, "no consistent shifts") for c in channels]
+                else:
                     cost, shift, dropped, anchor = min(tried, key=lambda t: t[0])
-                    out += [(file_id, c, anchor, int(v), cost, dropped) for c, v in zip(channels, shift)]
-            yield pd.DataFrame(out, columns=["file_id", "channel", "anchor", "shift", "cost", "dropped"])
+                    out += [(file_id, c, anchor, int(v), cost, dropped, None) for c, v in zip(channels, shift)]
+            frame = pd.DataFrame(out, columns=["file_id", "channel", "anchor", "shift", "cost", "dropped", "reason"])
+            yield frame.astype({c: "Int64" for c in ("anchor", "shift", "dropped")})
 
-    schema = "file_id bigint, channel bigint, anchor bigint, shift bigint, cost double, dropped bigint"
+    schema = "file_id bigint, channel bigint, anchor bigint, shift bigint, cost double, dropped bigint, reason string"
     return packed.mapInPandas(per_batch, schema)
 
 

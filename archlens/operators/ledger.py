@@ -96,12 +96,12 @@ def collate(reports: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
 
 
 def failure_records(failures: DataFrame) -> DataFrame:
-    """Failure rows with the last lines of the log as summary."""
+    """Failure rows with the last lines of the log as summary, beside the whole log."""
     lines = F.split(F.regexp_replace("log", r"\r?\n$", ""), r"\r?\n")
     tail = F.reverse(F.slice(F.reverse(lines), 1, SUMMARY_LINES))
     empty = F.col("log").isNull() | (F.col("log") == "")
     return failures.withColumn(
-        "summary", F.when(empty, "(no log available)").otherwise(F.array_join(tail, "\n"))).drop("log")
+        "summary", F.when(empty, "(no log available)").otherwise(F.array_join(tail, "\n")))
 
 
 def append_failures(failures: DataFrame, path: str) -> None:

@@ -25,7 +25,7 @@ MOTION_EPS = 1e-4
 
 
 def fact_diff(facts: DataFrame) -> DataFrame:
-    """Status of every (file, item): one shuffle, no join of the two sides."""
+    """Status of every (file, item) of either side: one shuffle, no join of the two sides."""
     def side(name: str) -> tuple[Column, Column]:
         here = F.col("side") == name
         return (F.max(F.when(here, F.col("value"))).alias(f"{name}_value"),
@@ -33,10 +33,9 @@ def fact_diff(facts: DataFrame) -> DataFrame:
 
     pairs = facts.groupBy("file_id", "item").agg(*side("original"), *side("final"))
     a, b = F.col("original_value"), F.col("final_value")
-    status = (F.when(~F.col("in_final"), "MISSING").when(a.isNull() & b.isNull(), "UNKNOWN")
+    status = (F.when(~F.col("in_original"), "ADDED").when(~F.col("in_final"), "MISSING").when(a.isNull() & b.isNull(), "UNKNOWN")
               .when(a.eqNullSafe(b), "PRESERVED").otherwise("MODIFIED"))
-    return pairs.where("in_original").select("file_id", "item", "original_value", "final_value",
-                                             status.alias("status"))
+    return pairs.select("file_id", "item", "original_value", "final_value", status.alias("status"))
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
@@ -46,7 +45,7 @@ def diff_summary(diff: DataFrame) -> DataFrame:
                & ~item.isin(*NOT_CRITICAL))
     modified = (status == "MODIFIED") & item.isin(*CRITICAL_ITEMS)
     return diff.groupBy("file_id").agg(
-        *[F.count_if(status == x).alias(x.lower()) for x in ("PRESERVED", "MODIFIED", "MISSING", "UNKNOWN")],
+        *[F.count_if(status == x).alias(x.lower()) for x in ("PRESERVED", "MODIFIED", "MISSING", "ADDED", "UNKNOWN")],
         F.count_if(missing).alias("critical_missing"), F.count_if(modified).alias("critical_modified"),
         (F.count_if(missing | modified) == 0).alias("structural_success"))
 

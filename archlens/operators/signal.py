@@ -343,33 +343,44 @@ def recheck(blocks: DataFrame, size: int, *, windows: int, segment: int, search:
         F.max_by("ms", F.abs("ms")).alias("worst_ms"), F.count("ms").alias("measured")), KEYS, "left").fillna(0, ["measured"])
 
 
-def score_offsets(blocks: DataFrame, candidates: DataFrame, size: int, *, window: int, n_windows: int, search: int) -> DataFrame:
+def score_offsets(blocks: DataFrame, candidates: DataFrame, size: int, *, window: int, n_windows: int, search: int,
+                  min_overlap: int | None = None) -> DataFrame:
     """Score candidate shifts (file, set_id, shifts array) by correlation at the predicted lag.
 
-    Windows and pairs of a file are a fixed small number per candidate; every
-    pair of channels is read once per window and all lags share one surface.
+    Windows and pairs of a file are a fixed small number per candidate. A lag is
+    scored over the part of both windows that it leaves in common, and is 0 where
+    that is shorter than ``min_overlap`` (a quarter window), so every set of
+    every file gets a row, however far its shifts. ``offsets`` are the median
+    distances of the best lag from the predicted one, pairs in (ref, tgt) order.
     """
+    least = window // 4 if min_overlap is None else min_overlap
     n = pcm.channel_lengths(blocks, CH, size)
     pairs = n.select("file_id", F.col("channel").alias("ref"), F.col("n_samples").alias("_a")).join(
         n.select("file_id", F.col("channel").alias("tgt"), F.col("n_samples").alias("_b")), "file_id").where("ref < tgt")
-    room = F.greatest(F.least("_a", "_b") - window, F.lit(0))
+    both = F.least("_a", "_b")
+    room = F.greatest(both - window, F.lit(0))
     ranges = pairs.withColumn("window_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_windows - 1).cast("bigint")))).select(
-        *KEYS, "window_no", F.floor(room * F.col("window_no") / max(1, n_windows - 1)).alias("start"), F.lit(window).cast("bigint").alias("count"))
-    reach = window // 4
-    read = read_pairs(blocks, ranges, size)
-    found = read.select(*KEYS, "window_no", sg.ncc_lags(F.col("ref_x"), F.col("tgt_x"), lo=-reach, hi=reach).alias("s"))
-    lag = F.element_at("shifts", (F.col("tgt") + 1).cast("int")) - F.element_at("shifts", (F.col("ref") + 1).cast("int"))
-    joined = found.join(candidates, "file_id").withColumn("lag", lag)
-    at = (F.col("lag") + reach + 1).cast("int")
-    inside = F.slice("s", F.greatest(at - search, F.lit(1)), 2 * search + 1)
-    best = F.array_max(F.transform(inside, lambda v: F.struct(F.abs(v).alias("m"), v.alias("v"))))
-    rows = joined.where(F.col("s").isNotNull() & (at >= 1) & (at <= 2 * reach + 1)).select(
-        *KEYS, "set_id", F.element_at("s", at).alias("cc"), best["v"].alias("best"))
+        *KEYS, "window_no", F.floor(room * F.col("window_no") / max(1, n_windows - 1)).alias("start"),
+        F.least(both, F.lit(window)).cast("bigint").alias("count"))
+    sets = candidates.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("set_id", "shifts"))).alias("sets"))
+    lag = lambda c: F.element_at(c["shifts"], (F.col("tgt") + 1).cast("int")) - F.element_at(c["shifts"], (F.col("ref") + 1).cast("int"))
+    read = read_pairs(blocks, ranges, size).join(sets, "file_id").withColumn("lags", F.transform("sets", lag))
+    found = read.select(*KEYS, "window_no", F.transform("sets", lambda c: c["set_id"]).alias("ids"),
+                        sg.ncc_at("ref_x", "tgt_x", "lags", search=search, least=least).alias("c"))
+    rows = found.select(*KEYS, "window_no", F.explode(F.arrays_zip("ids", "c")).alias("x")).select(
+        *KEYS, F.col("x.ids").alias("set_id"), F.col("x.c.*"))
     # n_windows rows per pair and set
     per = rows.groupBy(*KEYS, "set_id").agg(
-        F.median(F.abs("cc")).alias("at_lag"), F.median(F.abs("best")).alias("near_lag"), F.avg((F.col("best") > 0).cast("double")).alias("positive"))
-    return per.groupBy("file_id", "set_id").agg(
-        F.sum("at_lag").alias("score"), F.avg("near_lag").alias("near_score"), F.avg(F.greatest("positive", 1 - F.col("positive"))).alias("sign_consistency"))
+        F.median(F.abs("cc")).alias("at_lag"), F.median(F.abs("best")).alias("near_lag"),
+        F.avg((F.col("best") > 0).cast("double")).alias("positive"), F.median("offset").cast("bigint").alias("offset"))
+    scored = per.groupBy("file_id", "set_id").agg(
+        F.sum("at_lag").alias("score"), F.avg("near_lag").alias("near_score"),
+        F.avg(F.greatest("positive", 1 - F.col("positive"))).alias("sign_consistency"),
+        F.array_sort(F.collect_list(F.struct("ref", "tgt", "offset"))).alias("_o"))
+    # a file of one channel has no pairs, its sets score 0
+    return candidates.select("file_id", "set_id").join(scored, ["file_id", "set_id"], "left").select(
+        "file_id", "set_id", F.coalesce("score", F.lit(0.0)).alias("score"), "near_score", "sign_consistency",
+        F.transform("_o", lambda o: o["offset"]).alias("offsets"))
 
 
 @F.udtf(returnType="frame_no bigint, start bigint, count bigint")

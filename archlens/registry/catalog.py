@@ -201,7 +201,7 @@ def _line(needle):
 
 
 _RF = [("startup_failed", "code = 3221225781", "'loader failure rc=0xC0000135'"),
-       ("startup_failed", "trim(log) = ''", "'no tool output at all'"),
+       ("startup_failed", "trim(log) = ''", "'no tool output at all (rc=None); the process did not start'"),
        ("capability_refused", "contains(lo, 'unable to decode by')", _line("unable to decode")),
        ("device_unavailable", "(contains(lo, 'invalid device id') OR contains(lo, 'no device'))", _line("device")),
        ("decode_failed", "(contains(lo, 'failed to open') OR contains(lo, 'could not find'))", _line("open")),
@@ -211,14 +211,17 @@ _RF = [("startup_failed", "code = 3221225781", "'loader failure rc=0xC0000135'")
 @query("scl_15", with_views(
     "SELECT conv_id, turn, CASE " + " ".join(f"WHEN {t} THEN '{r}'" for r, t, _ in _RF) + " ELSE 'decode_failed' END AS reason, CASE "
     + " ".join(f"WHEN {t} THEN {d}" for _, t, d in _RF)
-    + " ELSE substr(regexp_extract(regexp_replace(log, '\\s+$', ''), '([^\\n]*)$', 1), 1, 300) END AS detail FROM l",
+    + " ELSE substr(regexp_extract(regexp_replace(log, '\\s+$', ''), '([^\\n]*)$', 1), 1, 300) END AS detail, CASE "
+    + " ".join(f"WHEN {t} THEN {d.replace(', 1, 300)', ', 1)')}" for _, t, d in _RF)
+    + " ELSE regexp_extract(regexp_replace(log, '\\s+$', ''), '([^\\n]*)$', 1) END AS full_detail FROM l",
     f"l AS (SELECT *, lower(log) AS lo FROM (SELECT conv_id, turn, CASE WHEN turn = 5 THEN '  ' ELSE {LOG} END AS log, CASE WHEN conv_id % 11 = 0 THEN 3221225781 END AS code FROM v_log))"))
 def scl_15(spark, sf):
     rows = log_rows(spark, sf).select(
         "conv_id", "turn", F.when(F.col("turn") == 5, "  ").otherwise(F.col("log")).alias("log"),
         F.when(F.col("conv_id") % 11 == 0, F.lit(0xC0000135)).alias("code"))
     reason, detail = s.reader_failure(F.col("log"), F.col("code"))
-    return rows.select("conv_id", "turn", reason.alias("reason"), detail.alias("detail"))
+    return rows.select("conv_id", "turn", reason.alias("reason"), s.short_detail(detail).alias("detail"),
+                       detail.alias("full_detail"))
 
 
 @query("scl_16", with_views("""SELECT file_id, block_no, round(10 * log10(list_sum([x::DOUBLE * x::DOUBLE for x in samples]) / len(samples)), 6) AS rms_dbfs,

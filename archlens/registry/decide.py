@@ -119,7 +119,8 @@ def dec_09(spark, sf):
 def dec_10(spark, sf):
     f = view(spark, sf, "v_frame").where("delay_samples IS NOT NULL").selectExpr(
         "file_id", "tgt", "CAST(center_sample AS DOUBLE) AS t", "center_sample * 1e-6 + CASE WHEN frame_no % 4 = 0 THEN delay_samples ELSE delay_samples / 400 END AS y", "confidence + 0.01 AS w")
-    return rounded(d.robust_lines(f, ["file_id", "tgt"]).drop("slope"))
+    lines = d.robust_lines(f, ["file_id", "tgt"])
+    return rounded(lines.withColumn("slope_ppm", F.col("slope") * 1e6).drop("slope"))
 
 
 XT = "SELECT o_custkey AS file_id, o_orderkey AS track_id, o_orderkey % 5 - 2 AS shift_samples, (o_orderkey % 11) / CASE WHEN o_custkey % 3 = 0 THEN 12.0{d} ELSE 5.0{d} END AS residual_samples FROM orders"

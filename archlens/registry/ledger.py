@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..operators import ledger as g
+from ..session import scratch_path
 from . import query
 from .preserve import table_sql
 from .trajectory import rounded
@@ -61,12 +62,15 @@ def agg_25(spark, sf):
                       "facts": (view(spark, sf, "v_fact"), x.isNotNull(), x.isNull())})
 
 
-@query("snk_01", """SELECT conv_id, turn, 'encode' AS stage, role AS backend, CASE WHEN t IS NULL OR t = '' THEN '(no log available)' ELSE array_to_string(list_reverse(list_reverse(string_split(regexp_replace(t, '\\n$', ''), chr(10)))[1:8]), chr(10)) END AS summary
+@query("snk_01", """SELECT conv_id, turn, 'encode' AS stage, role AS backend, CASE WHEN t IS NULL OR t = '' THEN '(no log available)' ELSE array_to_string(list_reverse(list_reverse(string_split(regexp_replace(t, '\\n$', ''), chr(10)))[1:8]), chr(10)) END AS summary, t AS log
  FROM (SELECT *, CASE WHEN turn = 7 THEN NULL ELSE text END AS t FROM conversations)""")
 def snk_01(spark, sf):
     rows = view(spark, sf, "v_log").select("conv_id", "turn", F.lit("encode").alias("stage"), F.col("role").alias("backend"),
                                            F.when(F.col("turn") == 7, None).otherwise(F.col("log_text")).alias("log"))
-    return g.failure_records(rows)
+    path = scratch_path(spark)
+    for part in (0, 1):  # two runs append to one table
+        g.append_failures(rows.where(F.col("conv_id") % 2 == part), path)
+    return spark.read.parquet(path)
 
 
 LISTS = """SELECT page_id AS list_id, CASE page_id % 4 WHEN 0 THEN concat('[{"source": "', url, '", "stage": "x"}, "', url, '?b"]') WHEN 1 THEN concat('# note', chr(10), url, chr(10), '//', url, chr(10), '  ', url, '?a  ') WHEN 2 THEN url ELSE '[]' END AS text FROM pages"""

@@ -14,8 +14,8 @@ def table_sql(spark, sf, text, *tables):
 
 
 DIFF = """
-pv AS (SELECT file_id, item, max(value) FILTER (side = 'original') AS original_value, max(value) FILTER (side = 'final') AS final_value, bool_or(side = 'final') AS in_final FROM v_fact GROUP BY ALL HAVING bool_or(side = 'original')),
-df AS (SELECT file_id, item, original_value, final_value, CASE WHEN NOT in_final THEN 'MISSING' WHEN original_value IS NULL AND final_value IS NULL THEN 'UNKNOWN' WHEN original_value IS NOT DISTINCT FROM final_value THEN 'PRESERVED' ELSE 'MODIFIED' END AS status FROM pv)"""
+pv AS (SELECT file_id, item, max(value) FILTER (side = 'original') AS original_value, max(value) FILTER (side = 'final') AS final_value, bool_or(side = 'final') AS in_final, bool_or(side = 'original') AS in_original FROM v_fact GROUP BY ALL),
+df AS (SELECT file_id, item, original_value, final_value, CASE WHEN NOT in_original THEN 'ADDED' WHEN NOT in_final THEN 'MISSING' WHEN original_value IS NULL AND final_value IS NULL THEN 'UNKNOWN' WHEN original_value IS NOT DISTINCT FROM final_value THEN 'PRESERVED' ELSE 'MODIFIED' END AS status FROM pv)"""
 
 
 @query("jon_01", with_views("SELECT * FROM df", DIFF))
@@ -23,7 +23,7 @@ def jon_01(spark, sf):
     return p.fact_diff(view(spark, sf, "v_fact"))
 
 
-@query("agg_20", with_views("""SELECT file_id, count(*) FILTER (status = 'PRESERVED') AS preserved, count(*) FILTER (status = 'MODIFIED') AS modified, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'UNKNOWN') AS unknown,
+@query("agg_20", with_views("""SELECT file_id, count(*) FILTER (status = 'PRESERVED') AS preserved, count(*) FILTER (status = 'MODIFIED') AS modified, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'ADDED') AS added, count(*) FILTER (status = 'UNKNOWN') AS unknown,
  count(*) FILTER (status = 'MISSING' AND item LIKE 'video.%') AS critical_missing, count(*) FILTER (status = 'MODIFIED' AND item LIKE 'video.%') AS critical_modified, count(*) FILTER (status IN ('MISSING', 'MODIFIED') AND item LIKE 'video.%') = 0 AS structural_success FROM df GROUP BY ALL""", DIFF))
 def agg_20(spark, sf):
     return p.diff_summary(p.fact_diff(view(spark, sf, "v_fact")))

@@ -174,4 +174,5 @@ def sig_19(spark, sf):
     sets = F.array(*[F.struct(F.lit(i).cast("bigint").alias("set_id"), F.array(*[F.lit(v).cast("bigint") for v in s]).alias("shifts"))
                      for i, s in enumerate([(0, 5, 12, -7), (0, 5, 12, 7), (0, 0, 0, 0), (0, 6, 11, -5)])])
     candidates = b.select("file_id").distinct().select("file_id", F.explode(sets).alias("c")).select("file_id", "c.*")
-    return rounded(g.score_offsets(b, candidates, SIZE, window=1024, n_windows=24, search=6))
+    scored = g.score_offsets(b, candidates, SIZE, window=1024, n_windows=24, search=6)
+    return rounded(scored.withColumn("offsets", F.array_join(F.transform("offsets", lambda v: v.cast("string")), ",")))

@@ -163,3 +163,17 @@ def test_sampled_frames_are_distinct_and_stable(spark):
     assert sorted(a.frame_no[a.file_id == 1]) == sorted(b.frame_no[b.file_id == 1]) and a[a.file_id == 1].frame_no.nunique() == 200
     assert sorted(a.frame_no[a.file_id == 2]) == list(range(17))
     assert a.frame_no.max() <= (100_000 - 100) // 50
+
+
+def test_score_offsets_reaches_far_lags(spark):
+    rng = np.random.default_rng(5)
+    long = rng.normal(size=9000).astype(np.float32)
+    channels = [long[400:8592], long[100:8292]]  # channel 1 lags by 300
+    rows = [(1, c, k, x[k * 512:(k + 1) * 512].tolist()) for c, x in enumerate(channels) for k in range(16)]
+    blocks = spark.createDataFrame(rows, "file_id long, channel long, block_no long, samples array<float>")
+    sets = spark.createDataFrame([(1, 0, [0, 300]), (1, 1, [0, 10]), (1, 2, [0, 302]), (1, 3, [0, 5000])],
+                                 "file_id long, set_id long, shifts array<long>")
+    got = {r.set_id: r for r in g.score_offsets(blocks, sets, 512, window=1024, n_windows=6, search=3).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert got[0].score > 0.999 and got[0].offsets == [0] and got[1].score < 0.2
+    assert got[2].near_score > 0.999 and got[2].offsets == [-2] and got[3].score == 0
