@@ -29,10 +29,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 
 @functools.cache
-def splitter() -> re.Pattern:
-    """``public_tokenizers.PATTERN`` with its classes spelt out as code-point ranges."""
+def splitter(last: int = 0x10FFFF) -> re.Pattern:
+    """``public_tokenizers.PATTERN`` with its classes spelt out as ranges of code points up to ``last``."""
     def ranges(kind: str) -> str:
-        inside = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+        inside = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind]
         out, start = [], None
         for c, after in zip(inside, [*inside[1:], None]):
             start = c if start is None else start
@@ -48,6 +48,12 @@ def splitter() -> re.Pattern:
     return re.compile(spelt)
 
 
+def split(text: str) -> list[str]:
+    """The pieces of ``text``. Classes up to U+FFFF are one table lookup; more are searched range by range."""
+    plain = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return splitter(0xFFFF if plain else 0x10FFFF).findall(text)
+
+
 class PrefixBPE:
     """Exact byte-pair encoding of single pieces from a table of ranked tokens."""
 
@@ -268,7 +274,7 @@ def _caches(path: str) -> tuple[_Encoded, _Decoded]:
 
 def encode_text(text: str, path: str = VOCABULARY) -> list[str]:
     """Decimal ids of every piece of ``text``."""
-    return list(map(_caches(path)[0].__getitem__, splitter().findall(text)))
+    return list(map(_caches(path)[0].__getitem__, split(text)))
 
 
 def encode_ids(text: Column, path: str = VOCABULARY) -> Column:

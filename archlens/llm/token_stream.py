@@ -3,15 +3,18 @@ from __future__ import annotations
 
 import base64
 import functools
-import struct
+import sys
+from array import array
 
 import public_tokenizers
 import tiktoken
 
-from archlens.llm.bpe import VOCABULARY, splitter
+from archlens.llm.bpe import VOCABULARY, split
 
 END = 50256              # the id that the vocabulary leaves free
-PIECE_CACHE = 300_000
+END_BYTES = END.to_bytes(2, "little")
+PIECE_CACHE = 500_000
+assert sys.byteorder == "little"  # arrays are the bytes of the ids as they are
 
 
 class _Packed(dict):
@@ -26,8 +29,7 @@ class _Packed(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECE_CACHE:
             self.clear()
-        ids = self.encoding.encode_ordinary(piece)
-        value = self[piece] = struct.pack(f"<{len(ids)}H", *ids)
+        value = self[piece] = array("H", self.encoding.encode_ordinary(piece)).tobytes()
         return value
 
 
@@ -39,4 +41,4 @@ def _packed(path: str) -> _Packed:
 def document_ids(text: str | None, path: str = VOCABULARY) -> bytes:
     """The text's ids and the end id as little-endian 16-bit numbers; a null text is empty."""
     pieces = _packed(path)
-    return b"".join(map(pieces.__getitem__, splitter().findall(text or ""))) + struct.pack("<H", END)
+    return b"".join(map(pieces.__getitem__, split(text or ""))) + END_BYTES
