@@ -5,6 +5,7 @@ keeps few of them; the kept rules and weights become one column expression.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from archlens.llm.mixing import uniform
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
 
+SURE = 6.0  # log odds where all labels are one class
 UPPER = bytes(range(0x41, 0x5B))
 LOWER = bytes(range(0x61, 0x7B))
 DIGITS = bytes(range(0x30, 0x3A))
@@ -104,13 +106,15 @@ def fit(rows: DataFrame, *, label: str = "label", key: str = "doc_id", max_rows:
 
     ``max_rows`` bounds the labelled rows used: of more, each stays by a hash of
     ``key`` with the probability that leaves about so many, whatever the total.
-    No rows, or one class only, give a constant: the share of label 1 (0.5 of none).
+    No rows give the constant score 0.5; one class only gives a constant near that class.
     """
     labelled = rows.where(F.col(label).isin(0, 1)).select(key, "stats", F.col(label).cast("double").alias("label"))
     seen = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
     n, ones = seen["n"], seen["ones"] or 0.0
-    if not n or ones in (0.0, float(n)):
-        return RuleEnsemble({True: 0.0}.get(not n, 6.0 if ones else -6.0), ())
+    if not n:
+        return RuleEnsemble(0.0, ())
+    if ones in (0.0, float(n)):
+        return RuleEnsemble(SURE if ones else -SURE, ())
     sample = labelled.where(uniform(F.col(key), seed) < F.lit(max_rows / n)).drop(key)
     sample = cut_lineage(sample.repartition(4))  # at most about max_rows short rows
     vector = array_to_vector(F.array(*[F.col(f"stats.{s}") for s in STATS]))
@@ -119,8 +123,7 @@ def fit(rows: DataFrame, *, label: str = "label", key: str = "doc_id", max_rows:
     found = [p for tree in forest.trees for p in _paths(tree._call_java("rootNode"), {})]
     rules = list(dict.fromkeys(Rule(tuple((s, *p[s]) for s in sorted(p))) for p in found))
     if not rules:
-        share = ones / n
-        return RuleEnsemble(_logit(share), ())
+        return RuleEnsemble(math.log(ones / (n - ones)), ())
     hits = array_to_vector(F.array(*[r.column() for r in rules]))
     linear = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=60).fit(
         sample.select(hits.alias("features"), "label"))
@@ -128,11 +131,6 @@ def fit(rows: DataFrame, *, label: str = "label", key: str = "doc_id", max_rows:
     return RuleEnsemble(float(linear.intercept), tuple(kept))
 
 
-def _logit(share: float) -> float:
-    import math
-    return math.log(share / (1 - share))
-
-
 def held_out(doc_id: Column) -> Column:
     """The fold never learnt from: crc32 of the id as text leaves 1 by 3; a null id is not in it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

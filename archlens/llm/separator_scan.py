@@ -90,7 +90,7 @@ def document_counts(spark: SparkSession, path: str, *, end: int = S.END, block:
     order = [F.col("path").asc()]
     placed = running(scanned.select("path", "n_ids", "n_ends"), order, {"base": "n_ids", "first_no": "n_ends"},
                      totals={"all_ids": "n_ids", "all_ends": "n_ends"})
-    lasts = scanned.select("path", F.element_at("ends", -1).alias("last"))
+    lasts = scanned.select("path", F.try_element_at("ends", F.lit(-1)).alias("last"))
     stitched = cut_lineage(running(
         placed.join(lasts, "path").withColumn("last_end", F.col("base") + F.col("last")), order,
         maxes={"end_before": "last_end"}))
