@@ -19,16 +19,18 @@ MARKED_SHARE = 0.3       # of a line's words that carry mark-up or shouting
 LINK_SHARE = 0.2         # of a line's words that are bare separators
 LOST_SHARE = 0.5         # of a document's words
 
-MARKED = re.compile(rb"[#*$%&|<>]|!!|\?\?")
-SEPARATOR = re.compile("^(?:[|>»›·•/-]|&gt;|&raquo;)+$".encode())
-SENTENCE_END = re.compile("(?:[.!?:;,…\"'”’»)\\]])$".encode())
-BOILERPLATE = re.compile(
-    rb"\b(?:cookies?|javascript|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|"
-    rb"click here|sign (?:up|in)|log ?in|subscribe|newsletter|share (?:this|on)|powered by|skip to content|"
-    rb"read more|follow us)\b", re.IGNORECASE)
-NAVIGATION = re.compile(
-    rb"(?:home|about(?: us)?|contact(?: us)?|menu|search|next|previous|back|top|faq|help|sitemap|rss)[.:]?$",
-    re.IGNORECASE)
+MARKED_TEXT = r"[#*$%&|<>]|!!|\?\?"
+SEPARATOR_TEXT = "^(?:[|>/-]|»|›|·|•|&gt;|&raquo;)+$"
+SENTENCE_END_TEXT = "(?:[.!?:;,\"')\\]]|…|”|’|»)$"
+BOILERPLATE_TEXT = (
+    r"(?i)\b(?:cookies?|javascript|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|"
+    r"click here|sign (?:up|in)|log ?in|subscribe|newsletter|share (?:this|on)|powered by|skip to content|"
+    r"read more|follow us)\b")
+NAVIGATION_TEXT = (r"(?i)^(?:home|about(?: us)?|contact(?: us)?|menu|search|next|previous|back|top|faq|help|sitemap|rss)"
+                   r"[.:]?$")
+MARKED, SEPARATOR, SENTENCE_END, BOILERPLATE, NAVIGATION = (
+    re.compile(t.encode()) for t in (MARKED_TEXT, SEPARATOR_TEXT, SENTENCE_END_TEXT, BOILERPLATE_TEXT, NAVIGATION_TEXT))
+SIGN = re.compile(MARKED_TEXT.encode() + "|[/-]|»|›|·|•".encode())  # a line without one has neither kind of word
 
 RESULT = pa.struct([
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
@@ -44,7 +46,7 @@ def line_fails(words: list[bytes], line: bytes) -> bool:
     """Whether a line with words is noise rather than text."""
     n = len(words)
     marked = separators = 0
-    if MARKED.search(line) or b"\xc2\xbb" in line or b" - " in line or b"/" in line:
+    if SIGN.search(line):
         marked = sum(1 for w in words if MARKED.search(w))
         separators = sum(1 for w in words if SEPARATOR.match(w))
     if marked > MARKED_SHARE * n or separators >= 3 and separators >= LINK_SHARE * n:
@@ -123,7 +125,37 @@ def keep_clean(docs: DataFrame, *, text: str = "text") -> DataFrame:
         *[F.col("rules.clean_text").alias(c) if c == text else F.col(f"doc.`{c}`") for c in columns])
 
 
-@query("op8_line_rules")
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+BLANK_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+lw AS (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM (
+  SELECT *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS own, trim(line, {BLANK_SQL}) AS bare FROM l) WHERE len(own) > 0),
+lc AS (SELECT *, len(own) AS n, len([x FOR x IN own IF regexp_matches(x, {_sql(MARKED_TEXT)})]) AS marked,
+  len([x FOR x IN own IF regexp_matches(x, {_sql(SEPARATOR_TEXT)})]) AS separators FROM lw),
+lv AS (SELECT r, n, nth, marked > {MARKED_SHARE}::DOUBLE * n OR (separators >= 3 AND separators >= {LINK_SHARE}::DOUBLE * n)
+  OR (n <= {SHORT_LINE} AND regexp_matches(line, {_sql(BOILERPLATE_TEXT)}))
+  OR (n < {FRAGMENT} AND (NOT regexp_matches(bare, {_sql(SENTENCE_END_TEXT)}) OR regexp_matches(bare, {_sql(NAVIGATION_TEXT)}))) AS fails
+  FROM lc),
+la AS (SELECT r, count(*) FILTER (nth > 1) AS dups, sum(n) FILTER (nth = 1 AND NOT fails) AS stay FROM lv GROUP BY r),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS c FROM (
+  SELECT r, i, list_slice(words, i, i + 2) AS tri FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w))),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM g, range(3) q(k) WHERE c > 1 GROUP BY r),
+f AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN words]), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(stay, 0)::BIGINT AS n_left_words
+  FROM w LEFT JOIN la USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_left_words <= {LOST_SHARE}::DOUBLE * n_words AS kept FROM b
+"""
+
+
+@query("op8_line_rules", ORACLE)
 def op8_line_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and the line-first verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

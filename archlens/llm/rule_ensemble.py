@@ -142,7 +142,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
     A document id that has several labels counts once for each distinct one.
     """
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label")).distinct()
-    return fit(docs.join(known, "doc_id"))
+    return fit(docs.select("doc_id", "stats").join(known, "doc_id"))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
