@@ -36,7 +36,31 @@ def shard_by_bytes(rows: DataFrame, *, order: list[Column], size: str, shards: i
             .drop("__one", "__before", "__index", "__first", "__total"))
 
 
-@query("op5_shard_documents")
+def _crc_steps() -> list[int]:
+    """Remainders of the reflected CRC-32 polynomial for every byte."""
+    steps = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        steps.append(byte)
+    return steps
+
+
+ORACLE = f"""
+WITH t AS (SELECT {_crc_steps()}::BIGINT[] AS steps),
+b AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, list_prepend(4294967295::BIGINT,
+  [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1])),
+  4294967295::BIGINT)::BIGINT AS text_crc32 FROM b, t),
+p AS (SELECT *, (sum(size) OVER w - size)::BIGINT AS before, (sum(size) OVER ())::BIGINT AS total, row_number() OVER w AS k
+  FROM d WINDOW w AS (ORDER BY doc_id NULLS LAST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, least(15, ((2 * before + size) * 16) // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (k - min(k) OVER (PARTITION BY shard))::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard FROM s
+"""
+
+
+@query("op5_shard_documents", ORACLE)
 def op5_shard_documents(spark, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes, in order of doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
