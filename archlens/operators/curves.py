@@ -2,51 +2,49 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from .ordered import carry, neighbours, running_sum
 from .quantiles import exact_quantiles
-from .sizing import group_fits
 from .trajectory import KEYS
 
 # Curve profile.
 MIN_CC, JUMP_LIMIT, MAX_SHIFT = 0.08, 30.0, 4800.0
 OUTLIER, MAX_RESIDUAL, MIN_WEIGHT = 30.0, 100.0, 1e-6
-MAX_PAIRS = 20000
+SLOPES_AT_ONCE = 2_000_000
 MODE_REACH, MODE_GAP = 2, 4
 CLAMP_CHUNK = 4096
 
 
-def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str,
-                    fits: bool | None = None) -> DataFrame:
+def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """First value whose running weight reaches half; plain median if all weigh zero."""
     hist = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.sum(weight).alias("_w"))
-    fits = group_fits(hist, keys) if fits is None else fits
-    cum = running_sum(hist, keys, "_v", F.col("_w"), "_cum", size=16, fits=fits)
+    cum = running_sum(hist, keys, "_v", F.col("_w"), "_cum", size=16)
     total = hist.groupBy(*keys).agg(F.sum("_w").alias("_total"))
     half = F.round("_cum", 9) >= F.round(F.col("_total") / 2, 9)
     out = cum.join(total, keys).where((F.col("_total") > 0) & half).groupBy(*keys).agg(F.min("_v").alias("median"))
-    plain = exact_quantiles(rows, keys, value, {"_plain": 0.5}, fits=fits)
+    plain = exact_quantiles(rows, keys, value, {"_plain": 0.5})
     return plain.join(out, keys, "left").select(*keys, F.coalesce("median", "_plain").alias("median"))
 
 
-def dense_index(rows: DataFrame, keys: list[str], pos: str, *, size: int, fits: bool | None = None) -> DataFrame:
+def dense_index(rows: DataFrame, keys: list[str], pos: str, *, size: int) -> DataFrame:
     """0-based order of rows within a key, as ``idx``, and the row count ``n``."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    at = running_sum(rows, keys, pos, F.lit(1), "_i", size=size, fits=fits)
+    at = running_sum(rows, keys, pos, F.lit(1), "_i", size=size)
     return at.withColumn("idx", F.col("_i") - 1).drop("_i").join(counts, keys)
 
 
-def anchors(windows: DataFrame, *, rate: int, bin_sec: int = 120, min_cc: float = MIN_CC,
-            fits: bool | None = None) -> DataFrame:
+def anchors(windows: DataFrame, *, rate: int, bin_sec: int = 120, min_cc: float = MIN_CC) -> DataFrame:
     """Weighted-median delay per time bin of the window start.
 
     A pair with fewer than two confident windows falls back to its coarse ones.
     """
-    fits = group_fits(windows, KEYS) if fits is None else fits
     base = windows.where(F.col("valid") & F.col("delay_samples").isNotNull())
     sure = F.abs("confidence") >= min_cc
     loose = F.coalesce(F.abs("coarse_cc"), F.abs("confidence")) >= min_cc
@@ -54,18 +52,18 @@ def anchors(windows: DataFrame, *, rate: int, bin_sec: int = 120, min_cc: float
     kept = base.join(counts, KEYS).where(F.when(F.col("_sure") >= 2, sure).otherwise(loose))
     binned = kept.select(*KEYS, F.floor(F.col("start_sample") / F.lit(rate * bin_sec)).alias("bin"), "delay_samples",
                          F.greatest("confidence", F.lit(MIN_WEIGHT)).alias("w"))
-    medians = weighted_median(binned, [*KEYS, "bin"], "delay_samples", "w", fits)
+    medians = weighted_median(binned, [*KEYS, "bin"], "delay_samples", "w")
     sizes = binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("n_windows"))
     return medians.join(sizes, [*KEYS, "bin"]).select(
         *KEYS, "bin", (F.col("bin") * bin_sec).alias("t_sec"), F.col("median").alias("y"), "n_windows")
 
 
-def rolling_median(points: DataFrame, keys: list[str], reach: int = 3, fits: bool | None = None) -> DataFrame:
+def rolling_median(points: DataFrame, keys: list[str], reach: int = 3) -> DataFrame:
     """Median of ``2 * reach + 1`` neighbours by ``idx``, edges repeated.
 
     Keys with fewer points than that stay as they are.
     """
-    wide, window, keep = neighbours(points, keys, "idx", reach, fits=fits)
+    wide, window, keep = neighbours(points, keys, "idx", reach)
     cells, left, right = [F.col("y")], F.col("y"), F.col("y")
     for k in range(1, reach + 1):
         left = F.coalesce(F.lag("y", k).over(window), left)
@@ -76,26 +74,69 @@ def rolling_median(points: DataFrame, keys: list[str], reach: int = 3, fits: boo
         *keys, "idx", "n", *[c for c in points.columns if c not in (*keys, "idx", "n", "y")], F.col("_m").alias("y"))
 
 
-def theil_sen(points: DataFrame, keys: list[str], max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """Median of pairwise slopes over (``x``, ``y``), points numbered by ``idx`` of ``n``.
+def _slopes(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """The slopes of all pairs of points, a bounded number at a time."""
+    rows = max(1, SLOPES_AT_ONCE // (4 * max(1, len(x))))
+    for a in range(0, len(x), rows):
+        dx, dy = x[None, a:] - x[a:a + rows, None], y[None, a:] - y[a:a + rows, None]
+        later = np.triu(np.abs(dx) > 1e-12, 1)
+        yield dy[later] / dx[later]
 
-    Short series use every pair; longer ones use ``max_pairs`` pairs drawn by
-    hash, the same ones on every run. Never more than that many per key.
+
+def median_slope(x: np.ndarray, y: np.ndarray) -> float:
+    """The exact median of all pairwise slopes, 0 without any.
+
+    The slopes are never held together: a slice of them bounds the median,
+    counting all of them proves the bounds, and what lies between is narrowed
+    again until it can be ordered.
     """
-    few = F.col("n") * (F.col("n") - 1) / 2 <= max_pairs
-    ids = points.select(*keys, "idx", "n")
-    exact = ids.where(few & (F.col("idx") + 1 < F.col("n"))).select(
-        *keys, F.col("idx").alias("i"), F.explode(F.sequence(F.col("idx") + 1, F.col("n") - 1)).alias("j"))
-    draw = F.explode(F.sequence(F.lit(0), F.lit(max_pairs - 1)))
-    drawn = ids.where(~few & (F.col("idx") == 0)).select(*keys, "n", draw.alias("_k")).select(
-        *keys, F.pmod(F.xxhash64("_k", F.lit("i")), F.col("n")).alias("i"), F.pmod(F.xxhash64("_k", F.lit("j")), F.col("n")).alias("j"))
-    pairs = exact.unionByName(drawn)
-    end = lambda s: points.select(*keys, F.col("idx").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    slopes = pairs.join(end("i"), [*keys, "i"]).join(end("j"), [*keys, "j"])
-    dx = F.col("xj") - F.col("xi")
-    slopes = slopes.where(F.abs(dx) > 1e-12).select(*keys, ((F.col("yj") - F.col("yi")) / dx).alias("slope"))
-    med = exact_quantiles(slopes, keys, "slope", {"slope": 0.5}, fits=True)  # at most max_pairs rows per key
-    return points.select(*keys).distinct().join(med, keys, "left").fillna(0.0, ["slope"])
+    total = sum(map(len, _slopes(x, y)))
+    if not total:
+        return 0.0
+    ranks, low, high, margin = ((total - 1) // 2, total // 2), -np.inf, np.inf, 0.01
+    below, inside = 0, total
+    while inside > SLOPES_AT_ONCE:
+        step = inside // SLOPES_AT_ONCE + 1
+        some = np.sort(np.concatenate([s[(s >= low) & (s <= high)][::step] for s in _slopes(x, y)]))
+        at = (ranks[0] - below) / inside * (len(some) - 1)
+        lo = some[max(0, int(at - margin * len(some)))]
+        hi = some[min(len(some) - 1, int(at + margin * len(some)) + 1)]
+        under = sum(int((s < lo).sum()) for s in _slopes(x, y))
+        upto = sum(int((s <= hi).sum()) for s in _slopes(x, y))
+        if under <= ranks[0] and ranks[1] < upto:
+            if lo == hi:
+                return float(lo)
+            if upto - under == inside:  # many ties at the bounds: settle or drop them
+                to_lo = sum(int((s <= lo).sum()) for s in _slopes(x, y))
+                to_hi = sum(int((s < hi).sum()) for s in _slopes(x, y))
+                if ranks[0] < to_lo:
+                    second = lo if ranks[1] < to_lo else min(s[s > lo].min(initial=np.inf) for s in _slopes(x, y))
+                    return float(lo + (second - lo) * 0.5)
+                if ranks[1] >= to_hi:
+                    first = hi if ranks[0] >= to_hi else max(s[s < hi].max(initial=-np.inf) for s in _slopes(x, y))
+                    return float(first + (hi - first) * 0.5)
+                low, high, below, inside = np.nextafter(lo, np.inf), np.nextafter(hi, -np.inf), to_lo, to_hi - to_lo
+            else:
+                low, high, below, inside = lo, hi, under, upto - under
+        else:
+            margin *= 2
+    rest = np.sort(np.concatenate([s[(s >= low) & (s <= high)] for s in _slopes(x, y)]))
+    first, second = (float(rest[r - below]) for r in ranks)
+    return first + (second - first) * 0.5
+
+
+def theil_sen(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Median of pairwise slopes over (``x``, ``y``), exact for any number of points.
+
+    A key's points are one per time bin of a take; their pairs are only counted.
+    """
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, median_slope(rows["x"].to_numpy(float), rows["y"].to_numpy(float)))],
+                            columns=[*keys, "slope"])
+
+    kinds = dict(points.dtypes)
+    return points.select(*keys, "x", "y").groupBy(*keys).applyInPandas(
+        run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slope double")
 
 
 def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *, adaptive: bool = True,
@@ -143,9 +184,9 @@ def _fold_clamp(rows: DataFrame, keys: list[str], extra: list[str]) -> DataFrame
 
 
 def drop_outliers(points: DataFrame, keys: list[str], reach: int = 2, limit: float = OUTLIER,
-                  keep_min: int = 5, fits: bool | None = None) -> DataFrame:
+                  keep_min: int = 5) -> DataFrame:
     """Points far from the median of their neighbours go, unless too few would remain."""
-    wide, window, keep = neighbours(points, keys, "idx", reach, fits=fits)
+    wide, window, keep = neighbours(points, keys, "idx", reach)
     near = F.array_sort(F.collect_list("y").over(window.rowsBetween(-reach, reach)))
     size = F.size("_near")
     median = (F.col("_near")[F.floor((size - 1) / 2).cast("int")] + F.col("_near")[F.floor(size / 2).cast("int")]) / 2
@@ -155,7 +196,7 @@ def drop_outliers(points: DataFrame, keys: list[str], reach: int = 2, limit: flo
 
 
 def smooth_residual(points: DataFrame, keys: list[str], *, duration: float, span: float = 300.0, hop: float = 60.0,
-                    min_points: int = 3, fits: bool | None = None) -> DataFrame:
+                    min_points: int = 3) -> DataFrame:
     """Median of the points within ``span`` of each centre, one centre per ``hop``.
 
     Every point names the few centres it reaches, so this is one grouping, not
@@ -166,7 +207,7 @@ def smooth_residual(points: DataFrame, keys: list[str], *, duration: float, span
     low = F.greatest(F.lit(0), F.ceil((t - 1.5 * span) / hop)).cast("bigint")
     high = F.least(F.lit(last), F.floor((t + 0.5 * span) / hop)).cast("bigint")
     reached = points.where(low <= high).select(*keys, "y", F.explode(F.sequence(low, high)).alias("m"))
-    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="_k", fits=fits).where(F.col("_k") >= min_points)
+    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="_k").where(F.col("_k") >= min_points)
     # one row per centre, so counting a key's centres is a small window
     smooth = med.select(*keys, (F.col("m") * hop + span / 2).alias("t_sec"), "y",
                         F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_c")).where("_c >= 2").drop("_c")
@@ -181,11 +222,10 @@ def on_grid(points: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     Each point fills the stretch up to the next one, so only the few points are
     ordered and the grid rows are made in place, without a shuffle.
     """
-    fits = group_fits(points, keys)
     rows = points.select(*keys, F.col("t_sec").cast("double").alias("t"), "y")
     here = F.struct("t", "y")
-    linked = carry(rows, keys, "t", here, "_n", forward=False, strict=True, fits=fits)
-    linked = carry(linked, keys, "t", F.col("t"), "_p", strict=True, fits=fits)
+    linked = carry(rows, keys, "t", here, "_n", forward=False, strict=True)
+    linked = carry(linked, keys, "t", F.col("t"), "_p", strict=True)
     low = F.when(F.col("_p").isNull(), 0).otherwise(F.greatest(F.ceil("t"), F.lit(0)))
     high = F.when(F.col("_n").isNull(), seconds - 1).otherwise(F.least(F.ceil("_n.t") - 1, F.lit(seconds - 1)))
     filled = linked.where(low <= high).withColumn("g", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"))))
@@ -196,17 +236,15 @@ def on_grid(points: DataFrame, keys: list[str], seconds: int) -> DataFrame:
 
 
 def residual_curve(points: DataFrame, keys: list[str], *, seconds: int, span: float, hop: float) -> DataFrame:
-    fits = group_fits(points, keys)
-    smooth = cut_lineage(smooth_residual(points, keys, duration=seconds, span=span, hop=hop, fits=fits))
+    smooth = cut_lineage(smooth_residual(points, keys, duration=seconds, span=span, hop=hop))
     clipped = F.least(F.greatest(F.col("y"), F.lit(-MAX_RESIDUAL)), F.lit(MAX_RESIDUAL))
     return on_grid(smooth, keys, seconds).withColumn("y", clipped)
 
 
 def anchor_points(windows: DataFrame, *, rate: int, bin_sec: int = 120) -> DataFrame:
     """Anchors numbered in time order, written out once: every later step rereads them."""
-    fits = group_fits(windows, KEYS)
-    binned = anchors(windows, rate=rate, bin_sec=bin_sec, fits=fits)
-    return cut_lineage(dense_index(binned, KEYS, "bin", size=65536, fits=fits))
+    binned = anchors(windows, rate=rate, bin_sec=bin_sec)
+    return cut_lineage(dense_index(binned, KEYS, "bin", size=65536))
 
 
 def build_curve(windows: DataFrame, *, rate: int, seconds: int, bin_sec: int = 120) -> DataFrame:
@@ -216,8 +254,7 @@ def build_curve(windows: DataFrame, *, rate: int, seconds: int, bin_sec: int = 1
     gives a constant curve.
     """
     points = anchor_points(windows, rate=rate, bin_sec=bin_sec)
-    fits = group_fits(points, KEYS)
-    smooth = rolling_median(points.select(*KEYS, "idx", "n", "t_sec", "y"), KEYS, fits=fits)
+    smooth = rolling_median(points.select(*KEYS, "idx", "n", "t_sec", "y"), KEYS)
     stable = cut_lineage(clamp_jumps(smooth, KEYS))
     curve = on_grid(stable, KEYS, seconds)
     wild = stable.groupBy(*KEYS).agg(F.max(F.abs("y")).alias("m")).where(F.col("m") > MAX_SHIFT)
@@ -247,7 +284,7 @@ def dominant_mode(rows: DataFrame, keys: list[str], min_rows: int = 3) -> DataFr
         F.max_by("delay", F.struct("support", (-F.col("delay")).alias("x"))).alias("center"), F.max("support").alias("support"),
         F.sum("c").alias("n")).where(F.col("n") >= min_rows)
     inliers = rows.join(top, keys).where(F.abs(F.col("delay") - F.col("center")) <= MODE_REACH)
-    med = weighted_median(inliers, keys, "delay", "quality", group_fits(rows, keys))
+    med = weighted_median(inliers, keys, "delay", "quality")
     spread = inliers.groupBy(*keys).agg((F.max("delay") - F.min("delay")).alias("inlier_spread"))
     return top.join(med, keys).join(spread, keys).select(
         *keys, F.col("median").cast("bigint").alias("delay"), "support", "n", (F.col("support") / F.col("n")).alias("support_frac"), "inlier_spread")
@@ -272,8 +309,7 @@ def piecewise_segments(frames: DataFrame, *, min_seg: int, threshold: float, min
     decides every open segment; no trajectory is gathered.
     """
     good = frames.where(F.col("delay_samples").isNotNull())
-    fits = group_fits(good, KEYS)
-    rows = _indexed(good, fits)
+    rows = _indexed(good)
     rows = cut_lineage(rows.where(F.col("n") >= min_rows).withColumn("a", F.lit(0).cast("bigint")).withColumn("b", F.col("n")))
     longest = rows.agg(F.max("n").alias("n")).first()["n"] or 0
     seg = [*KEYS, "a", "b"]
@@ -281,7 +317,7 @@ def piecewise_segments(frames: DataFrame, *, min_seg: int, threshold: float, min
         mid = F.floor((F.col("a") + F.col("b")) / 2)
         halves = rows.withColumn("mid", mid).withColumn("right", F.col("idx") >= mid)
         open_ = halves.where(F.col("b") - F.col("a") >= min_rows)
-        med = exact_quantiles(open_, [*seg, "right"], "delay_samples", {"m": 0.5}, fits=fits)
+        med = exact_quantiles(open_, [*seg, "right"], "delay_samples", {"m": 0.5})
         at = lambda i: F.max(F.when(F.col("idx") == i, F.col("center_sample")))
         edges = open_.groupBy(*seg, "mid").agg(at(F.col("a")).alias("c0"), at(F.col("mid")).alias("c1"), at(F.col("b") - 1).alias("c2"))
         sides = med.groupBy(*seg).agg(F.max(F.when(~F.col("right"), F.col("m"))).alias("ml"), F.max(F.when(F.col("right"), F.col("m"))).alias("mr"))
@@ -295,9 +331,9 @@ def piecewise_segments(frames: DataFrame, *, min_seg: int, threshold: float, min
                             F.when(F.col("cut").isNotNull() & ~right, F.col("cut")).otherwise(F.col("b")).alias("b"))
         if level % 2:
             rows = cut_lineage(rows)
-    med = exact_quantiles(rows, seg, "delay_samples", {"m": 0.5}, fits=fits)
+    med = exact_quantiles(rows, seg, "delay_samples", {"m": 0.5})
     resid = rows.join(med, seg).select(*KEYS, F.abs(F.col("delay_samples") - F.col("m")).alias("r"))
-    spread = exact_quantiles(resid, KEYS, "r", {"residual_p50": 0.5, "residual_p90": 0.9}, fits=fits)
+    spread = exact_quantiles(resid, KEYS, "r", {"residual_p50": 0.5, "residual_p90": 0.9})
     # a segment's left neighbour ends where it starts
     left = med.select(*KEYS, F.col("b").alias("a"), F.col("m").alias("_prev"))
     seams = med.join(left, [*KEYS, "a"], "left").withColumn("seam", F.abs(F.col("m") - F.col("_prev")))
@@ -306,8 +342,8 @@ def piecewise_segments(frames: DataFrame, *, min_seg: int, threshold: float, min
     return counts.join(spread, KEYS)
 
 
-def _indexed(good: DataFrame, fits: bool) -> DataFrame:
+def _indexed(good: DataFrame) -> DataFrame:
     rows = good.select(*KEYS, "center_sample", "frame_no", "delay_samples")
-    at = running_sum(rows, KEYS, "center_sample", F.lit(1), "_i", size=1 << 22, ties=["frame_no"], fits=fits)
+    at = running_sum(rows, KEYS, "center_sample", F.lit(1), "_i", size=1 << 22, ties=["frame_no"])
     counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     return at.withColumn("idx", F.col("_i") - 1).drop("_i", "frame_no").join(counts, KEYS)

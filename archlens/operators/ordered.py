@@ -3,14 +3,13 @@
 A plain window partitioned by a key sends every row of a hot key to a single
 task. Here an ordered key is cut into position blocks: the window runs inside
 (key, block), one summary row per block is scanned per key, and what the
-earlier blocks contribute is joined back on (key, block). Where ``fits`` says
-that every group is small (see ``sizing``), the plain window is used instead.
+earlier blocks contribute is joined back on (key, block). The same form serves
+keys of any size.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import group_fits
 
 BLOCK = 65536
 
@@ -21,7 +20,7 @@ def _blocked(df: DataFrame, pos: str, size: int) -> DataFrame:
 
 def carry(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, *,
           size: int = BLOCK, forward: bool = True, strict: bool = False,
-          ties: list[str] = (), fits: bool | None = None) -> DataFrame:
+          ties: list[str] = ()) -> DataFrame:
     """Nearest non-null ``value`` at or before each row (after, if not forward).
 
     ``strict`` leaves the row itself out. ``value`` may be a struct.
@@ -29,10 +28,6 @@ def carry(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, *,
     order = [F.col(c) for c in [pos, *ties]]
     if not forward:
         order = [c.desc() for c in order]
-    if group_fits(df, keys) if fits is None else fits:
-        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(
-            W.unboundedPreceding, -1 if strict else 0)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
     blocked = _blocked(df.withColumn("_val", value), pos, size)
     inside = W.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(
         W.unboundedPreceding, -1 if strict else 0)
@@ -61,12 +56,8 @@ def carry(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, *,
 
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, *,
-                size: int = BLOCK, ties: list[str] = (),
-                fits: bool | None = None) -> DataFrame:
+                size: int = BLOCK, ties: list[str] = ()) -> DataFrame:
     """Inclusive running sum of ``value`` in ``pos`` order."""
-    if group_fits(df, keys) if fits is None else fits:
-        frame = W.partitionBy(*keys).orderBy(pos, *ties).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)))
     blocked = _blocked(df.withColumn("_val", value), pos, size)
     inside = W.partitionBy(*keys, "_blk").orderBy(pos, *ties).rowsBetween(
         W.unboundedPreceding, 0)
@@ -84,12 +75,8 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, value: Column, out: st
 
 
 def running_max(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, *,
-                size: int = BLOCK, ties: list[str] = (),
-                fits: bool | None = None) -> DataFrame:
+                size: int = BLOCK, ties: list[str] = ()) -> DataFrame:
     """Largest ``value`` strictly before each row in ``pos`` order."""
-    if group_fits(df, keys) if fits is None else fits:
-        frame = W.partitionBy(*keys).orderBy(pos, *ties).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(out, F.max(value).over(frame))
     blocked = _blocked(df.withColumn("_val", value), pos, size)
     inside = W.partitionBy(*keys, "_blk").orderBy(pos, *ties).rowsBetween(
         W.unboundedPreceding, -1)
@@ -107,14 +94,12 @@ def running_max(df: DataFrame, keys: list[str], pos: str, value: Column, out: st
 
 
 def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *,
-               size: int = BLOCK, fits: bool | None = None):
+               size: int = BLOCK):
     """Block ``df`` with a halo of ``reach`` positions on each side.
 
     For dense integer positions. Returns the widened rows, the window
     specification to use and the condition that keeps each row once.
     """
-    if group_fits(df, keys) if fits is None else fits:
-        return df, W.partitionBy(*keys).orderBy(pos), F.lit(True)
     p, step = F.col(pos), F.lit(size)
     home = F.floor(p / step)
     offset = p - home * step
@@ -128,16 +113,14 @@ def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, *,
 
 
 def runs(df: DataFrame, keys: list[str], pos: str, flag: Column, *,
-         size: int = BLOCK, fits: bool | None = None) -> DataFrame:
+         size: int = BLOCK) -> DataFrame:
     """Maximal runs of equal ``flag``: one row (keys, flag, start, end, length).
 
     Position must be dense. A run's identity is the last position at which the
     flag changed, carried across blocks.
     """
     flagged = df.select(*keys, pos, flag.alias("flag"))
-    if fits is None:
-        fits = group_fits(flagged, keys)
-    wide, window, keep = neighbours(flagged, keys, pos, 1, size=size, fits=fits)
+    wide, window, keep = neighbours(flagged, keys, pos, 1, size=size)
     marked = (
         wide.withColumn("_prev", F.lag("flag").over(window)).where(keep)
         .select(*keys, pos, "flag",
@@ -145,6 +128,6 @@ def runs(df: DataFrame, keys: list[str], pos: str, flag: Column, *,
                        F.col(pos)).alias("_start"))
     )
     named = carry(marked, keys, pos, F.col("_start"), "run_start",
-                  size=size, fits=fits)
+                  size=size)
     return named.groupBy(*keys, "flag", "run_start").agg(
         F.max(pos).alias("run_end"), F.count(F.lit(1)).alias("run_length"))

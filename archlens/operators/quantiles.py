@@ -1,36 +1,37 @@
 """Exact interpolated quantiles that hold under skew.
 
-``percentile`` keeps every distinct value of a group in one task, which is the
-right plan for ordinary groups. For groups past the size limit values are
-counted per (key, value), then per (key, coarse bin); only the bins that
-hold a wanted rank go on to be ordered, each as its own group. Results equal
+Values are counted per (key, value), then per (key, coarse bin) and, inside the
+bins that hold a wanted rank, per fine bin; only the fine bins that hold a
+wanted rank are ordered, each as its own group. So a key with most of the rows,
+however close its values lie, is never ordered in one task. Results equal
 linear-interpolation percentiles exactly.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .sizing import group_fits
 
 BINS_PER_UNIT = 1024
+FINE = 4096  # fine bins to a coarse one
 
 
-def _bin(value: Column) -> Column:
-    # non-decreasing in value, and a bounded number of bins over all doubles
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BINS_PER_UNIT))
+def _fine_bin(value: Column) -> Column:
+    # non-decreasing in value; FINE neighbours make one of a bounded number of coarse bins over all doubles
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BINS_PER_UNIT * FINE))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column,
                     probs: dict[str, float], *, count: str | None = None,
-                    fits: bool | None = None) -> DataFrame:
+                    bounded: bool = False) -> DataFrame:
     """One row per key: the named quantiles of the non-null ``value``s.
 
-    ``fits`` is the answer of :func:`group_fits` where the caller has it.
+    ``bounded``: the caller's groups have a fixed largest size (the frames of
+    one window, a drawn set), so one task takes a group whole.
     """
     column = F.col(value) if isinstance(value, str) else value
     values = (df.select(*keys, column.cast("double").alias("_v"))
               .where(F.col("_v").isNotNull()))
-    if group_fits(values, keys) if fits is None else fits:
+    if bounded:
         wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
         out = values.groupBy(*keys).agg(wanted.alias("_q"), F.count(F.lit(1)).alias("_n"))
         return out.select(
@@ -40,31 +41,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column,
     return _binned(values, keys, {name: F.lit(p) * n for name, p in probs.items()}, count)
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str, *,
-                 fits: bool | None = None) -> DataFrame:
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The middle value, or the upper of the two middle ones."""
     values = (df.select(*keys, F.col(value).cast("double").alias("_v"))
               .where(F.col("_v").isNotNull()))
-    if group_fits(values, keys) if fits is None else fits:
-        ordered = values.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_a"))
-        return ordered.select(*keys, F.col("_a")[F.floor(F.size("_a") / 2).cast("int")].alias(out))
     return _binned(values, keys, {out: F.floor(F.col("_n") / 2)}, None)
 
 
 def _binned(values: DataFrame, keys: list[str], ranks: dict[str, Column],
             count: str | None) -> DataFrame:
-    """Values at (possibly fractional) 0-based ranks, by coarse bins of a histogram."""
+    """Values at (possibly fractional) 0-based ranks, by ever finer bins of a histogram."""
     hist = (
         values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", _bin(F.col("_v")))
-    )
-    per_key = W.partitionBy(*keys)
-    upto = per_key.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = (
-        hist.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
-        .withColumn("_end", F.sum("_bc").over(upto))
-        .withColumn("_n", F.sum("_bc").over(per_key))
-        .withColumn("_base", F.col("_end") - F.col("_bc"))
+        .withColumn("_fine", _fine_bin(F.col("_v")))
+        .withColumn("_bin", F.floor(F.col("_fine") / FINE))
     )
 
     def holds(rank: Column) -> Column:
@@ -74,13 +64,21 @@ def _binned(values: DataFrame, keys: list[str], ranks: dict[str, Column],
     for rank in ranks.values():
         test = holds(F.floor(rank)) | holds(F.ceil(rank))
         wanted = test if wanted is None else wanted | test
-    targets = bins.where(wanted).select(*keys, "_bin", "_base", "_n")
-    in_bin = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        hist.join(targets, [*keys, "_bin"])
-        .withColumn("_end", F.col("_base") + F.sum("_c").over(in_bin))
-        .withColumn("_base", F.col("_end") - F.col("_c"))
-    )
+
+    def narrowed(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+        """Rows with the ranks they start and end at, counted on from ``_base`` of their group."""
+        upto = W.partitionBy(*keys, *within).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return (rows.withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
+                .withColumn("_base", F.col("_end") - F.col("_c")))
+
+    per_key = W.partitionBy(*keys)
+    coarse = (hist.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
+              .withColumn("_base", F.lit(0).cast("long")).withColumn("_n", F.sum("_c").over(per_key)))
+    coarse = narrowed(coarse, [], "_bin").where(wanted).select(*keys, "_bin", "_base", "_n")
+    fine = (hist.join(coarse, [*keys, "_bin"]).groupBy(*keys, "_bin", "_fine")
+            .agg(F.sum("_c").alias("_c"), F.first("_base").alias("_base"), F.first("_n").alias("_n")))
+    fine = narrowed(fine, ["_bin"], "_fine").where(wanted).select(*keys, "_fine", "_base", "_n")
+    ranked = narrowed(hist.drop("_bin").join(fine, [*keys, "_fine"]), ["_fine"], "_v")
     picks = []
     for name, rank in ranks.items():
         picks += [F.max(F.when(holds(F.floor(rank)), F.col("_v"))).alias(f"_lo_{name}"),

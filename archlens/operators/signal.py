@@ -13,7 +13,6 @@ from ..functions.scalar import is_pcm, rms_dbfs
 from ..session import cut_lineage
 from .ordered import neighbours
 from .quantiles import exact_quantiles
-from .sizing import group_fits
 from .trajectory import KEYS
 from .windows import longest_run
 
@@ -73,9 +72,8 @@ def loudness(blocks: DataFrame, block_sec: float, silent_dbfs: float = -50.0) ->
     peak = F.greatest(F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double")))), floor)
     rows = blocks.select(*CH, "block_no", (20 * F.log10(level)).alias("db"), (20 * F.log10(peak)).alias("peak_db"))
     silent = F.col("db") < silent_dbfs
-    fits = group_fits(blocks, CH)
-    q = exact_quantiles(rows, CH, "db", {"db_p10": 0.1, "db_p50": 0.5, "db_p90": 0.9}, fits=fits)
-    run = longest_run(rows, CH, "block_no", silent, True, fits).select(*CH, (F.col("longest") * block_sec).alias("longest_silent_sec"))
+    q = exact_quantiles(rows, CH, "db", {"db_p10": 0.1, "db_p50": 0.5, "db_p90": 0.9})
+    run = longest_run(rows, CH, "block_no", silent, True).select(*CH, (F.col("longest") * block_sec).alias("longest_silent_sec"))
     counts = rows.groupBy(*CH).agg(F.count(F.lit(1)).alias("blocks"), F.max("peak_db").alias("peak_db"), F.count_if(silent).alias("silent_blocks"))
     return counts.join(q, CH).join(run, CH).withColumn("silent_fraction", F.col("silent_blocks") / F.col("blocks"))
 
@@ -156,7 +154,7 @@ def pair_strength(blocks: DataFrame, size: int, *, frame: int, hop: int, search:
     g = sg.gcc_phat(F.col("ref_x"), F.col("tgt_x"), lag0=search, lo=-search, hi=search, gate=gate)
     rows = pairs.select(*KEYS, g["snr"].alias("snr"))
     # at most ``samples`` rows per pair
-    q = exact_quantiles(rows, KEYS, "snr", {"p25": 0.25, "median": 0.5, "p75": 0.75}, fits=True)
+    q = exact_quantiles(rows, KEYS, "snr", {"p25": 0.25, "median": 0.5, "p75": 0.75}, bounded=True)
     counts = rows.groupBy(*KEYS).agg(F.count("snr").alias("samples"))
     return counts.join(q, KEYS, "left")
 
@@ -298,9 +296,8 @@ def agreement(candidates: DataFrame, keys: list[str], tolerance: int = 2) -> Dat
 
 def correlation_summary(peaks: DataFrame, keys: list[str]) -> DataFrame:
     """Correlated, weak and uncorrelated blocks of a pair, with peak and lag spread."""
-    fits = group_fits(peaks, keys)
-    q = exact_quantiles(peaks, keys, "ncc", {"ncc_p10": 0.1, "ncc_p50": 0.5, "ncc_p90": 0.9}, fits=fits)
-    lag = exact_quantiles(peaks, keys, "lag", {"lag_median": 0.5}, fits=fits)
+    q = exact_quantiles(peaks, keys, "ncc", {"ncc_p10": 0.1, "ncc_p50": 0.5, "ncc_p90": 0.9})
+    lag = exact_quantiles(peaks, keys, "lag", {"lag_median": 0.5})
     c = F.col("ncc")
     counts = peaks.groupBy(*keys).agg(
         F.count_if(c >= 0.3).alias("correlated"), F.count_if((c >= 0.1) & (c < 0.3)).alias("weak"), F.count_if(c < 0.1).alias("uncorrelated"),

@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import BLOCK, carry
 from .quantiles import exact_quantiles
-from .sizing import group_fits
 
 KEYS = ["file_id", "ref", "tgt"]
 SPAN = 64 * BLOCK  # samples per position block
@@ -15,11 +14,11 @@ def usable(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("delay_samples").isNotNull())
 
 
-def pair_estimate(frames: DataFrame, rate: float, fits: bool | None = None) -> DataFrame:
+def pair_estimate(frames: DataFrame, rate: float) -> DataFrame:
     """Median delay, median confidence and usable count over usable frames."""
     long = usable(frames).select(*KEYS, F.expr(
         "stack(2, 'delay', delay_samples, 'confidence', confidence) AS (metric, v)"))
-    med = exact_quantiles(long, [*KEYS, "metric"], "v", {"med": 0.5}, fits=fits)
+    med = exact_quantiles(long, [*KEYS, "metric"], "v", {"med": 0.5})
     pivoted = med.groupBy(*KEYS).agg(
         F.max(F.when(F.col("metric") == "delay", F.col("med"))).alias("delay_samples"),
         F.max(F.when(F.col("metric") == "confidence", F.col("med"))).alias("confidence"))
@@ -33,19 +32,18 @@ def pair_estimate(frames: DataFrame, rate: float, fits: bool | None = None) -> D
 
 
 def robust_spread(frames: DataFrame, rate: float, trim_pct: float = 5.0,
-                  min_frames: int = 20, fits: bool | None = None) -> DataFrame:
+                  min_frames: int = 20) -> DataFrame:
     """Median, MAD and trimmed displacement from two quantile passes."""
     good = usable(frames).select(*KEYS, "delay_samples")
-    fits = group_fits(frames, KEYS) if fits is None else fits
     tail = trim_pct / 100
     first = exact_quantiles(good, KEYS, "delay_samples",
                             {"med": 0.5, "p_lo": tail, "p_hi": 1 - tail,
-                             "d_min": 0.0, "d_max": 1.0}, count="n", fits=fits)
+                             "d_min": 0.0, "d_max": 1.0}, count="n")
     deviation = (
         good.join(first.select(*KEYS, "med"), KEYS)
         .select(*KEYS, F.abs(F.col("delay_samples") - F.col("med")).alias("dev"))
     )
-    mad = exact_quantiles(deviation, KEYS, "dev", {"mad": 0.5}, fits=fits)
+    mad = exact_quantiles(deviation, KEYS, "dev", {"mad": 0.5})
     trimmed = (F.col("n") >= min_frames) & F.lit(0 < trim_pct < 50)
     return first.join(mad, KEYS).select(
         *KEYS, "n", "med",
@@ -55,11 +53,11 @@ def robust_spread(frames: DataFrame, rate: float, trim_pct: float = 5.0,
          .otherwise(F.col("d_max") - F.col("d_min")) * 1000 / rate).alias("displacement_ms"))
 
 
-def drift(frames: DataFrame, rate: float, fits: bool | None = None) -> DataFrame:
+def drift(frames: DataFrame, rate: float) -> DataFrame:
     """Largest step between neighbouring usable frames and the fitted drift."""
     good = usable(frames).select(*KEYS, "frame_no", "center_sample", "delay_samples")
     stepped = carry(good, KEYS, "center_sample", F.col("delay_samples"), "_prev",
-                    size=SPAN, strict=True, ties=["frame_no"], fits=fits)
+                    size=SPAN, strict=True, ties=["frame_no"])
     slope = F.regr_slope("delay_samples", "center_sample")
     span = F.max("center_sample") - F.min("center_sample")
     return (
@@ -74,9 +72,8 @@ def drift(frames: DataFrame, rate: float, fits: bool | None = None) -> DataFrame
     )
 
 
-def trajectory_stats(frames: DataFrame, rate: float, fits: bool | None = None) -> DataFrame:
-    fits = group_fits(frames, KEYS) if fits is None else fits
-    return robust_spread(frames, rate, fits=fits).join(drift(frames, rate, fits), KEYS)
+def trajectory_stats(frames: DataFrame, rate: float) -> DataFrame:
+    return robust_spread(frames, rate).join(drift(frames, rate), KEYS)
 
 
 def boundary_pileup(frames: DataFrame, search_samples: float) -> DataFrame:
@@ -116,9 +113,8 @@ def constant_offsets(frames: DataFrame, rate: float, *, mad_max_ms: float,
                      min_confidence: float, aligned_max_ms: float,
                      min_shift_samples: int) -> DataFrame:
     """Which pairs hold a constant, correctable offset, and by how much."""
-    fits = group_fits(frames, KEYS)
-    est = pair_estimate(frames, rate, fits).withColumnRenamed("delay_samples", "offset_samples")
-    stats = trajectory_stats(frames, rate, fits)
+    est = pair_estimate(frames, rate).withColumnRenamed("delay_samples", "offset_samples")
+    stats = trajectory_stats(frames, rate)
     aligned = is_aligned(F.col("delay_ms"), F.col("offset_samples"),
                          aligned_max_ms, min_shift_samples)
     return (

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import BLOCK, carry, neighbours, running_max, running_sum, runs
 from .quantiles import exact_quantiles
-from .sizing import fits_limit, group_fits
 from .trajectory import KEYS
 
 WINDOW = [*KEYS, "window_no"]
@@ -53,45 +52,29 @@ def pair_lengths(frames: DataFrame, n_samples: int) -> DataFrame:
     return frames.select(*KEYS).distinct().withColumn("n_samples", F.lit(n_samples).cast("bigint"))
 
 
-def plan_fits(lengths: DataFrame, hop: int) -> bool:
-    """Whether the longest plan has few enough windows for one task.
-
-    Read off the lengths, so the plan itself is not computed to find out.
-    """
-    top = lengths.agg(F.max("n_samples").alias("n")).first()["n"] or 0
-    return fits_limit(lengths.sparkSession, -(-top // hop))
-
-
-def aggregate_frames(frames: DataFrame, lengths: DataFrame, *, hop: int, min_frames: int,
-                     fits: bool | None = None) -> DataFrame:
-    """Frames to windows by latest start; a window below the frame floor is invalid.
-
-    ``fits`` is whether the frames of every pair fit one task (see ``sizing``);
-    then those of every window do.
-    """
-    fits = group_fits(frames, KEYS) if fits is None else fits
+def aggregate_frames(frames: DataFrame, lengths: DataFrame, *, hop: int, min_frames: int) -> DataFrame:
+    """Frames to windows by latest start; a window below the frame floor is invalid."""
     placed = frames.where(F.col("delay_samples").isNotNull()).withColumn(
         "window_no", latest_start(F.col("center_sample"), hop))
-    return _plan(placed, window_spine(lengths, required_windows(F.col("n_samples"), hop)), min_frames, fits)
+    return _plan(placed, window_spine(lengths, required_windows(F.col("n_samples"), hop)), min_frames)
 
 
 def aggregate_nearest(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
-                      min_frames: int, min_confidence: float = 0.3, fits: bool | None = None) -> DataFrame:
+                      min_frames: int, min_confidence: float = 0.3) -> DataFrame:
     """Confident frames to measured windows by nearest centre."""
-    fits = group_fits(frames, KEYS) if fits is None else fits
     placed = good_frames(frames, min_confidence).join(lengths, KEYS).withColumn(
         "window_no", clip(nearest_centre(F.col("center_sample"), window, hop),
                           required_windows(F.col("n_samples"), hop)))
     spine = window_spine(lengths, measured_windows(F.col("n_samples"), window, hop))
-    return _plan(placed, spine, min_frames, fits)
+    return _plan(placed, spine, min_frames)
 
 
 def good_frames(frames: DataFrame, min_confidence: float) -> DataFrame:
     return frames.where(F.col("delay_samples").isNotNull() & (F.col("confidence") >= min_confidence))
 
 
-def _plan(placed: DataFrame, spine: DataFrame, min_frames: int, fits: bool) -> DataFrame:
-    medians = exact_quantiles(placed, WINDOW, "delay_samples", {"_med": 0.5}, count="_n", fits=fits)
+def _plan(placed: DataFrame, spine: DataFrame, min_frames: int) -> DataFrame:
+    medians = exact_quantiles(placed, WINDOW, "delay_samples", {"_med": 0.5}, count="_n", bounded=True)
     n = F.coalesce("_n", F.lit(0))
     plan = spine.join(medians, WINDOW, "left").select(
         *WINDOW, n.alias("n_frames"), (n >= min_frames).alias("valid"),
@@ -110,9 +93,9 @@ def frame_counts(frames: DataFrame, lengths: DataFrame, *, hop: int) -> DataFram
         F.count_if(~inside).alias("n_outside_plan"))
 
 
-def gap_states(plan: DataFrame, fits: bool | None = None) -> DataFrame:
+def gap_states(plan: DataFrame) -> DataFrame:
     """TRUSTED, UNRESOLVED_GAP, or REENTRY right after a gap; never on the first row."""
-    wide, window, keep = neighbours(plan, KEYS, "window_no", 1, fits=fits)
+    wide, window, keep = neighbours(plan, KEYS, "window_no", 1)
     return (
         wide.withColumn("_prev", F.lag("valid").over(window)).where(keep)
         .withColumn("state", F.when(~F.col("valid"), "UNRESOLVED_GAP")
@@ -120,16 +103,15 @@ def gap_states(plan: DataFrame, fits: bool | None = None) -> DataFrame:
         .drop("_prev", "_home", "_blk"))
 
 
-def fill_gaps(plan: DataFrame, fits: bool | None = None) -> DataFrame:
+def fill_gaps(plan: DataFrame) -> DataFrame:
     """The plan's shift under every fill policy, one column each.
 
     ``linear`` interpolates between the trusted windows around each gap and
     holds the only one where the other side has none.
     """
-    fits = group_fits(plan, KEYS) if fits is None else fits
     seen = F.when(F.col("valid"), F.struct(F.col("window_no").alias("w"), F.col("shift").alias("s")))
-    both = carry(plan, KEYS, "window_no", seen, "_p", fits=fits)
-    both = carry(both, KEYS, "window_no", seen, "_n", fits=fits, forward=False)
+    both = carry(plan, KEYS, "window_no", seen, "_p")
+    both = carry(both, KEYS, "window_no", seen, "_n", forward=False)
     p, n = F.col("_p.s"), F.col("_n.s")
     share = F.try_divide((F.col("window_no") - F.col("_p.w")).cast("double"), F.col("_n.w") - F.col("_p.w"))
     between = F.rint(p + (n - p) * F.coalesce(share, F.lit(0.0))).cast("bigint")
@@ -143,8 +125,8 @@ def fill_gaps(plan: DataFrame, fits: bool | None = None) -> DataFrame:
 
 
 def longest_run(rows: DataFrame, keys: list[str], pos: str, flag: Column,
-                wanted: bool, fits: bool | None = None) -> DataFrame:
-    found = runs(rows, keys, pos, flag, fits=fits)
+                wanted: bool) -> DataFrame:
+    found = runs(rows, keys, pos, flag)
     return found.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("flag") == wanted, F.col("run_length"))), F.lit(0)).alias("longest"),
         F.count_if(F.col("flag") == wanted).alias("n_runs"))
@@ -155,21 +137,19 @@ def merge_intervals(intervals: DataFrame, keys: list[str], gap: int = 0,
     """Union of half-open (start, count) intervals, joined across gaps up to ``gap``."""
     items = intervals.where(F.col("count") > 0).groupBy(*keys, "start").agg(
         F.max(F.col("start") + F.col("count")).alias("end"))
-    fits = group_fits(items, keys)
-    before = running_max(items, keys, "start", F.col("end"), "_reach", size=size, fits=fits)
+    before = running_max(items, keys, "start", F.col("end"), "_reach", size=size)
     opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + max(0, gap)), 1).otherwise(0)
-    island = running_sum(before, keys, "start", opens, "_island", size=size, fits=fits)
+    island = running_sum(before, keys, "start", opens, "_island", size=size)
     return island.groupBy(*keys, "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
     ).select(*keys, "start", (F.col("end") - F.col("start")).alias("count"))
 
 
-def evidence(plan: DataFrame, min_coverage: float, fits: bool | None = None) -> DataFrame:
+def evidence(plan: DataFrame, min_coverage: float) -> DataFrame:
     """Coverage, sizes and state counts of each plan."""
-    fits = group_fits(plan, KEYS) if fits is None else fits
-    stated = gap_states(plan, fits)
+    stated = gap_states(plan)
     size = F.abs(F.when(F.col("valid"), F.col("shift")))
-    med = exact_quantiles(plan, KEYS, size, {"median_abs_shift": 0.5}, fits=fits)
+    med = exact_quantiles(plan, KEYS, size, {"median_abs_shift": 0.5})
     states = ["TRUSTED", "REENTRY", "UNRESOLVED_GAP"]
     counts = stated.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_windows"), F.count_if("valid").alias("n_measured"),
@@ -201,14 +181,13 @@ def residual_summary(residuals: DataFrame, keys: list[str], value: str) -> DataF
 
 def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
     """What a measured plan would deliver: coverage, gaps, density and seam steps."""
-    fits = plan_fits(lengths, hop)
-    wide, window, keep = neighbours(plan, KEYS, "window_no", 1, fits=fits)
+    wide, window, keep = neighbours(plan, KEYS, "window_no", 1)
     stepped = (
         wide.withColumn("_prev", F.lag("shift").over(window)).where(keep)
         .withColumn("step", F.abs(F.col("shift") - F.col("_prev"))).select(*WINDOW, "step", "valid", "n_frames"))
-    steps = exact_quantiles(stepped, KEYS, "step", {"step_p50": 0.5, "step_p90": 0.9}, fits=fits)
-    density = exact_quantiles(plan, KEYS, "n_frames", {"frames_p10": 0.1, "frames_p50": 0.5, "frames_p90": 0.9}, fits=fits)
-    gaps = longest_run(plan, KEYS, "window_no", F.col("valid"), False, fits).select(
+    steps = exact_quantiles(stepped, KEYS, "step", {"step_p50": 0.5, "step_p90": 0.9})
+    density = exact_quantiles(plan, KEYS, "n_frames", {"frames_p10": 0.1, "frames_p50": 0.5, "frames_p90": 0.9})
+    gaps = longest_run(plan, KEYS, "window_no", F.col("valid"), False).select(
         *KEYS, F.col("longest").alias("longest_gap"))
     counts = stepped.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_measured"), F.count_if("valid").alias("n_resolved"),
@@ -226,8 +205,7 @@ def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
 def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
              min_frames: int, rate: float) -> DataFrame:
     """What holding across bounded gaps costs, and whole against fractional shifts."""
-    frames_fit, fits = group_fits(frames, KEYS), plan_fits(lengths, hop)
-    plan = aggregate_nearest(frames, lengths, window=window, hop=hop, min_frames=min_frames, fits=frames_fit)
+    plan = aggregate_nearest(frames, lengths, window=window, hop=hop, min_frames=min_frames)
     placed = good_frames(frames, 0.3).join(lengths, KEYS).withColumn(
         "window_no", clip(nearest_centre(F.col("center_sample"), window, hop),
                           required_windows(F.col("n_samples"), hop)))
@@ -235,18 +213,18 @@ def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
         plan.where("valid").select(*WINDOW, F.col("delay_samples").alias("m")), WINDOW)
     held = held.withColumn("frac", F.abs(F.col("d") - F.col("m"))).withColumn(
         "whole", F.abs(F.col("d") - F.rint("m")))
-    frac = exact_quantiles(held, KEYS, "frac", {"fractional_p90": 0.9}, fits=frames_fit)
-    whole = exact_quantiles(held, KEYS, "whole", {"integer_p90": 0.9}, fits=frames_fit)
-    mads = exact_quantiles(held, WINDOW, "frac", {"mad": 0.5}, fits=frames_fit)
+    frac = exact_quantiles(held, KEYS, "frac", {"fractional_p90": 0.9})
+    whole = exact_quantiles(held, KEYS, "whole", {"integer_p90": 0.9})
+    mads = exact_quantiles(held, WINDOW, "frac", {"mad": 0.5}, bounded=True)
     mads = exact_quantiles(mads, KEYS, F.col("mad") * SCALED_MAD * 1000 / rate,
-                           {"window_mad_p50_ms": 0.5, "window_mad_p90_ms": 0.9}, fits=fits)
+                           {"window_mad_p50_ms": 0.5, "window_mad_p90_ms": 0.9})
     seen = F.when(F.col("valid"), F.struct(F.col("window_no").alias("w"), F.col("delay_samples").alias("d")))
-    jumps = carry(plan, KEYS, "window_no", seen, "_p", fits=fits, strict=True).where(
+    jumps = carry(plan, KEYS, "window_no", seen, "_p", strict=True).where(
         F.col("valid") & F.col("_p").isNotNull() & (F.col("window_no") - F.col("_p.w") > 1))
     jumps = jumps.select(*KEYS, F.abs(F.col("delay_samples") - F.col("_p.d")).alias("err"),
                          (F.col("window_no") - F.col("_p.w") - 1).alias("len"))
-    err = exact_quantiles(jumps, KEYS, "err", {"err_p50": 0.5, "err_p90": 0.9, "err_max": 1.0}, fits=fits)
-    length = exact_quantiles(jumps, KEYS, "len", {"gap_len_p50": 0.5, "gap_len_max": 1.0}, fits=fits)
+    err = exact_quantiles(jumps, KEYS, "err", {"err_p50": 0.5, "err_p90": 0.9, "err_max": 1.0})
+    length = exact_quantiles(jumps, KEYS, "len", {"gap_len_p50": 0.5, "gap_len_max": 1.0})
     counts = plan.groupBy(*KEYS).agg(F.count_if("valid").alias("resolved"),
                                      F.count_if(~F.col("valid")).alias("unresolved"))
     gaps = jumps.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gaps"), F.count_if(F.col("err") > 48).alias("gaps_gt_48"))
@@ -292,11 +270,10 @@ def smallest_window(frames: DataFrame, lengths: DataFrame, *, window: int, hop:
     binned = good_frames(frames, min_confidence).groupBy(
         *KEYS, latest_start(F.col("center_sample"), hop).alias("window_no")).agg(F.count(F.lit(1)).alias("n"))
     spine = window_spine(lengths, required_windows(F.col("n_samples"), hop))
-    fits = plan_fits(lengths, hop)
     dense = spine.join(binned, WINDOW, "left").fillna(0, ["n"])
     total = binned.groupBy(*KEYS).agg(F.sum("n").alias("_total"))
-    summed = running_sum(dense, KEYS, "window_no", F.col("n"), "_cum", fits=fits).join(total, KEYS, "left")
-    wide, order, keep = neighbours(summed, KEYS, "window_no", max(ladder), fits=fits)
+    summed = running_sum(dense, KEYS, "window_no", F.col("n"), "_cum").join(total, KEYS, "left")
+    wide, order, keep = neighbours(summed, KEYS, "window_no", max(ladder))
     prior = F.coalesce(F.lag("_cum").over(order), F.lit(0))
     reach = {k: F.coalesce(F.lead("_cum", k - 1).over(order), F.col("_total"), F.lit(0)) - prior for k in ladder}
     need = F.coalesce(*[F.when(c >= min_frames, F.lit(k)) for k, c in reach.items()], F.lit(-1))
@@ -321,15 +298,14 @@ def cadence(packets: DataFrame) -> DataFrame:
 
 
 def interpolate(points: DataFrame, grid: DataFrame, keys: list[str], t: str = "t", y: str = "y",
-                size: int = BLOCK, fits: bool | None = None) -> DataFrame:
+                size: int = BLOCK) -> DataFrame:
     """Linear interpolation of ``points`` at the ``grid`` times, edges held."""
     both = points.select(*keys, t, y, F.lit(False).alias("_g")).unionByName(
         grid.select(*keys, t, F.lit(None).cast("double").alias(y), F.lit(True).alias("_g")))
     merged = both.groupBy(*keys, t).agg(F.max(y).alias(y), F.bool_or("_g").alias("_g"))
-    fits = group_fits(merged, keys) if fits is None else fits
     seen = F.when(F.col(y).isNotNull(), F.struct(F.col(t).alias("t"), F.col(y).alias("y")))
-    around = carry(merged, keys, t, seen, "_p", size=size, fits=fits)
-    around = carry(around, keys, t, seen, "_n", size=size, fits=fits, forward=False)
+    around = carry(merged, keys, t, seen, "_p", size=size)
+    around = carry(around, keys, t, seen, "_n", size=size, forward=False)
     share = F.try_divide((F.col(t) - F.col("_p.t")).cast("double"), F.col("_n.t") - F.col("_p.t"))
     value = F.col("_p.y") + (F.col("_n.y") - F.col("_p.y")) * F.coalesce(share, F.lit(0.0))
     return around.where("_g").select(*keys, t, F.coalesce(value, F.col("_p.y"), F.col("_n.y")).alias(y))

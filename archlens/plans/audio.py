@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import bitrate_text, channel_parts, is_pcm, samples_from_seconds
 from ..operators.ordered import carry, neighbours, running_sum
-from ..operators.sizing import group_fits
 from ..session import cut_lineage
 
 # Codecs an output format can be inherited from, and lossless formats.
@@ -140,16 +139,15 @@ def output_groups(entries: DataFrame, group_size: int) -> DataFrame:
     Runs of primary and external channels alternate; a primary run breaks where
     its source stream changes, an external one after every ``group_size``.
     """
-    fits = group_fits(entries, ["plan_id"])
-    wide, window, keep = neighbours(entries, ["plan_id"], "output_index", 1, fits=fits)
+    wide, window, keep = neighbours(entries, ["plan_id"], "output_index", 1)
     lag = lambda c: F.lag(c).over(window)
     new_run = lag("kind").isNull() | (lag("kind") != F.col("kind"))
     other = ~lag("source_id").eqNullSafe(F.col("source_id")) | ~lag("stream_index").eqNullSafe(F.col("stream_index"))
     marked = wide.withColumn("_run", new_run).withColumn("_other", other).where(keep).select(*entries.columns, "_run", "_other")
-    placed = carry(marked, ["plan_id"], "output_index", F.when(F.col("_run"), F.col("output_index")), "_from", fits=fits)
+    placed = carry(marked, ["plan_id"], "output_index", F.when(F.col("_run"), F.col("output_index")), "_from")
     starts = F.col("_run") | F.when(F.col("kind") == "primary", F.col("_other")).otherwise(
         (F.col("output_index") - F.col("_from")) % group_size == 0)
-    grouped = running_sum(placed, ["plan_id"], "output_index", F.when(starts, 1).otherwise(0), "group_no", fits=fits)
+    grouped = running_sum(placed, ["plan_id"], "output_index", F.when(starts, 1).otherwise(0), "group_no")
     return grouped.groupBy("plan_id", "group_no", "kind").agg(
         F.count(F.lit(1)).alias("n_channels"), F.min("output_index").alias("first_output"), F.max("output_index").alias("last_output"))
 

@@ -12,11 +12,3 @@ def spark():
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()
-
-
-@pytest.fixture
-def split(spark):
-    """Force the split form of every per-key operator."""
-    spark.conf.set("spark.archlens.groupLimit", "0")
-    yield spark
-    spark.conf.unset("spark.archlens.groupLimit")

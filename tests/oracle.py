@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 
@@ -66,8 +65,6 @@ def main() -> int:
     keys = [k for k in registry.QUERIES if not sys.argv[2:] or
             any(k == a or k.startswith(a) for a in sys.argv[2:])]
     spark = session.local_session()
-    if os.environ.get("GROUP_LIMIT"):
-        spark.conf.set("spark.archlens.groupLimit", os.environ["GROUP_LIMIT"])
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []

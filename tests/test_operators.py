@@ -9,14 +9,6 @@ from archlens.operators import curves as c, decide as d, ordered as o, windows a
 from archlens.operators.quantiles import exact_quantiles
 
 
-@pytest.fixture(params=["plain", "split"])
-def forms(request, spark):
-    if request.param == "split":
-        spark.conf.set("spark.archlens.groupLimit", "0")
-    yield spark
-    spark.conf.unset("spark.archlens.groupLimit")
-
-
 def hot_rows(n=600):
     """Two thirds of the rows in one key, with repeated and extreme values."""
     rng = np.random.default_rng(7)
@@ -27,9 +19,9 @@ def hot_rows(n=600):
     return [(int(k), i, float(v)) for i, (k, v) in enumerate(zip(key, value))]
 
 
-def test_quantiles(forms):
+def test_quantiles(spark):
     rows = hot_rows()
-    df = forms.createDataFrame(rows, "k bigint, i bigint, v double").repartition(5)
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v double").repartition(5)
     got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.05, "m": 0.5, "z": 0.95, "t": 1.0}, count="n").collect()}
     for k in {r[0] for r in rows}:
         v = [r[2] for r in rows if r[0] == k]
@@ -37,9 +29,32 @@ def test_quantiles(forms):
         assert got[k].n == len(v)
 
 
-def test_ordered_operators(forms):
+def test_quantiles_split_close_values(spark):
+    """200,000 values within 0.02 % of each other under one key: no task orders many of them."""
+    df = spark.range(200_000).selectExpr("1L AS k", "1000 + pmod(id * 7919, 200000) * 1e-6 AS v")
+    from archlens.operators import quantiles as q
+    largest = df.groupBy("k", q._fine_bin(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 1000
+    got = exact_quantiles(df, ["k"], "v", {"p": 0.25, "m": 0.5}).first()
+    np.testing.assert_allclose([got.p, got.m], [1000 + 199999e-6 * 0.25, 1000 + 199999e-6 * 0.5], atol=1e-9)
+
+
+def test_median_slope_of_many_points(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n, ties in ((0, False), (1, False), (2, False), (30, True), (500, False), (500, True), (500, "two"), (401, "two")):
+        x, y = np.arange(float(n)), rng.normal(size=n).cumsum()
+        y = np.where(np.arange(n) < n // 2, 0.0, np.arange(n) * 1.0) if ties == "two" else np.round(y) if ties else y
+        i, j = np.triu_indices(n, 1)
+        want = float(np.median((y[j] - y[i]) / (x[j] - x[i]))) if n > 1 else 0.0
+        for at_once in (c.SLOPES_AT_ONCE, 3000):
+            monkeypatch.setattr(c, "SLOPES_AT_ONCE", at_once)
+            assert abs(c.median_slope(x, y) - want) < 1e-12
+        monkeypatch.undo()
+
+
+def test_ordered_operators(spark):
     rows = [(k, i, None if i % 3 else v) for k, i, v in hot_rows()]
-    df = forms.createDataFrame(rows, "k bigint, i bigint, v double").repartition(5)
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v double").repartition(5)
     out = o.carry(df, ["k"], "i", F.col("v"), "prev", size=16, strict=True)
     out = o.carry(out, ["k"], "i", F.col("v"), "next", size=16, forward=False)
     out = o.running_sum(out, ["k"], "i", F.lit(1), "n", size=16)
@@ -55,24 +70,24 @@ def test_ordered_operators(forms):
             assert got[i].n == at + 1 and got[i].top == (max(before) if before else None)
 
 
-def test_runs_across_blocks(forms):
+def test_runs_across_blocks(spark):
     flags = [1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1]
-    df = forms.createDataFrame([(1, i, bool(f)) for i, f in enumerate(flags)], "k bigint, i bigint, f boolean")
+    df = spark.createDataFrame([(1, i, bool(f)) for i, f in enumerate(flags)], "k bigint, i bigint, f boolean")
     got = sorted(tuple(r) for r in o.runs(df, ["k"], "i", F.col("f"), size=4).select("run_start", "run_length", "flag").collect())
     assert got == [(0, 2, True), (2, 3, False), (5, 1, True), (6, 13, False), (19, 1, True)]
 
 
-def test_merge_intervals(forms):
+def test_merge_intervals(spark):
     rows = [(1, 0, 10), (1, 10, 5), (1, 17, 3), (1, 40, 0), (1, 2, 3), (1, 2, 3), (1, 100, 50), (1, 120, 5)]
-    df = forms.createDataFrame(rows, "k bigint, start bigint, count bigint")
+    df = spark.createDataFrame(rows, "k bigint, start bigint, count bigint")
     merged = lambda gap: sorted((r.start, r["count"]) for r in w.merge_intervals(df, ["k"], gap, size=8).collect())
     assert merged(0) == [(0, 15), (17, 3), (100, 50)]
     assert merged(2) == [(0, 20), (100, 50)]
 
 
-def test_clamp_jumps(forms):
+def test_clamp_jumps(spark):
     y = [0.0, 100.0, 10.0, -500.0, 20.0, 21.0]
-    df = forms.createDataFrame([(1, i, len(y), v) for i, v in enumerate(y)], "k bigint, idx bigint, n bigint, y double")
+    df = spark.createDataFrame([(1, i, len(y), v) for i, v in enumerate(y)], "k bigint, idx bigint, n bigint, y double")
     want = [y[0]]
     for v in y[1:]:
         want.append(min(max(v, want[-1] - 30), want[-1] + 30))
@@ -80,7 +95,7 @@ def test_clamp_jumps(forms):
     assert [r.y for r in got] == want
     chunked = c.clamp_jumps(df, ["k"], 30.0, adaptive=False, chunk=2).orderBy("idx").collect()
     assert [r.y for r in chunked] == want
-    steep = forms.createDataFrame([(1, i, 6, i * 90.0) for i in range(6)], "k bigint, idx bigint, n bigint, y double")
+    steep = spark.createDataFrame([(1, i, 6, i * 90.0) for i in range(6)], "k bigint, idx bigint, n bigint, y double")
     assert [r.y for r in c.clamp_jumps(steep, ["k"]).orderBy("idx").collect()] == [i * 90.0 for i in range(6)]
 
 
@@ -102,7 +117,7 @@ def _halve(t, y, a, b, min_seg, limit):
     return _halve(t, y, a, mid, min_seg, limit) + _halve(t, y, mid, b, min_seg, limit)
 
 
-def test_piecewise_segments(forms):
+def test_piecewise_segments(spark):
     rng = np.random.default_rng(5)
     rows, want = [], {}
     for k in range(3):
@@ -115,7 +130,7 @@ def test_piecewise_segments(forms):
         seams = np.abs(np.diff(med))
         want[k] = (len(segs), np.percentile(resid, 50), int((seams > 48).sum()))
         rows += [(k, 0, 1, i, int(ti), float(yi)) for i, (ti, yi) in enumerate(zip(t, y))]
-    df = forms.createDataFrame(rows, "file_id bigint, ref bigint, tgt bigint, frame_no bigint, center_sample bigint, delay_samples double")
+    df = spark.createDataFrame(rows, "file_id bigint, ref bigint, tgt bigint, frame_no bigint, center_sample bigint, delay_samples double")
     for r in c.piecewise_segments(df, min_seg=500, threshold=48.0).collect():
         segs, p50, seam = want[r.file_id]
         assert r.segments == segs and r.residual_p50 == pytest.approx(p50) and r.seam_gt_48 == seam
@@ -167,22 +182,22 @@ def test_connected_groups_long_chain(spark):
     assert {got[i] for i in range(26)} == {0} and got[31] == 30 and got[35] == 35
 
 
-def test_grid_and_constant_curve(forms):
-    df = forms.createDataFrame([(1, 2.5, 10.0), (1, 6.0, 17.0), (2, 0.0, 3.0)], "k bigint, t_sec double, y double")
+def test_grid_and_constant_curve(spark):
+    df = spark.createDataFrame([(1, 2.5, 10.0), (1, 6.0, 17.0), (2, 0.0, 3.0)], "k bigint, t_sec double, y double")
     out = c.on_grid(df, ["k"], 9)
     got = [r.y for r in out.where("k = 1").orderBy("t_sec").collect()]
     np.testing.assert_allclose(got, np.interp(np.arange(9), [2.5, 6.0], [10.0, 17.0]))
     assert [r.y for r in out.where("k = 2").collect()] == [3.0] * 9
 
 
-def test_weighted_median(forms):
+def test_weighted_median(spark):
     rows = [(1, 5.0, 1.0), (1, 1.0, 1.0), (1, 9.0, 2.0), (2, 4.0, 0.0), (2, 8.0, 0.0)]
-    df = forms.createDataFrame(rows, "k bigint, v double, w double")
+    df = spark.createDataFrame(rows, "k bigint, v double, w double")
     assert {r.k: r.median for r in c.weighted_median(df, ["k"], "v", "w").collect()} == {1: 5.0, 2: 6.0}
 
 
-def test_gap_states_start_trusted(forms):
-    df = forms.createDataFrame([(1, 0, 1, i, v) for i, v in enumerate([False, True, True, False, True])],
+def test_gap_states_start_trusted(spark):
+    df = spark.createDataFrame([(1, 0, 1, i, v) for i, v in enumerate([False, True, True, False, True])],
                                "file_id bigint, ref bigint, tgt bigint, window_no bigint, valid boolean")
     states = [r.state for r in w.gap_states(df).orderBy("window_no").collect()]
     assert states == ["UNRESOLVED_GAP", "REENTRY", "TRUSTED", "UNRESOLVED_GAP", "REENTRY"]

@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB text, and both forms of split operators."""
+"""Every registered query against its DuckDB text."""
 import pytest
 
 from archlens import registry
@@ -6,10 +6,6 @@ from tests import oracle
 from tests.conftest import SF
 
 registry.load()
-# queries whose plans branch on group size
-SPLIT = ["flagship", "agg_01", "agg_02", "sig_07", "sig_03", "sig_14", "win_01", "win_02", "win_03", "win_04", "win_09",
-         "win_11", "jon_06", "agg_05", "agg_06", "agg_07", "agg_09", "agg_18", "agg_22", "win_05", "win_07", "win_08",
-         "dec_13", "dec_21", "str_03_rolling"]
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +17,3 @@ def duck():
 def test_query(spark, duck, key):
     ok, note = oracle.compare(spark, duck, key, SF)
     assert ok, note
-
-
-@pytest.mark.parametrize("key", SPLIT)
-def test_split_form(split, duck, key):
-    ok, note = oracle.compare(split, duck, key, SF)
-    assert ok, note
