@@ -17,7 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from archlens.llm import words as W
+from archlens.llm.batches import bounded
 from archlens.llm.registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -324,7 +324,7 @@ def round_trip(docs: DataFrame, *, text: str = "text", path: str = VOCABULARY, w
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers))))
         return pa.StructArray.from_arrays(columns, kind.names)
-    return docs.withColumn("bpe", run.asNondeterministic()(F.col(text)))
+    return bounded(docs).withColumn("bpe", run.asNondeterministic()(F.col(text)))
 
 
 @query("op10_byte_bpe")

@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from archlens.llm.batches import bounded
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
 
@@ -114,7 +115,7 @@ def find_licences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     Null and empty texts have neither. The list of known texts is part of the
     program, so its few digests are broadcast, and only hits are shuffled.
     """
-    read = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    read = cut_lineage(bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
                        .withColumn("d", _digests.asNondeterministic()("text"))
                        .select("doc_id", "d.whole", "d.lines"))
     names = F.broadcast(known_licences(docs.sparkSession, known))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from archlens.llm import words as W
+from archlens.llm.batches import bounded
 from archlens.llm.registry import query, table
 
 SHORT_LINE = 30          # words; longer lines are prose, whatever phrases they hold
@@ -114,7 +115,7 @@ def apply_rules(docs: DataFrame, *, text: str = "text", with_text: bool = False)
     ``rules`` is replaced.
     """
     run = (_cleaned if with_text else _counts).asNondeterministic()  # else each use of a field runs it again
-    return docs.withColumn("rules", run(F.col(text)))
+    return bounded(docs).withColumn("rules", run(F.col(text)))
 
 
 def keep_clean(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from archlens.llm import bags as B, words as W
+from archlens.llm.batches import bounded
 from archlens.llm.components import components
 from archlens.llm.grouped import sorted_groups
 from archlens.llm.registry import query, table
@@ -169,7 +170,7 @@ def duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     null id is a class of its own with a null ``class_id``, and is kept. Rows
     that repeat an id with equal texts are all in its class.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(source.withColumn("s", _signed.asNondeterministic()("text"))
                          .select("doc_id", "s.bag", "s.bands"))
     named = signed.where("doc_id IS NOT NULL AND bag IS NOT NULL")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from archlens.llm import token_stream as S
+from archlens.llm.batches import bounded
 from archlens.llm.registry import query, table
 
 LENGTH = 2048
@@ -125,7 +126,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
     input splits give the same rows.
     """
     assert 1 < length <= 65_536
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+    rows = bounded(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(functools.partial(_pack, length=length, window=window), COLUMNS)
 
 

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from archlens.llm import words as W
+from archlens.llm.batches import bounded
 from archlens.llm.mixing import uniform
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
@@ -51,7 +52,7 @@ def _statistics(texts: pa.Array) -> pa.Array:
 
 def with_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` plus the struct column ``stats``; one pass, no shuffle. Null and empty texts give zeros."""
-    return docs.withColumn("stats", _statistics.asNondeterministic()(F.col(text)))
+    return bounded(docs).withColumn("stats", _statistics.asNondeterministic()(F.col(text)))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from archlens.llm import token_stream as S
+from archlens.llm.batches import bounded
 from archlens.llm.prefix import running
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage, scratch_path
@@ -51,7 +52,7 @@ def write_token_files(docs: DataFrame, path: str, *, text: str = "text") -> None
     byte, which every run ends with, so files hold ids and nothing else.
     """
     last = S.END.to_bytes(2, "big")[1:].decode("ascii")
-    runs = docs.select(F.col(text).cast("string")).mapInArrow(_flat, "ids binary")
+    runs = bounded(docs).select(F.col(text).cast("string")).mapInArrow(_flat, "ids binary")
     runs.select(F.col("ids").cast("string")).write.option("lineSep", last).option(
         "maxRecordsPerFile", FILE_CHUNKS).text(path)
 
@@ -85,7 +86,7 @@ def document_counts(spark: SparkSession, path: str, *, end: int = S.END, block:
     the last end before it from running totals.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    scanned = cut_lineage(files.mapInArrow(functools.partial(_scan, end=end, block=block),
+    scanned = cut_lineage(bounded(files).mapInArrow(functools.partial(_scan, end=end, block=block),
                                            "path string, n_ids long, n_ends long, ends array<long>"))
     order = [F.col("path").asc()]
     placed = running(scanned.select("path", "n_ids", "n_ends"), order, {"base": "n_ids", "first_no": "n_ends"},

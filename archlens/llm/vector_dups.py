@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from archlens.llm.batches import bounded
 from archlens.llm.components import components
 from archlens.llm.grouped import sorted_groups
 from archlens.llm.registry import query, table
@@ -137,7 +138,7 @@ def vector_classes(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     as the largest. Equal rows all link with each other.
     """
     signed = cut_lineage(
-        vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
+        bounded(vectors).select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
         .withColumn("s", _signed.asNondeterministic()("vector", "label"))
         .select("vec_id", "label", "s.*"))
     nodes = cut_lineage(signed.where("name IS NOT NULL").groupBy("name").agg(
