@@ -135,14 +135,16 @@ def snk_03(spark, sf):
     return spark.read.parquet(path).withColumn("run", F.col("meta")["run"]).drop("meta")
 
 
-@query("str_03", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k)) GROUP BY ALL""")
+@query("str_03", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k))
+ WHERE window_start + 7200 <= (SELECT epoch_us(max(ts)) / 1000000 - 3600 FROM events) GROUP BY ALL""")
 def str_03(spark, sf):
+    """Windows that the watermark has closed, each written once."""
     path = scratch_path(spark)
     done = stream_of(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS backend", "value AS fps")
     windows = jobs.throughput(done, window="2 hours", slide="1 hour", late="1 hour")
-    writer = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/windows")).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/windows").withColumn("window_start", F.unix_seconds("window_start"))
+    writer = windows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.format("parquet").start(f"{path}/windows").awaitTermination()
+    out = spark.read.schema(windows.schema).parquet(f"{path}/windows").withColumn("window_start", F.unix_seconds("window_start"))
     return rounded(out.withColumn("fps_sum", F.round("fps_sum", 4)))
 
 

@@ -152,3 +152,17 @@ def test_resumable_skips_finished(spark, tmp_path):
     run("cp1")
     run("cp2")  # the checkpoint is lost: the finished table alone must prevent repeats
     assert sorted(r.source for r in spark.read.parquet(str(tmp_path / "done")).collect()) == ["a", "b", "c"]
+
+
+def test_throughput_drops_late_rows(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "t string, backend string, fps double").selectExpr("CAST(t AS TIMESTAMP) AS ts", "backend", "fps")
+    batches = [rows(("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0)), rows(("2024-01-01 09:00:00", "a", 4.0)),
+               rows(("2024-01-01 00:20:00", "a", 100.0), ("2024-01-01 20:00:00", "a", 8.0))]  # the first of these is too late
+    for number, batch in enumerate(batches):
+        batch.coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+        stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        windows = jobs.throughput(stream, window="1 hour", slide="1 hour", late="1 hour")
+        writer = windows.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        writer.format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.n, r.fps_sum) for r in got] == [(0, 2, 3.0), (9, 1, 4.0)]
