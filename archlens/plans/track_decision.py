@@ -23,23 +23,43 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
                   min_shift_samples: int = 5) -> DataFrame:
     """One row per channel: anchor, fixed, already aligned, or untouched with the reason.
 
-    The first healthy channel anchors its file. Files of three or more channels
-    with just two healthy ones are left alone.
+    The first healthy channel that some later healthy channel correlates with
+    anchors its file; where there is none, the first healthy one. Files of three
+    or more channels with just two healthy ones are left alone.
     """
     health = cut_lineage(channel_health(blocks, silent_dbfs))
     files = health.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("healthy").alias("n_healthy"), F.min(F.when(F.col("healthy"), F.col("channel"))).alias("anchor"))
+        F.count(F.lit(1)).alias("n"), F.count_if("healthy").alias("n_healthy"),
+        F.array_sort(F.collect_list(F.when(F.col("healthy"), F.col("channel")))).alias("candidates"))  # at most 8
     two_only = (F.col("n") >= 3) & (F.col("n_healthy") == 2)
     scope = files.withColumn("skip", F.when(F.col("n_healthy") == 0, "no_valid_anchor").when(two_only, "two_channel_only"))
-    tracks = health.join(scope, "file_id")
-    measured = tracks.where(F.col("skip").isNull() & F.col("healthy") & (F.col("channel") != F.col("anchor"))).select(
-        "file_id", F.col("anchor").alias("ref"), F.col("channel").alias("tgt"))
     lengths = g.pcm.channel_lengths(blocks, g.CH, size)
     n = lambda name: lengths.select("file_id", F.col("channel").alias(name), F.col("n_samples").alias(f"n_{name}"))
-    pairs = measured.join(n("ref"), ["file_id", "ref"]).join(n("tgt"), ["file_id", "tgt"]).select(*t.KEYS, F.least("n_ref", "n_tgt").alias("n_samples"))
-    frames = g.frame_delays(blocks, size, frame=frame, hop=hop, search=search, pairs=pairs)
     usable = F.col("success") & (F.col("confidence") >= min_confidence)
-    frames = cut_lineage(frames.select(*t.KEYS, "frame_no", "center_sample", F.when(usable, F.col("delay")).alias("delay_samples"), "confidence"))
+
+    def measure(left: DataFrame, k: int) -> DataFrame:
+        """Frames of the k-th candidate against every later one."""
+        later = F.slice("candidates", k + 2, F.size("candidates"))
+        pairs = left.where(F.size("candidates") > k + 1).select(
+            "file_id", F.col("candidates")[k].alias("ref"), F.explode(later).alias("tgt"))
+        pairs = pairs.join(n("ref"), ["file_id", "ref"]).join(n("tgt"), ["file_id", "tgt"]).select(*t.KEYS, F.least("n_ref", "n_tgt").alias("n_samples"))
+        frames = g.frame_delays(blocks, size, frame=frame, hop=hop, search=search, pairs=pairs)
+        return cut_lineage(frames.select(*t.KEYS, "frame_no", "center_sample", F.when(usable, F.col("delay")).alias("delay_samples"), "confidence"))
+
+    left, k = scope.where(F.col("skip").isNull()).select("file_id", "candidates"), 0
+    first = frames = measure(left, 0)
+    while True:  # at most one round per channel, and only files without an anchor go on
+        related = frames.groupBy(*t.KEYS).agg(F.count("delay_samples").alias("k")).where(F.col("k") >= min_usable).select("file_id").distinct()
+        k += 1
+        left = cut_lineage(left.join(related, "file_id", "left_anti"))
+        if left.where(F.size("candidates") > k + 1).isEmpty():
+            break
+        frames = frames.join(left, "file_id", "left_anti").unionByName(measure(left, k))
+    # a file that no candidate helps is reported from its first one
+    frames = cut_lineage(frames.join(left, "file_id", "left_anti").unionByName(first.join(left, "file_id", "left_semi")))
+    chosen = frames.groupBy("file_id").agg(F.min("ref").alias("chosen"))
+    scope = scope.join(chosen, "file_id", "left").withColumn("anchor", F.coalesce("chosen", F.try_element_at("candidates", F.lit(1)))).drop("candidates", "chosen")
+    tracks = health.join(scope, "file_id")
     found = t.constant_offsets(frames, rate, mad_max_ms=mad_max_ms, max_ppm=max_ppm, drift_min_ms=drift_min_ms, min_usable=min_usable,
                                min_confidence=min_confidence, aligned_max_ms=aligned_max_ms, min_shift_samples=min_shift_samples)
     edge = t.boundary_pileup(frames, search)
@@ -47,7 +67,8 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
     found = found.join(edge, t.KEYS).join(total, t.KEYS).withColumn("coverage", F.col("usable_frames") / F.col("total_frames"))
     out = tracks.join(found.withColumnRenamed("tgt", "channel").drop("ref"), g.CH, "left")
     reason = (F.when(F.col("skip").isNotNull(), F.col("skip")).when(~F.col("finite"), "non_finite").when(~F.col("healthy"), "silent_track")
-              .when(F.col("channel") == F.col("anchor"), None).when(F.col("outcome").isNull(), "insufficient_frames")
+              .when(F.col("channel") == F.col("anchor"), None).when(F.col("channel") < F.col("anchor"), "uncorrelated")
+              .when(F.col("outcome").isNull(), "insufficient_frames")
               .when(F.col("edge_share") > 0.5, "out_of_range").when(F.col("coverage") < min_fraction, "evidence_insufficient")
               .when(F.col("outcome").isin("fixed", "already_aligned"), None).otherwise(F.col("outcome")))
     return out.withColumn("reason", reason).select(

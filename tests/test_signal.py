@@ -177,3 +177,17 @@ def test_score_offsets_reaches_far_lags(spark):
     assert set(got) == {0, 1, 2, 3}
     assert got[0].score > 0.999 and got[0].offsets == [0] and got[1].score < 0.2
     assert got[2].near_score > 0.999 and got[2].offsets == [-2] and got[3].score == 0
+
+
+def test_anchor_moves_on_from_an_uncorrelated_channel(spark):
+    rng = np.random.default_rng(8)
+    signal = rng.normal(size=16500)
+    own = [rng.normal(size=16384), signal[100:16484], signal[88:16472], signal[80:16464]]
+    other = [rng.normal(size=16384) for _ in range(3)]  # nothing fits anything
+    rows = [(f, c, k, (x[k * 512:(k + 1) * 512] * 0.1).astype(np.float32).tolist())
+            for f, channels in ((1, own), (2, other)) for c, x in enumerate(channels) for k in range(32)]
+    blocks = spark.createDataFrame(rows, "file_id long, channel long, block_no long, samples array<float>")
+    got = {(r.file_id, r.channel): r for r in td.decide_tracks(blocks, 512, rate=RATE, frame=1024, hop=512, search=64).collect()}
+    assert (got[1, 0].decision, got[1, 0].reason) == ("untouched", "uncorrelated") and got[1, 1].decision == "anchor"
+    assert [round(got[1, c].offset_samples) for c in (2, 3)] == [12, 20] and got[1, 3].decision == "fixed"
+    assert got[2, 0].decision == "anchor" and {got[2, c].decision for c in (1, 2)} == {"untouched"}
