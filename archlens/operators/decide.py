@@ -103,7 +103,7 @@ def compose_reference(decisions: DataFrame, estimates: DataFrame) -> DataFrame:
         "file_id", "track_id", "ref_id", (F.col("ref_shift") + F.col("delay_samples")).alias("composed_samples"))
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component of each node: the smallest label reachable over the edges.
 
     Labels start at the node and shrink by the neighbours' minimum; each round
@@ -114,7 +114,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:  # each round lowers some label, so it ends
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a, "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -124,7 +124,6 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 64
         labels = step.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def pair_edges(pairs: DataFrame, threshold: float, min_samples: int) -> DataFrame:
@@ -139,10 +138,16 @@ def group_anchors(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.groupBy("label").agg(F.min_by("member", F.struct(last, "member")).alias("anchor"), F.count(F.lit(1)).alias("n_members"))
 
 
-def rigid_pairs(windows: DataFrame, strengths: DataFrame, *, min_windows: int = 8, gates: dict = BINDING) -> DataFrame:
-    """Pairs rigid enough to bind, with their evidence (one row per candidate)."""
+def rigid_pairs(windows: DataFrame, strengths: DataFrame, *, min_windows: int = 8, min_samples: int = 0,
+                storages: DataFrame | None = None, gates: dict = BINDING) -> DataFrame:
+    """Pairs rigid enough to bind, with their evidence (one row per candidate).
+
+    A candidate's strength rests on ``min_samples`` samples or more. Channels of
+    different ``storages`` (file_id, channel, storage) are never bound.
+    """
     keys = ["file_id", "a", "b"]
-    cand = strengths.where(F.col("median") >= gates["candidate_snr"]).select(*keys, "median")
+    strong = (F.col("median") >= gates["candidate_snr"]) & (F.col("samples") >= min_samples)
+    cand = strengths.where(strong).select(*keys, "median")
     rows = windows.join(cand, keys)
     valid = rows.where("valid")
     q = exact_quantiles(valid, keys, "delay_samples", {"lag10": 0.1, "lag90": 0.9})
@@ -154,9 +159,16 @@ def rigid_pairs(windows: DataFrame, strengths: DataFrame, *, min_windows: int =
     span = F.col("lag90") - F.col("lag10")
     enough = F.col("n_valid") >= F.greatest(F.lit(min_windows), F.floor(F.col("n_windows") * 0.5))
     rigid = enough & (F.col("abs_cc") >= gates["min_abs_cc"]) & (span <= gates["lag_span"]) & (same >= gates["same_sign"])
-    return counts.join(q, keys, "left").join(c, keys, "left").select(
+    found = counts.join(q, keys, "left").join(c, keys, "left")
+    alike = F.lit(True)
+    if storages is not None:
+        kind = lambda name: storages.select("file_id", F.col("channel").alias(name), F.col("storage").alias(f"_{name}"))
+        found = found.join(kind("a"), ["file_id", "a"], "left").join(kind("b"), ["file_id", "b"], "left")
+        alike = F.col("_a").eqNullSafe(F.col("_b"))
+    return found.select(
         *keys, "median", "n_valid", "abs_cc", span.alias("lag_span"), same.alias("same_sign"),
-        F.coalesce(rigid, F.lit(False)).alias("rigid"))
+        (F.coalesce(rigid, F.lit(False)) & alike).alias("rigid"),
+        F.when(~alike, "storage_dtype_mismatch").alias("reason"))
 
 
 def bind_pairs(candidates: DataFrame) -> DataFrame:

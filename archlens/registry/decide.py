@@ -103,8 +103,11 @@ def dec_08(spark, sf):
     base = view(spark, sf, "events").selectExpr(
         "user_id AS file_id", "event_id % 3 AS a", "3 + event_id % 2 AS b", "event_type <> 'error' AS valid",
         "CASE WHEN user_id % 2 = 0 THEN value / 200 ELSE value END AS delay_samples", "0.9 + (event_id % 10) / 100.0D AS signed_cc")
-    strengths = base.groupBy("file_id", "a", "b").agg((1.4 + (F.sum("a") % 5) / 10).alias("median"))
-    return d.bind_pairs(d.rigid_pairs(base, strengths))
+    strengths = base.groupBy("file_id", "a", "b").agg(
+        (1.4 + (F.sum("a") % 5) / 10).alias("median"), F.count(F.lit(1)).alias("samples"))
+    storages = base.selectExpr("file_id", "explode(array(a, b)) AS channel").distinct().withColumn(
+        "storage", F.when(F.col("file_id") % 7 == F.col("channel"), "s16").otherwise("s24"))
+    return d.bind_pairs(d.rigid_pairs(base, strengths, min_samples=8, storages=storages))
 
 
 @query("dec_09")

@@ -163,7 +163,13 @@ def test_rigid_pairs(spark):
     rows = [(1, 0, 1, True, 10.0 + i % 3, 0.95) for i in range(20)] + [(1, 2, 3, True, 10.0 * i, 0.95) for i in range(20)]
     win = spark.createDataFrame(rows, "file_id bigint, a bigint, b bigint, valid boolean, delay_samples double, signed_cc double")
     strong = spark.createDataFrame([(1, 0, 1, 1.8), (1, 2, 3, 1.7)], "file_id bigint, a bigint, b bigint, median double")
+    strong = strong.withColumn("samples", F.lit(20))
     assert {(r.a, r.b): r.rigid for r in d.rigid_pairs(win, strong).collect()} == {(0, 1): True, (2, 3): False}
+    assert d.rigid_pairs(win, strong, min_samples=21).count() == 0
+    kinds = win.select("file_id").distinct().selectExpr("file_id", "explode(array(0L, 1L, 2L, 3L)) AS channel").selectExpr(
+        "*", "CASE WHEN channel = 1 THEN 's16' ELSE 's24' END AS storage")
+    got = {(r.a, r.b): (r.rigid, r.reason) for r in d.rigid_pairs(win, strong, storages=kinds).collect()}
+    assert got == {(0, 1): (False, "storage_dtype_mismatch"), (2, 3): (False, None)}
 
 
 def test_robust_line_ignores_outliers(spark):
