@@ -199,6 +199,13 @@ def test_classes_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_one_row_of_each_class_stays(spark):
+    rows = near_dups.keep_one(spark.createDataFrame(awkward_rows(), SCHEMA)).collect()
+    ids = sorted((r.doc_id for r in rows), key=lambda k: (k is None, k or 0))
+    # 2 and 3 are copies of 1, 8 of 7 and the second 9 of the first; 11 names two texts; rows without an id stay
+    assert ids == [1, 4, 5, 6, 7, 9, 10, 11, 11, None, None]
+
+
 def test_unsettled_buckets_are_looked_at_again(spark, monkeypatch):
     members = spark.createDataFrame([(1, 0, k) for k in range(40)], "key long, a long, node long")
     roots = spark.createDataFrame([(k, k // 10 * 10) for k in range(40)], "node long, root long")
