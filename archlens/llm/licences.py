@@ -1,7 +1,7 @@
 """Licences of documents by canonical digests.
 
-A text is reduced to its words: letter case, punctuation, copyright lines and
-spelling variants go. The digest of what is left is hash-joined with the
+A text is reduced to its words: letter case, punctuation, comment markers,
+copyright lines and spelling variants go. The digest of what is left is hash-joined with the
 digests of known licences. Lines are looked up the same way, as licence
 notices often stand alone in one.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -20,7 +21,9 @@ from archlens.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+")
 COPYRIGHT = re.compile(
-    r"^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|\d{4}|by\b)|\(c\)[ \t]*\d{4}|©|all rights reserved\b)[^\n]*",
+    r"^[^\w\n]*(?:copyright[ \t]*(?:\(c\)|©|\d{4}|by\b|[\[{<]|notice[ \t]*>"
+    r"|(?-i:(?<=Copyright)[ \t]+(?!Holder|Owner|Law|Notice|License|Act)[A-Z]))"
+    r"|\(c\)[ \t]*\d{4}|©|all rights reserved\b)[^\n]*",
     re.IGNORECASE | re.MULTILINE)
 
 # fixed values: spellings taken as equal
@@ -41,9 +44,10 @@ _NO_WARRANTY = (
     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
     "USE OR PERFORMANCE OF THIS SOFTWARE.")
 
-# fixed values: licences and notices known from the start, (name, text)
+# fixed values: licences and notices known from the start, (name, text); the published forms are in full_texts
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -69,6 +73,69 @@ KNOWN = [
 ]
 
 
+def _text(name: str) -> str:
+    return resources.files(__package__).joinpath("licence_texts", f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _titled(name: str, bodies: list[str], titles: list[str]) -> list[tuple[str, str]]:
+    return [(name, f"{title}\n{body}") for body in bodies for title in ["", *titles]]
+
+
+def _with(bodies: list[str], old: str, *new: str) -> list[str]:
+    """The bodies, and each with the words ``old`` in other published wordings."""
+    words = re.compile(r"\s+".join(map(re.escape, old.split())))
+    return bodies + [words.sub(lambda _, n=n: n, body) for body in bodies if words.search(body) for n in new]
+
+
+def _without_end(text: str, marks: str) -> list[str]:
+    """The text whole, and up to each line that starts what is often left out."""
+    return [text, *(text[:m.start()] for m in re.finditer(marks, text, re.MULTILINE))]
+
+
+@functools.cache
+def full_texts() -> list[tuple[str, str]]:
+    """Entire licences in the forms in which they are published: with and without title, appendix and numbers."""
+    body = {n: t for n, t in KNOWN if len(t) > 300}
+    known = _titled("MIT", [body["MIT"]], [
+        "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "The MIT License:",
+        "Expat License", "The Expat License", "Licensed under the MIT License", "This software is released under the MIT License"])
+    isc = _with([body["ISC"]], "and/or distribute", "and distribute")
+    known += _titled("ISC", isc, ["ISC License", "The ISC License", "ISC License (ISC)", "ISC", "Internet Systems Consortium license"])
+    known += _titled("0BSD", [body["0BSD"]], ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD"])
+
+    unnumbered = lambda texts: texts + [re.sub(r"^\d\.", "*", t, flags=re.MULTILINE) for t in texts]
+    two = _with(unnumbered([_text("BSD-2-Clause")]), "COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR", "COPYRIGHT HOLDERS OR", "AUTHOR OR")
+    two += [x.replace("COPYRIGHT HOLDERS AND", "AUTHOR AND") for x in two if "AUTHOR OR" in x]
+    known += _titled("BSD-2-Clause", two, [
+        "BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause", "Simplified BSD License", "FreeBSD License", "BSD License",
+        "The BSD License", "BSD-2-Clause", "BSD 2-Clause \"Simplified\" License"])
+    three = _text("BSD-3-Clause")
+    held = [three] + [re.sub(r"REGENTS\s+OR", f"{one} OR", re.sub(r"REGENTS\s+AND", "COPYRIGHT HOLDERS AND", three))
+                      for one in ("COPYRIGHT HOLDER", "COPYRIGHT OWNER", "COPYRIGHT HOLDERS")]
+    held = _with(unnumbered(held), "the name of the University", "the name of the copyright holder",
+                 "the name of the copyright holders", "the names of the copyright holders", "the name of the organization",
+                 "the name of the author", "the name of the owner")
+    held = _with(held, "names of its contributors may", "names of the contributors may", "names of any contributors may")
+    known += _titled("BSD-3-Clause", held, [
+        "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause", "The 3-Clause BSD License", "New BSD License", "Modified BSD License",
+        "Revised BSD License", "BSD License", "The BSD License", "BSD-3-Clause", "BSD 3-Clause \"New\" or \"Revised\" License"])
+
+    apache = _without_end(_text("Apache-2.0"), r"^\s*(?:END OF TERMS AND CONDITIONS|APPENDIX: )")
+    known += [("Apache-2.0", x) for x in apache]
+    known += _titled("Apache-2.0", [apache[0][apache[0].index("Licensed under the Apache License"):]], [])
+    ends = r"^\s*(?:END OF TERMS AND CONDITIONS|(?:Appendix: )?How to Apply These Terms)"
+    offices = ["59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA",
+               "<https://fsf.org/>", ""]
+    for name in ("GPL-2.0", "LGPL-2.1"):
+        texts = _with([_text(name)], "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", *offices)
+        known += [(name, x) for text in texts for x in _without_end(text, ends)]
+    known += [("GPL-3.0", x) for x in _without_end(_text("GPL-3.0"), ends)] + [("LGPL-3.0", _text("LGPL-3.0"))]
+    known += [("MPL-2.0", x) for x in _without_end(_text("MPL-2.0"), r"^Exhibit [AB] - ")]
+    known += [("CC0-1.0", _text("CC0-1.0"))]
+    free = _text("Unlicense")
+    return known + _titled("Unlicense", _without_end(free, "^For more information"), ["The Unlicense", "Unlicense"])
+
+
 def canonical(text: str) -> str:
     """The words that tell a licence apart."""
     words = WORD.findall(COPYRIGHT.sub("", text).casefold())
@@ -96,10 +163,10 @@ def _digests(texts: pa.Array) -> pa.Array:
                                       DIGESTS.names)
 
 
-def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(licence, known) of a fixed list of texts; of texts that are equal in canonical form the first counts."""
+def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(licence, known) of a fixed list of texts (default: all that are known from the start); of texts that are equal in canonical form the first counts."""
     rows: dict[bytes, str] = {}
-    for name, text in known:
+    for name, text in KNOWN + full_texts() if known is None else known:
         key = digest(canonical(text))
         if key:
             rows.setdefault(key, name)
@@ -107,7 +174,7 @@ def known_licences(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 
 
 def find_licences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-                  known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+                  known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, licence, notices) per row of ``docs``.
 
     ``licence`` is that of the entire text, null if it is none; ``notices`` are

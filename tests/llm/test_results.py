@@ -4,8 +4,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from importlib import resources
 
 import numpy as np
 import public_tokenizers
@@ -370,3 +372,28 @@ def test_licences_in_other_spellings(spark):
     got = {r.doc_id: (r.licence, r.notices) for r in licences.find_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: ("MIT", []), 2: (None, ["Apache-2.0"]), 3: ("MIT", []), 4: (None, []), 5: (None, []),
                    6: (None, ["CC-BY-NC-4.0", "MIT"])}
+
+
+def test_whole_licence_files(spark):
+    body = {n: t for n, t in licences.KNOWN if len(t) > 300}
+    wrapped = lambda name: textwrap.fill(body[name], 78)
+    full = lambda name: resources.files("archlens.llm").joinpath("licence_texts", f"{name}.txt").read_text()
+    commented = lambda text: "".join(f" * {line}\n" for line in text.split("\n"))
+    owner = "Copyright (c) 2020 Some Body <some@body.org>"
+    three = full("BSD-3-Clause").split("\n", 2)[2].replace("the University", "the copyright holder").replace(
+        "THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    texts = [
+        ("MIT", f"MIT License\n\n{owner}\n\n{wrapped('MIT')}\n"), ("MIT", f"The MIT License (MIT)\n=====\n{owner}\n{wrapped('MIT')}"),
+        ("MIT", "/*\n" + commented(f"MIT License\n\n{owner}\n\n{wrapped('MIT')}") + " */"),
+        ("MIT", f"# Copyright 2020 Some Body\n#\n# {body['MIT']}"), ("MIT", f"Copyright Some Body and others\n{wrapped('MIT')}"),
+        ("ISC", f"ISC License\n\n{owner}\n\n{wrapped('ISC')}"), ("0BSD", f"BSD Zero Clause License\n\n{owner}\n\n{wrapped('0BSD')}"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\n{owner}\nAll rights reserved.\n" + full("BSD-2-Clause").split("\n", 1)[1]),
+        ("BSD-3-Clause", f"BSD 3-Clause License\n\n{owner}\nAll rights reserved.\n{three}"), ("BSD-3-Clause", full("BSD-3-Clause")),
+        ("Apache-2.0", full("Apache-2.0")), ("Apache-2.0", full("Apache-2.0").replace("Copyright [yyyy] [name of copyright owner]", owner)),
+        ("Apache-2.0", full("Apache-2.0").split("   END OF TERMS")[0]), ("GPL-2.0", full("GPL-2.0")), ("GPL-3.0", full("GPL-3.0")),
+        ("GPL-3.0", full("GPL-3.0").split("            How to Apply")[0]), ("LGPL-2.1", full("LGPL-2.1")), ("LGPL-3.0", full("LGPL-3.0")),
+        ("MPL-2.0", full("MPL-2.0")), ("CC0-1.0", full("CC0-1.0")), ("Unlicense", full("Unlicense")),
+        (None, f"MIT License\n\n{owner}\n\n{wrapped('MIT')}\nBut not on Sundays."), (None, f"Apache License\n{wrapped('MIT')}")]
+    rows = [(k, text, "en", "a", 0) for k, (_, text) in enumerate(texts)]
+    got = {r.doc_id: r.licence for r in licences.find_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(texts)}
