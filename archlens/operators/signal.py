@@ -323,20 +323,30 @@ def polarity_triangles(votes: DataFrame) -> DataFrame:
     return s.select("file_id", (F.col("s01") * F.col("s12") * F.col("s02") > 0).alias("consistent"))
 
 
-def recheck(blocks: DataFrame, size: int, *, windows: int, segment: int, search: int, rate: float) -> DataFrame:
-    """Residual delay at evenly spread places of a take, and the worst of them."""
+def recheck(blocks: DataFrame, size: int, *, windows: int, segment: int, search: int, rate: float,
+            pairs: DataFrame | None = None) -> DataFrame:
+    """Residual delay at evenly spread places of a take, and the worst of them.
+
+    ``pairs`` (file, ref, tgt, n_samples, shift) are targets to be read as if
+    shifted; their segments leave room for the search, and an inverted target
+    is turned before its phase is read.
+    """
     places = [0.5] if windows == 1 else [0.05 + 0.9 * i / (windows - 1) for i in range(windows)]
-    lengths = pair_lengths(blocks, size).withColumn("place", F.explode(F.array(*[F.lit(p) for p in places])))
-    count = F.least(F.lit(segment), F.col("n_samples"))
+    given = pair_lengths(blocks, size).withColumn("shift", F.lit(0).cast("bigint")) if pairs is None else pairs
+    lengths = given.withColumn("place", F.explode(F.array(*[F.lit(p) for p in places])))
+    room = F.col("n_samples") - (0 if pairs is None else 2 * search)
+    count = F.least(F.lit(segment), room)
     begin = F.least(F.greatest(F.floor(F.col("n_samples") * F.col("place") - count / 2), F.lit(0)), F.col("n_samples") - count)
-    ranges = lengths.select(*KEYS, "place", begin.alias("start"), count.cast("bigint").alias("count"))
-    pairs = read_pairs(blocks, ranges, size, before=search, after=search)
+    ranges = lengths.where(room > 0).select(*KEYS, "place", "shift", begin.alias("start"), count.cast("bigint").alias("count"))
+    read = read_pairs(blocks, ranges, size, before=search, after=search, shift=F.col("shift"))
     g = sg.gcc_phat(F.col("ref_x"), F.col("tgt_x"), lag0=search, lo=-search, hi=search)
-    whole = pairs.select(*KEYS, "place", "start", "count", F.when(g["success"], g["delay"].cast("bigint")).alias("whole"))
-    fine = read_pairs(blocks, whole.where(F.col("whole").isNotNull()), size, shift=F.col("whole"))
-    s = sg.phase_slope(F.col("ref_x"), F.col("tgt_x"), rate=rate)
+    whole = read.select(*KEYS, "place", "shift", "start", "count", g.alias("g")).select(
+        *KEYS, "place", "shift", "start", "count", F.when(F.col("g.success"), F.col("g.delay").cast("bigint")).alias("whole"),
+        (F.lit(1) if pairs is None else F.col("g.polarity")).alias("sign"))
+    fine = read_pairs(blocks, whole.where(F.col("whole").isNotNull()), size, shift=F.col("whole") + F.col("shift"))
+    s = sg.phase_slope(F.col("ref_x"), F.transform("tgt_x", lambda x: x * F.col("sign")), rate=rate)
     values = fine.select(*KEYS, "place", ((F.col("whole") + F.coalesce(s["delta"], F.lit(0.0))) * 1000 / rate).alias("ms"))
-    return pair_lengths(blocks, size).select(*KEYS).join(values.groupBy(*KEYS).agg(
+    return given.select(*KEYS).join(values.groupBy(*KEYS).agg(
         F.max_by("ms", F.abs("ms")).alias("worst_ms"), F.count("ms").alias("measured")), KEYS, "left").fillna(0, ["measured"])
 
 

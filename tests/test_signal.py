@@ -191,3 +191,31 @@ def test_anchor_moves_on_from_an_uncorrelated_channel(spark):
     assert (got[1, 0].decision, got[1, 0].reason) == ("untouched", "uncorrelated") and got[1, 1].decision == "anchor"
     assert [round(got[1, c].offset_samples) for c in (2, 3)] == [12, 20] and got[1, 3].decision == "fixed"
     assert got[2, 0].decision == "anchor" and {got[2, c].decision for c in (1, 2)} == {"untouched"}
+
+
+def test_wide_search_and_recheck(spark):
+    rng = np.random.default_rng(9)
+    signal = rng.normal(size=20000) * 0.1
+    at = lambda d: signal[2000 - d:2000 - d + 16384]
+    late = at(20).copy()  # 20 in most frames, 26 in a loud middle that rules the recheck
+    late[6000:10400] = 8 * at(26)[6000:10400]
+    channels = [at(0), at(200), at(30), -at(64), late]
+    rows = [(1, c, k, x[k * 512:(k + 1) * 512].astype(np.float32).tolist()) for c, x in enumerate(channels) for k in range(32)]
+    blocks = spark.createDataFrame(rows, "file_id long, channel long, block_no long, samples array<float>")
+    settings = dict(rate=RATE, frame=1024, hop=512, search=64)
+    got = {r.channel: r for r in td.decide_tracks(blocks, 512, **settings).collect()}
+    assert got[0].decision == "anchor" and got[1].reason == "out_of_range" and got[1].decision == "untouched"
+    assert (got[2].decision, got[2].shift_samples) == ("fixed", 30)
+    assert (got[3].decision, got[3].shift_samples) == ("fixed", 64)  # at the edge, but inside the range
+    assert (got[4].decision, got[4].reason, got[4].shift_samples) == ("untouched", "recheck_residual", None)
+    ineligible = spark.createDataFrame([(1, False, "non_pcm_audio", 5)], "file_id long, eligible boolean, reason string, channels long")
+    out = td.decide_tracks(blocks, 512, eligible=ineligible, **settings).collect()
+    assert len(out) == 5 and {(r.decision, r.reason) for r in out} == {("untouched", "non_pcm_audio")}
+
+
+def test_file_outcome_reads_reasons(spark):
+    rows = [(1, "anchor", None), (1, "untouched", "silent_track"), (2, "anchor", None), (2, "untouched", "recheck_residual"),
+            (3, "untouched", "non_pcm_audio"), (4, "untouched", "two_channel_only"), (5, "untouched", "silent_track"),
+            (6, "anchor", None), (6, "already_aligned", None), (6, "untouched", "low_confidence")]
+    got = {r.file_id: r.status for r in td.file_outcome(spark.createDataFrame(rows, "file_id long, decision string, reason string")).collect()}
+    assert got == {1: "already_aligned", 2: "measure_failed", 3: "not_eligible", 4: "two_channel_only", 5: "measure_failed", 6: "already_aligned"}
