@@ -23,11 +23,10 @@ from archlens.session import cut_lineage
 
 BANDS, ROWS = 40, 6      # a pair of similarity 0.8 shares no band once in 190,000 times
 BLOCK = 128              # texts of an unsettled bucket compared together
-SIGMAS = 4.5             # a pair is not verified if its signatures put it so far below the threshold
 
 SIGNED = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 BAG = T.StructType([T.StructField("bag", T.BinaryType()), T.StructField("elements", T.ArrayType(T.LongType())),
-                    T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.BinaryType())])
+                    T.StructField("bands", T.BinaryType())])
 
 
 def _lists(owner_counts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -53,7 +52,7 @@ def _signed(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BAG)
 def _bag(texts: pa.Array) -> pa.Array:
-    names, values, counts, sketches, bands = [], [], [], [], []
+    names, values, counts, bands = [], [], [], []
     for part in B.slices(W.utf8(texts)):
         bag = B.bags(part)
         names += B.digests(len(part), *bag)
@@ -61,12 +60,11 @@ def _bag(texts: pa.Array) -> pa.Array:
         values.append(element)
         counts.append(np.bincount(owner, minlength=len(part)))
         table = B.signatures(len(part), *bag, BANDS * ROWS)
-        sketches += [x.tobytes() for x in (table.view(np.uint64) & np.uint64(0xFF)).astype(np.uint8)]
         bands += [x.tobytes() for x in B.band_keys(table, BANDS)]
     flat = np.concatenate(values) if values else np.zeros(0, dtype=np.uint64)
     count = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
     return pa.StructArray.from_arrays([pa.array(names, pa.binary()), _lists(count, flat),
-                                       pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())], BAG.names)
+                                       pa.array(bands, pa.binary())], BAG.names)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -103,7 +101,7 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that join components of a block pair, from sorted rows with sketches, bands and elements."""
+    """Links (a, b) that join components of a block pair, from sorted rows with bands and elements."""
     for rows, bounds in sorted_groups(batches, ["key", "one", "two"]):
         found: list[list[int]] = [[], []]
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -115,25 +113,15 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def _block_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links that join the roots of a block pair; every pair of two roots is counted in full, none by signatures."""
     key, node, root, block = (rows[c].to_numpy() for c in ("key", "node", "root", "block"))
-    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
     bands = np.frombuffer(b"".join(rows["bands"].to_pylist()), dtype=np.int64).reshape(len(node), -1)
     elements = rows["elements"].combine_chunks()
-    sizes = np.diff(elements.offsets.to_numpy())
+    ends = elements.offsets.to_numpy()
+    sizes = np.diff(ends)
+    every, number = np.unique(elements.values.to_numpy()[ends[0]:ends[-1]], return_inverse=True)
+    bag = np.split(number, ends[1:-1] - ends[0])
     within = rows["one"][0] == rows["two"][0]
-    least = percent / 100
-    floor = least - SIGMAS * (least * (1 - least) / sketch.shape[1]) ** 0.5
-    pairs = []
-    for k in range(len(node)):  # the parts that a smaller and a larger bag can share bound their similarity
-        rest = np.arange(k + 1, len(node))
-        fits = ((root[rest] != root[k]) & ((block[rest] != block[k]) | within)
-                & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])))
-        rest = rest[fits]
-        near = (sketch[rest] == sketch[k]).mean(axis=1)
-        rest, near = rest[near >= floor], near[near >= floor]
-        same = bands[rest] == bands[k]  # a pair belongs to the first bucket that it shares
-        first = bands[k][same.argmax(axis=1)] == key[0]
-        pairs += zip(near[first].tolist(), [k] * int(first.sum()), rest[first].tolist())
     parent = {int(r): int(r) for r in root}
 
     def find(r: int) -> int:
@@ -142,21 +130,24 @@ def _block_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
             r = parent[r]
         return r
 
-    sorted_elements: dict[int, np.ndarray] = {}
-
-    def bag(k: int) -> np.ndarray:
-        if k not in sorted_elements:
-            sorted_elements[k] = np.sort(elements[k].values.to_numpy())
-        return sorted_elements[k]
-
     links = []
-    for _, a, b in sorted(pairs, reverse=True):
-        x, y = find(int(root[a])), find(int(root[b]))
-        if x != y:  # one component needs no further link
-            both = len(np.intersect1d(bag(a), bag(b), assume_unique=True))
-            if 100 * both >= percent * (sizes[a] + sizes[b] - both):
-                parent[x] = y
-                links.append((int(node[a]), int(node[b])))
+    mine = np.zeros(len(every), dtype=bool)
+    for k in range(len(node)):  # the parts that a smaller and a larger bag can share bound their similarity
+        rest = np.arange(k + 1, len(node))
+        fits = ((root[rest] != root[k]) & ((block[rest] != block[k]) | within)
+                & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])))
+        rest = rest[fits]
+        same = bands[rest] == bands[k]  # a pair belongs to the first bucket that it shares
+        rest = rest[bands[k][same.argmax(axis=1)] == key[0]]
+        mine[bag[k]] = True
+        for b in rest.tolist():
+            x, y = find(int(root[k])), find(int(root[b]))
+            if x != y:  # one component needs no further link
+                both = np.count_nonzero(mine[bag[b]])
+                if 100 * both >= percent * (sizes[k] + sizes[b] - both):
+                    parent[x] = y
+                    links.append((int(node[k]), int(node[b])))
+        mine[bag[k]] = False
     return links
 
 
@@ -189,13 +180,13 @@ def duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     held = cut_lineage(source.join(heads, source["doc_id"] == heads["head"])
                        .withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "mark"])
                        .withColumn("s", _bag.asNondeterministic()("text"))
-                       .where("s.bag = own").select("node", "s.elements", "s.sketch", "s.bands"))
+                       .where("s.bag = own").select("node", "s.elements", "s.bands"))
 
     links = cut_lineage(_verified(pairs, held, percent))
     roots = components(links)
     # every further pair of a bucket is inside one component, or looked at in a block
     placed = (_unsettled(members, roots).join(held, "node")
-              .select("key", "one", "two", "block", "node", "root", "elements", "sketch", "bands")
+              .select("key", "one", "two", "block", "node", "root", "elements", "bands")
               .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two"))
     more = cut_lineage(placed.mapInArrow(functools.partial(_link_blocks, percent=percent), "a long, b long"))
     if not more.isEmpty():

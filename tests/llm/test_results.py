@@ -11,6 +11,7 @@ from importlib import resources
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -397,3 +398,14 @@ def test_whole_licence_files(spark):
     rows = [(k, text, "en", "a", 0) for k, (_, text) in enumerate(texts)]
     got = {r.doc_id: r.licence for r in licences.find_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {k: name for k, (name, _) in enumerate(texts)}
+
+
+def test_block_links_count_pairs_whose_signatures_disagree():
+    def rows(bands):
+        elements = pa.array([list(range(10)), list(range(1, 11)), list(range(20, 30))], pa.list_(pa.int64()))
+        return pa.table({"key": [7, 7, 7], "one": [0, 0, 0], "two": [0, 0, 0], "block": [0, 0, 0], "node": [1, 2, 3], "root": [1, 2, 3],
+                         "elements": elements, "bands": [np.array(x).tobytes() for x in bands],
+                         "sketch": [bytes([k] * 240) for k in range(3)]})  # no signature part agrees
+    assert near_dups._block_links(rows([[1, 7], [2, 7], [3, 7]]), 80) == [(1, 2)]  # 9 of 11 parts shared
+    assert near_dups._block_links(rows([[7, 1], [7, 2], [7, 3]]), 82) == []
+    assert near_dups._block_links(rows([[5, 7], [5, 7], [3, 7]]), 80) == []  # they meet in bucket 5 first
