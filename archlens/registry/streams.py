@@ -135,19 +135,41 @@ def snk_03(spark, sf):
     return spark.read.parquet(path).withColumn("run", F.col("meta")["run"]).drop("meta")
 
 
-@query("str_03", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k))
- WHERE window_start + 7200 <= (SELECT epoch_us(max(ts)) / 1000000 - 3600 FROM events) GROUP BY ALL""")
-def str_03(spark, sf):
-    """Windows that the watermark has closed, each written once."""
+WINDOWS = {"window": "2 hours", "slide": "1 hour", "late": "1 hour"}
+
+
+def completions(events):
+    return events.selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS backend", "value AS fps")
+
+
+def closed_windows(spark, sf):
     path = scratch_path(spark)
-    done = stream_of(spark, sf, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS backend", "value AS fps")
-    windows = jobs.throughput(done, window="2 hours", slide="1 hour", late="1 hour")
+    windows = jobs.throughput(completions(stream_of(spark, sf, "events")), **WINDOWS)
     writer = windows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").start(f"{path}/windows").awaitTermination()
-    out = spark.read.schema(windows.schema).parquet(f"{path}/windows").withColumn("window_start", F.unix_seconds("window_start"))
+    return spark.read.schema(windows.schema).parquet(f"{path}/windows")
+
+
+def throughput_rows(windows):
+    out = windows.withColumn("window_start", F.unix_seconds("window_start"))
     return rounded(out.withColumn("fps_sum", F.round("fps_sum", 4)))
 
 
+@query("str_03", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k))
+ WHERE window_start + 7200 <= (SELECT epoch_us(max(ts)) / 1000000 - 3600 FROM events) GROUP BY ALL""")
+def str_03(spark, sf):
+    """Windows that the watermark has closed, each written once."""
+    return throughput_rows(closed_windows(spark, sf))
+
+
+# the same text without the filter on closed windows
+@query("str_03_all", """SELECT window_start, backend, count(*) AS n, round(sum(value), 4) AS fps_sum, round(avg(value), 6) AS fps_mean FROM (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR) // 1000000 AS window_start, event_type AS backend, value FROM events, range(2) r(k)) GROUP BY ALL""")
+def str_03_all(spark, sf):
+    """Closed windows as the stream wrote them and the windows still open, over all events."""
+    still_open = jobs.open_windows(completions(view(spark, sf, "events")), **WINDOWS)
+    return throughput_rows(closed_windows(spark, sf).unionByName(still_open))
+
+
 @query("str_03_rolling", """SELECT event_type AS backend, event_id AS seq, row_number() OVER w AS idx, value AS fps, round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS fps_window FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""")
 def str_03_rolling(spark, sf):
     rows = view(spark, sf, "events").selectExpr("event_type AS backend", "event_id AS seq", "value AS fps")

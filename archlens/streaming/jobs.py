@@ -76,6 +76,14 @@ def throughput(completions: DataFrame, *, window: str, slide: str, late: str) ->
             .select(F.col("w.start").alias("window_start"), "backend", "n", "fps_sum", "fps_mean"))
 
 
+def open_windows(completions: DataFrame, *, window: str, slide: str, late: str) -> DataFrame:
+    """The windows of :func:`throughput` that the watermark has not closed after all these completions (batch)."""
+    length, delay = (F.expr(f"INTERVAL {x}") for x in (window, late))
+    newest = completions.agg(F.max("ts").alias("ts")).first()["ts"]
+    rows = throughput(completions, window=window, slide=slide, late=late)
+    return rows.where(F.col("window_start") + length > F.lit(newest).cast("timestamp") - delay)
+
+
 def rolling_throughput(completions: DataFrame, last: int = 8, block: int = 1 << 36) -> DataFrame:
     """Batch twin: summed rate of the last few completions of a backend.
 

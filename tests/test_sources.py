@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from archlens import registry
 from archlens.sources import isobmff, ledgers, logs, media, probe, wav
 from archlens.streaming import jobs
 
@@ -166,3 +167,9 @@ def test_throughput_drops_late_rows(spark, tmp_path):
         writer.format("parquet").start(f"{tmp_path}/out").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
     assert [(r.window_start.hour, r.n, r.fps_sum) for r in got] == [(0, 2, 3.0), (9, 1, 4.0)]
+
+
+def test_all_events_are_in_their_windows(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    rows = registry.QUERIES["str_03_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n for r in rows) == 2 * n and len({(r.window_start, r.backend) for r in rows}) == len(rows)
