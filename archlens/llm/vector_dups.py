@@ -60,7 +60,8 @@ def _signed(vectors: pa.Array, labels: pa.Array) -> pa.Array:
         width = TABLES * BITS // 8
         for at, k in enumerate(places):
             raw = np.array(rows[k], dtype=np.float64).tobytes()
-            names[k] = hashlib.blake2b(raw, digest_size=16, person=str(labels[k]).encode()[:16]).digest()
+            label = str(labels[k]).encode()
+            names[k] = hashlib.blake2b(len(label).to_bytes(8, "little") + label + raw, digest_size=16).digest()
             data[k] = units[k].tobytes()
             signs[k] = codes[at * width:(at + 1) * width]
     return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in (names, data, signs)], SIGNED.names)

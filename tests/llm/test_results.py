@@ -409,3 +409,9 @@ def test_block_links_count_pairs_whose_signatures_disagree():
     assert near_dups._block_links(rows([[1, 7], [2, 7], [3, 7]]), 80) == [(1, 2)]  # 9 of 11 parts shared
     assert near_dups._block_links(rows([[7, 1], [7, 2], [7, 3]]), 82) == []
     assert near_dups._block_links(rows([[5, 7], [5, 7], [3, 7]]), 80) == []  # they meet in bucket 5 first
+
+
+def test_vector_labels_with_equal_beginnings(spark):
+    rows = [(1, [1.0, 2.0], "a label of many words: one"), (2, [1.0, 2.0], "a label of many words: two")]
+    got = vector_dups.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 0, 1), (2, 0, 2)}
