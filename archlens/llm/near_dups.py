@@ -207,13 +207,19 @@ def _classes(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near duplicates, columns as given.
 
-    Rows without an id all stay. Of rows that repeat an id and a text one stays;
+    Rows without an id are compared with each other under a key of their own, and
+    one of each class stays, also if a row with an id equals it. Of rows that repeat an id and a text one stays;
     where one id has several texts, all of them stay if the id stands for a class.
     """
     classes = duplicate_classes(docs, doc_id=doc_id, text=text)
     stay = classes.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__stay")).distinct()
     named = docs.join(stay, docs[doc_id] == stay["__stay"], "left_semi").dropDuplicates([doc_id, text])
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    nameless = docs.where(F.col(doc_id).isNull())
+    if nameless.isEmpty():
+        return named
+    keyed = cut_lineage(nameless.withColumn("__key", F.monotonically_increasing_id()))
+    heads = duplicate_classes(keyed, doc_id="__key", text=text).where("kept").select(F.col("doc_id").alias("__stay"))
+    return named.unionByName(keyed.join(heads, keyed["__key"] == heads["__stay"], "left_semi").drop("__key"))
 
 
 @query("op3_near_duplicates")

@@ -415,3 +415,10 @@ def test_vector_labels_with_equal_beginnings(spark):
     rows = [(1, [1.0, 2.0], "a label of many words: one"), (2, [1.0, 2.0], "a label of many words: two")]
     got = vector_dups.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 0, 1), (2, 0, 2)}
+
+
+def test_keep_one_of_rows_without_ids(spark):
+    rows = [(None, PROSE, "en", "a", 9), (None, PROSE, "en", "b", 9), (None, PROSE.replace("barley", "rye"), "en", "a", 9),
+            (None, "quite another text of some words", "en", "a", 9), (None, None, "en", "a", 9), (1, "named " * 9, "en", "a", 9)]
+    got = near_dups.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 4 and sum(r.text is not None and r.text.startswith("the old") for r in got) == 1
