@@ -78,7 +78,7 @@ def sig_08(spark, sf):
 
 @query("sig_09")
 def sig_09(spark, sf):
-    return rounded(g.pair_strength(blocks(spark, sf), SIZE, frame=512, hop=256, search=32, samples=10))
+    return rounded(g.pair_strength(blocks(spark, sf), SIZE, frame=512, hop=256, search=32))
 
 
 # direct sums over the overlap of two windows, against the library's transforms

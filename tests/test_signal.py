@@ -219,3 +219,10 @@ def test_file_outcome_reads_reasons(spark):
             (6, "anchor", None), (6, "already_aligned", None), (6, "untouched", "low_confidence")]
     got = {r.file_id: r.status for r in td.file_outcome(spark.createDataFrame(rows, "file_id long, decision string, reason string")).collect()}
     assert got == {1: "already_aligned", 2: "measure_failed", 3: "not_eligible", 4: "two_channel_only", 5: "measure_failed", 6: "already_aligned"}
+
+
+def test_strength_query_takes_every_frame(spark):
+    from archlens import registry
+    registry.load()
+    rows = registry.QUERIES["sig_09"](spark, "/root/testdata/sf0.001").collect()
+    assert max(r.samples for r in rows) > 10
