@@ -8,7 +8,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("mixing", "sharding", "line_rules", "rule_ensemble", "near_dups", "bpe", "vector_dups", "packing",
-           "separator_scan", "licences", "merkle", "squares")
+           "separator_scan", "licences", "merkle", "squares", "hard_negatives")
 
 
 def query(key: str, sql: str | None = None):

@@ -210,8 +210,9 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, group: int = GROUP, room: i
     while True:
         groups = -(-count // group)
         dealt = waiting.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(max(1, groups))))
+        base = number << 56
         packed = cut_lineage(dealt.groupBy("group").applyInArrow(
-            functools.partial(_pack_group, length=length, base=number << 56), schema))
+            lambda rows, base=base: _pack_group(rows, length, base), schema))
         again = packed.where(F.col("room") > room)
         left = again.count()
         if left == 0 or 10 * left > 9 * count:
