@@ -193,6 +193,10 @@ def _pack_group(rows: pa.Table, length: int, base: int) -> pa.Table:
         "offset", pa.array(offset)).append_column("room", pa.array(rooms[sequence]))
 
 
+def _group_packer(length: int, base: int):
+    return lambda rows: _pack_group(rows, length, base)
+
+
 def pack(pieces: DataFrame, *, length: int = LENGTH, group: int = GROUP, room: int = ROOM) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``: every piece once, no sequence above ``length``.
 
@@ -210,9 +214,7 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, group: int = GROUP, room: i
     while True:
         groups = -(-count // group)
         dealt = waiting.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(max(1, groups))))
-        base = number << 56
-        packed = cut_lineage(dealt.groupBy("group").applyInArrow(
-            lambda rows, base=base: _pack_group(rows, length, base), schema))
+        packed = cut_lineage(dealt.groupBy("group").applyInArrow(_group_packer(length, number << 56), schema))
         again = packed.where(F.col("room") > room)
         left = again.count()
         if left == 0 or 10 * left > 9 * count:
