@@ -12,7 +12,8 @@ import heapq
 import numpy as np
 
 BASE = 1.3        # a level's covering radius to the next one's
-LEAF = 16         # points that are not divided further
+LEAF = 128        # points that are not divided further
+FAN = 128         # centres below a node
 SLACK = 1e-9      # of the bounds, for rounding
 
 
@@ -20,8 +21,10 @@ class CoverTree:
     """Rows of ``points`` ordered so that every node's points lie together, and the nodes over them.
 
     ``order`` maps places to given rows. Node k covers places low[k] to high[k], the first
-    of which is its centre, within ``radius[k]``; its children are first[k] to last[k]
-    (none for a leaf). A level's centres are further apart than the level's radius.
+    of which is its centre, within ``radius[k]``. Its places up to loose[k] lie in no child
+    (all of a leaf's); the rest are those of its children first[k] to last[k]. Children's
+    centres are further apart than the level's radius. Groups of ``LEAF`` points or fewer, and
+    points that the first ``FAN`` centres do not cover, stay loose.
     """
 
     def __init__(self, points: np.ndarray):
@@ -30,7 +33,7 @@ class CoverTree:
         self.top = float(norms.max()) if n else 0.0
         lifted = np.concatenate([points, np.sqrt(np.maximum(self.top - norms, 0))[:, None]], axis=1)
         order = np.arange(n)
-        nodes = [[0, n, 0.0, 0, 0]]  # low, high, radius, first and last child
+        nodes = [[0, n, 0.0, n, 0, 0]]  # low, high, radius, end of the loose places, first and last child
 
         def reach(low: int, high: int) -> np.ndarray:
             """Distances to the centre, from differences, so that equal points are at zero."""
@@ -45,21 +48,25 @@ class CoverTree:
             if high - low <= LEAF or not 0 < nodes[node][2] < np.inf:
                 continue
             within = min(covered, nodes[node][2]) / BASE
-            groups, rest = [], order[low:high]
-            while len(rest):  # the node's own centre is the first child's
+            groups, loose, rest = [], [order[low:low + 1]], order[low:high]
+            while len(rest) and len(groups) + len(loose) <= FAN:  # the node's own centre comes first
                 away = lifted[rest] - lifted[rest[0]]
                 near = np.einsum("ij,ij->i", away, away) <= within * within
-                groups.append(rest[near])
+                mine = rest[near]
+                if not groups and len(loose) == 1:
+                    mine = mine[1:]
+                (groups if len(mine) > LEAF else loose).append(mine)
                 rest = rest[~near]
-            order[low:high] = np.concatenate(groups)
-            nodes[node][3], at = len(nodes), low
+            inside = np.concatenate([*loose, rest])
+            order[low:high] = np.concatenate([inside, *groups])
+            at = low + len(inside)
+            nodes[node][3:] = [at, len(nodes), len(nodes) + len(groups)]
             for group in groups:
                 levels.append((len(nodes), within))
-                nodes.append([at, at + len(group), 0.0, 0, 0])
+                nodes.append([at, at + len(group), 0.0, at + len(group), 0, 0])
                 at += len(group)
-            nodes[node][4] = len(nodes)
         table = np.array(nodes, dtype=np.float64)
-        self.low, self.high, self.first, self.last = (table[:, c].astype(np.int64) for c in (0, 1, 3, 4))
+        self.low, self.high, self.loose, self.first, self.last = (table[:, c].astype(np.int64) for c in (0, 1, 3, 4, 5))
         self.radius = table[:, 2]
         self.order, self.points = order, np.ascontiguousarray(points[order])
 
@@ -70,8 +77,7 @@ class Search:
     def __init__(self, tree: CoverTree, query: np.ndarray):
         self.tree, self.query = tree, query
         self.square = float(query @ query)
-        self._children: dict[int, tuple] = {}
-        self._leaves: dict[int, np.ndarray] = {}
+        self._opened: dict[int, tuple] = {}
 
     def _bounds(self, score: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least, most) inner product below nodes whose centre has ``score``."""
@@ -82,21 +88,15 @@ class Search:
         slack = SLACK * (np.abs(score) + plain + self.tree.top + self.square)
         return least - slack, most + slack
 
-    def _expanded(self, node: int) -> tuple:
-        """Bounds of a node's children, and which of them are single points with their scores."""
-        if node not in self._children:
+    def _open(self, node: int) -> tuple:
+        """Scores of a node's loose places, its children and their bounds."""
+        if node not in self._opened:
             tree = self.tree
             kids = np.arange(tree.first[node], tree.last[node])
-            score = tree.points[tree.low[kids]] @ self.query
-            alone = tree.high[kids] - tree.low[kids] == 1
-            least, most = self._bounds(score[~alone], tree.radius[kids[~alone]])
-            self._children[node] = (tree.low[kids[alone]], score[alone], kids[~alone], least, most)
-        return self._children[node]
-
-    def _scores(self, node: int) -> np.ndarray:
-        if node not in self._leaves:
-            self._leaves[node] = self.tree.points[self.tree.low[node]:self.tree.high[node]] @ self.query
-        return self._leaves[node]
+            inside = tree.points[tree.low[node]:tree.loose[node]] @ self.query
+            least, most = self._bounds(tree.points[tree.low[kids]] @ self.query, tree.radius[kids])
+            self._opened[node] = (np.arange(tree.low[node], tree.loose[node]), inside, kids, least, most)
+        return self._opened[node]
 
     def best(self, count: int, allowed: np.ndarray, rank: np.ndarray, low: float = -np.inf,
              high: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,6 @@ class Search:
         Higher scores come first, ties by ``rank`` of the place. Nodes whose bounds miss the
         window are skipped; the others open in order of the best score they may hold.
         """
-        tree = self.tree
         places, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
 
         def offer(at: np.ndarray, score: np.ndarray) -> None:
@@ -123,10 +122,7 @@ class Search:
             most, node = heapq.heappop(waiting)
             if len(scores) == count and -most < scores[-1]:
                 break
-            if tree.first[node] == tree.last[node]:
-                offer(np.arange(tree.low[node], tree.high[node]), self._scores(node))
-                continue
-            at, score, kids, least, upper = self._expanded(node)
+            at, score, kids, least, upper = self._open(node)
             offer(at, score)
             floor = max(low, scores[-1]) if len(scores) == count else low
             for k in np.flatnonzero((least <= high) & (upper >= floor)):

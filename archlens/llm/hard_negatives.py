@@ -21,7 +21,7 @@ from archlens.llm.prefix import running
 from archlens.llm.registry import query, table
 from archlens.session import cut_lineage
 
-BLOCK = 4096            # candidates in a tree, on average
+BLOCK = 8192            # candidates in a tree, on average
 CHUNK = 4096            # anchors that a task takes through a tree, on average
 POSITIVES, NEGATIVES = 5, 10
 LOWEST, HIGHEST = 30, 90  # percent of the positive's score that a negative may have

@@ -121,10 +121,10 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(columns).to_batches()
 
 
-def extract(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def extract(levels: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """(tree, idx, digest, n, carry, path, siblings, root): the proof of every node of the lowest level.
 
-    ``above`` (tree, path, siblings) is what follows a tree's root. ``path`` has two
+    ``above`` (tree, path, siblings) is what follows a tree's root, by default nothing. ``path`` has two
     digits a level, from the leaf up: the node's place in its run and the run's
     length; ``siblings`` are the hex digests of the runs' others, joined. The lowest
     level may have a column ``carry``, handed on. Only levels above it are written.
@@ -135,7 +135,10 @@ def extract(levels: list[DataFrame], above: DataFrame) -> DataFrame:
         nodes = levels[number]
         if "carry" not in nodes.columns:
             nodes = nodes.withColumn("carry", F.lit(None).cast(carry))
-        whole = nodes.where("n = 1").join(above, "tree").select(
+        ends = nodes.where("n = 1")
+        ends = (ends.join(above, "tree") if above is not None
+                else ends.withColumns({"path": F.lit(""), "siblings": F.lit("")}))
+        whole = ends.select(
             "tree", "idx", "digest", "n", "carry", "path", "siblings", F.col("digest").alias("root"))
         if found is not None:
             heads = found.select("tree", F.lit(-1).cast("long").alias("idx"), F.lit("").alias("digest"), "n",
@@ -179,9 +182,7 @@ def manifest(leaves: DataFrame) -> Manifest:
 
 def proofs(made: Manifest) -> DataFrame:
     """(leaf, carry, subroot, path, siblings): one row per leaf, up to the dataset's root."""
-    spark = made.levels[0].sparkSession
-    end = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.lit("").alias("path"), F.lit("").alias("siblings"))
-    above = extract(made.top, end).select(F.col("idx").alias("tree"), "path", "siblings")
+    above = extract(made.top).select(F.col("idx").alias("tree"), "path", "siblings")
     return extract(made.levels, cut_lineage(above)).select(
         F.col("digest").alias("leaf"), "carry", F.col("root").alias("subroot"), "path", "siblings")
 

@@ -172,17 +172,19 @@ def test_sequences_hold_the_ids(spark):
 @pytest.mark.parametrize("kind", ["clusters", "same", "noise"])
 def test_cover_tree(kind):
     rng = np.random.default_rng(2)
-    points = {"clusters": rng.integers(-40, 40, (30, 6)).repeat(40, axis=0) + rng.integers(-2, 3, (1200, 6)),
-              "same": np.ones((500, 6)), "noise": rng.integers(-90, 90, (700, 6))}[kind].astype(float)
+    points = {"clusters": rng.integers(-40, 40, (30, 6)).repeat(200, axis=0) + rng.integers(-2, 3, (6000, 6)),
+              "same": np.ones((500, 6)), "noise": rng.integers(-90, 90, (2000, 6))}[kind].astype(float)
     tree = CoverTree(points)
     assert sorted(tree.order.tolist()) == list(range(len(points))) and (tree.points == points[tree.order]).all()
     for k in range(len(tree.low)):
         inside = tree.points[tree.low[k]:tree.high[k]]
         assert np.sqrt(((inside - inside[0]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-9
         kids = range(tree.first[k], tree.last[k])
+        assert tree.loose[k] > tree.low[k] and (len(kids) or tree.loose[k] == tree.high[k])
         if len(kids):
-            assert tree.low[kids[0]] == tree.low[k] and tree.high[kids[-1]] == tree.high[k]
+            assert tree.low[kids[0]] == tree.loose[k] and tree.high[kids[-1]] == tree.high[k]
             assert all(tree.high[a] == tree.low[a + 1] for a in kids[:-1])
+    assert kind == "same" or len(tree.low) > 5
     rank = rng.permutation(len(points))
     for trial in range(40):
         query = rng.integers(-50, 50, 6).astype(float)
