@@ -2,11 +2,12 @@
 
 Sizes are summed per source, weights become targets under an epoch cap, and a
 document is taken floor(rate) times plus once more with probability equal to
-the fraction, decided by a hash of the document, so reruns agree.
+the fraction, decided by a hash of the row (its id, text and source, and which of
+equal rows it is), so reruns agree and rows never share a decision.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from archlens.llm.prefix import running
 from archlens.llm.registry import query, table
@@ -27,6 +28,33 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** HEX_DIGITS))
 
 
+def row_key(doc_id: Column, text: Column, source: Column) -> Column:
+    """One digest of a row's id, text and source; a null counts as empty."""
+    def said(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+    return F.md5(F.concat(said(doc_id), F.lit("|"), said(F.md5(text.cast("binary"))), F.lit("|"), said(source)).cast("binary"))
+
+
+def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` plus ``out``: which of the rows with its ``key`` a row is, from 0, in no order.
+
+    Only rows whose key repeats are shuffled whole. They are counted per key and
+    input partition, one row each, so a key's rows are never together.
+    """
+    again = rows.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
+    marked = rows.withColumn("__pid", F.spark_partition_id()).join(again, F.col(key) == F.col("__again"), "left")
+    alone = marked.where("__again IS NULL").withColumn(out, F.lit(0).cast("long")).drop("__again", "__pid")
+    many = cut_lineage(marked.where("__again IS NOT NULL").drop("__again"))
+    ahead = Window.partitionBy("__of").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    first = many.groupBy(F.col(key).alias("__of"), F.col("__pid").alias("__in")).agg(F.count(F.lit(1)).alias("__n"))
+    first = first.select("__of", "__in", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy(key, "__pid").orderBy(F.lit(0))
+    placed = (many.withColumn(out, F.row_number().over(inside).cast("long") - 1)
+              .join(first, (F.col(key) == F.col("__of")) & (F.col("__pid") == F.col("__in")))
+              .withColumn(out, F.col(out) + F.col("__first")))
+    return alone.unionByName(placed.select(*alone.columns))
+
+
 def source_targets(docs: DataFrame, source: str, size: str, weights: list[int],
                    max_epochs: int) -> DataFrame:
     """(source, source_size, weight, target): one row per source.
@@ -79,24 +107,27 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     per-source rates (one row a source) are joined back, broadcast by Spark's
     own size check only. A null source is a source of its own; rows without
     words are taken as often as their source's rate says, with 0 words; a
-    source without words is not taken. Rows that repeat a document id share its
-    decision. A column already named ``mix`` is replaced.
+    source without words is not taken. Rows that repeat an id, or have none, decide
+    each for itself, equal rows too. A column already named ``mix`` is replaced; columns
+    whose names begin with ``__`` are reserved.
     """
     sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     rates = source_rates(sized, weights=weights, max_epochs=max_epochs)
-    return with_copies(docs, rates, doc_id=doc_id, source=source, seed=seed)
+    keyed = docs.withColumn("__key", row_key(F.col(doc_id), F.col(text), F.col(source)))
+    return with_copies(keyed, rates, key="__key", source=source, seed=seed).drop("__key")
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, *, doc_id: str = "doc_id", source: str = "source",
-                seed: int = 7) -> DataFrame:
-    """``docs`` plus the struct ``mix`` from given ``source_rates``."""
+def with_copies(docs: DataFrame, rates: DataFrame, *, key: str, source: str = "source", seed: int = 7) -> DataFrame:
+    """``docs`` plus the struct ``mix`` from given ``source_rates``; ``key`` is a column of ``row_key``."""
+    docs = numbered(docs, key, "__time")
     rated = docs.join(rates.select(F.struct("*").alias("__rate")),
                       docs[source].eqNullSafe(F.col("__rate.source")), "left")
     whole = F.floor("__rate.rate")
-    once_more = uniform(F.col(doc_id), seed) < F.col("__rate.rate") - whole
+    draw = uniform(F.concat(F.col(key), F.lit(":"), F.col("__time").cast("string")), seed)
+    once_more = draw < F.col("__rate.rate") - whole
     return rated.withColumn("mix", F.struct(
         F.col("__rate.source_size").alias("source_size"), F.col("__rate.target").alias("target"),
-        (whole + once_more.cast("long")).cast("long").alias("copies"))).drop("__rate")
+        (whole + once_more.cast("long")).cast("long").alias("copies"))).drop("__rate", "__time")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -108,8 +139,10 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH docs AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
-  FROM documents),
+  SELECT *, row_number() OVER (PARTITION BY key) - 1 AS time FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+      md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '') || '|' || coalesce(source, '')) AS key
+    FROM documents)),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (
   SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap
@@ -133,7 +166,7 @@ rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM targets)
 SELECT d.doc_id, d.size, r.source_size, r.target,
   (d.size * (floor(rate) + CASE WHEN
-     ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':7'), 1, {HEX_DIGITS}))::BIGINT::DOUBLE
+     ('0x' || substr(md5(d.key || ':' || d.time || ':7'), 1, {HEX_DIGITS}))::BIGINT::DOUBLE
        / {16 ** HEX_DIGITS}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 """
@@ -142,8 +175,9 @@ FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 @query("op1_mix_sources", ORACLE)
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document, sources weighing 1, 2, 3 in turn, at most 3 epochs."""
-    sized = cut_lineage(table(spark, sf_dir, "documents")
-                        .select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    mixed = with_copies(sized, source_rates(sized, weights=[1, 2, 3], max_epochs=3))
+    sized = cut_lineage(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        row_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("key")))
+    mixed = with_copies(sized, source_rates(sized, weights=[1, 2, 3], max_epochs=3), key="key")
     return mixed.select("doc_id", "size", "mix.source_size", "mix.target",
                         (F.col("size") * F.col("mix.copies")).alias("taken"))
