@@ -204,22 +204,27 @@ def _classes(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame
                       F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _one_of_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    # rows of one id and text are the same document; any other row is one of its own
+    digest = F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b""))
+    keyed = docs.withColumn("__key", F.struct(F.col(doc_id).alias("id"), digest.alias("text")))
+    stay = duplicate_classes(keyed, doc_id="__key", text=text).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
+    return keyed.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near duplicates, columns as given.
+    """One row of each class of near duplicates, columns as given; the smallest id of a class stays.
 
-    Rows without an id are compared with each other under a key of their own, and
-    one of each class stays, also if a row with an id equals it. Of rows that repeat an id and a text one stays;
-    where one id has several texts, all of them stay if the id stands for a class.
+    Rows are told apart by id and text, so of an id with several texts each row stays or
+    goes by its own text. Of rows that repeat an id and a text one stays. Rows without an
+    id are compared with each other, and one of each class stays, also if a row with an id
+    equals it. Columns named ``__key`` or ``__stay`` are reserved.
     """
-    classes = duplicate_classes(docs, doc_id=doc_id, text=text)
-    stay = classes.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__stay")).distinct()
-    named = docs.join(stay, docs[doc_id] == stay["__stay"], "left_semi").dropDuplicates([doc_id, text])
+    named = _one_of_each(docs.where(F.col(doc_id).isNotNull()), doc_id, text)
     nameless = docs.where(F.col(doc_id).isNull())
     if nameless.isEmpty():
         return named
-    keyed = cut_lineage(nameless.withColumn("__key", F.monotonically_increasing_id()))
-    heads = duplicate_classes(keyed, doc_id="__key", text=text).where("kept").select(F.col("doc_id").alias("__stay"))
-    return named.unionByName(keyed.join(heads, keyed["__key"] == heads["__stay"], "left_semi").drop("__key"))
+    return named.unionByName(_one_of_each(nameless, doc_id, text))
 
 
 @query("op3_near_duplicates")
