@@ -422,3 +422,65 @@ def test_keep_one_of_rows_without_ids(spark):
             (None, "quite another text of some words", "en", "a", 9), (None, None, "en", "a", 9), (1, "named " * 9, "en", "a", 9)]
     got = near_dups.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 4 and sum(r.text is not None and r.text.startswith("the old") for r in got) == 1
+
+
+def test_rows_never_share_a_decision(spark):
+    """Rows without ids, with one repeated id, and equal rows: every source comes near its target."""
+    rows = ([(None, "one two three", "en", "a", 0)] * 500 + [(7, "one two three", "en", "b", 0)] * 900
+            + [(None, f"w{k} two three", "en", "c", 0) for k in range(500)] + [(5, None, "en", "a", 0)])
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    mixed = mixing.mix(table, weights=[3, 1, 2]).cache()
+    assert mixed.count() == len(rows) and mixed.columns == [*table.columns, "mix"]
+    for r in mixed.where("text IS NOT NULL").groupBy("source").agg(
+            F.sum(3 * F.col("mix.copies")).alias("taken"), F.first("mix.target").alias("target"),
+            F.max("mix.copies").alias("most")).collect():
+        assert abs(r.taken - r.target) < 0.1 * r.target and r.most <= 3
+    again = mixing.mix(table.repartition(7), weights=[3, 1, 2])
+    totals = [sorted(m.groupBy("source", "text", "mix.copies").count().collect(), key=str) for m in (mixed, again)]
+    assert totals[0] == totals[1]
+
+
+def test_numbers_of_a_hot_key_come_from_many_tasks(spark):
+    rows = spark.range(6000, numPartitions=6).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id % 700 END AS key", "id")
+    got = defaultdict(list)
+    for r in mixing.numbered(rows, "key", "time").collect():
+        got[r.key].append(r.time)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and len(got["hot"]) == 2000
+
+
+def test_keep_one_chooses_rows_not_ids(spark):
+    other = "quite another text of some words that nobody else has written down"
+    rows = [(1, PROSE, "en", "a", 9), (2, PROSE + " end", "en", "a", 9), (2, other, "en", "a", 9), (2, other, "en", "b", 9),
+            (3, None, "en", "a", 9), (3, "", "en", "a", 9)]
+    got = near_dups.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, PROSE), (2, other), (3, ""), (3, "")])
+
+
+def test_token_files_are_read_in_byte_ranges(spark, docs, encoding):
+    """One file of many ranges, of odd sizes, whose blocks cut ids and documents anywhere."""
+    import os
+    rng = np.random.default_rng(8)
+    path = scratch_path(spark)
+    os.makedirs(path)
+    ids = rng.choice([0x5050, 0xC450, 0x50C4, 0x0050, 0xC4C4, 7], 30_000, p=[.2, .02, .3, .18, .1, .2])
+    for n, (a, b) in enumerate([(0, 20_001), (20_001, 20_001), (20_001, 29_000), (29_000, 30_000)]):
+        with open(f"{path}/part-{n}", "wb") as f:
+            f.write(ids[a:b].astype(">u2").tobytes())
+    ends = np.flatnonzero(ids == separator_scan.S.END)
+    starts = [0, *(ends + 1).tolist()]
+    want = [(k, a, e - a, True) for k, (a, e) in enumerate(zip(starts, ends.tolist()))]
+    want += [(len(ends), starts[-1], len(ids) - starts[-1], False)] if starts[-1] < len(ids) else []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1001", "7777", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            if size != old:
+                assert spark.read.option("lineSep", "P").text(path).rdd.getNumPartitions() > 4
+            got = separator_scan.document_counts(spark, path, block=100).orderBy("doc_no").collect()
+            assert [tuple(r) for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with open(f"{path}/part-9", "wb") as f:
+        f.write(b"odd")
+    with pytest.raises(Exception, match="half an id"):
+        separator_scan.document_counts(spark, path).collect()
