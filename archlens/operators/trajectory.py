@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import BLOCK, carry
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, stacked_quantiles
 
 KEYS = ["file_id", "ref", "tgt"]
 SPAN = 64 * BLOCK  # samples per position block
@@ -16,12 +16,8 @@ def usable(frames: DataFrame) -> DataFrame:
 
 def pair_estimate(frames: DataFrame, rate: float) -> DataFrame:
     """Median delay, median confidence and usable count over usable frames."""
-    long = usable(frames).select(*KEYS, F.expr(
-        "stack(2, 'delay', delay_samples, 'confidence', confidence) AS (metric, v)"))
-    med = exact_quantiles(long, [*KEYS, "metric"], "v", {"med": 0.5})
-    pivoted = med.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("metric") == "delay", F.col("med"))).alias("delay_samples"),
-        F.max(F.when(F.col("metric") == "confidence", F.col("med"))).alias("confidence"))
+    pivoted = stacked_quantiles(usable(frames), KEYS, {"delay": ("delay_samples", {"delay_samples": 0.5}),
+                                                       "confidence": ("confidence", {"confidence": 0.5})})
     counts = frames.groupBy(*KEYS).agg(F.count("delay_samples").alias("usable_frames"))
     return (
         counts.join(pivoted, KEYS, "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import BLOCK, carry, neighbours, running_max, running_sum, runs
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, stacked_quantiles
 from .trajectory import KEYS
 
 WINDOW = [*KEYS, "window_no"]
@@ -185,8 +185,9 @@ def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
     stepped = (
         wide.withColumn("_prev", F.lag("shift").over(window)).where(keep)
         .withColumn("step", F.abs(F.col("shift") - F.col("_prev"))).select(*WINDOW, "step", "valid", "n_frames"))
-    steps = exact_quantiles(stepped, KEYS, "step", {"step_p50": 0.5, "step_p90": 0.9})
-    density = exact_quantiles(plan, KEYS, "n_frames", {"frames_p10": 0.1, "frames_p50": 0.5, "frames_p90": 0.9})
+    spread = stacked_quantiles(stepped, KEYS, {
+        "step": ("step", {"step_p50": 0.5, "step_p90": 0.9}),
+        "frames": ("n_frames", {"frames_p10": 0.1, "frames_p50": 0.5, "frames_p90": 0.9})})
     gaps = longest_run(plan, KEYS, "window_no", F.col("valid"), False).select(
         *KEYS, F.col("longest").alias("longest_gap"))
     counts = stepped.groupBy(*KEYS).agg(
@@ -195,7 +196,7 @@ def feasibility(plan: DataFrame, lengths: DataFrame, *, hop: int) -> DataFrame:
         *[F.count_if(F.col("step") > k).alias(f"step_gt_{k}") for k in (1, 5, 48)])
     need = required_windows(F.col("n_samples"), hop)
     return (
-        lengths.join(counts, KEYS).join(gaps, KEYS).join(density, KEYS).join(steps, KEYS, "left")
+        lengths.join(counts, KEYS).join(gaps, KEYS).join(spread, KEYS)
         .withColumn("n_needed", need)
         .withColumn("resolved_fraction", F.col("n_resolved") / F.col("n_measured"))
         .withColumn("coverage", F.col("n_resolved") / need)
@@ -213,8 +214,8 @@ def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
         plan.where("valid").select(*WINDOW, F.col("delay_samples").alias("m")), WINDOW)
     held = held.withColumn("frac", F.abs(F.col("d") - F.col("m"))).withColumn(
         "whole", F.abs(F.col("d") - F.rint("m")))
-    frac = exact_quantiles(held, KEYS, "frac", {"fractional_p90": 0.9})
-    whole = exact_quantiles(held, KEYS, "whole", {"integer_p90": 0.9})
+    cost = stacked_quantiles(held, KEYS, {"frac": ("frac", {"fractional_p90": 0.9}),
+                                          "whole": ("whole", {"integer_p90": 0.9})})
     mads = exact_quantiles(held, WINDOW, "frac", {"mad": 0.5}, bounded=True)
     mads = exact_quantiles(mads, KEYS, F.col("mad") * SCALED_MAD * 1000 / rate,
                            {"window_mad_p50_ms": 0.5, "window_mad_p90_ms": 0.9})
@@ -223,13 +224,13 @@ def gap_cost(frames: DataFrame, lengths: DataFrame, *, window: int, hop: int,
         F.col("valid") & F.col("_p").isNotNull() & (F.col("window_no") - F.col("_p.w") > 1))
     jumps = jumps.select(*KEYS, F.abs(F.col("delay_samples") - F.col("_p.d")).alias("err"),
                          (F.col("window_no") - F.col("_p.w") - 1).alias("len"))
-    err = exact_quantiles(jumps, KEYS, "err", {"err_p50": 0.5, "err_p90": 0.9, "err_max": 1.0})
-    length = exact_quantiles(jumps, KEYS, "len", {"gap_len_p50": 0.5, "gap_len_max": 1.0})
+    sizes = stacked_quantiles(jumps, KEYS, {"err": ("err", {"err_p50": 0.5, "err_p90": 0.9, "err_max": 1.0}),
+                                            "len": ("len", {"gap_len_p50": 0.5, "gap_len_max": 1.0})})
     counts = plan.groupBy(*KEYS).agg(F.count_if("valid").alias("resolved"),
                                      F.count_if(~F.col("valid")).alias("unresolved"))
     gaps = jumps.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gaps"), F.count_if(F.col("err") > 48).alias("gaps_gt_48"))
     out = counts
-    for part in (gaps, err, length, frac, whole, mads):
+    for part in (gaps, sizes, cost, mads):
         out = out.join(part, KEYS, "left")
     return out.fillna(0, ["n_gaps", "gaps_gt_48"])
 
