@@ -1,11 +1,12 @@
 """Delay curves: weighted modes and medians, anchors, stabilising, residuals, segments."""
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
@@ -19,6 +20,8 @@ OUTLIER, MAX_RESIDUAL, MIN_WEIGHT = 30.0, 100.0, 1e-6
 SLOPES_AT_ONCE = 2_000_000
 MODE_REACH, MODE_GAP = 2, 4
 CLAMP_CHUNK = 4096
+SLOPE_BLOCK = 1024        # points of a key in one block
+DRAWN, DRAWN_MARGIN = 100_000, 0.02  # slopes taken of a key in a round, and how far around the median the next one looks
 
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -33,6 +36,22 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -
     return plain.join(out, keys, "left").select(*keys, F.coalesce("median", "_plain").alias("median"))
 
 
+def bounded_weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """:func:`weighted_median` and the row count ``n`` of groups of a fixed largest size, each taken whole."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))))
+    whole = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(items.alias("_p"), F.sum(weight).alias("_total"), F.count(F.lit(1)).alias("n"))
+
+    def step(acc: Column, item: Column) -> Column:
+        upto = acc["upto"] + item["w"]
+        reached = F.when(F.round(upto, 9) >= F.round(F.col("_total") / 2, 9), item["v"])
+        return F.struct(upto.alias("upto"), F.coalesce(acc["found"], reached).alias("found"))
+
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("found"))
+    low, high = F.col("_p")[F.floor((F.col("n") - 1) / 2).cast("int")]["v"], F.col("_p")[F.floor(F.col("n") / 2).cast("int")]["v"]
+    heavy = F.when(F.col("_total") > 0, F.aggregate("_p", start, step, lambda acc: acc["found"]))
+    return whole.select(*keys, F.coalesce(heavy, low + (high - low) * 0.5).alias("median"), "n")
+
+
 def dense_index(rows: DataFrame, keys: list[str], pos: str, *, size: int) -> DataFrame:
     """0-based order of rows within a key, as ``idx``, and the row count ``n``."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -52,10 +71,9 @@ def anchors(windows: DataFrame, *, rate: int, bin_sec: int = 120, min_cc: float
     kept = base.join(counts, KEYS).where(F.when(F.col("_sure") >= 2, sure).otherwise(loose))
     binned = kept.select(*KEYS, F.floor(F.col("start_sample") / F.lit(rate * bin_sec)).alias("bin"), "delay_samples",
                          F.greatest("confidence", F.lit(MIN_WEIGHT)).alias("w"))
-    medians = weighted_median(binned, [*KEYS, "bin"], "delay_samples", "w")
-    sizes = binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("n_windows"))
-    return medians.join(sizes, [*KEYS, "bin"]).select(
-        *KEYS, "bin", (F.col("bin") * bin_sec).alias("t_sec"), F.col("median").alias("y"), "n_windows")
+    # the windows of one time bin are few, however long the take
+    return bounded_weighted_median(binned, [*KEYS, "bin"], "delay_samples", "w").select(
+        *KEYS, "bin", (F.col("bin") * bin_sec).alias("t_sec"), F.col("median").alias("y"), F.col("n").alias("n_windows"))
 
 
 def rolling_median(points: DataFrame, keys: list[str], reach: int = 3) -> DataFrame:
@@ -83,6 +101,15 @@ def _slopes(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
         yield dy[later] / dx[later]
 
 
+def _slopes_between(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[np.ndarray]:
+    """The slopes from the points (x, y) to the points (u, v), a bounded number at a time."""
+    rows = max(1, SLOPES_AT_ONCE // (4 * max(1, len(u))))
+    for a in range(0, len(x), rows):
+        dx, dy = u[None, :] - x[a:a + rows, None], v[None, :] - y[a:a + rows, None]
+        apart = np.abs(dx) > 1e-12
+        yield dy[apart] / dx[apart]
+
+
 def median_slope(x: np.ndarray, y: np.ndarray) -> float:
     """The exact median of all pairwise slopes, 0 without any.
 
@@ -125,26 +152,122 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float:
     return first + (second - first) * 0.5
 
 
-def theil_sen(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of pairwise slopes over (``x``, ``y``), exact for any number of points.
-
-    A key's points are one per time bin of a take; their pairs are only counted.
+def _count_pairs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """What each pair of blocks says of the slopes around ``low`` and ``high``, and a drawn part of those between."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        out = []
+        for r in rows:
+            x, y, u, v = (np.array(r[c], dtype=np.float64) for c in ("x", "y", "u", "v"))
+            parts = _slopes(x, y) if r["a"] == r["b"] else _slopes_between(x, y, u, v)
+            rng = np.random.default_rng([r["round"], r["a"], r["b"]])
+            under = low = high = inner = 0
+            drawn = []
+            for slopes in parts:
+                under += int((slopes < r["low"]).sum())
+                low += int((slopes == r["low"]).sum())
+                high += int((slopes == r["high"]).sum())
+                between = slopes[(slopes > r["low"]) & (slopes < r["high"])]
+                inner += len(between)
+                drawn.append(between if r["step"] == 1 else between[rng.random(len(between)) * r["step"] < 1])
+            out.append({**{k: r[k] for k in keys}, "under": under, "n_low": low, "n_high": high, "inner": inner,
+                        "drawn": np.concatenate(drawn).tolist() if drawn else []})
+        names = [*keys, "under", "n_low", "n_high", "inner", "drawn"]
+        types = [*[batch.schema.field(k).type for k in keys], *[pa.int64()] * 4, pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in zip(names, types)], names)
+
+
+def _settle(low: float, high: float, step: int, under: int, n_low: int, n_high: int, inner: int, drawn: np.ndarray | None,
+            margin: float, sample: list[float], shift: int, size: int, rest: int) -> dict:
+    """Whether the counts of a round settle the median, and where the next round looks if not."""
+    drawn = np.sort(np.array([] if drawn is None else drawn, dtype=np.float64))
+    total = rest if rest >= 0 else inner
+    if low == high:
+        n_high = 0
+    if total == 0:
+        return {"slope": 0.0}
+    ranks = (total - 1) // 2, total // 2
+
+    def at(rank: int) -> float | None:
+        if rank < under + n_low:
+            return low
+        if rank >= under + n_low + inner:
+            return high
+        return float(drawn[rank - under - n_low]) if step == 1 else None
+
+    if under <= ranks[0] and ranks[1] < under + n_low + inner + n_high:
+        first, second = map(at, ranks)
+        if first is not None and second is not None:
+            return {"slope": first + (second - first) * 0.5}
+        sample, shift, size, margin, reach = drawn, under + n_low, inner, DRAWN_MARGIN, inner
+        floor, ceiling = low, high
+    else:  # the enclosing values missed it: further out in the same draw
+        margin, reach, floor, ceiling = 4 * margin, total, -np.inf, np.inf
+        sample = np.array(sample, dtype=np.float64)
+    place = (ranks[0] - shift) / max(size, 1) * len(sample)
+    lo, hi = int(place - margin * len(sample)) - 1, int(place + margin * len(sample)) + 2
+    low, high = (float(sample[lo]) if 0 <= lo < len(sample) else floor), (float(sample[hi]) if 0 <= hi < len(sample) else ceiling)
+    return {"slope": None, "low": low, "high": high, "margin": margin, "sample": sample.tolist(), "shift": shift, "size": size,
+            "rest": total, "step": max(1, math.ceil(min(1.0, 2 * margin) * reach / DRAWN))}
+
+
+def _decide_slopes(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    arguments = ["low", "high", "step", "under", "n_low", "n_high", "inner", "drawn", "margin", "sample", "shift", "size", "rest"]
+    state = [("slope", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("margin", pa.float64()),
+             ("sample", pa.list_(pa.float64())), ("shift", pa.int64()), ("size", pa.int64()), ("rest", pa.int64()), ("step", pa.int64())]
+    for batch in batches:
+        found = [_settle(*[r[c] for c in arguments]) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(k) for k in keys], *[pa.array([f.get(n) for f in found], t) for n, t in state]],
+            [*keys, *[n for n, _ in state]])
+
+
+def theil_sen(points: DataFrame, keys: list[str], *, block: int = SLOPE_BLOCK) -> DataFrame:
+    """Median of pairwise slopes over (``x``, ``y``), exact for any number of points; 0 without any pair.
+
+    A key's points are dealt to blocks, and every pair of blocks is one row of
+    work: no task holds a key's points, and only counts and a drawn part of the
+    slopes leave it. Where a key has more than ``DRAWN`` slopes, a draw encloses the
+    median, all slopes are counted against the enclosing values, and what lies
+    between is drawn again until it can be taken whole. One round settles shorter keys.
     """
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, median_slope(rows["x"].to_numpy(float), rows["y"].to_numpy(float)))],
-                            columns=[*keys, "slope"])
-
     kinds = dict(points.dtypes)
-    return points.select(*keys, "x", "y").groupBy(*keys).applyInPandas(
-        run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slope double")
+    names = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    rows = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    dealt = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), "blocks"))
+    held = cut_lineage(dealt.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+                       .select(*keys, "blocks", "block", "p.x", "p.y"))
+    left = held.select(*keys, F.col("block").alias("a"), "x", "y", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b"))
+    pairs = left.join(held.select(*keys, F.col("block").alias("b"), F.col("x").alias("u"), F.col("y").alias("v")), [*keys, "b"])
+    n = F.sum(F.size("x"))
+    infinite = F.lit(float("inf"))
+    state = held.groupBy(*keys).agg(F.ceil(n * (n - 1) / 2 / DRAWN).cast("long").alias("step")).select(
+        *keys, (-infinite).alias("low"), infinite.alias("high"), F.greatest("step", F.lit(1)).alias("step"),
+        F.lit(DRAWN_MARGIN).alias("margin"), F.array().cast("array<double>").alias("sample"), F.lit(0).cast("long").alias("shift"),
+        F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("rest"))
+    done, number = None, 0
+    while True:  # each round leaves a few percent of the slopes of the keys that are still open
+        work = pairs.join(state.select(*keys, "low", "high", "step"), keys).withColumn("round", F.lit(number)).repartition(*keys, "a", "b")
+        counts = work.mapInArrow(functools.partial(_count_pairs, keys=keys), names + ", under long, n_low long, n_high long, inner long, drawn array<double>")
+        summed = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("under", "n_low", "n_high", "inner")],
+                                           F.flatten(F.collect_list("drawn")).alias("drawn"))
+        found = cut_lineage(summed.join(state, keys).mapInArrow(
+            functools.partial(_decide_slopes, keys=keys),
+            names + ", slope double, low double, high double, margin double, sample array<double>, shift long, size long, rest long, step long"))
+        settled = found.where("slope IS NOT NULL").select(*keys, "slope")
+        done = settled if done is None else done.unionByName(settled)
+        state, number = found.where("slope IS NULL").drop("slope"), number + 1
+        if state.isEmpty():
+            return done
 
 
 def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *, adaptive: bool = True,
                 chunk: int = CLAMP_CHUNK) -> DataFrame:
     """Each point moved to within a limit of the one before it, in ``idx`` order.
 
-    The recurrence is sequential, so a key's points (one per time bin) are
-    folded as one ordered array of at most ``chunk`` points at a time.
+    The recurrence is sequential: a key's points (one per time bin) pass sorted
+    through one task, which holds ``chunk`` of them and the last value.
     """
     if adaptive:
         slope = theil_sen(points.withColumn("x", F.col("idx").cast("double")), keys)
@@ -153,34 +276,25 @@ def clamp_jumps(points: DataFrame, keys: list[str], limit: float = JUMP_LIMIT, *
         wide = wide.withColumn("limit", F.when(steep, F.ceil(F.abs("slope") * 1.5)).otherwise(F.lit(limit)).cast("double"))
     else:
         wide = points.withColumn("limit", F.lit(limit))
-    extra = [c for c in points.columns if c not in (*keys, "idx", "y")]
-    last = points.agg(F.max("idx").alias("i")).first()["i"] or 0
-    chunks = int(last) // chunk + 1
-    if chunks == 1:
-        return _fold_clamp(wide.withColumn("_from", F.lit(None).cast("double")), keys, extra)
-    # longer series advance chunk by chunk, all keys together, handing on the last value
-    wide, start, done = cut_lineage(wide), None, None
-    for c in range(chunks):
-        part = wide.where(F.floor(F.col("idx") / F.lit(chunk)) == c)
-        part = part.withColumn("_from", F.lit(None).cast("double")) if start is None else part.join(start, keys, "left")
-        out = cut_lineage(_fold_clamp(part, keys, extra))
-        start = out.groupBy(*keys).agg(F.max_by("y", "idx").alias("_from"))
-        done = out if done is None else done.unionByName(out)
-    return done
-
-
-def _fold_clamp(rows: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("idx", "y", *extra)))
-    grouped = rows.groupBy(*keys, "limit", "_from").agg(ordered.alias("p"))
-    empty = F.array().cast("array<double>")
-
-    def step(acc: Column, item: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_from"), item["y"])
-        return F.array_append(acc, F.least(F.greatest(item["y"], prev - F.col("limit")), prev + F.col("limit")))
-
-    folded = grouped.withColumn("ys", F.aggregate("p", empty, step))
-    return folded.select(*keys, F.explode(F.arrays_zip("p", "ys")).alias("z")).select(
-        *keys, "z.p.idx", *[F.col(f"z.p.{c}") for c in extra], F.col("z.ys").alias("y"))
+    columns = [*keys, "idx", *[c for c in points.columns if c not in (*keys, "idx", "y")], "y"]
+    rows = wide.select(*columns, "limit").repartition(*keys).sortWithinPartitions(*keys, "idx")
+    return rows.mapInArrow(functools.partial(_clamp, keys=keys, chunk=chunk), wide.select(*columns).schema)
+
+
+def _clamp(batches: Iterator[pa.RecordBatch], keys: list[str], chunk: int) -> Iterator[pa.RecordBatch]:
+    """One pass over sorted rows; the last value of a key goes on from chunk to chunk."""
+    key, prev = None, 0.0
+    for batch in (b.slice(a, chunk) for b in batches for a in range(0, b.num_rows, chunk)):
+        ys = []
+        for y, limit, *here in zip(*[batch.column(c).to_pylist() for c in ("y", "limit", *keys)]):
+            if here != key:
+                key, prev = here, y
+            if y is not None and prev is not None:
+                y = min(max(y, prev - limit), prev + limit)
+            prev = y if y is not None else prev
+            ys.append(y)
+        names = [c for c in batch.schema.names if c not in ("y", "limit")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ys, pa.float64())], [*names, "y"])
 
 
 def drop_outliers(points: DataFrame, keys: list[str], reach: int = 2, limit: float = OUTLIER,
@@ -207,7 +321,8 @@ def smooth_residual(points: DataFrame, keys: list[str], *, duration: float, span
     low = F.greatest(F.lit(0), F.ceil((t - 1.5 * span) / hop)).cast("bigint")
     high = F.least(F.lit(last), F.floor((t + 0.5 * span) / hop)).cast("bigint")
     reached = points.where(low <= high).select(*keys, "y", F.explode(F.sequence(low, high)).alias("m"))
-    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="_k").where(F.col("_k") >= min_points)
+    med = exact_quantiles(reached, [*keys, "m"], "y", {"y": 0.5}, count="_k", bounded=True).where(
+        F.col("_k") >= min_points)
     # one row per centre, so counting a key's centres is a small window
     smooth = med.select(*keys, (F.col("m") * hop + span / 2).alias("t_sec"), "y",
                         F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("_c")).where("_c >= 2").drop("_c")
@@ -243,7 +358,7 @@ def residual_curve(points: DataFrame, keys: list[str], *, seconds: int, span: fl
 
 def anchor_points(windows: DataFrame, *, rate: int, bin_sec: int = 120) -> DataFrame:
     """Anchors numbered in time order, written out once: every later step rereads them."""
-    binned = anchors(windows, rate=rate, bin_sec=bin_sec)
+    binned = cut_lineage(anchors(windows, rate=rate, bin_sec=bin_sec))
     return cut_lineage(dense_index(binned, KEYS, "bin", size=65536))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000   # the sketch is wrong by a share of 1 / ACCURACY of a key's rows at most
 REACH = 0.001       # the enclosing values are quantiles so much lower and higher
+BINS_PER_UNIT, FINE = 1024, 4096
 SMALL = 4096        # keys up to here are gathered whole; beyond, REACH is several ranks
 
 
@@ -53,6 +54,11 @@ def stacked_quantiles(df: DataFrame, keys: list[str], metrics: dict[str, tuple[s
     return found.groupBy(*keys).agg(*picks)
 
 
+def _fine_bin(value: Column) -> Column:
+    """A bin number that does not fall as ``value`` rises, fine at every magnitude; the tests look at values by it."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BINS_PER_UNIT * FINE))
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The middle value, or the upper of the two middle ones."""
     return _at_ranks(_values(df, keys, value), keys, {out: (0.5, F.floor(F.col("_n") / 2))}, None)

@@ -60,3 +60,45 @@ def test_stacked_quantiles(spark):
     assert (got["x"].a50, got["x"].a90, got["x"].b50, got["x"].n_a) == (50.0, 90.0, 50.0, 101)
     assert (got["y"].a50, got["y"].b50, got["y"].n_a) == (None, 7.0, 0)
     assert exact_quantiles(df.limit(0), ["k"], "a", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["line", "steps", "ties", "same", "wide"])
+def test_theil_sen_over_block_pairs(spark, monkeypatch, kind):
+    """Exact with blocks far smaller than a key, and with few slopes taken in a round."""
+    from archlens.operators import curves
+    rng = np.random.default_rng(6)
+    n = 700
+    x = np.arange(float(n)) if kind != "ties" else np.floor(np.arange(n) / 50)
+    y = {"line": 0.5 * x + rng.normal(size=n), "steps": np.round(rng.normal(size=n).cumsum()), "ties": rng.integers(0, 4, n) * 1.0,
+         "same": np.where(np.arange(n) < 350, 0.0, x), "wide": rng.standard_cauchy(n) * 1e6}[kind]
+    i, j = np.triu_indices(n, 1)
+    apart = x[j] != x[i]
+    want = float(np.median(((y[j] - y[i])[apart] / (x[j] - x[i])[apart])))
+    rows = [("hot", float(a), float(b)) for a, b in zip(x, y)] + [("one", 1.0, 2.0), ("tie", 1.0, 2.0), ("tie", 1.0, 3.0),
+                                                                 ("two", 1.0, 2.0), ("two", 3.0, 8.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    monkeypatch.setattr(curves, "DRAWN", 5000)
+    got = {r.k: r.slope for r in curves.theil_sen(df, ["k"], block=64).collect()}
+    assert got == {"hot": pytest.approx(want, abs=1e-12), "one": 0.0, "tie": 0.0, "two": 3.0}
+
+
+def test_no_task_holds_a_hot_keys_points(spark):
+    from archlens.operators import curves
+    seen = spark.sparkContext.accumulator(0)
+    whole = curves._count_pairs
+
+    def watched(batches, keys):
+        def looked():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    assert len(r["x"]) + len(r["u"]) < 400
+                    seen.add(1)
+                yield batch
+        return whole(looked(), keys)
+    curves._count_pairs = watched
+    try:
+        df = spark.range(2000).selectExpr("'hot' AS k", "CAST(id AS DOUBLE) AS x", "CAST(3 * id AS DOUBLE) AS y")
+        assert curves.theil_sen(df, ["k"], block=128).first().slope == 3.0
+    finally:
+        curves._count_pairs = whole
+    assert seen.value >= 16 * 17 // 2
