@@ -197,6 +197,54 @@ def ncc_lags(ref, tgt, *, lo: int, hi: int):
     return run(ref, tgt)
 
 
+def coarse_surface(ref, tgt, *, before: int, factor: int):
+    """Normalised correlation at every coarse lag of windows pooled by ``factor``; null where one is silent.
+
+    ``tgt`` begins ``before`` samples ahead of ``ref``. Lag zero is in the middle.
+    """
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = [None] * len(a)
+        for rows, (x, y) in _groups(a, b):
+            n = x.shape[1] // factor
+            if n >= 16:
+                x, y = (m[:, :n * factor].reshape(len(m), n, factor).mean(axis=2) for m in (x, y[:, before:before + x.shape[1]]))
+                c, live = ncc_surface(x, y, 1 - n, n - 1)
+                for i in np.flatnonzero(live):
+                    out[rows[i]] = c[i].astype(np.float32)
+        return pd.Series(out, dtype=object)
+    return run(ref, tgt)
+
+
+def surface_peak(surface: np.ndarray, lo: int, hi: int, factor: int) -> tuple[int, float] | None:
+    """(lag, cc) of the strongest |cc| at the coarse lags within lo..hi samples, as far as the surface goes."""
+    half = len(surface) // 2
+    first, last = max(-half, -(-lo // factor)), min(half, hi // factor)
+    if first > last:
+        return None
+    k = first + int(np.abs(surface[first + half:last + half + 1]).argmax())
+    return k * factor, float(surface[k + half])
+
+
+def refined_lag(segment: np.ndarray, tgt: np.ndarray, zero: int, lag: int, radius: int) -> tuple[int, float]:
+    """(lag, |cc|) of the best whole lag within ``radius``; ``zero``: where the segment lies in ``tgt`` at lag 0.
+
+    Candidates outside ``tgt`` are left out; with none, or in silence, the lag stays, at quality 0.
+    """
+    n = len(segment)
+    lags = np.arange(max(lag - radius, -zero), min(lag + radius, len(tgt) - n - zero) + 1)
+    a = segment - segment.mean() if n else segment
+    scale = np.sqrt(a @ a)
+    if n < 8 or not len(lags) or scale < RMS_GATE:
+        return lag, 0.0
+    cut = np.lib.stride_tricks.sliding_window_view(tgt[zero + lags[0]:zero + lags[-1] + n], n)
+    cut = cut - cut.mean(axis=1, keepdims=True)
+    norm = scale * np.sqrt((cut * cut).sum(axis=1))
+    quality = np.where(norm >= 1e-12, np.abs(cut @ a) / np.where(norm >= 1e-12, norm, 1.0), -1.0)
+    best = int(quality.argmax())
+    return (int(lags[best]), float(quality[best])) if quality[best] >= 0 else (lag, 0.0)
+
+
 def ncc_at(ref, tgt, lags, *, search: int, least: int):
     """Per lag: the correlation there, the strongest within ``search`` of it, and that one's offset.
 

@@ -4,8 +4,11 @@
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pcm, signal as sg
@@ -23,6 +26,7 @@ MIN_CHANNELS, MAX_CHANNELS = 3, 8
 TRACK_RADIUS, TRACK_PER_MINUTE, TRACK_MIN_CC = 96, 8, 0.06
 POLARITY_MIN_CC, POLARITY_SHARE = 0.25, 0.8
 FULL_HALF = 8
+TRACK_TRIES, INITIAL_RADIUS, REFINE_RADIUS = 2, 12, 8
 TRACK_CHUNK = 4096
 
 
@@ -206,54 +210,113 @@ def surfaces(blocks: DataFrame, size: int, *, window: int, hop: int, search: int
 
 TRACK_SCHEMA = ("file_id bigint, ref bigint, tgt bigint, window_no bigint, delay_samples double, cc double, "
                 "valid boolean, polarity bigint, radius bigint")
+FOLLOWED = TRACK_SCHEMA + ", coarse_cc double"
+
+
+def _sorted_windows(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "window_no")
+
+
+def _folded(batches: Iterator[pa.RecordBatch], chunk: int, step, schema: str) -> Iterator[pa.RecordBatch]:
+    """``step(state, row)`` over sorted windows of pairs, one pass; a pair's state is a dict that begins empty."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    pair, state = None, {}
+    for part in (b.slice(a, chunk) for b in batches for a in range(0, b.num_rows, chunk)):
+        out = []
+        columns = {c: part.column(c) for c in part.schema.names}
+        for k in range(part.num_rows):
+            row = {c: (v[k].values.to_numpy(zero_copy_only=False) if v[k].is_valid else None) if pa.types.is_list(v.type)
+                   else v[k].as_py() for c, v in columns.items()}
+            here = [row[c] for c in KEYS]
+            if here != pair:
+                pair, state = here, {}
+            found = step(state, row)
+            if found is not None:
+                out.append((*here, *found))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[t]) for i, (_, t) in enumerate(fields)],
+                                         [n for n, _ in fields])
 
 
 def track_windows(found: DataFrame, *, rate: float, radius: int = TRACK_RADIUS, per_minute: float = TRACK_PER_MINUTE,
                   min_cc: float = TRACK_MIN_CC, chunk: int = TRACK_CHUNK) -> DataFrame:
-    """Follow the delay from window to window.
+    """Follow the delay from window to window over given surfaces, as far as they reach.
 
     The correlation surfaces come from a parallel stage; here only the
-    prediction is carried. The first window is searched in full (two tries),
-    later ones around the last valid lag; a weak window is invalid and does not
-    move the prediction. All pairs advance together by ``chunk`` windows at a
-    time, handing on the last lag, so no task holds more of a pair than that.
+    prediction is carried, in one pass over a pair's sorted windows. The first window is
+    searched in full (two tries), later ones around the last valid lag; a weak window
+    is invalid and does not move the prediction. A task holds ``chunk`` windows.
+    """
+    def step(state: dict, row: dict) -> tuple:
+        prev, tries, surface = state.get("lag"), state.get("tries", 0), row["surface"]
+        reach = radius + int(round(per_minute * row["start"] / rate / 60))
+        delay, cc = None, 0.0
+        if surface is not None and len(surface) and (prev is not None or tries < 2):
+            half = len(surface) // 2
+            state["tries"] = tries + (prev is None)
+            peak = sg.surface_peak(surface, -half if prev is None else prev - reach, half if prev is None else prev + reach, 1)
+            if peak is not None:
+                cc = peak[1]
+                if abs(cc) >= min_cc:
+                    delay = state["lag"] = peak[0]
+        return row["window_no"], delay, cc, delay is not None, 1 if cc >= 0 else -1, reach
+
+    rows = _sorted_windows(found.select(*KEYS, "window_no", "start", "surface"))
+    return rows.mapInArrow(lambda batches: _folded(batches, chunk, step, TRACK_SCHEMA), TRACK_SCHEMA)
+
+
+def follow_delays(blocks: DataFrame, size: int, *, rate: float, window: int, hop: int, search: int, factor: int = 4,
+                  radius: int = TRACK_RADIUS, per_minute: float = TRACK_PER_MINUTE, min_cc: float = TRACK_MIN_CC,
+                  initial: int | None = None, segment: int | None = None, refine_radius: int = REFINE_RADIUS,
+                  lengths: DataFrame | None = None, chunk: int = 64) -> DataFrame:
+    """Continuous delays of whole pairs: coarse search around the last valid lag, refined at full rate.
+
+    A long first stretch of ``initial`` samples (twice ``window`` by default) is searched
+    within ``search``, and if it is weak the one a hop later; with neither, no window is
+    valid. Each window is then searched within a reach of the last valid lag that grows with
+    time, whatever ``search`` was, and its centre ``segment`` is matched sample by
+    sample; that lag is the next prediction. ``cc`` is the coarse |correlation|, 1 at
+    most, times the refined one. Surfaces are made in parallel; the fold reads them in
+    one pass, window by window, and holds ``chunk`` of them.
     """
-    def follow(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("window_no")
-        known, tries = rows["_prev"].iloc[0], int(rows["_tries"].iloc[0])
-        prev, out = (None if pd.isna(known) else int(known)), []
-        for w, start, surface in zip(rows.window_no, rows.start, rows.surface):
-            reach = radius + int(round(per_minute * start / rate / 60))
-            delay, cc = None, 0.0
-            if surface is not None and len(surface) and (prev is not None or tries < 2):
-                half = len(surface) // 2
-                lo, hi = (0, len(surface) - 1) if prev is None else (max(0, prev - reach + half), min(len(surface) - 1, prev + reach + half))
-                tries += prev is None
-                if lo <= hi:
-                    k = lo + int(np.abs(surface[lo:hi + 1]).argmax())
-                    cc = float(surface[k])
-                    if abs(cc) >= min_cc:
-                        delay = prev = k - half
-            out.append((*key, w, delay, cc, delay is not None, 1 if cc >= 0 else -1, reach, tries))
-        return pd.DataFrame(out, columns=["file_id", "ref", "tgt", "window_no", "delay_samples", "cc", "valid", "polarity", "radius", "tries"])
-
-    last = found.agg(F.max("window_no").alias("w")).first()["w"] or 0
-    chunks = int(last) // chunk + 1
-    if chunks > 1:
-        found = cut_lineage(found)
-    state = found.select(*KEYS).distinct().select(*KEYS, F.lit(None).cast("bigint").alias("_prev"), F.lit(0).cast("bigint").alias("_tries"))
-    done = None
-    for c in range(chunks):
-        part = found.where(F.floor(F.col("window_no") / F.lit(chunk)) == c) if chunks > 1 else found
-        rows = part.join(state, KEYS).groupBy(*KEYS).applyInPandas(follow, TRACK_SCHEMA + ", tries bigint")
-        if chunks > 1:
-            rows = cut_lineage(rows)
-            ended = rows.groupBy(*KEYS).agg(
-                F.max_by("delay_samples", F.when(F.col("valid"), F.col("window_no"))).alias("_d"), F.max("tries").alias("_t"))
-            state = state.join(ended, KEYS, "left").select(
-                *KEYS, F.coalesce(F.col("_d").cast("bigint"), "_prev").alias("_prev"), F.coalesce("_t", "_tries").alias("_tries"))
-        done = rows if done is None else done.unionByName(rows)
-    return done.drop("tries")
+    long, seg = initial or 2 * window, segment or max(8, window // 8)
+    before = window // 2
+    pairs = pair_lengths(blocks, size) if lengths is None else lengths
+    tries = pairs.withColumn("window_no", F.explode(F.sequence(F.lit(-TRACK_TRIES).cast("bigint"), F.lit(-1).cast("bigint"))))
+    tries = tries.withColumn("start", (F.col("window_no") + TRACK_TRIES) * hop).withColumn(
+        "count", F.least(F.lit(long), F.col("n_samples") - F.col("start"))).where(F.col("count") >= 16 * factor)
+    ranges = window_ranges(pairs, window, hop)
+    ranges = ranges.unionByName(tries.select(*ranges.columns))
+    read = read_pairs(blocks, ranges, size, before=before)
+    # a first stretch is refined on the centre of its first window
+    centre = F.floor(F.least(F.col("count"), F.lit(window)) / 2) - seg // 2
+    rows = read.withColumn("surface", sg.coarse_surface(F.col("ref_x"), F.col("tgt_x"), before=before, factor=factor)).select(
+        *KEYS, "window_no", "start", F.least(F.col("count"), F.lit(window)).alias("length"), F.greatest(centre, F.lit(0)).alias("at"),
+        "surface", F.slice("ref_x", F.greatest(centre, F.lit(0)).cast("int") + 1, seg).alias("segment"),
+        F.slice("tgt_x", 1, before + F.least(F.col("count"), F.lit(window)).cast("int")).alias("tgt_x"))
+
+    def refined(row: dict, lag: int, reach: int) -> tuple[int, float]:
+        if row["length"] < seg:
+            return lag, 0.0
+        return sg.refined_lag(row["segment"].astype(float), row["tgt_x"].astype(float), before + row["at"], lag, reach)
+
+    def step(state: dict, row: dict) -> tuple | None:
+        prev, surface = state.get("lag"), row["surface"]
+        if row["window_no"] < 0:
+            peak = sg.surface_peak(surface, -search, search, factor) if prev is None and surface is not None else None
+            if peak is not None and abs(peak[1]) >= min_cc:
+                state["lag"] = refined(row, peak[0], INITIAL_RADIUS)[0]
+            return None
+        reach = radius + int(round(per_minute * row["start"] / rate / 60))
+        peak = sg.surface_peak(surface, prev - reach, prev + reach, factor) if prev is not None and surface is not None else None
+        coarse = peak[1] if peak is not None else 0.0
+        if peak is None or abs(coarse) < min_cc:
+            return row["window_no"], None, 0.0, False, 1 if coarse >= 0 else -1, reach, abs(coarse)
+        lag, quality = refined(row, peak[0], refine_radius)
+        state["lag"] = lag
+        return row["window_no"], float(lag), min(abs(coarse), 1.0) * max(quality, 0.0), True, 1 if coarse >= 0 else -1, reach, abs(coarse)
+
+    return _sorted_windows(rows).mapInArrow(lambda batches: _folded(batches, chunk, step, FOLLOWED), FOLLOWED)
 
 
 def independent_delays(blocks: DataFrame, size: int, *, window: int, hop: int, max_lag: int, min_dbfs: float = -50.0,

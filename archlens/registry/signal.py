@@ -108,8 +108,8 @@ def sig_11(spark, sf):
 
 @query("sig_12")
 def sig_12(spark, sf):
-    found = g.surfaces(blocks(spark, sf), SIZE, window=1024, hop=512, search=40)
-    return rounded(g.track_windows(found, rate=RATE, radius=6))
+    found = g.follow_delays(blocks(spark, sf), SIZE, rate=RATE, window=1024, hop=512, search=40, factor=2, radius=6)
+    return rounded(found)
 
 
 @query("sig_13")

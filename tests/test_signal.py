@@ -226,3 +226,32 @@ def test_strength_query_takes_every_frame(spark):
     registry.load()
     rows = registry.QUERIES["sig_09"](spark, "/root/testdata/sf0.001").collect()
     assert max(r.samples for r in rows) > 10
+
+
+def test_tracker_walks_out_of_the_first_search(spark):
+    """A delay that grows window by window, far beyond the range that the first stretch was searched in."""
+    n, window, hop = 16_384, 1024, 512
+    x = noise(31, n + 4096)
+    # the target lags ever more: sample k is taken k / 256 samples earlier
+    y = np.array([x[2048 + k - k // 256] for k in range(n)], dtype=x.dtype)
+    b = blocks_of(spark, {1: [x[2048:2048 + n], y], 2: [x[:n], -np.roll(x[:n], 9)]}, 128)
+    got = g.follow_delays(b, 128, rate=RATE, window=window, hop=hop, search=24, factor=2, radius=16, initial=window, min_cc=0.15).toPandas()
+    got = got.sort_values("window_no")
+    one, two = got[got.file_id == 1], got[got.file_id == 2]
+    centre = one.window_no * hop + window // 2
+    assert one.valid.all() and (np.abs(one.delay_samples - centre / 256) <= 4).all() and one.delay_samples.max() > 50
+    assert set(two[two.valid].delay_samples) == {9.0} and set(two[two.valid].polarity) == {-1} and two.cc.min() > 0.75
+    again = g.follow_delays(b.repartition(5), 128, rate=RATE, window=window, hop=hop, search=24, factor=2, radius=16, initial=window, min_cc=0.15,
+                            chunk=1).toPandas().sort_values("window_no")
+    order = lambda p: p.sort_values(["file_id", "window_no"]).reset_index(drop=True)
+    assert order(got).equals(order(again))
+
+
+def test_tracker_tries_a_second_stretch_and_gives_up_in_silence(spark):
+    x = noise(32)
+    y = delayed(x, 6)
+    y[:2000] = 0.0
+    b = blocks_of(spark, {1: [x, y], 2: [x, np.zeros(N)]}, 128)
+    got = g.follow_delays(b, 128, rate=RATE, window=1024, hop=1024, search=64, factor=2, radius=8, initial=1100, min_cc=0.3).toPandas()
+    assert set(got[got.valid].file_id) <= {1} and set(got[got.valid].delay_samples) <= {6.0}
+    assert not got[got.file_id == 2].valid.any() and len(got[got.file_id == 2]) == 8
