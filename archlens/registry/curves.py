@@ -150,7 +150,7 @@ def win_13(spark, sf):
 
 
 @query("win_14", with_views(f"""SELECT {K}, t_sec, round(y + 1e-9, 6) AS y FROM (SELECT a.file_id, a.ref, a.tgt, a.t_sec, a.y * 10 + coalesce(b.y, 0) AS y FROM ga a LEFT JOIN gb b ON a.file_id = b.file_id AND a.tgt = b.tgt AND a.t_sec = b.t_sec) WHERE (file_id, tgt) NOT IN
- (SELECT a.file_id, a.tgt FROM ga a LEFT JOIN gb b ON a.file_id = b.file_id AND a.tgt = b.tgt AND a.t_sec = b.t_sec WHERE abs(a.y * 10 + coalesce(b.y, 0)) > 4800)""", WD, AN, SMOOTH, f"ga AS ({grid_sql('an', SECONDS)})", f"gb AS ({grid_sql('sp', SECONDS)})"))
+ (SELECT a.file_id, a.tgt FROM ga a LEFT JOIN gb b ON a.file_id = b.file_id AND a.tgt = b.tgt AND a.t_sec = b.t_sec WHERE abs(a.y * 10 + coalesce(b.y, 0)) > 4800)""", WD, AN, SMOOTH, f"ga AS MATERIALIZED ({grid_sql('an', SECONDS)})", f"gb AS MATERIALIZED ({grid_sql('sp', SECONDS)})"))
 def win_14(spark, sf):
     base = points(spark, sf).select(*KEYS, "t_sec", "y")
     first = c.on_grid(base, KEYS, SECONDS).withColumn("y", F.col("y") * 10)

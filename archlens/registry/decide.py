@@ -98,7 +98,15 @@ def dec_07(spark, sf):
     return d.group_anchors(members, order)
 
 
-@query("dec_08")
+@query("dec_08", """WITH RECURSIVE e AS (SELECT user_id AS file_id, event_id % 3 AS a, 3 + event_id % 2 AS b, event_type <> 'error' AS valid, CASE WHEN user_id % 2 = 0 THEN value / 200 ELSE value END AS d, 0.9::DOUBLE + (event_id % 10) / 100.0::DOUBLE AS cc FROM events),
+g AS (SELECT file_id, a, b, 1.4::DOUBLE + (sum(a) % 5)::DOUBLE / 10 AS median, count(*) AS n, count(*) FILTER (valid) AS v, quantile_cont(d, 0.9) FILTER (valid) - quantile_cont(d, 0.1) FILTER (valid) AS span, median(abs(cc)) FILTER (valid) AS acc,
+ avg((cc > 0)::INT) FILTER (valid) AS positive FROM e GROUP BY ALL),
+c AS (SELECT file_id, a, b, row_number() OVER (PARTITION BY file_id ORDER BY median DESC, a DESC, b DESC) AS k FROM g WHERE median >= 1.5 AND n >= 8 AND v >= greatest(8, n // 2) AND acc >= 0.9 AND span <= 5
+ AND greatest(positive, 1 - positive) >= 0.95 AND (file_id % 7 = a) = (file_id % 7 = b)),
+w AS (SELECT DISTINCT file_id, 0::BIGINT AS k, 0::BIGINT AS used, NULL::BIGINT AS a, NULL::BIGINT AS b FROM c UNION ALL
+ SELECT c.file_id, c.k, CASE WHEN (used & ((1::BIGINT << c.a) | (1::BIGINT << c.b))) = 0 THEN used | (1::BIGINT << c.a) | (1::BIGINT << c.b) ELSE used END, CASE WHEN (used & ((1::BIGINT << c.a) | (1::BIGINT << c.b))) = 0 THEN c.a END,
+ CASE WHEN (used & ((1::BIGINT << c.a) | (1::BIGINT << c.b))) = 0 THEN c.b END FROM w JOIN c ON c.file_id = w.file_id AND c.k = w.k + 1)
+SELECT file_id, a, b FROM w WHERE a IS NOT NULL""")
 def dec_08(spark, sf):
     base = view(spark, sf, "events").selectExpr(
         "user_id AS file_id", "event_id % 3 AS a", "3 + event_id % 2 AS b", "event_type <> 'error' AS valid",

@@ -53,7 +53,23 @@ def sig_03(spark, sf):
     return rounded(g.loudness(blocks(spark, sf), 0.5, -18.0))
 
 
-@query("sig_04")
+CHANNELS = "ch AS MATERIALIZED (SELECT file_id, channel, flatten(list(samples ORDER BY block_no)) AS x FROM pcm GROUP BY ALL)"
+# windowed sinc of 81 taps for every fourth sample, unit gain at zero
+TAPS = """tp AS (SELECT list_transform(h, lambda v: v / list_sum(h)) AS taps FROM (SELECT [(CASE WHEN i = 0 THEN 1 ELSE sin(pi() * i / 4) / (pi() * i / 4) END) * (0.54::DOUBLE + 0.46::DOUBLE * cos(2 * pi() * i / 80)) for i in range(-40, 41)] AS h)),
+fl AS (SELECT file_id, channel, (range // 16)::BIGINT AS block_no, list_inner_product(taps, [CASE WHEN 4 * range + j >= 0 THEN coalesce(x[4 * range + j + 1], 0.0) ELSE 0.0 END for j in range(-40, 41)])::FLOAT::DOUBLE AS v
+ FROM ch, tp, range(1600) WHERE 4 * range < len(x))"""
+
+
+def correlated(window, hop, lag):
+    """Means removed and one correlation per lag of each window of channel 0 against another."""
+    n = f"{window} - abs(lag)"
+    return f"""wn AS MATERIALIZED (SELECT file_id, 0::BIGINT AS ref, b.channel AS tgt, k::BIGINT AS window_no, a.x[k * {hop} + 1:k * {hop} + {window}] AS a, b.x[k * {hop} + 1:k * {hop} + {window}] AS b
+ FROM ch a JOIN ch b USING (file_id), range(1000) r(k) WHERE a.channel = 0 AND b.channel > 0 AND k * {hop} + {window} <= least(len(a.x), len(b.x))),
+wz AS MATERIALIZED (SELECT *, sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS norm FROM (SELECT file_id, ref, tgt, window_no, a AS a0, b AS b0, list_transform(a, lambda v: v - list_avg(a)) AS a, list_transform(b, lambda v: v - list_avg(b)) AS b FROM wn)),
+cr AS MATERIALIZED (SELECT file_id, ref, tgt, window_no, lag, list_inner_product(a[1 + greatest(-lag, 0):greatest(-lag, 0) + {n}], b[1 + greatest(lag, 0):greatest(lag, 0) + {n}]) / norm AS c FROM wz, range(-{lag}, {lag} + 1) l(lag) WHERE norm > 1e-12)"""
+
+
+@query("sig_04", with_views("SELECT file_id, channel, block_no, count(*) AS n, round(sum(v ORDER BY v), 6) AS total FROM fl GROUP BY ALL", PCM, CHANNELS, TAPS))
 def sig_04(spark, sf):
     coarse = g.decimated(blocks(spark, sf), SIZE, 4)
     return rounded(coarse.select(*g.CH, "block_no", F.size("samples").cast("bigint").alias("n"), pcm.total(F.col("samples")).alias("total")))
@@ -112,7 +128,12 @@ def sig_12(spark, sf):
     return rounded(found)
 
 
-@query("sig_13")
+@query("sig_13", with_views(f"""SELECT file_id, ref, tgt, window_no, round(lag + CASE WHEN lag > -64 AND lag < 64 AND y0 - 2 * c + y2 <> 0 THEN greatest(-0.5, least(0.5, 0.5 * (y0 - y2) / (y0 - 2 * c + y2))) ELSE 0 END, 6)::DOUBLE AS delay_samples, round(c, 6) AS cc, round(side, 6) AS peak_to_sidelobe,
+ why IS NULL AS qualified, why AS reason FROM (SELECT *, CASE WHEN lag IS NULL THEN 'verifier_zero_variance' WHEN least(da, db) < -50 THEN 'verifier_no_signal' WHEN NOT coalesce(side >= 1.5, false) THEN 'verifier_ambiguous_peak' END AS why FROM (
+ SELECT w.*, p.lag, p.c, (SELECT c FROM cr WHERE cr.file_id = p.file_id AND cr.tgt = p.tgt AND cr.window_no = p.window_no AND cr.lag = p.lag - 1) AS y0, (SELECT c FROM cr WHERE cr.file_id = p.file_id AND cr.tgt = p.tgt AND cr.window_no = p.window_no AND cr.lag = p.lag + 1) AS y2,
+ p.c / (SELECT CASE WHEN max(c) > 0 THEN max(c) END FROM cr WHERE cr.file_id = p.file_id AND cr.tgt = p.tgt AND cr.window_no = p.window_no AND abs(cr.lag - p.lag) > 24) AS side
+ FROM (SELECT file_id, ref, tgt, window_no, 10 * log10(list_inner_product(a0, a0) / {{n}}) AS da, 10 * log10(list_inner_product(b0, b0) / {{n}}) AS db FROM wz) w
+ LEFT JOIN (SELECT file_id, tgt, window_no, arg_max(lag, (c, -lag)) AS lag, max(c) AS c FROM cr GROUP BY ALL) p ON p.file_id = w.file_id AND p.tgt = w.tgt AND p.window_no = w.window_no))""".format(n=1024), PCM, CHANNELS, correlated(1024, 1024, 64)))
 def sig_13(spark, sf):
     return rounded(g.independent_delays(blocks(spark, sf), SIZE, window=1024, hop=1024, max_lag=64))
 
@@ -168,7 +189,18 @@ def sig_18(spark, sf):
     return rounded(g.recheck(blocks(spark, sf), SIZE, windows=3, segment=4096, search=40, rate=RATE))
 
 
-@query("sig_19")
+SCORED = """st AS (SELECT unnest([0, 1, 2, 3])::BIGINT AS set_id, unnest([[0, 5, 12, -7], [0, 5, 12, 7], [0, 0, 0, 0], [0, 6, 11, -5]]) AS shifts),
+pw AS MATERIALIZED (SELECT file_id, a.channel AS ref, b.channel AS tgt, k AS window_no, a.x[s + 1:s + 1024] AS a, b.x[s + 1:s + 1024] AS b FROM ch a JOIN ch b USING (file_id), range(24) r(k), LATERAL (SELECT ((least(len(a.x), len(b.x)) - 1024) * k // 23)::BIGINT AS s) WHERE a.channel < b.channel),
+lg AS (SELECT DISTINCT ref, tgt, shifts[tgt + 1] - shifts[ref + 1] + o AS lag FROM (SELECT DISTINCT ref, tgt FROM pw), st, range(-6, 7) q(o)),
+cl AS (SELECT file_id, ref, tgt, window_no, lag, a[1 + greatest(-lag, 0):greatest(-lag, 0) + 1024 - abs(lag)] AS a, b[1 + greatest(lag, 0):greatest(lag, 0) + 1024 - abs(lag)] AS b FROM pw JOIN lg USING (ref, tgt)),
+cc AS MATERIALIZED (SELECT file_id, ref, tgt, window_no, lag, CASE WHEN sqrt(va * vb) >= 1e-9 THEN ab / sqrt(va * vb) ELSE 0 END AS c FROM (SELECT file_id, ref, tgt, window_no, lag, list_inner_product(a, b) - list_sum(a) * list_sum(b) / len(a) AS ab,
+ list_inner_product(a, a) - list_sum(a) * list_sum(a) / len(a) AS va, list_inner_product(b, b) - list_sum(b) * list_sum(b) / len(b) AS vb FROM cl)),
+wd AS (SELECT file_id, ref, tgt, set_id, window_no, max(CASE WHEN o = 0 THEN c END) AS c, arg_max(c, (round(abs(c), 12), -o)) AS best, arg_max(o, (round(abs(c), 12), -o)) AS off
+ FROM cc JOIN (SELECT set_id, ref, tgt, o, shifts[tgt + 1] - shifts[ref + 1] + o AS lag FROM st, range(-6, 7) q(o), (SELECT DISTINCT ref, tgt FROM pw)) USING (ref, tgt, lag) GROUP BY ALL),
+pp AS (SELECT file_id, ref, tgt, set_id, median(abs(c)) AS at_lag, median(abs(best)) AS near_lag, avg((best > 0)::INT) AS pos, trunc(median(off))::BIGINT AS off FROM wd GROUP BY ALL)"""
+
+
+@query("sig_19", with_views("SELECT file_id, set_id, round(sum(at_lag), 6) AS score, round(avg(near_lag), 6) AS near_score, round(avg(greatest(pos, 1 - pos)), 6) AS sign_consistency, string_agg(off::VARCHAR, ',' ORDER BY ref, tgt) AS offsets FROM pp GROUP BY ALL", PCM, CHANNELS, SCORED))
 def sig_19(spark, sf):
     b = blocks(spark, sf)
     sets = F.array(*[F.struct(F.lit(i).cast("bigint").alias("set_id"), F.array(*[F.lit(v).cast("bigint") for v in s]).alias("shifts"))
