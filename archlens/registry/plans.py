@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
-from ..operators import windows as w
+from ..operators import signal as g, windows as w
 from ..plans import apply as ap, audio as a, track_decision as td
 from . import query
 from .preserve import table_sql
@@ -181,3 +181,18 @@ def jon_14(spark, sf):
 @query("dec_24")
 def dec_24(spark, sf):
     return rounded(td.decide_tracks(blocks(spark, sf), SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0))
+
+
+# the delays that the channels were made with, against those that the whole decision measures
+@query("dec_24_files", """WITH f AS (SELECT DISTINCT floor(vec_id / 100)::BIGINT AS file_id FROM embeddings), c(channel, d) AS (VALUES (1, 5), (2, 12), (3, -7))
+SELECT file_id, CASE WHEN file_id = 0 THEN 0 ELSE count(*) FILTER (abs(d) > 5) END AS fixed, CASE WHEN file_id = 0 THEN 0 ELSE count(*) FILTER (abs(d) <= 5) END AS aligned, CASE WHEN file_id = 0 THEN 4 ELSE 0 END::BIGINT AS untouched,
+ CASE WHEN file_id = 0 THEN 'not_eligible' ELSE 'applied' END AS status FROM f, c GROUP BY file_id""")
+def dec_24_files(spark, sf):
+    """Verdicts of whole files, from eligibility of their streams to the outcome; file 0 stands for one out of scope."""
+    b = blocks(spark, sf)
+    files = b.select("file_id").distinct()
+    streams = files.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).select(
+        "file_id", F.lit("audio").alias("codec_type"), F.lit("pcm_s24le").alias("codec_name"), F.lit(1).cast("bigint").alias("channels"),
+        F.when((F.col("file_id") == 0) & (F.col("n") == 3), 44100).otherwise(48000).cast("bigint").alias("sample_rate"))
+    tracks = td.decide_tracks(b, SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0, eligible=g.eligibility(files, streams))
+    return td.file_outcome(tracks)
