@@ -6,7 +6,9 @@ no whole file anywhere, out-of-range samples as zero.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def read_ranges(blocks: DataFrame, ranges: DataFrame, keys: list[str], size: int, *,
@@ -51,3 +53,25 @@ def dot(a: Column, b: Column) -> Column:
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
+
+
+def compare_inside(got: Column | str, want: Column | str, begin: Column, end: Column) -> Column:
+    """Places from ``begin`` to before ``end`` of two sample arrays: how many, how many differ, the first that does.
+
+    Two missing samples (null or not a number) are equal; a sample missing on one side only differs.
+    """
+    kind = T.StructType([T.StructField(n, T.LongType()) for n in ("checked", "mismatches", "first")])
+
+    @F.pandas_udf(kind)
+    def run(gots: pd.Series, wants: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for g, w, lo, hi in zip(gots, wants, begins, ends):
+            lo, hi = max(0, int(lo)), min(len(g), int(hi))
+            if lo >= hi:
+                out.append((0, 0, None))
+                continue
+            g, w = np.asarray(g[lo:hi], np.float32), np.asarray(w[lo:hi], np.float32)
+            differ = np.flatnonzero((g != w) & ~(np.isnan(g) & np.isnan(w)))
+            out.append((hi - lo, len(differ), lo + int(differ[0]) if len(differ) else None))
+        return pd.DataFrame(out, columns=["checked", "mismatches", "first"]).astype("Int64")
+    return run(got, want, begin, end)

@@ -254,29 +254,74 @@ def ncc_at(ref, tgt, lags, *, search: int, least: int):
     kind = T.StructType([T.StructField("cc", T.DoubleType()), T.StructField("best", T.DoubleType()),
                          T.StructField("offset", T.LongType())])
 
-    def at(a: np.ndarray, b: np.ndarray, lag: int) -> float:
-        n = len(a) - abs(lag)
-        if n < max(1, least):
-            return 0.0
-        x, y = (a[:n], b[lag:lag + n]) if lag >= 0 else (a[-lag:-lag + n], b[:n])
-        x, y = x - x.mean(), y - y.mean()
-        scale = np.sqrt((x @ x) * (y @ y))
-        return float(x @ y / scale) if scale >= 1e-9 else 0.0
-
     @F.pandas_udf(T.ArrayType(kind))
     def run(refs: pd.Series, tgts: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for a, b, lags_ in zip(refs, tgts, wanted):
-            a, b, row = np.asarray(a, float), np.asarray(b, float), []
-            for lag in lags_:
-                near = [at(a, b, int(lag) + k) for k in range(-search, search + 1)]
-                best = int(np.abs(near).argmax())
-                row.append({"cc": near[search], "best": near[best], "offset": best - search})
-            out.append(row)
+        out = [None] * len(refs)
+        for rows, (a, b) in _groups(refs, tgts):
+            for i, (x, y) in enumerate(zip(a, b)):
+                cc = overlap_surface(x, y, least)
+                lags_ = np.asarray(wanted[rows[i]], np.int64)
+                near = lags_[:, None] + np.arange(-search, search + 1)
+                reach = np.abs(near) < len(x)
+                values = np.where(reach, cc[np.where(reach, near, 0) + len(x) - 1], 0.0)
+                best = np.abs(values).argmax(axis=1)
+                out[rows[i]] = [{"cc": float(v[search]), "best": float(v[k]), "offset": int(k) - search} for v, k in zip(values, best)]
         return pd.Series(out, dtype=object)
     return run(ref, tgt, lags)
 
 
+def overlap_surface(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Correlation of two equally long windows at every lag from 1 - n to n - 1, over what they share there.
+
+    One FFT gives the products, running sums the means and norms of each overlap.
+    """
+    n = len(x)
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    nfft = fast_len(2 * n - 1)
+    products = np.fft.irfft(np.fft.rfft(y, nfft) * np.conj(np.fft.rfft(x, nfft)), nfft)
+    lags = np.arange(1 - n, n)
+    products, count = products[lags % nfft], n - np.abs(lags)
+    sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    a, b = np.maximum(-lags, 0), np.maximum(lags, 0)
+    over = lambda total, at: total[at + count] - total[at]
+    sx, sy = over(sums(x), a), over(sums(y), b)
+    xx, yy = over(sums(x * x), a), over(sums(y * y), b)
+    vx, vy = xx - sx * sx / count, yy - sy * sy / count
+    # what cancellation leaves of a constant stretch is no signal
+    vx, vy = np.where(vx > 1e-12 * (x @ x), vx, 0.0), np.where(vy > 1e-12 * (y @ y), vy, 0.0)
+    scale = np.sqrt(vx * vy)
+    loud = (scale >= 1e-9) & (count >= max(1, least))
+    return np.where(loud, (products - sx * sy / count) / np.where(loud, scale, 1.0), 0.0)
+
+
+def best_lag_near(ref, tgt, coarse, lo, hi, *, radius: int):
+    """(lag, quality) of the strongest |correlation| within ``radius`` of ``coarse`` and from ``lo`` to ``hi``.
+
+    ``tgt`` reaches ``radius`` samples beyond ``ref`` on both sides at the coarse
+    lag. Equal strengths, to nine digits, go to the smaller lag; null where no lag
+    is allowed or one side is silent.
+    """
+    kind = T.StructType([T.StructField("lag", T.LongType()), T.StructField("quality", T.DoubleType())])
+
+    @F.pandas_udf(kind)
+    def run(refs: pd.Series, tgts: pd.Series, centre: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        lag, quality = [None] * len(refs), [None] * len(refs)
+        for rows, (a, b) in _groups(refs, tgts):
+            a = a.astype(float) - a.mean(axis=1, keepdims=True, dtype=float)
+            for i, row in enumerate(rows):
+                cut = np.lib.stride_tricks.sliding_window_view(b[i].astype(float), a.shape[1])
+                cut = cut - cut.mean(axis=1, keepdims=True)
+                lags_ = int(centre[row]) + np.arange(-radius, radius + 1)
+                power = (a[i] @ a[i], (cut * cut).sum(axis=1))
+                live = (lags_ >= low[row]) & (lags_ <= high[row]) & (power[0] > 1e-20) & (power[1] > 1e-20)
+                if live.any():
+                    cc = np.abs(cut @ a[i]) / np.sqrt(np.where(live, power[0] * power[1], 1.0))
+                    cc = np.where(live, cc, -1.0)
+                    lag[row], quality[row] = int(lags_[np.round(cc, 9).argmax()]), float(cc.max())
+        return pd.DataFrame({"lag": pd.array(lag, "Int64"), "quality": pd.array(quality, "Float64")})
+    return run(ref, tgt, coarse, lo, hi)
+
+
 def low_pass(factor: int) -> np.ndarray:
     """Windowed-sinc taps for decimation by ``factor``, unit gain at zero."""
     half = TAPS_PER_FACTOR * factor // 2

@@ -138,6 +138,48 @@ def group_anchors(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.groupBy("label").agg(F.min_by("member", F.struct(last, "member")).alias("anchor"), F.count(F.lit(1)).alias("n_members"))
 
 
+def file_groups(nodes: DataFrame, edges: DataFrame, width: int = 8) -> DataFrame:
+    """Connected tracks of every file, in one aggregation: (file_id, groups).
+
+    ``nodes``: file_id, track and, if wanted, place (order as an anchor; null:
+    no candidate). ``edges``: file_id, a, b; both ends are tracks too, a link to
+    itself is none. Tracks are numbered 0 to ``width`` - 1 (at most 62); another
+    number is an error. Each track is a mask of its neighbours, so a file is one
+    row of ``width`` masks however many edges name it; the masks close over
+    paths by doubling. ``groups`` is an array of (label, anchor, members):
+    label is the smallest track, anchor the first by place, ties and tracks
+    without a place by number.
+    """
+    place = F.col("place").cast("bigint") if "place" in nodes.columns else F.lit(None).cast("bigint")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    own = nodes.select("file_id", F.col("track").alias("i"), bit(F.col("track").cast("int")).alias("mask"), place.alias("place"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))
+    linked = edges.where("a <> b").select("file_id", ends.alias("e")).select(
+        "file_id", F.col("e.i").alias("i"), (bit(F.col("e.i").cast("int")).bitwiseOR(bit(F.col("e.j").cast("int")))).alias("mask"),
+        F.lit(None).cast("bigint").alias("place"))
+    wrong = (F.col("i") < 0) | (F.col("i") >= width)
+    rows = own.unionByName(linked).withColumn("mask", F.when(wrong, F.raise_error(F.concat(F.lit("track out of range: "), "i"))).otherwise(F.col("mask")))
+    at = lambda column, i: F.when(F.col("i") == i, F.col(column))
+    masks = rows.groupBy("file_id").agg(
+        F.array(*[F.coalesce(F.bit_or(at("mask", i)), F.lit(0).cast("bigint")) for i in range(width)]).alias("near"),
+        F.array(*[F.min(at("place", i)) for i in range(width)]).alias("places"))
+    tracks = F.sequence(F.lit(0), F.lit(width - 1))
+    has = lambda mask, j: F.call_function("shiftright", mask, j).bitwiseAND(F.lit(1)) == 1
+    further = lambda m: F.transform(m, lambda r: F.aggregate(tracks, r, lambda s, j: F.when(has(r, j), s.bitwiseOR(m[j])).otherwise(s)))
+    rounds = F.sequence(F.lit(1), F.lit(max(1, (width - 1).bit_length())))  # a path has fewer than ``width`` steps
+    reach = masks.select("file_id", "places", F.aggregate(rounds, F.col("near"), lambda m, _: further(m)).alias("reach"))
+    # the smallest track of a group speaks for it
+    first = lambda j: F.filter(tracks, lambda k: has(F.col("reach")[j], k))[0] == j
+    order = lambda j: F.struct(F.coalesce(F.col("places")[j], F.lit(1 << 30).cast("bigint")).alias("place"), j.alias("track"))
+
+    def group(j):
+        members = F.filter(tracks, lambda k: has(F.col("reach")[j], k))
+        anchor = F.array_min(F.transform(members, order))["track"]
+        return F.struct(j.cast("bigint").alias("label"), anchor.cast("bigint").alias("anchor"),
+                        F.transform(members, lambda k: k.cast("bigint")).alias("members"))
+    return reach.select("file_id", F.transform(F.filter(tracks, lambda j: (F.col("reach")[j] != 0) & first(j)), group).alias("groups"))
+
+
 def rigid_pairs(windows: DataFrame, strengths: DataFrame, *, min_windows: int = 8, min_samples: int = 0,
                 storages: DataFrame | None = None, gates: dict = BINDING) -> DataFrame:
     """Pairs rigid enough to bind, with their evidence (one row per candidate).

@@ -184,22 +184,11 @@ def refine(blocks: DataFrame, coarse: DataFrame, size: int, *, window: int, segm
     ranges = coarse.where(F.col("lag").isNotNull()).select(
         *KEYS, "window_no", F.col("start").alias("w0"), F.col("lag").alias("coarse"), c0.alias("start"), F.lit(segment).cast("bigint").alias("count"))
     pairs = read_pairs(blocks, ranges, size, before=radius, after=radius, shift=F.col("coarse"))
-    a, span = F.col("ref_x"), F.col("tgt_x")
-    lag = F.explode(F.sequence(F.col("coarse") - radius, F.col("coarse") + radius))
-    wide = pairs.withColumn("lag", lag)
-    at = (F.col("lag") - F.col("coarse") + radius + 1).cast("int")
-    wide = wide.withColumn("b", F.slice(span, at, segment))
-    begin = F.col("start") + F.col("lag")
-    inside = (begin >= 0) & (begin + segment <= F.col("w0") + window)
-    n, b = float(segment), F.col("b")
-    top = pcm.dot(a, b) - pcm.total(a) * pcm.total(b) / n
-    va, vb = pcm.dot(a, a) - pcm.total(a) * pcm.total(a) / n, pcm.dot(b, b) - pcm.total(b) * pcm.total(b) / n
-    cc = F.when(inside & (va > 1e-20) & (vb > 1e-20), top / F.sqrt(va * vb))
-    scored = wide.select(*KEYS, "window_no", "coarse", "lag", cc.alias("cc"))
-    rank = F.struct(F.round(F.abs("cc"), 9), (-F.col("lag")).alias("x"))
-    best = scored.groupBy(*KEYS, "window_no", "coarse").agg(
-        F.max_by("lag", F.when(F.col("cc").isNotNull(), rank)).alias("lag"), F.max(F.abs("cc")).alias("quality"))
-    return best.select(*KEYS, "window_no", F.coalesce("lag", "coarse").alias("lag"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+    # the shifted segment stays inside the window and the take
+    lo, hi = F.greatest(-F.col("start"), F.col("coarse") - radius), F.col("w0") + window - segment - F.col("start")
+    best = sg.best_lag_near("ref_x", "tgt_x", F.col("coarse"), lo, hi, radius=radius)
+    found = pairs.select(*KEYS, "window_no", "coarse", best.alias("b"))
+    return found.select(*KEYS, "window_no", F.coalesce("b.lag", "coarse").alias("lag"), F.coalesce("b.quality", F.lit(0.0)).alias("quality"))
 
 
 def surfaces(blocks: DataFrame, size: int, *, window: int, hop: int, search: int) -> DataFrame:

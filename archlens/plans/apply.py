@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.pcm import read_ranges
+from ..functions.pcm import compare_inside, read_ranges
 
 
 def apply_shifts(blocks: DataFrame, plan: DataFrame, keys: list[str], *, size: int, hop: int) -> DataFrame:
@@ -39,14 +39,12 @@ def verify_shifts(source: DataFrame, shifted: DataFrame, plan: DataFrame, keys:
         "count", F.size("got").cast("bigint")).withColumnRenamed("block_no", "out_block")
     wanted = read_ranges(source, pairs.drop("got"), keys, size, out="want")
     both = wanted.join(outputs.withColumnRenamed("block_no", "out_block"), [*keys, "out_block"])
-    k = lambda i: F.col("out_block") * size + i
-    inside = lambda i: (k(i) >= F.col("window_no") * hop) & (k(i) < (F.col("window_no") + 1) * hop)
-    differs = F.filter(F.transform("got", lambda x, i: F.when(inside(i) & (x != F.col("want")[i]), k(i))), lambda v: v.isNotNull())
-    checked = F.size(F.filter(F.transform("got", lambda x, i: inside(i)), lambda t: t))
-    rows = both.select(*keys, checked.alias("_n"), differs.alias("_d"))
+    begin = F.col("window_no") * hop - F.col("out_block") * size
+    seen = both.select(*keys, (F.col("out_block") * size).alias("_at"), compare_inside("got", "want", begin, begin + hop).alias("c"))
+    rows = seen.select(*keys, "c.checked", "c.mismatches", (F.col("_at") + F.col("c.first")).alias("_first"))
     # a length can differ in the last block only
     total = source.groupBy(*keys).agg(F.sum(F.size("samples")).alias("n_samples"))
-    out = rows.groupBy(*keys).agg(F.sum("_n").alias("checked"), F.sum(F.size("_d")).alias("mismatches"), F.min(F.array_min("_d")).alias("first_mismatch"))
+    out = rows.groupBy(*keys).agg(F.sum("checked").alias("checked"), F.sum("mismatches").alias("mismatches"), F.min("_first").alias("first_mismatch"))
     return total.join(out, keys, "left").select(*keys, "n_samples", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"),
                                                 "first_mismatch", (F.coalesce("checked", F.lit(0)) == F.col("n_samples")).alias("complete"))
 

@@ -78,24 +78,39 @@ reach(node, label) AS (SELECT node, node FROM (SELECT DISTINCT l_orderkey * 8 +
 comp AS (SELECT node, min(label) AS label FROM reach GROUP BY node)"""
 
 
-def components(spark, sf):
+def groups(spark, sf, place):
+    """Groups of every file; ``place`` orders the candidates for an anchor."""
     pairs = table_sql(spark, sf, EDGES, "lineitem")
-    edges = d.pair_edges(pairs, 1.3, 20)
-    nodes = view(spark, sf, "v_stream").select((F.col("file_id") * 8 + F.col("stream_index")).alias("node"))
-    linked = edges.where("a <> b").select(F.col("b").alias("node"))
-    return d.connected_groups(nodes.unionByName(linked), edges)
+    edges = d.pair_edges(pairs, 1.3, 20).select(F.floor(F.col("a") / 8).alias("file_id"), (F.col("a") % 8).alias("a"), (F.col("b") % 8).alias("b"))
+    # a linked track that the stream list lacks may be an anchor too
+    tracks = view(spark, sf, "v_stream").select("file_id", F.col("stream_index").alias("track")).unionByName(
+        edges.select("file_id", F.col("b").alias("track"))).withColumn("place", place(F.col("file_id") * 8 + F.col("track")))
+    found = d.file_groups(tracks, edges)
+    return found.select("file_id", F.explode("groups").alias("g")).select("file_id", "g.*")
 
 
 @query("dec_06", f"WITH RECURSIVE {COMP} SELECT node, label FROM comp")
 def dec_06(spark, sf):
-    return components(spark, sf)
+    """Label of every track, one aggregation per file."""
+    found = groups(spark, sf, lambda node: F.lit(None)).withColumn("member", F.explode("members"))
+    return found.select((F.col("file_id") * 8 + F.col("member")).alias("node"), (F.col("file_id") * 8 + F.col("label")).alias("label"))
+
+
+@query("dec_06_global", f"WITH RECURSIVE {COMP} SELECT node, label FROM comp")
+def dec_06_global(spark, sf):
+    """The same over one graph of unbounded size, by contraction in written rounds."""
+    edges = d.pair_edges(table_sql(spark, sf, EDGES, "lineitem"), 1.3, 20)
+    nodes = view(spark, sf, "v_stream").select((F.col("file_id") * 8 + F.col("stream_index")).alias("node"))
+    linked = edges.where("a <> b").select(F.col("b").alias("node"))
+    return d.connected_groups(nodes.unionByName(linked), edges)
 
 
 @query("dec_07", f"WITH RECURSIVE {COMP} SELECT label, arg_min(node, (CASE WHEN node % 3 = 0 THEN (node * 5) % 8 ELSE 1000000 END, node)) AS anchor, count(*) AS n_members FROM comp GROUP BY label")
 def dec_07(spark, sf):
-    members = components(spark, sf).withColumnRenamed("node", "member")
-    order = members.where("member % 3 = 0").select("member", ((F.col("member") * 5) % 8).alias("place"))
-    return d.group_anchors(members, order)
+    """Anchor of every group, by candidate order; same plan."""
+    found = groups(spark, sf, lambda node: F.when(node % 3 == 0, (node * 5) % 8))
+    named = lambda c: (F.col("file_id") * 8 + F.col(c)).alias(c)
+    return found.select(named("label"), named("anchor"), F.size("members").cast("bigint").alias("n_members"))
 
 
 @query("dec_08", """WITH RECURSIVE e AS (SELECT user_id AS file_id, event_id % 3 AS a, 3 + event_id % 2 AS b, event_type <> 'error' AS valid, CASE WHEN user_id % 2 = 0 THEN value / 200 ELSE value END AS d, 0.9::DOUBLE + (event_id % 10) / 100.0::DOUBLE AS cc FROM events),

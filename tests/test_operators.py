@@ -188,6 +188,32 @@ def test_connected_groups_long_chain(spark):
     assert {got[i] for i in range(26)} == {0} and got[31] == 30 and got[35] == 35
 
 
+def test_file_groups_equal_the_global_form(spark):
+    rng = np.random.default_rng(5)
+    tracks = [(f, t, int(rng.integers(0, 3)) if rng.random() < 0.6 else None) for f in range(60) for t in range(8) if rng.random() < 0.8]
+    links = [(f, int(rng.integers(8)), int(rng.integers(8))) for f in range(60) for _ in range(int(rng.integers(6)))]
+    links += [(99, i, i + 1) for i in (6, 4, 2, 0, 1, 3, 5)] + [(98, 3, 3)]  # a path through all tracks; a link to itself names no track
+    nodes = spark.createDataFrame(tracks, "file_id bigint, track bigint, place bigint")
+    edges = spark.createDataFrame(links * 2, "file_id bigint, a bigint, b bigint")
+    found = d.file_groups(nodes, edges)
+    members = found.selectExpr("file_id", "explode(groups) AS g").selectExpr("file_id", "g.label", "g.anchor", "explode(g.members) AS track").collect()
+    node = lambda f, t: F.expr(f"{f} * 8 + {t}")
+    flat = edges.where("a <> b").select(node("file_id", "a").alias("a"), node("file_id", "b").alias("b"))
+    all_nodes = nodes.select(node("file_id", "track").alias("node")).union(flat.select("a")).union(flat.select("b"))
+    want = {r.node: r.label for r in d.connected_groups(all_nodes, flat).collect()}
+    assert {r.file_id * 8 + r.track: r.file_id * 8 + r.label for r in members} == want
+    places = {(f, t): p for f, t, p in tracks}
+    for key in {(r.file_id, r.label) for r in members}:
+        of = [r for r in members if (r.file_id, r.label) == key]
+        order = lambda t: (1 << 30 if places.get((key[0], t)) is None else places[key[0], t], t)
+        assert {r.anchor for r in of} == {min((r.track for r in of), key=order)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(Exception, match="track out of range"):
+        d.file_groups(spark.createDataFrame([(1, 8)], "file_id bigint, track bigint"), edges).collect()
+    assert d.file_groups(nodes.limit(0), edges.limit(0)).count() == 0
+
+
 def test_grid_and_constant_curve(spark):
     df = spark.createDataFrame([(1, 2.5, 10.0), (1, 6.0, 17.0), (2, 0.0, 3.0)], "k bigint, t_sec double, y double")
     out = c.on_grid(df, ["k"], 9)

@@ -130,6 +130,26 @@ def test_apply_and_verify_shifts(spark):
     assert found.first_mismatch == 150 and found.mismatches == 150
 
 
+def test_compare_counts_missing_samples(spark):
+    df = spark.createDataFrame([([1.0, None, float("nan"), 4.0], [1.0, 2.0, float("nan"), 5.0], b, e) for b, e in ((0, 4), (-3, 1), (3, 9), (2, 3), (4, 8))],
+                               "got array<float>, want array<float>, b bigint, e bigint")
+    c = pcm.compare_inside("got", "want", F.col("b"), F.col("e"))
+    assert [tuple(r.c) for r in df.select(c.alias("c")).collect()] == [(4, 2, 1), (1, 0, None), (1, 1, 3), (1, 0, None), (0, 0, None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 64])
+def test_overlap_surface_is_the_direct_sum(n):
+    rng = np.random.default_rng(n)
+    for x, y in ((rng.normal(size=n), rng.normal(size=n) + 3), (np.full(n, 0.7), rng.normal(size=n)), (np.zeros(n), np.zeros(n))):
+        got = sg.overlap_surface(x, y, 3)
+        for lag in range(1 - n, n):
+            a, b = (x[:n - lag], y[lag:]) if lag >= 0 else (x[-lag:], y[:n + lag])
+            a, b = a - a.mean(), b - b.mean()
+            scale = np.sqrt((a @ a) * (b @ b))
+            want = a @ b / scale if len(a) >= 3 and scale >= 1e-9 else 0.0
+            assert got[lag + n - 1] == pytest.approx(want, abs=1e-9)
+
+
 def test_track_decisions(spark, takes):
     b = blocks_of(spark, {1: takes[1], 2: takes[2]}, 128)
     got = td.decide_tracks(b, 128, rate=RATE, frame=1024, hop=512, search=64).toPandas().set_index(["file_id", "channel"]).sort_index()
