@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..session import configure, scratch_path
-from ..sources import isobmff, ledgers, media, wav
+from ..sources import files as disk, isobmff, ledgers, media, wav
 from ..streaming import jobs
 from . import query
 from .catalog import PATHS, classed, paths
@@ -46,25 +46,45 @@ def ascii_hex(text):
     return F.lit(text.encode("latin-1").hex().upper())
 
 
-@query("src_05", with_views("""SELECT concat('f', file_id, '-', block_no, '.wav') AS path, c::BIGINT AS channel, b::BIGINT AS block_no, b::BIGINT * 12 AS start_sample, 48000::BIGINT AS sample_rate, len(x)::BIGINT AS n, round(list_sum(x), 6) AS total FROM (SELECT file_id, block_no, c, b, [round_even(v * 32767.0::DOUBLE, 0) / 32768 for v in list_slice([samples[2 * i + 1 + c]::DOUBLE for i in range(32)], b * 12 + 1, b * 12 + 12)] AS x FROM v_base, range(2) q(c), range(3) r(b))"""))
-def src_05(spark, sf):
+def wav_files(spark, sf):
+    """A two-channel WAV file per block of the samples, as (path, content)."""
     ints = F.transform("samples", lambda v: F.pmod(F.rint(v.cast("double") * 32767.0).cast("bigint"), F.lit(65536)))
     data = F.array_join(F.transform(ints, lambda v: little_endian(v, 4)), "")
     n = F.size("samples") * 2
     le = lambda v, d: little_endian(F.lit(v), d)
     header = F.concat(ascii_hex("RIFF"), little_endian(n + 36, 8), ascii_hex("WAVEfmt "), le(16, 8), le(1, 4), le(2, 4), le(48000, 8), le(192000, 8), le(4, 4), le(16, 4), ascii_hex("data"), little_endian(n, 8))
-    files = view(spark, sf, "v_base").select(F.concat(F.lit("f"), "file_id", F.lit("-"), "block_no", F.lit(".wav")).alias("path"), F.unhex(F.concat(header, data)).alias("content"))
-    rows = wav.blocks_from_content(files, 12).where("error IS NULL")
-    return rounded(rows.select("path", "channel", "block_no", "start_sample", "sample_rate", F.size("samples").cast("bigint").alias("n"),
-                               F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total")))
+    return view(spark, sf, "v_base").select(F.concat(F.lit("f"), "file_id", F.lit("-"), "block_no", F.lit(".wav")).alias("path"), F.unhex(F.concat(header, data)).alias("content"))
+
+
+def wav_sums(rows):
+    return rounded(rows.where("error IS NULL").select("path", "channel", "block_no", "start_sample", "sample_rate", F.size("samples").cast("bigint").alias("n"),
+                                                      F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double")).alias("total")))
+
+
+WAV_SQL = with_views("""SELECT concat('f', file_id, '-', block_no, '.wav') AS path, c::BIGINT AS channel, b::BIGINT AS block_no, b::BIGINT * 12 AS start_sample, 48000::BIGINT AS sample_rate, len(x)::BIGINT AS n, round(list_sum(x), 6) AS total FROM (SELECT file_id, block_no, c, b, [round_even(v * 32767.0::DOUBLE, 0) / 32768 for v in list_slice([samples[2 * i + 1 + c]::DOUBLE for i in range(32)], b * 12 + 1, b * 12 + 12)] AS x FROM v_base, range(2) q(c), range(3) r(b))""")
+
+
+@query("src_05", WAV_SQL)
+def src_05(spark, sf):
+    return wav_sums(wav.blocks_from_content(wav_files(spark, sf), 12))
+
+
+@query("src_05_files", WAV_SQL)
+def src_05_files(spark, sf):
+    """The same files on disk, read by the registered format."""
+    path = scratch_path(spark)
+    disk.write_files(wav_files(spark, sf), path).write.format("noop").mode("overwrite").save()
+    disk.register(spark, wav.WavBlocks)
+    rows = spark.read.format("wav_blocks").option("path", path).option("blockSamples", 12).load()
+    return wav_sums(rows).withColumn("path", F.substring_index("path", "/", -1))
 
 
 def box(kind, body):
     return F.concat(big_endian((F.length(body) / 2 + 8).cast("bigint")), ascii_hex(kind), body)
 
 
-@query("src_06", with_views("""SELECT name AS path, CASE WHEN file_id % 7 = 0 THEN NULL ELSE 'XAVC' END AS brand, file_id % 2 = 0 AS moov_first, width + file_id % 10 / 1000.0::DOUBLE AS mvhd_sec, 1::BIGINT AS trak_count, 1::BIGINT AS uuid_count, TRUE AS has_cdsc, CASE WHEN file_id % 3 = 0 THEN 'rtmd' END AS data_entry, 0::BIGINT AS meta_scopes, concat('trak:', 'meta') AS ctx, sha256(name) AS sha FROM v_file"""))
-def src_06(spark, sf):
+def movie_files(spark, sf):
+    """A small movie per file row, as (path, content)."""
     f = view(spark, sf, "v_file")
     zeros = lambda n: F.lit("00" * n)
     mvhd = box("mvhd", F.concat(zeros(12), big_endian(1000), big_endian((F.col("width") * 1000 + F.col("file_id") % 10).cast("bigint")), zeros(4)))
@@ -77,10 +97,31 @@ def src_06(spark, sf):
     moov, mdat = box("moov", F.concat(mvhd, trak)), box("mdat", zeros(40))
     ftyp = F.when(F.col("file_id") % 7 == 0, "").otherwise(box("ftyp", F.concat(ascii_hex("XAVC"), zeros(4))))
     content = F.concat(ftyp, F.when(F.col("file_id") % 2 == 0, F.concat(moov, mdat)).otherwise(F.concat(mdat, moov)))
-    boxes = isobmff.boxes_from_content(f.select(F.col("name").alias("path"), F.unhex(content).alias("content")))
+    return f.select(F.col("name").alias("path"), F.unhex(content).alias("content"))
+
+
+def movie_facts(boxes):
     return isobmff.container_facts(boxes).join(isobmff.uuid_items(boxes).select("path", "ctx", "sha"), "path")
 
 
+MOVIE_SQL = with_views("""SELECT name AS path, CASE WHEN file_id % 7 = 0 THEN NULL ELSE 'XAVC' END AS brand, file_id % 2 = 0 AS moov_first, width + file_id % 10 / 1000.0::DOUBLE AS mvhd_sec, 1::BIGINT AS trak_count, 1::BIGINT AS uuid_count, TRUE AS has_cdsc, CASE WHEN file_id % 3 = 0 THEN 'rtmd' END AS data_entry, 0::BIGINT AS meta_scopes, concat('trak:', 'meta') AS ctx, sha256(name) AS sha FROM v_file""")
+
+
+@query("src_06", MOVIE_SQL)
+def src_06(spark, sf):
+    return movie_facts(isobmff.boxes_from_content(movie_files(spark, sf)))
+
+
+@query("src_06_files", MOVIE_SQL)
+def src_06_files(spark, sf):
+    """The same movies on disk, read by the registered format."""
+    path = scratch_path(spark)
+    disk.write_files(movie_files(spark, sf), path).write.format("noop").mode("overwrite").save()
+    disk.register(spark, isobmff.MediaBoxes)
+    boxes = spark.read.format("isobmff_boxes").option("path", path).load()
+    return movie_facts(boxes.withColumn("path", F.substring_index("path", "/", -1)))
+
+
 @query("str_01", with_views("SELECT path_id, path FROM p WHERE regexp_matches(lower(path), '\\.(mp4|mov)$')", f"p AS ({PATHS})"))
 def str_01(spark, sf):
     path = scratch_path(spark)
@@ -120,7 +161,7 @@ def _split(text):
 def str_02(spark, sf):
     path = scratch_path(spark)
     jobs.status_snapshots(job_events(stream_of(spark, sf, "events")), f"{path}/status", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/status").drop("finished", "meta")
+    return jobs.status_rows(jobs.read_snapshot(spark, f"{path}/status"))
 
 
 @query("str_02_batch", STATUS_SQL)
@@ -132,7 +173,7 @@ def str_02_batch(spark, sf):
 def snk_03(spark, sf):
     path = scratch_path(spark)
     jobs.write_snapshot(jobs.latest_status(job_events(view(spark, sf, "events"))), path, finished=True, meta={"run": "alpha"})
-    return spark.read.parquet(path).withColumn("run", F.col("meta")["run"]).drop("meta")
+    return jobs.read_snapshot(spark, path).withColumn("run", F.col("meta")["run"]).drop("meta", "written_at")
 
 
 WINDOWS = {"window": "2 hours", "slide": "1 hour", "late": "1 hour"}

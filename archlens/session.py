@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # already hash-partitioned by a prefix of the wanted keys; the third setting
 # makes Spark reshuffle on the full key set, and AQE may split skewed joins
 # even when that costs a further exchange. Rows that carry sample arrays are
-# wide, so few of them make an Arrow batch.
+# wide, so few of them make an Arrow batch. The file sources prune by filters,
+# which Spark hands them only where the last setting is on.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,6 +19,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -1,7 +1,62 @@
-"""Opening and listing files on any filesystem the workers share."""
+"""Opening, listing and writing files on any filesystem the workers share; filters a reader can use."""
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import (EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual,
+                                    StringContains, StringEndsWith, StringStartsWith)
+
+TESTS: dict[type, Callable] = {
+    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt,
+    LessThanOrEqual: operator.le, In: lambda v, some: v in some, StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith, StringContains: operator.contains}
+
+
+class Pushed:
+    """What the pushed filters allow a column's value to be.
+
+    A reader uses it to leave files and blocks unopened; Spark still evaluates
+    every filter, so a reader may return more than it allows.
+    """
+
+    def __init__(self, *columns: str):
+        self.columns, self.tests = set(columns), []
+
+    def take(self, filters: Iterable[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in TESTS and f.attribute[0] in self.columns and len(f.attribute) == 1:
+                self.tests.append((f.attribute[0], type(f), f.value))
+            yield f
+
+    def allows(self, column: str, value) -> bool:
+        return all(TESTS[kind](value, wanted) for name, kind, wanted in self.tests if name == column)
+
+
+def register(spark: SparkSession, *sources: type) -> None:
+    """Make data sources known to the session and let Spark hand them its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in sources:
+        spark.dataSource.register(source)
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """(path, length) after writing each (path, content) row below ``root``; a task that runs again writes the same."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [f"{root.rstrip('/')}/{p}" for p in batch.column(0).to_pylist()]
+            contents = batch.column(1).to_pylist()
+            for path, content in zip(paths, contents):
+                system, inner = locate(path)
+                system.create_dir(inner.rsplit("/", 1)[0])
+                with system.open_output_stream(inner) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(len, contents), pa.int64())], ["path", "length"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, length bigint")
 
 
 def locate(path: str):

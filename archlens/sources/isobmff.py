@@ -9,13 +9,14 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from .files import list_files, open_file
+from .files import Pushed, list_files, open_file
 
 SCHEMA = ("path string, box_no bigint, parent string, type string, start bigint, size bigint, handler string, "
           "entry string, guid string, sha256 string, timescale bigint, duration bigint, brand string, references string")
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+SUFFIXES = (".mp4", ".mov", ".m4v", ".m4a")
 # Boxes that hold boxes.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "udta", "tref", "dinf"}
 CHUNK = 1 << 20
@@ -78,7 +79,7 @@ def _facts(f, kind: str, data: int, end: int, parent: str) -> dict:
     if kind == "hdlr" and end - data >= 12:
         return {"handler": _at(f, data + 8, 4).decode("latin-1")}
     if kind == "stsd" and end - data >= 16:
-        return {"entry": _at(f, data + 12, 4).decode("latin-1")}
+        return {"entry": ",".join(_entries(f, data, end))}
     if kind == "uuid" and end - data >= 16:
         return {"guid": _at(f, data, 16).hex(), "sha256": _digest(f, data + 16, end)}
     if parent.endswith("/tref") and kind != BROKEN:
@@ -87,6 +88,17 @@ def _facts(f, kind: str, data: int, end: int, parent: str) -> dict:
     return {}
 
 
+def _entries(f, data: int, end: int) -> Iterator[str]:
+    """Codes of all sample descriptions of a track, in order; a size that cannot be right ends them."""
+    count, at = struct.unpack(">I", _at(f, data + 4, 4))[0], data + 8
+    while count and at + 8 <= end:
+        size, kind = struct.unpack(">I4s", _at(f, at, 8))
+        yield kind.decode("latin-1")
+        if size < 8:
+            return
+        count, at = count - 1, at + size
+
+
 def walk(path: str, f, size: int) -> Iterator[tuple]:
     """Every box of a file in order, with the few facts its kind carries.
 
@@ -119,19 +131,23 @@ class BoxReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.per_task = int(options.get("filesPerTask", 64))
+        self.pushed = Pushed("path")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        return self.pushed.take(filters)
 
     def partitions(self) -> list[Group]:
-        files = list_files(self.path, (".mp4", ".mov", ".m4v", ".m4a"))
+        files = [f for f in list_files(self.path, SUFFIXES) if self.pushed.allows("path", f[0])]
         return [Group(files[i:i + self.per_task]) for i in range(0, len(files), self.per_task)]
 
-    def read(self, group: Group) -> Iterator[tuple]:
-        for path, size in group.files:
+    def read(self, group: Group | None) -> Iterator[tuple]:
+        for path, size in group.files if group else []:  # Spark makes one task where no file is left
             with open_file(path) as f:
                 yield from walk(path, f, size)
 
 
 class MediaBoxes(DataSource):
-    """``spark.read.format("isobmff_boxes")`` after ``spark.dataSource.register(MediaBoxes)``."""
+    """``spark.read.format("isobmff_boxes")`` after ``files.register(spark, MediaBoxes)``; a filter on path opens those files only."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,7 +180,7 @@ def container_facts(boxes: DataFrame) -> DataFrame:
         F.max("brand").alias("brand"), (at("moov") < at("mdat")).alias("moov_first"),
         (F.max("duration") / F.max("timescale")).alias("mvhd_sec"), has(F.col("type") == "trak").alias("trak_count"),
         has(F.col("type") == "uuid").alias("uuid_count"), (has(F.col("parent").endswith("/tref") & (F.col("type") == "cdsc")) > 0).alias("has_cdsc"),
-        F.max(F.when(F.col("entry").isin("rtmd", "djmd"), F.col("entry"))).alias("data_entry"),
+        F.array_max(F.flatten(F.collect_set(F.filter(F.split("entry", ","), lambda e: e.isin("rtmd", "djmd"))))).alias("data_entry"),
         has((F.col("type") == "meta") & F.col("parent").isin("", "/moov")).alias("meta_scopes"))
 
 

@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from .files import list_files, open_file
+from .files import Pushed, list_files, open_file
 
 SCHEMA = ("path string, channel bigint, block_no bigint, start_sample bigint, sample_rate bigint, "
           "samples array<float>, error string")
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+SUFFIXES = (".wav", ".wave", ".bwf")
 # Format codes of the fmt chunk.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 READABLE = {(PCM, 8), (PCM, 16), (PCM, 24), (PCM, 32), (FLOAT, 32), (FLOAT, 64)}
@@ -90,9 +91,12 @@ def _batch(columns: dict[str, list | np.ndarray], samples: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*arrays, samples, pa.array(columns["error"], pa.string())], NAMES)
 
 
-def read_blocks(path: str, f, size: int, block: int, low: int, high: int, strict: bool = False) -> Iterator[pa.RecordBatch]:
+def read_blocks(path: str, f, size: int, block: int, low: int, high: int, strict: bool = False,
+                pushed: Pushed | None = None) -> Iterator[pa.RecordBatch]:
     """Blocks whose first byte lies in [low, high): a file split by bytes loses none.
 
+    Blocks that ``pushed`` does not allow are skipped by seek, channels left undelivered.
+
     One batch holds a block of every channel. A file that cannot be read is one
     row with ``error`` (from the part at byte 0), or raises if ``strict``.
     """
@@ -110,12 +114,17 @@ def read_blocks(path: str, f, size: int, block: int, low: int, high: int, strict
     first = max(0, -(-(low - head.data_at) // step))
     at = head.data_at + first * step
     end = head.data_at + head.data_len // frame * frame
-    while at < min(high, end):
+    wanted = [c for c in range(head.channels) if pushed is None or pushed.allows("channel", c)]
+    while wanted and at < min(high, end):
+        n, c = (at - head.data_at) // step, len(wanted)
+        if pushed and not (pushed.allows("block_no", n) and pushed.allows("start_sample", n * block)):
+            at += step
+            continue
         x = decode(_take(f, at, min(step, end - at)), head)
-        n, c = (at - head.data_at) // step, head.channels
+        x = x if c == head.channels else x[:, wanted]
         bounds = pa.array(np.arange(c + 1) * len(x), pa.int32())
         samples = pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(x.T).ravel()))
-        yield _batch({"path": [path] * c, "channel": range(c), "block_no": [n] * c, "start_sample": [n * block] * c,
+        yield _batch({"path": [path] * c, "channel": wanted, "block_no": [n] * c, "start_sample": [n * block] * c,
                       "sample_rate": [head.rate] * c, "error": [None] * c}, samples)
         at += step
 
@@ -134,18 +143,28 @@ class WavReader(DataSourceReader):
         self.block = int(options.get("blockSamples", 48000))
         self.split = int(options.get("splitBytes", 128 << 20))
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.pushed = Pushed("path", "channel", "block_no", "start_sample")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        return self.pushed.take(filters)
 
     def partitions(self) -> list[Split]:
-        return [Split(p, n, lo, min(lo + self.split, n))
-                for p, n in list_files(self.path, (".wav", ".wave", ".bwf")) for lo in range(0, max(n, 1), self.split)]
+        return [Split(p, n, lo, min(lo + self.split, n)) for p, n in list_files(self.path, SUFFIXES) if self.pushed.allows("path", p)
+                for lo in range(0, max(n, 1), self.split)]
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, split: Split | None) -> Iterator[pa.RecordBatch]:
+        if split is None:  # Spark makes one task where no file is left
+            return
         with open_file(split.path) as f:
-            yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high, self.strict)
+            yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high, self.strict, self.pushed)
 
 
 class WavBlocks(DataSource):
-    """``spark.read.format("wav_blocks")`` after ``spark.dataSource.register(WavBlocks)``.
+    """``spark.read.format("wav_blocks")`` after ``files.register(spark, WavBlocks)``.
+
+    Filters on path, channel, block_no and start_sample leave files, channels and
+    blocks unread. The driver lists the folder; for very many files take
+    :func:`blocks_of_files`, which reads what a Spark listing found.
 
     Files that give no samples are rows with a reason in ``error``; with option
     ``mode=FAILFAST`` the read fails on them instead.
@@ -162,6 +181,25 @@ class WavBlocks(DataSource):
         return WavReader(self.options)
 
 
+def blocks_of_files(files: DataFrame, block: int, *, split: int = 128 << 20, tasks: int | None = None) -> DataFrame:
+    """The same rows for a table of (path, length), such as a listing gives.
+
+    Listing, pruning and reading are Spark's: a row of work per ``split`` bytes
+    of a file, dealt by hash over ``tasks`` tasks (four per core by default),
+    so neither a long file nor a full folder stays in one task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, low in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                with open_file(path) as f:
+                    yield from read_blocks(path, f, size, block, low, min(low + split, max(size, 1)))
+
+    zero = F.lit(0).cast("bigint")
+    low = F.explode(F.sequence(zero, F.greatest(F.col("length") - 1, zero), F.lit(split).cast("bigint")))
+    parts = files.select("path", "length", low.alias("low"))
+    return parts.repartition(tasks or 4 * files.sparkSession.sparkContext.defaultParallelism, "path", "low").mapInArrow(run, SCHEMA)
+
+
 def blocks_from_content(files: DataFrame, block: int) -> DataFrame:
     """The same rows from a (path, content) table of small files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

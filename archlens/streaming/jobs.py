@@ -1,6 +1,7 @@
 """Streams worth having: arriving files, job status, throughput, resumable work."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -28,12 +29,11 @@ def process_arrivals(arrivals: DataFrame, work: Callable[[DataFrame, int], None]
     return _trigger(arrivals.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint), every).start()
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """Current row per source from job events, as plain aggregates (batch or stream).
+def status_parts(events: DataFrame) -> DataFrame:
+    """What some events say of each source, in a form that :func:`merge_parts` can join.
 
     ``events``: source, seq (time order), ts, kind (admit, update, finish),
-    preset, status, detail, frames, fps. The first admission counts; blank or
-    zero fields never overwrite; anything before the admission is ignored.
+    preset, status, detail, frames, fps.
     """
     kind, seq = F.col("kind"), F.col("seq")
     finish = kind == "finish"
@@ -41,31 +41,121 @@ def latest_status(events: DataFrame) -> DataFrame:
     def latest(value: Column, counts: Column) -> Column:
         return F.max_by(F.struct(seq.alias("s"), value.alias("v")), F.when(counts, seq))
 
-    known = events.groupBy("source").agg(
-        F.min(F.when(kind == "admit", seq)).alias("_a"), F.min_by(F.struct("preset", "ts"), F.when(kind == "admit", seq)).alias("_first"),
-        latest(F.col("status"), (finish | (kind == "update")) & (F.col("status") != "")).alias("_s"),
-        latest(F.when(finish, "").otherwise(F.col("detail")), finish | ((kind == "update") & (F.col("detail") != ""))).alias("_d"),
-        latest(F.col("frames"), (kind == "update") & (F.col("frames") != 0)).alias("_f"),
-        latest(F.col("fps"), (kind == "update") & (F.col("fps") != 0)).alias("_r"),
-        latest(F.col("ts"), finish).alias("_e"))
-    after = lambda c, default: F.when(F.col(f"{c}.s") > F.col("_a"), F.col(f"{c}.v")).otherwise(default)
-    ended = F.when(F.col("_e.s") > F.col("_a"), F.col("_e.v"))
-    return known.where(F.col("_a").isNotNull()).select(
-        "source", F.col("_first.preset").alias("preset"), after("_s", "queued").alias("status"), after("_d", "").alias("detail"),
-        after("_f", 0).alias("frames"), after("_r", 0.0).alias("fps"),
-        F.round((F.unix_micros(ended) - F.unix_micros("_first.ts")) / 1e6, 1).alias("elapsed"))
+    return events.groupBy("source").agg(
+        F.min_by(F.struct(seq.alias("s"), "preset", "ts"), F.when(kind == "admit", seq)).alias("admitted"),
+        latest(F.col("status"), (finish | (kind == "update")) & (F.col("status") != "")).alias("status"),
+        latest(F.when(finish, "").otherwise(F.col("detail")), finish | ((kind == "update") & (F.col("detail") != ""))).alias("detail"),
+        latest(F.col("frames"), (kind == "update") & (F.col("frames") != 0)).alias("frames"),
+        latest(F.col("fps"), (kind == "update") & (F.col("fps") != 0)).alias("fps"),
+        latest(F.col("ts"), finish).alias("ended"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One row per source from any number of its parts: the first admission, the latest of everything else."""
+    late = [F.max_by(c, F.col(f"{c}.s")).alias(c) for c in ("status", "detail", "frames", "fps", "ended")]
+    return parts.groupBy("source").agg(F.min_by("admitted", F.col("admitted.s")).alias("admitted"), *late)
+
+
+def status_rows(parts: DataFrame) -> DataFrame:
+    """Current row of every admitted source; what came before its admission is ignored."""
+    after = lambda c, default: F.when(F.col(f"{c}.s") > F.col("admitted.s"), F.col(f"{c}.v")).otherwise(default)
+    ended = F.when(F.col("ended.s") > F.col("admitted.s"), F.col("ended.v"))
+    return parts.where(F.col("admitted").isNotNull()).select(
+        "source", F.col("admitted.preset").alias("preset"), after("status", "queued").alias("status"), after("detail", "").alias("detail"),
+        after("frames", 0).alias("frames"), after("fps", 0.0).alias("fps"),
+        F.round((F.unix_micros(ended) - F.unix_micros("admitted.ts")) / 1e6, 1).alias("elapsed"))
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """Current row per source from job events (batch or stream), as plain aggregates.
+
+    The first admission counts; blank or zero fields never overwrite; anything
+    before the admission is ignored.
+    """
+    return status_rows(status_parts(events))
+
+
+def _files(spark: SparkSession, path: str):
+    """(Hadoop file context, path factory) for the filesystem of ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    return hadoop.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _published(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """(folder name, batch) of the snapshot that readers see, or None before the first."""
+    context, hadoop = _files(spark, path)
+    pointer = hadoop.Path(f"{path}/CURRENT")
+    if not context.util().exists(pointer):
+        return None
+    stream = context.open(pointer)
+    try:
+        name = bytes(stream.readNBytes(1 << 10)).decode()
+    finally:
+        stream.close()
+    return name, int(name.split("-")[1])
+
+
+def publish(rows: DataFrame, path: str, batch: int = 0) -> None:
+    """Make ``rows`` the snapshot at ``path`` in one step.
+
+    The rows go to a folder of their own; then a small file that names it is
+    written aside and renamed over ``CURRENT``, which replaces it as one action.
+    A reader finds the whole old snapshot or the whole new one. The one before
+    stays for readers that have begun; older folders are deleted.
+    """
+    spark = rows.sparkSession
+    before = _published(spark, path)
+    name = f"snapshot-{batch}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    context, hadoop = _files(spark, path)
+    aside = hadoop.Path(f"{path}/next-{name}")
+    flags = spark.sparkContext._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE, hadoop.CreateFlag.OVERWRITE)
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.CreateOpts, 0)
+    out = context.create(aside, flags, options)
+    out.write(bytearray(name.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context.rename(aside, hadoop.Path(f"{path}/CURRENT"), over)
+    keep = {name, before[0] if before else name}
+    for entry in context.util().listStatus(hadoop.Path(path)):
+        found = entry.getPath()
+        if found.getName().startswith("snapshot-") and found.getName() not in keep:
+            context.delete(found, True)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot that was current when this was called; an error before the first."""
+    current = _published(spark, path)
+    if current is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/{current[0]}")
 
 
 def write_snapshot(rows: DataFrame, path: str, finished: bool = False, meta: dict[str, str] | None = None) -> None:
-    """Replace the status snapshot: one table, every row with the run's facts."""
+    """Replace the status snapshot: one table, every row with the run's facts and the time of writing."""
     facts = F.create_map(*[F.lit(x) for kv in (meta or {}).items() for x in kv]) if meta else F.lit(None).cast("map<string,string>")
-    rows.withColumn("finished", F.lit(finished)).withColumn("meta", facts).write.mode("overwrite").parquet(path)
+    publish(rows.withColumn("finished", F.lit(finished)).withColumn("meta", facts).withColumn("written_at", F.current_timestamp()), path)
 
 
 def status_snapshots(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep a snapshot of the latest status of every source, rewritten per batch."""
-    writer = latest_status(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    return _trigger(writer.foreachBatch(lambda df, n: write_snapshot(df, path)), every).start()
+    """Keep a snapshot of what is known of every source, for :func:`status_rows` of :func:`read_snapshot`.
+
+    The stream itself keeps no state: a batch reduces its events to one part per
+    source and merges them with the snapshot before it. A batch that was
+    published and runs again after a loss changes nothing.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, before = batch.sparkSession, _published(batch.sparkSession, path)
+        parts = status_parts(batch)
+        if before:
+            if before[1] >= number:
+                return
+            parts = parts.unionByName(spark.read.schema(parts.schema).parquet(f"{path}/{before[0]}"))
+        publish(merge_parts(parts), path, number)
+
+    return _trigger(events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), every).start()
 
 
 def throughput(completions: DataFrame, *, window: str, slide: str, late: str) -> DataFrame:

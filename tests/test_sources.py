@@ -6,9 +6,10 @@ import wave
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan
 
 from archlens import registry
-from archlens.sources import isobmff, ledgers, logs, media, probe, wav
+from archlens.sources import files, isobmff, ledgers, logs, media, probe, wav
 from archlens.streaming import jobs
 
 
@@ -140,6 +141,106 @@ def test_status_ignores_blank_and_unknown(spark):
     assert got == {"a": ("HQ", "run", "d", 5, 2.0, None), "c": ("HQ", "done", "", 0, 0.0, 20.0)}
 
 
+def job_events(spark, rows):
+    df = spark.createDataFrame(rows, "source string, seq bigint, kind string, preset string, status string, detail string, frames bigint, fps double")
+    return df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 10))
+
+
+def test_snapshots_merge_batches_and_replay_changes_nothing(spark, tmp_path):
+    batches = [[("a", 1, "update", "x", "early", "", 9, 0.0), ("a", 2, "admit", "HQ", "", "", 0, 0.0), ("b", 3, "admit", "HQ", "", "", 0, 0.0)],
+               [("a", 5, "update", "", "run", "d", 5, 2.0), ("c", 4, "update", "", "run", "", 1, 1.0)],
+               [("a", 6, "update", "", "", "", 0, 0.0), ("c", 7, "admit", "S", "", "", 0, 0.0), ("b", 8, "finish", "", "done", "", 0, 0.0)]]
+    root, source = str(tmp_path / "status"), str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema(job_events(spark, batches[0]).schema).parquet(source)
+    seen, early = [], None
+    for part in batches:
+        job_events(spark, part).coalesce(1).write.mode("append").parquet(source)
+        jobs.status_snapshots(stream(), root, str(tmp_path / "cp")).awaitTermination()
+        if early is None:
+            early = jobs.read_snapshot(spark, root)  # a reader that began before the next batch was published
+        elif len(seen) == 1:
+            assert {r.source for r in early.collect()} == {"a", "b"}
+        seen.append(jobs._published(spark, root))
+    got = sorted(map(tuple, jobs.status_rows(jobs.read_snapshot(spark, root)).collect()))
+    whole = job_events(spark, [r for part in batches for r in part])
+    assert got == sorted(map(tuple, jobs.latest_status(whole).collect()))
+    assert [n for _, n in seen] == [0, 1, 2]
+    assert len([p for p in (tmp_path / "status").iterdir() if p.name.startswith("snapshot-")]) == 2
+    # the checkpoint is lost: batches up to the published one change nothing
+    jobs.status_snapshots(stream(), root, str(tmp_path / "cp2")).awaitTermination()
+    assert jobs._published(spark, root) == seen[-1]
+
+
+def test_snapshot_of_nothing_and_repeated_writes(spark, tmp_path):
+    root = str(tmp_path / "s")
+    with pytest.raises(FileNotFoundError):
+        jobs.read_snapshot(spark, root)
+    rows = job_events(spark, [("a", 1, "admit", "HQ", "", "", 0, 0.0)])
+    for part in (rows.limit(0), rows, rows):
+        jobs.write_snapshot(jobs.latest_status(part), root, meta={"run": "r"})
+    last = jobs.read_snapshot(spark, root).collect()
+    assert [(r.source, r.status, r.finished, r.meta) for r in last] == [("a", "queued", False, {"run": "r"})] and last[0].written_at
+
+
+def test_filters_leave_files_unopened(spark, tmp_path):
+    raw = np.arange(200, dtype="<i2").tobytes()
+    for name in "abc":
+        write_wav(tmp_path / f"{name}.wav", raw)
+    (tmp_path / "m.mov").write_bytes(sample_movie())
+    files.register(spark, wav.WavBlocks, isobmff.MediaBoxes)
+    blocks = spark.read.format("wav_blocks").option("path", str(tmp_path)).option("blockSamples", 16).load()
+    parts = lambda df: df.rdd.getNumPartitions()
+    one = blocks.where(F.col("path") == f"{tmp_path}/b.wav")
+    assert parts(blocks) == 3 and parts(one) == 1 and one.count() == 14
+    some = blocks.where("path LIKE '%c.wav' AND channel = 1 AND block_no BETWEEN 2 AND 3 AND start_sample > 32")
+    assert parts(some) == 1 and [(r.channel, r.block_no, len(r.samples)) for r in some.collect()] == [(1, 3, 16)]
+    assert one.where("channel IS NULL OR block_no IN (0, 5)").count() == 4 and one.where("channel = 7").count() == 0
+    assert blocks.where("path = 'x'").count() == 0
+    boxes = spark.read.format("isobmff_boxes").option("path", str(tmp_path)).option("filesPerTask", 1).load()
+    assert parts(boxes.where("path = 'x'")) <= 1 and boxes.where("path = 'x'").count() == 0 and boxes.where("path LIKE '%m.mov'").count() == boxes.count()
+
+
+def test_pushed_blocks_are_not_read():
+    class Counting(io.BytesIO):
+        taken = 0
+        def read(self, n=-1):
+            Counting.taken += n
+            return super().read(n)
+    with io.BytesIO() as made:
+        with wave.open(made, "wb") as f:
+            f.setparams((2, 2, 48000, 0, "NONE", ""))
+            f.writeframes(bytes(4 * 100_000))
+        content = made.getvalue()
+    pushed = files.Pushed("block_no")
+    assert len(list(pushed.take([GreaterThan(("block_no",), 97), GreaterThan(("block_no", "x"), 200), EqualTo(("other",), 1)]))) == 3
+    rows = [r for b in wav.read_blocks("p", Counting(content), len(content), 1000, 0, len(content), pushed=pushed) for r in b.to_pylist()]
+    assert [(r["block_no"], r["channel"]) for r in rows] == [(98, 0), (98, 1), (99, 0), (99, 1)] and Counting.taken < 8200
+
+
+def test_blocks_of_a_listing(spark, tmp_path):
+    raw = np.arange(4000, dtype="<i2").tobytes()
+    for name in "ab":
+        write_wav(tmp_path / f"{name}.wav", raw)
+    (tmp_path / "empty.wav").write_bytes(b"")
+    listed = spark.createDataFrame([(str(p), p.stat().st_size) for p in tmp_path.glob("*.wav")], "path string, length bigint")
+    got = wav.blocks_of_files(listed, 16, split=1000, tasks=6)
+    files.register(spark, wav.WavBlocks)
+    want = spark.read.format("wav_blocks").option("path", str(tmp_path)).option("blockSamples", 16).load()
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(got) == key(want) and want.where("error IS NOT NULL").count() == 1
+    assert len({r.p for r in got.select(F.spark_partition_id().alias("p")).collect()}) > 1
+    assert wav.blocks_of_files(listed.limit(0), 16).count() == 0
+
+
+def test_all_sample_descriptions(spark):
+    entry = lambda code: struct.pack(">I", 16) + code + bytes(8)
+    stsd = mp4_box("stsd", bytes(4) + struct.pack(">I", 3) + entry(b"tmcd") + entry(b"rtmd") + entry(b"djmd"))
+    movie = mp4_box("moov", mp4_box("trak", mp4_box("mdia", mp4_box("minf", mp4_box("stbl", stsd)))))
+    df = isobmff.boxes_from_content(spark.createDataFrame([("p", bytearray(movie)), ("q", bytearray(movie[:60]))], "path string, content binary"))
+    assert df.where("type = 'stsd'").first().entry == "tmcd,rtmd,djmd"
+    assert {r.path: r.data_entry for r in isobmff.container_facts(df).collect()} == {"p": "rtmd", "q": None}
+
+
 def test_resumable_skips_finished(spark, tmp_path):
     (tmp_path / "in").mkdir()
     def feed(*names):
