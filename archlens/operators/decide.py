@@ -225,6 +225,36 @@ def bind_pairs(candidates: DataFrame) -> DataFrame:
         "file_id", F.explode("_p").alias("p")).select("file_id", "p.a", "p.b")
 
 
+def follow_bound(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tracks (file_id, channel, anchor, outcome, reason, shift_samples, ...) as their bound pairs move.
+
+    ``pairs`` (file_id, a, b) are disjoint. The anchor speaks for a pair that holds
+    it, else the lower channel. A channel bound to the anchor is already aligned.
+    Where the speaker is fixed or aligned, the other takes its outcome and its
+    shift, so what lies between the two stays as recorded; where it is neither,
+    both keep their own. Measurements stay those of the channel. ``bound_to`` is
+    the speaker of a pair that moved together, on both of its rows.
+    """
+    two = F.explode(F.array(F.struct(F.col("a").alias("channel"), F.col("b").alias("_other")),
+                            F.struct(F.col("b").alias("channel"), F.col("a").alias("_other"))))
+    ends = pairs.select("file_id", two.alias("_e")).select("file_id", "_e.channel", "_e._other")
+    led = tracks.join(ends, ["file_id", "channel"], "left")
+    low = F.least("channel", "_other")
+    held = F.col("channel").eqNullSafe(F.col("anchor"))
+    led = led.withColumn("_rep", F.when(F.col("_other").eqNullSafe(F.col("anchor")), F.col("_other")).when(held, F.col("channel")).otherwise(low))
+    led = led.withColumn("_rep", F.when(F.col("_other").isNotNull(), F.col("_rep")))
+    settled = held | (F.col("reason").isNull() & F.col("outcome").isin("fixed", "already_aligned"))
+    heads = tracks.where(settled).select(
+        "file_id", F.col("channel").alias("_rep"), F.when(held, "already_aligned").otherwise(F.col("outcome")).alias("_outcome"),
+        F.when(~held, F.col("shift_samples")).alias("_shift"))
+    led = led.join(heads, ["file_id", "_rep"], "left")
+    moved = F.col("_outcome").isNotNull() & ~held
+    taken = {"outcome": F.when(moved, F.col("_outcome")).otherwise(F.col("outcome")), "reason": F.when(~moved, F.col("reason")),
+             "shift_samples": F.when(moved, F.when(F.col("_outcome") == "fixed", F.col("_shift"))).otherwise(F.col("shift_samples"))}
+    return led.select(*[taken[c].alias(c) if c in taken else c for c in tracks.columns],
+                      F.when(F.col("_outcome").isNotNull(), F.col("_rep")).alias("bound_to"))
+
+
 def _least_squares(pairs: np.ndarray, anchor: int, channels: list[int], rounds: int,
                    tolerance: float, limit: int):
     """(cost, shift per channel, dropped) with ``anchor`` at 0, or None."""

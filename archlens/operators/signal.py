@@ -152,9 +152,13 @@ def sampled_frames(lengths: DataFrame, frame: int, hop: int, samples: int = 200)
 
 
 def pair_strength(blocks: DataFrame, size: int, *, frame: int, hop: int, search: int, samples: int = 200,
-                  gate: float = sg.RMS_GATE) -> DataFrame:
-    """Peak over noise of sampled frames per pair: median and quartiles; null is unmeasured."""
-    pairs = read_pairs(blocks, sampled_frames(pair_lengths(blocks, size), frame, hop, samples), size, before=search, after=search)
+                  gate: float = sg.RMS_GATE, lengths: DataFrame | None = None) -> DataFrame:
+    """Peak over noise of sampled frames per pair: median and quartiles; null is unmeasured.
+
+    ``lengths`` (file, ref, tgt, n_samples) names the pairs; by default channel 0 meets every other.
+    """
+    given = pair_lengths(blocks, size) if lengths is None else lengths
+    pairs = read_pairs(blocks, sampled_frames(given, frame, hop, samples), size, before=search, after=search)
     g = sg.gcc_phat(F.col("ref_x"), F.col("tgt_x"), lag0=search, lo=-search, hi=search, gate=gate)
     rows = pairs.select(*KEYS, g["snr"].alias("snr"))
     # at most ``samples`` rows per pair

@@ -1,4 +1,4 @@
-"""Track decisions of whole files: scope, health, anchor, measurement, wide re-search, gates, recheck, outcome."""
+"""Track decisions of whole files: scope, health, anchor, measurement, wide re-search, gates, bound pairs, recheck, outcome."""
 from __future__ import annotations
 
 import math
@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import rms_dbfs
-from ..operators import signal as g, trajectory as t
+from ..operators import decide as d, signal as g, trajectory as t
 from ..session import cut_lineage
 
 # Reach of the second search, recheck around an applied shift, reasons of a measurement that failed.
@@ -25,11 +25,34 @@ def channel_health(blocks: DataFrame, silent_dbfs: float) -> DataFrame:
     return per.select(*g.CH, "finite", level.alias("rms_dbfs"), F.coalesce(level >= silent_dbfs, F.lit(False)).alias("healthy"))
 
 
+def bound_pairs(blocks: DataFrame, health: DataFrame, size: int, *, rate: float, frame: int, hop: int, search: int,
+                window: int, window_hop: int, factor: int = 4, samples: int = 200, min_samples: int = 30,
+                storages: DataFrame | None = None, gates: dict = d.BINDING) -> DataFrame:
+    """Disjoint rigid pairs (file_id, a, b) among the healthy channels of every file.
+
+    Every pair of healthy channels is heard on sampled frames. The strong ones alone are followed
+    window by window over the take, and those whose level, lag span and sign hold are
+    bound, strongest first; a channel is bound once. ``min_samples`` sampled frames
+    must be measurable, and eight windows at least. A file has at most 28 pairs.
+    """
+    lengths = g.pcm.channel_lengths(blocks, g.CH, size).join(health.where("healthy").select(*g.CH), g.CH)
+    end = lambda name: lengths.select("file_id", F.col("channel").alias(name), F.col("n_samples").alias(f"_{name}"))
+    every = end("ref").join(end("tgt"), "file_id").where("ref < tgt").select(*t.KEYS, F.least("_ref", "_tgt").alias("n_samples"))
+    strength = cut_lineage(g.pair_strength(blocks, size, frame=frame, hop=hop, search=search, samples=samples, lengths=every))
+    strong = strength.where((F.col("median") >= gates["candidate_snr"]) & (F.col("samples") >= min_samples))
+    followed = g.follow_delays(blocks, size, rate=rate, window=window, hop=window_hop, search=search, factor=factor,
+                               lengths=every.join(strong.select(*t.KEYS), t.KEYS))
+    pair = ["file_id", F.col("ref").alias("a"), F.col("tgt").alias("b")]
+    windows = cut_lineage(followed.select(*pair, "valid", "delay_samples", (F.col("coarse_cc") * F.col("polarity")).alias("signed_cc")))
+    return d.bind_pairs(d.rigid_pairs(windows, strong.select(*pair, "median", "samples"), min_samples=min_samples,
+                                      storages=storages, gates=gates))
+
+
 def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop: int, search: int,
                   silent_dbfs: float = -60.0, min_usable: int = 5, min_confidence: float = 0.3, min_fraction: float = 0.0,
                   mad_max_ms: float = 1.0, max_ppm: float = 5.0, drift_min_ms: float = 0.1, aligned_max_ms: float = 0.1,
                   min_shift_samples: int = 5, wide: int | None = None, verify_max_ms: float = 0.05, recheck_windows: int = 1,
-                  eligible: DataFrame | None = None) -> DataFrame:
+                  eligible: DataFrame | None = None, bind: dict | None = None) -> DataFrame:
     """One row per channel: anchor, fixed, already aligned, or untouched with the reason.
 
     ``eligible`` (of :func:`archlens.operators.signal.eligibility`) leaves files out of
@@ -41,6 +64,9 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
     the same gates; one beyond ``search`` is out of range. A target piled up at the
     edge is out of range only if the wide search says so. A fix stays if the
     residual after its shift is measurable and below ``verify_max_ms``.
+
+    ``bind`` (settings of :func:`bound_pairs`, window and window_hop at least) lets rigid pairs
+    move together before that recheck, and adds the column ``bound_to``.
     """
     health = cut_lineage(channel_health(blocks, silent_dbfs))
     files = health.groupBy("file_id").agg(
@@ -127,7 +153,13 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
               .when(lost, F.coalesce("verdict", F.lit("evidence_insufficient"))).when(F.col("outcome").isNull(), "insufficient_frames")
               .when(F.col("outcome").isin("fixed", "already_aligned"), F.when(F.abs("offset_samples") > search, "out_of_range"))
               .otherwise(F.col("outcome")))
-    out = cut_lineage(out.withColumn("reason", reason))
+    out = out.withColumn("reason", reason)
+    if bind is not None:
+        in_scope = scope.where("skip IS NULL").select("file_id")
+        pairs = bound_pairs(blocks.join(in_scope, "file_id", "left_semi"), health.join(in_scope, "file_id", "left_semi"), size,
+                            **{"rate": rate, "frame": frame, "hop": hop, "search": search} | bind)
+        out = d.follow_bound(cut_lineage(out), cut_lineage(pairs))
+    out = cut_lineage(out)
 
     # what a fix leaves behind, read at its shift
     near = math.ceil(RECHECK_SEC * rate)
@@ -141,7 +173,7 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
     return out.select(
         *g.CH, "rms_dbfs", F.when(F.col("reason").isNotNull(), "untouched").when(F.col("channel") == F.col("anchor"), "anchor")
         .otherwise(F.col("outcome")).alias("decision"), "reason", "usable_frames", "coverage", "confidence", "offset_samples", "mad_ms",
-        F.when(F.col("reason").isNull(), F.col("shift_samples")).alias("shift_samples"))
+        F.when(F.col("reason").isNull(), F.col("shift_samples")).alias("shift_samples"), *([] if bind is None else ["bound_to"]))
 
 
 def file_outcome(tracks: DataFrame) -> DataFrame:

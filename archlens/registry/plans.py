@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
+from ..functions import pcm
 from ..operators import signal as g, windows as w
 from ..plans import apply as ap, audio as a, track_decision as td
 from . import query
@@ -196,3 +197,25 @@ def dec_24_files(spark, sf):
         F.when((F.col("file_id") == 0) & (F.col("n") == 3), 44100).otherwise(48000).cast("bigint").alias("sample_rate"))
     tracks = td.decide_tracks(b, SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0, eligible=g.eligibility(files, streams))
     return td.file_outcome(tracks)
+
+
+# channels 2 and 3 carry a sound of their own besides that of channel 0; 0 and 1, and 2 and 3, are rigid
+BOUND = [(0, False, 0), (1, False, 9), (2, True, 12), (3, True, 13)]
+
+
+@query("dec_24_bound", """SELECT file_id, channel::BIGINT AS channel, decision, shift_samples::BIGINT AS shift_samples, bound_to::BIGINT AS bound_to FROM (SELECT DISTINCT floor(vec_id / 100)::BIGINT AS file_id FROM embeddings),
+ (VALUES (0, 'anchor', NULL, 0), (1, 'already_aligned', NULL, 0), (2, 'fixed', 12, 2), (3, 'fixed', 12, 2)) v(channel, decision, shift_samples, bound_to)""")
+def dec_24_bound(spark, sf):
+    """The whole decision with rigid pairs that move together: a channel stays with the anchor, a pair takes one shift."""
+    base = view(spark, sf, "v_base")
+    own = F.transform("samples", lambda x, i: (x + F.col("samples")[SIZE - 1 - i]).cast("float"))
+    both = base.select("file_id", "block_no", F.explode(F.array(
+        F.struct(F.lit(False).alias("own"), F.col("samples")), F.struct(F.lit(True).alias("own"), own.alias("samples")))).alias("s")).select(
+        "file_id", "block_no", "s.*")
+    plan = F.array(*[F.struct(F.lit(c).cast("bigint").alias("channel"), F.lit(o).alias("own"), F.lit(n).alias("d")) for c, o, n in BOUND])
+    ranges = base.select("file_id", F.col("block_no").alias("out"), F.explode(plan).alias("c")).select(
+        "file_id", "c.own", "c.channel", "out", (F.col("out") * SIZE - F.col("c.d")).alias("start"), F.lit(SIZE).cast("bigint").alias("count"))
+    takes = pcm.read_ranges(both, ranges, ["file_id", "own"], SIZE).select("file_id", "channel", F.col("out").alias("block_no"), "samples")
+    tracks = td.decide_tracks(takes, SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0, verify_max_ms=0.2,
+                              bind={"window": 1024, "window_hop": 512, "factor": 1, "min_samples": 10})
+    return tracks.select("file_id", "channel", "decision", "shift_samples", "bound_to")

@@ -172,6 +172,28 @@ def test_rigid_pairs(spark):
     assert got == {(0, 1): (False, "storage_dtype_mismatch"), (2, 3): (False, None)}
 
 
+def test_bound_channels_follow_their_speaker(spark):
+    rows = [(1, 0, 0, None, None, None), (1, 1, 0, "fixed", None, 9), (1, 2, 0, "already_aligned", None, 2), (1, 3, 0, "fixed", None, 40),
+            (2, 0, 0, None, None, None), (2, 1, 0, "non_constant", "non_constant", None), (2, 2, 0, "fixed", None, 7),
+            (3, 0, 2, None, "uncorrelated", None), (3, 1, 2, "fixed", "out_of_range", 99), (3, 2, 2, None, None, None), (3, 3, 2, "fixed", None, 5),
+            (4, 0, 0, None, None, None), (4, 1, 0, "fixed", None, 6), (4, 2, 0, None, "low_confidence", None)]
+    tracks = spark.createDataFrame(rows, "file_id long, channel long, anchor long, outcome string, reason string, shift_samples long")
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 2, 3), (2, 1, 2), (3, 0, 2), (3, 1, 3), (4, 1, 2)], "file_id long, a long, b long")
+    got = {(r.file_id, r.channel): (r.outcome, r.reason, r.shift_samples, r.bound_to) for r in d.follow_bound(tracks, pairs).collect()}
+    assert len(got) == len(rows)
+    assert got[1, 0] == (None, None, None, 0) and got[1, 1] == ("already_aligned", None, None, 0)
+    assert got[1, 2] == ("already_aligned", None, None, 2) and got[1, 3] == ("already_aligned", None, None, 2)
+    # a speaker that is not settled moves nothing
+    assert got[2, 1] == ("non_constant", "non_constant", None, None) and got[2, 2] == ("fixed", None, 7, None)
+    # the anchor speaks even if it is the higher channel; an unsettled lower one does not speak for a fixed one
+    assert got[3, 0] == ("already_aligned", None, None, 2) and got[3, 2] == (None, None, None, 2)
+    assert got[3, 1] == ("fixed", "out_of_range", 99, None) and got[3, 3] == ("fixed", None, 5, None)
+    assert got[4, 1] == ("fixed", None, 6, 1) and got[4, 2] == ("fixed", None, 6, 1)
+    # no pair at all: nothing changes
+    none = {(r.file_id, r.channel): (r.outcome, r.reason, r.shift_samples) for r in d.follow_bound(tracks, pairs.where("a < 0")).collect()}
+    assert none == {(r[0], r[1]): (r[3], r[4], r[5]) for r in rows}
+
+
 def test_robust_line_ignores_outliers(spark):
     rng = np.random.default_rng(2)
     rows = [(1, float(t), 5 + 0.25 * t + rng.normal(0, 0.3) if i % 4 else rng.uniform(-500, 500), 1.0) for i, t in enumerate(range(0, 2000, 7))]

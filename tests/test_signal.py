@@ -275,3 +275,23 @@ def test_tracker_tries_a_second_stretch_and_gives_up_in_silence(spark):
     got = g.follow_delays(b, 128, rate=RATE, window=1024, hop=1024, search=64, factor=2, radius=8, initial=1100, min_cc=0.3).toPandas()
     assert set(got[got.valid].file_id) <= {1} and set(got[got.valid].delay_samples) <= {6.0}
     assert not got[got.file_id == 2].valid.any() and len(got[got.file_id == 2]) == 8
+
+
+def test_rigid_pairs_move_together(spark):
+    rng = np.random.default_rng(4)
+    base, own = rng.normal(size=(2, 16600)) * 0.1
+    at = lambda x, d: x[100 - d:100 - d + 16384]
+    mixed = lambda d: 0.7 * at(base, d) + 0.7 * at(own, d)
+    loose = np.concatenate([at(base, 20)[:8192], at(base, 40)[8192:]])  # strong, but its lag moves
+    takes = {1: [at(base, 0), at(base, 9), mixed(12), mixed(13)], 2: [at(base, 0), loose, np.zeros(16384), mixed(12)]}
+    blocks = blocks_of(spark, {f: [x.astype(np.float32) for x in c] for f, c in takes.items()}, 512)
+    settings = dict(rate=RATE, frame=1024, hop=256, search=64, verify_max_ms=0.2)
+    bind = dict(window=2048, window_hop=1024, factor=1)
+    pairs = td.bound_pairs(blocks, td.channel_health(blocks, -60.0), 512, rate=RATE, frame=1024, hop=256, search=64, **bind)
+    assert sorted((r.file_id, r.a, r.b) for r in pairs.collect()) == [(1, 0, 1), (1, 2, 3)]
+    got = {(r.file_id, r.channel): r for r in td.decide_tracks(blocks, 512, bind=bind, **settings).collect()}
+    assert [(got[1, c].decision, got[1, c].shift_samples, got[1, c].bound_to) for c in range(4)] == [
+        ("anchor", None, 0), ("already_aligned", None, 0), ("fixed", 12, 2), ("fixed", 12, 2)]
+    assert round(got[1, 3].offset_samples) == 13  # its own measurement stays
+    assert got[2, 0].decision == "anchor" and (got[2, 3].decision, got[2, 3].shift_samples) == ("fixed", 12)
+    assert {got[2, c].bound_to for c in range(4)} == {None} and got[2, 2].reason == "silent_track"
