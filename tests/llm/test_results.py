@@ -152,6 +152,54 @@ def test_one_class_or_none(spark):
         assert all(r.score >= expected and r.predicted == 1 for r in scores)
 
 
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def brute_statistics(text: str | None) -> list[float]:
+    """The statistics by plain loops over characters, words and lines."""
+    text = text or ""
+    lines, found = text.split("\n"), []
+    for char in text:
+        if char in BLANK:
+            found.append("")
+        else:
+            found = found or [""]
+            found[-1] += char
+    found = [w for w in found if w]
+    if not found:
+        return [0.0] * len(rule_ensemble.STATS)
+    n, size, worded = len(found), sum(map(len, found)), [x for x in lines if x.strip(BLANK)]
+    share = lambda chars: sum(c in chars for c in text)
+    upper, lower = share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("abcdefghijklmnopqrstuvwxyz")
+    windows = Counter(tuple(found[k:k + 3]) for k in range(n - 2))
+    again = {k + j for k in range(n - 2) if windows[tuple(found[k:k + 3])] > 1 for j in range(3)}
+    return [n, size / n, share("#*$%&|<>") / size, text.count("!!") / n, share("|") / n, upper / max(1, upper + lower),
+            share("0123456789") / size, len(set(found)) / n, len(again) / n, (len(worded) - len(set(worded))) / len(worded),
+            n / len(worded), sum(x.rstrip(BLANK)[-1] in ".!?" for x in worded) / len(worded),
+            sum(len(w.encode()) <= 3 for w in found) / n, share(",") / n]
+
+
+def test_statistics_against_plain_loops(docs):
+    texts = [*docs.values(), *(r[1] for r in awkward_rows()), "!!!! a|b||\n\n!!\n", "a b c a b c a", "\x0b\x0c", "É é Éé\u00a0x"]
+    for text in texts:
+        assert rule_ensemble.statistics(None if text is None else text.encode()) == pytest.approx(brute_statistics(text), abs=1e-12)
+
+
+def test_classifier_query_against_plain_rules(spark, docs, monkeypatch):
+    """Every score of the query is the weighted sum of the rules that the plain statistics fulfil."""
+    models, learn = [], rule_ensemble.learn_quality
+    monkeypatch.setattr(rule_ensemble, "learn_quality", lambda *a: models.append(learn(*a)) or models[-1])
+    got = registry.QUERIES["op4_quality_rules_ensemble"](spark, SF).collect()
+    model = models[0]
+    assert len(got) == len(docs) and model.weights
+    for row in got:
+        stats = dict(zip(rule_ensemble.STATS, brute_statistics(docs[row.doc_id])))
+        total = model.intercept + sum(w for rule, w in model.weights if all(
+            (low is None or stats[s] > low) and (high is None or stats[s] <= high) for s, low, high in rule.bounds))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert row.predicted == int(row.score >= 0.5) and row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 3 == 1)
+
+
 # ---- near duplicates
 
 def test_signatures_are_unbiased():
@@ -375,6 +423,30 @@ def test_licences_in_other_spellings(spark):
                    6: (None, ["CC-BY-NC-4.0", "MIT"])}
 
 
+def brute_licences(text: str | None, known: dict[str, str]) -> tuple[str | None, list[str]]:
+    """Entire canonical texts and lines looked up as they are, without digests."""
+    def words_of(line: str) -> str:
+        plain = "".join(c if c.isalnum() else " " for c in licences.COPYRIGHT.sub("", line).casefold())
+        return " ".join(licences.EQUAL_WORDS.get(w, w) for w in plain.split())
+
+    own = [w for w in map(words_of, (text or "").split("\n")) if w]
+    return known.get(" ".join(own)), sorted({known[x] for x in own if x in known}) if len(own) > 1 else []
+
+
+def test_licence_query_against_brute_force(spark, docs):
+    known: dict[str, str] = {}
+    for name, text in licences.KNOWN + licences.full_texts():
+        known.setdefault(licences.canonical(text), name)
+    got = {r.doc_id: (r.licence, r.notices) for r in registry.QUERIES["op6_licences"](spark, SF).collect()}
+    assert got == {k: brute_licences(text, known) for k, text in docs.items()}
+    assert any(notices for _, notices in got.values())
+    awkward = [*awkward_rows(), (30, None, None, None, None), (None, "Released under the MIT License.", "en", "a", 1),
+               (None, "x\nReleased under the MIT License.\nLicensed under CC BY 4.0.", "en", "a", 1)]
+    found = licences.find_licences(spark.createDataFrame(awkward, SCHEMA)).collect()
+    row = lambda k, x: (str(k), str(x[0]), tuple(x[1]))
+    assert Counter(row(r.doc_id, (r.licence, r.notices)) for r in found) == Counter(row(a[0], brute_licences(a[1], known)) for a in awkward)
+
+
 def test_whole_licence_files(spark):
     body = {n: t for n, t in licences.KNOWN if len(t) > 300}
     wrapped = lambda name: textwrap.fill(body[name], 78)
