@@ -27,17 +27,19 @@ def channel_health(blocks: DataFrame, silent_dbfs: float) -> DataFrame:
 
 def bound_pairs(blocks: DataFrame, health: DataFrame, size: int, *, rate: float, frame: int, hop: int, search: int,
                 window: int, window_hop: int, factor: int = 4, samples: int = 200, min_samples: int = 30,
-                storages: DataFrame | None = None, gates: dict = d.BINDING) -> DataFrame:
+                storages: DataFrame | None = None, lengths: DataFrame | None = None, gates: dict = d.BINDING) -> DataFrame:
     """Disjoint rigid pairs (file_id, a, b) among the healthy channels of every file.
 
     Every pair of healthy channels is heard on sampled frames. The strong ones alone are followed
     window by window over the take, and those whose level, lag span and sign hold are
     bound, strongest first; a channel is bound once. ``min_samples`` sampled frames
     must be measurable, and eight windows at least. A file has at most 28 pairs.
+    ``lengths`` (file_id, channel, n_samples) spares a scan of the samples.
     """
-    lengths = g.pcm.channel_lengths(blocks, g.CH, size).join(health.where("healthy").select(*g.CH), g.CH)
-    end = lambda name: lengths.select("file_id", F.col("channel").alias(name), F.col("n_samples").alias(f"_{name}"))
-    every = end("ref").join(end("tgt"), "file_id").where("ref < tgt").select(*t.KEYS, F.least("_ref", "_tgt").alias("n_samples"))
+    known = g.pcm.channel_lengths(blocks, g.CH, size) if lengths is None else lengths
+    healthy = known.join(health.where("healthy").select(*g.CH), g.CH)
+    end = lambda name: healthy.select("file_id", F.col("channel").alias(name), F.col("n_samples").alias(f"_{name}"))
+    every = cut_lineage(end("ref").join(end("tgt"), "file_id").where("ref < tgt").select(*t.KEYS, F.least("_ref", "_tgt").alias("n_samples")))
     strength = cut_lineage(g.pair_strength(blocks, size, frame=frame, hop=hop, search=search, samples=samples, lengths=every))
     strong = strength.where((F.col("median") >= gates["candidate_snr"]) & (F.col("samples") >= min_samples))
     followed = g.follow_delays(blocks, size, rate=rate, window=window, hop=window_hop, search=search, factor=factor,
@@ -65,6 +67,8 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
     edge is out of range only if the wide search says so. A fix stays if the
     residual after its shift is measurable and below ``verify_max_ms``.
 
+    ``blocks`` is read by every stage: pass a stored table, not a plan that is derived anew.
+
     ``bind`` (settings of :func:`bound_pairs`, window and window_hop at least) lets rigid pairs
     move together before that recheck, and adds the column ``bound_to``.
     """
@@ -79,7 +83,7 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
         known = F.when(~F.coalesce("eligible", F.lit(False)), F.coalesce("why", F.lit("no_audio_streams")))
     scope = files.select("file_id", "candidates", F.when(known.isNotNull(), known).when(F.col("n_healthy") == 0, "no_valid_anchor")
                          .when(two_only, "two_channel_only").alias("skip"))
-    lengths = g.pcm.channel_lengths(blocks, g.CH, size)
+    lengths = cut_lineage(g.pcm.channel_lengths(blocks, g.CH, size))  # sizes of arrays: a scan of all samples
     n = lambda name: lengths.select("file_id", F.col("channel").alias(name), F.col("n_samples").alias(f"n_{name}"))
     usable = F.col("success") & (F.col("confidence") >= min_confidence)
 
@@ -156,8 +160,8 @@ def decide_tracks(blocks: DataFrame, size: int, *, rate: float, frame: int, hop:
     out = out.withColumn("reason", reason)
     if bind is not None:
         in_scope = scope.where("skip IS NULL").select("file_id")
-        pairs = bound_pairs(blocks.join(in_scope, "file_id", "left_semi"), health.join(in_scope, "file_id", "left_semi"), size,
-                            **{"rate": rate, "frame": frame, "hop": hop, "search": search} | bind)
+        pairs = bound_pairs(blocks, health.join(in_scope, "file_id", "left_semi"), size,
+                            **{"rate": rate, "frame": frame, "hop": hop, "search": search, "lengths": lengths} | bind)
         out = d.follow_bound(cut_lineage(out), cut_lineage(pairs))
     out = cut_lineage(out)
 

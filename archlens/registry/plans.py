@@ -5,6 +5,7 @@ from ..fixtures import view, with_views
 from ..functions import pcm
 from ..operators import signal as g, windows as w
 from ..plans import apply as ap, audio as a, track_decision as td
+from ..session import cut_lineage
 from . import query
 from .preserve import table_sql
 from .signal import PCM, RATE, SIZE, blocks
@@ -181,7 +182,7 @@ def jon_14(spark, sf):
 
 @query("dec_24")
 def dec_24(spark, sf):
-    return rounded(td.decide_tracks(blocks(spark, sf), SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0))
+    return rounded(td.decide_tracks(cut_lineage(blocks(spark, sf)), SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0))
 
 
 # the delays that the channels were made with, against those that the whole decision measures
@@ -190,7 +191,7 @@ SELECT file_id, CASE WHEN file_id = 0 THEN 0 ELSE count(*) FILTER (abs(d) > 5) E
  CASE WHEN file_id = 0 THEN 'not_eligible' ELSE 'applied' END AS status FROM f, c GROUP BY file_id""")
 def dec_24_files(spark, sf):
     """Verdicts of whole files, from eligibility of their streams to the outcome; file 0 stands for one out of scope."""
-    b = blocks(spark, sf)
+    b = cut_lineage(blocks(spark, sf))
     files = b.select("file_id").distinct()
     streams = files.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).select(
         "file_id", F.lit("audio").alias("codec_type"), F.lit("pcm_s24le").alias("codec_name"), F.lit(1).cast("bigint").alias("channels"),
@@ -216,6 +217,6 @@ def dec_24_bound(spark, sf):
     ranges = base.select("file_id", F.col("block_no").alias("out"), F.explode(plan).alias("c")).select(
         "file_id", "c.own", "c.channel", "out", (F.col("out") * SIZE - F.col("c.d")).alias("start"), F.lit(SIZE).cast("bigint").alias("count"))
     takes = pcm.read_ranges(both, ranges, ["file_id", "own"], SIZE).select("file_id", "channel", F.col("out").alias("block_no"), "samples")
-    tracks = td.decide_tracks(takes, SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0, verify_max_ms=0.2,
+    tracks = td.decide_tracks(cut_lineage(takes), SIZE, rate=RATE, frame=512, hop=256, search=32, mad_max_ms=1.0, verify_max_ms=0.2,
                               bind={"window": 1024, "window_hop": 512, "factor": 1, "min_samples": 10})
     return tracks.select("file_id", "channel", "decision", "shift_samples", "bound_to")
