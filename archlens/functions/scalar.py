@@ -72,8 +72,23 @@ def source_class(codec: Column, norm: Column) -> Column:
             .when(norm >= HIGH_MIN, "HIGH_BITRATE_LONG_GOP").otherwise("NORMAL_LONG_GOP"))
 
 
+def six_places(x: Column) -> Column:
+    """``%.6f`` of a non-negative double by its exact value, ties to even, as C and Python print it.
+
+    Java rounds the shortest decimal half up, which differs only where that
+    decimal ends in half a unit. There the split halves of ``x`` times 15625,
+    both exact, tell on which side of the half it lies.
+    """
+    n = F.floor(x * 1e6)
+    half = n + 0.5
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    over = (x - high) * 15625.0 - (half / 64.0 - high * 15625.0)
+    up = (over > 0) | ((over == 0) & (n % 2 == 1))
+    return F.format_string("%.6f", F.when(x == half / 1e6, (n + F.when(up, 1).otherwise(0)) / 1e6).otherwise(x))
+
+
 def class_evidence(codec: Column, norm: Column) -> Column:
-    six = F.format_string("%.6f", norm)
+    six = six_places(norm)
     return (F.when(F.lower(codec).isin(*INTRA_CODECS),
                    F.concat(F.lit("codec '"), codec, F.lit("' matched intra_like_codecs")))
             .when(norm <= 0, "fallback: unknown width/height/fps or OB")
