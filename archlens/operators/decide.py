@@ -38,7 +38,10 @@ def agreement(windows: DataFrame, tracks: DataFrame, *, absolute: float, relativ
     """Second estimate against the applied shift, with the widest of three tolerances.
 
     ``windows`` (track_id, window_no, value_ms) holds the re-measured windows of
-    each track; their upper median is the second estimate.
+    each track; their upper median is the second estimate. A difference at the
+    tolerance is accepted, and of equal tolerances the one named first, in the order
+    absolute, relative, sigma, is the basis: all are compared to nine places, beyond
+    which the order of summing decides.
     """
     known = windows.where(F.col("value_ms").isNotNull())
     middle = upper_median(known, ["track_id"], "value_ms", "_mid")
@@ -46,13 +49,14 @@ def agreement(windows: DataFrame, tracks: DataFrame, *, absolute: float, relativ
     joined = tracks.join(per, "track_id", "left").withColumn("independent", F.col("_mid") * rate / 1000)
     rel = F.lit(relative) * F.abs("delay_samples")
     sig = F.coalesce(F.lit(sigma) * F.col("spread_ms") * rate / 1000, F.lit(0.0))
+    rel, sig = F.round(rel, 9), F.round(sig, 9)
     tol = F.greatest(F.lit(float(absolute)), rel, sig)
     first = F.greatest(F.lit(float(absolute)), rel)
     diff = F.abs(F.col("independent") - F.col("shift_samples"))
     return joined.select(
         "track_id", "independent", "spread_ms", tol.alias("tolerance"),
         F.when(sig > first, "sigma").when(rel > absolute, "relative").otherwise("absolute").alias("basis"),
-        diff.alias("diff"), F.coalesce(diff <= tol, F.lit(True)).alias("accepted"))
+        diff.alias("diff"), F.coalesce(F.round(diff, 9) <= tol, F.lit(True)).alias("accepted"))
 
 
 def eligibility(results: DataFrame, gate: dict[str, float]) -> DataFrame:

@@ -28,8 +28,8 @@ AG_T = "SELECT o_orderkey AS track_id, CAST(o_orderkey % 900 AS DOUBLE) AS delay
 AG_W = "SELECT l_orderkey AS track_id, l_linenumber AS window_no, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE (l_orderkey % 900 + l_quantity / 10) / 48 END AS value_ms FROM lineitem"
 
 
-@query("dec_04", f"""SELECT track_id, round(ind, 6) AS independent, round(sd, 6) AS spread_ms, round(tol, 6) AS tolerance, CASE WHEN sig > greatest(2.0, rel) THEN 'sigma' WHEN rel > 2 THEN 'relative' ELSE 'absolute' END AS basis, round(abs(ind - shift_samples), 6) AS diff, coalesce(abs(ind - shift_samples) <= tol, TRUE) AS accepted FROM (
- SELECT *, greatest(2.0::DOUBLE, rel, sig) AS tol FROM (SELECT *, v[len(v) // 2 + 1] * 48 AS ind, 0.01::DOUBLE * delay_samples AS rel, coalesce(3 * sd * 48, 0.0) AS sig FROM ({AG_T}) LEFT JOIN (SELECT track_id, list(value_ms ORDER BY value_ms) AS v, stddev_samp(value_ms) AS sd FROM ({AG_W}) WHERE value_ms IS NOT NULL GROUP BY ALL) USING (track_id)))""")
+@query("dec_04", f"""SELECT track_id, round(ind, 6) AS independent, round(sd, 6) AS spread_ms, round(tol, 6) AS tolerance, CASE WHEN sig > greatest(2.0, rel) THEN 'sigma' WHEN rel > 2 THEN 'relative' ELSE 'absolute' END AS basis, round(abs(ind - shift_samples), 6) AS diff, coalesce(round(abs(ind - shift_samples), 9) <= tol, TRUE) AS accepted FROM (
+ SELECT *, greatest(2.0::DOUBLE, rel, sig) AS tol FROM (SELECT *, v[len(v) // 2 + 1] * 48 AS ind, round(0.01::DOUBLE * abs(delay_samples), 9) AS rel, round(coalesce(3 * sd * 48, 0.0), 9) AS sig FROM ({AG_T}) LEFT JOIN (SELECT track_id, list(value_ms ORDER BY value_ms) AS v, stddev_samp(value_ms) AS sd FROM ({AG_W}) WHERE value_ms IS NOT NULL GROUP BY ALL) USING (track_id)))""")
 def dec_04(spark, sf):
     return rounded(d.agreement(table_sql(spark, sf, AG_W, "lineitem"), table_sql(spark, sf, AG_T, "orders"), absolute=2, relative=0.01, sigma=3, rate=48000.0))
 
