@@ -146,8 +146,11 @@ def match_external(videos: DataFrame, audios: DataFrame) -> DataFrame:
         .select("dir", "name", "_low", F.explode(F.array_distinct(stems)).alias("_stem")).where("_stem <> ''"))
     wanted = videos.select("video_id", "dir", low.alias("_stem"))
     tail = F.substring(F.col("_low"), F.length("_stem") + 1, F.length("_low"))
-    hits = named.join(wanted, ["dir", "_stem"]).groupBy("video_id", F.lower("name").alias("_key")).agg(
+    # equal names of a folder are one candidate, whatever their number, before a video meets them
+    named = named.groupBy("dir", "_stem", F.lower("name").alias("_key")).agg(
         F.min("name").alias("name"), F.min(tail).alias("remainder"))
+    hits = named.join(wanted, ["dir", "_stem"]).groupBy("video_id", "_key").agg(
+        F.min("name").alias("name"), F.min("remainder").alias("remainder"))
     index = F.regexp_extract("remainder", r"^[-_]+(\d+)$", 1).try_cast("bigint")
     return hits.select("video_id", "name", "remainder",
                        F.when(F.col("remainder") == "", 0).when(index.isNotNull(), 1).otherwise(2).cast("bigint").alias("rank"),
