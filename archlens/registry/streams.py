@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
-from ..session import configure, scratch_path
+from ..session import configure, cut_lineage, scratch_path
 from ..sources import files as disk, isobmff, ledgers, media, wav
 from ..streaming import jobs
 from . import query
@@ -46,6 +46,16 @@ def ascii_hex(text):
     return F.lit(text.encode("latin-1").hex().upper())
 
 
+def spread(files):
+    """Rows dealt over all tasks: tables of few bytes make many files, and come in one part."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_folders(files):
+    """Paths below one of 256 folders each, so that no folder holds all files."""
+    return files.withColumn("path", F.concat(F.lower(F.lpad(F.hex(F.pmod(F.xxhash64("path"), F.lit(256))), 2, "0")), F.lit("/"), "path"))
+
+
 def wav_files(spark, sf):
     """A two-channel WAV file per block of the samples, as (path, content)."""
     ints = F.transform("samples", lambda v: F.pmod(F.rint(v.cast("double") * 32767.0).cast("bigint"), F.lit(65536)))
@@ -66,14 +76,14 @@ WAV_SQL = with_views("""SELECT concat('f', file_id, '-', block_no, '.wav') AS pa
 
 @query("src_05", WAV_SQL)
 def src_05(spark, sf):
-    return wav_sums(wav.blocks_from_content(wav_files(spark, sf), 12))
+    return wav_sums(wav.blocks_from_content(spread(wav_files(spark, sf)), 12))
 
 
 @query("src_05_files", WAV_SQL)
 def src_05_files(spark, sf):
     """The same files on disk, read by the registered format."""
     path = scratch_path(spark)
-    disk.write_files(wav_files(spark, sf), path).write.format("noop").mode("overwrite").save()
+    disk.write_files(spread(in_folders(wav_files(spark, sf))), path).write.format("noop").mode("overwrite").save()
     disk.register(spark, wav.WavBlocks)
     rows = spark.read.format("wav_blocks").option("path", path).option("blockSamples", 12).load()
     return wav_sums(rows).withColumn("path", F.substring_index("path", "/", -1))
@@ -101,6 +111,7 @@ def movie_files(spark, sf):
 
 
 def movie_facts(boxes):
+    boxes = cut_lineage(boxes)  # facts, handlers and items all read them
     return isobmff.container_facts(boxes).join(isobmff.uuid_items(boxes).select("path", "ctx", "sha"), "path")
 
 
@@ -109,14 +120,14 @@ MOVIE_SQL = with_views("""SELECT name AS path, CASE WHEN file_id % 7 = 0 THEN NU
 
 @query("src_06", MOVIE_SQL)
 def src_06(spark, sf):
-    return movie_facts(isobmff.boxes_from_content(movie_files(spark, sf)))
+    return movie_facts(isobmff.boxes_from_content(spread(movie_files(spark, sf))))
 
 
 @query("src_06_files", MOVIE_SQL)
 def src_06_files(spark, sf):
     """The same movies on disk, read by the registered format."""
     path = scratch_path(spark)
-    disk.write_files(movie_files(spark, sf), path).write.format("noop").mode("overwrite").save()
+    disk.write_files(spread(in_folders(movie_files(spark, sf))), path).write.format("noop").mode("overwrite").save()
     disk.register(spark, isobmff.MediaBoxes)
     boxes = spark.read.format("isobmff_boxes").option("path", path).load()
     return movie_facts(boxes.withColumn("path", F.substring_index("path", "/", -1)))

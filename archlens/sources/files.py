@@ -16,6 +16,10 @@ TESTS: dict[type, Callable] = {
     StringEndsWith: str.endswith, StringContains: operator.contains}
 
 
+# folders from which on tasks list them, and tasks of a read, however many small files there are
+FOLDERS, TASKS = 64, 1024
+
+
 class Pushed:
     """What the pushed filters allow a column's value to be.
 
@@ -46,12 +50,15 @@ def register(spark: SparkSession, *sources: type) -> None:
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """(path, length) after writing each (path, content) row below ``root``; a task that runs again writes the same."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             paths = [f"{root.rstrip('/')}/{p}" for p in batch.column(0).to_pylist()]
             contents = batch.column(1).to_pylist()
             for path, content in zip(paths, contents):
                 system, inner = locate(path)
-                system.create_dir(inner.rsplit("/", 1)[0])
+                if (folder := inner.rsplit("/", 1)[0]) not in made:
+                    system.create_dir(folder)
+                    made.add(folder)
                 with system.open_output_stream(inner) as out:
                     out.write(content)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(len, contents), pa.int64())], ["path", "length"])
@@ -75,6 +82,31 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in below if f.is_file and f.path.lower().endswith(suffixes))
 
 
+def list_units(path: str, suffixes: tuple[str, ...]) -> tuple[list[tuple[str, int]], list[str]]:
+    """(path, size) of matching files, and folders left to list where they are read.
+
+    Folders are opened level by level until there are ``FOLDERS`` of them; the
+    files of a deep and wide tree are then never listed in one place.
+    """
+    system, inner = locate(path)
+    prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    info = system.get_file_info(inner)
+    if info.is_file:
+        return [(path, info.size)], []
+    files, folders = [], [inner]
+    while folders and len(folders) < FOLDERS:
+        found = [f for at in folders for f in system.get_file_info(fs.FileSelector(at))]
+        files += [(prefix + f.path, f.size) for f in found if f.is_file and f.path.lower().endswith(suffixes)]
+        folders = [f.path for f in found if f.type == fs.FileType.Directory]
+    return sorted(files), sorted(prefix + f for f in folders)
+
+
+def in_groups(items: list, least: int) -> list[list]:
+    """Runs of ``least`` items, longer where that would make more than ``TASKS``."""
+    size = max(least, -(-len(items) // TASKS))
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
 def open_file(path: str):
     system, inner = locate(path)
     return system.open_input_file(inner)

@@ -3,15 +3,16 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from .files import Pushed, list_files, open_file
+from .files import Pushed, in_groups, list_files, list_units, open_file
 
 SCHEMA = ("path string, box_no bigint, parent string, type string, start bigint, size bigint, handler string, "
           "entry string, guid string, sha256 string, timescale bigint, duration bigint, brand string, references string")
@@ -23,6 +24,8 @@ CHUNK = 1 << 20
 
 
 BROKEN = "broken"
+BATCH = 4096  # rows handed over at once
+TYPES = [pa.int64() if c.endswith("bigint") else pa.string() for c in SCHEMA.split(", ")]
 
 
 def _children(f, start: int, end: int) -> Iterator[tuple[str, int, int, int]]:
@@ -122,9 +125,19 @@ def walk(path: str, f, size: int) -> Iterator[tuple]:
             stack.append((f"{parent}/{name}", iter(_children(f, data, end))))
 
 
+def _walk_file(path: str, size: int) -> Iterator[tuple]:
+    with open_file(path) as f:
+        yield from walk(path, f, size)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], NAMES)
+
+
 @dataclass
 class Group(InputPartition):
     files: list
+    folders: list
 
 
 class BoxReader(DataSourceReader):
@@ -137,13 +150,17 @@ class BoxReader(DataSourceReader):
         return self.pushed.take(filters)
 
     def partitions(self) -> list[Group]:
-        files = [f for f in list_files(self.path, SUFFIXES) if self.pushed.allows("path", f[0])]
-        return [Group(files[i:i + self.per_task]) for i in range(0, len(files), self.per_task)]
+        files, folders = list_units(self.path, SUFFIXES)
+        files = [f for f in files if self.pushed.allows("path", f[0])]
+        return [*(Group(g, []) for g in in_groups(files, self.per_task)), *(Group([], g) for g in in_groups(folders, 1))]
 
-    def read(self, group: Group | None) -> Iterator[tuple]:
-        for path, size in group.files if group else []:  # Spark makes one task where no file is left
-            with open_file(path) as f:
-                yield from walk(path, f, size)
+    def read(self, group: Group | None) -> Iterator[pa.RecordBatch]:
+        if group is None:  # Spark makes one task where no file is left
+            return
+        below = (f for folder in group.folders for f in list_files(folder, SUFFIXES) if self.pushed.allows("path", f[0]))
+        rows = (row for path, size in itertools.chain(group.files, below) for row in _walk_file(path, size))
+        while some := list(itertools.islice(rows, BATCH)):
+            yield _batch(some)
 
 
 class MediaBoxes(DataSource):
@@ -162,13 +179,14 @@ class MediaBoxes(DataSource):
 
 def boxes_from_content(files: DataFrame) -> DataFrame:
     """The same rows from a (path, content) table of small files."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, c in zip(batch["path"], batch["content"]) for r in walk(p, io.BytesIO(c), len(c))]
-            out = pd.DataFrame(rows, columns=NAMES)
-            yield out.astype({c: "Int64" for c in ("box_no", "start", "size", "timescale", "duration")})
+            files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = (row for path, content in files for row in walk(path, io.BytesIO(content), len(content)))
+            while some := list(itertools.islice(rows, BATCH)):
+                yield _batch(some)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def container_facts(boxes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
-from .files import Pushed, list_files, open_file
+from .files import Pushed, in_groups, list_files, open_file
 
 SCHEMA = ("path string, channel bigint, block_no bigint, start_sample bigint, sample_rate bigint, "
           "samples array<float>, error string")
@@ -137,26 +137,36 @@ class Split(InputPartition):
     high: int
 
 
+@dataclass
+class Group(InputPartition):
+    splits: list
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.block = int(options.get("blockSamples", 48000))
         self.split = int(options.get("splitBytes", 128 << 20))
+        self.per_task = int(options.get("filesPerTask", 1))
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.pushed = Pushed("path", "channel", "block_no", "start_sample")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         return self.pushed.take(filters)
 
-    def partitions(self) -> list[Split]:
-        return [Split(p, n, lo, min(lo + self.split, n)) for p, n in list_files(self.path, SUFFIXES) if self.pushed.allows("path", p)
-                for lo in range(0, max(n, 1), self.split)]
-
-    def read(self, split: Split | None) -> Iterator[pa.RecordBatch]:
-        if split is None:  # Spark makes one task where no file is left
-            return
-        with open_file(split.path) as f:
-            yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high, self.strict, self.pushed)
+    def partitions(self) -> list[Group]:
+        """A part of a long file alone; short files one by one, or together where they are very many."""
+        long, short = [], []
+        for p, n in list_files(self.path, SUFFIXES):
+            if self.pushed.allows("path", p):
+                parts = [Split(p, n, lo, min(lo + self.split, n)) for lo in range(0, max(n, 1), self.split)]
+                (short if n <= self.split else long).extend(parts)
+        return [*(Group([s]) for s in long), *(Group(g) for g in in_groups(short, self.per_task))]
+
+    def read(self, group: Group | None) -> Iterator[pa.RecordBatch]:
+        for split in group.splits if group else []:  # Spark makes one task where no file is left
+            with open_file(split.path) as f:
+                yield from read_blocks(split.path, f, split.size, self.block, split.low, split.high, self.strict, self.pushed)
 
 
 class WavBlocks(DataSource):

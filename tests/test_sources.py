@@ -274,3 +274,24 @@ def test_all_events_are_in_their_windows(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     rows = registry.QUERIES["str_03_all"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n for r in rows) == 2 * n and len({(r.window_start, r.backend) for r in rows}) == len(rows)
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Tasks stay bounded however many files there are, and folders are listed where they are read."""
+    write_wav(tmp_path / "0.wav", np.zeros((4, 1), np.int16), channels=1)
+    raw = (tmp_path / "0.wav").read_bytes()
+    for i in range(1, 3000):
+        (tmp_path / f"{i}.wav").write_bytes(raw)
+    files.register(spark, wav.WavBlocks, isobmff.MediaBoxes)
+    rows = spark.read.format("wav_blocks").option("path", str(tmp_path)).load()
+    assert rows.rdd.getNumPartitions() <= files.TASKS and rows.select("path").distinct().count() == 3000
+    movies = tmp_path / "movies"
+    for i in range(200):
+        (movies / f"{i % 100}" / "deep").mkdir(parents=True, exist_ok=True)
+        (movies / f"{i % 100}" / "deep" / f"{i}.mp4").write_bytes(b"\0\0\0\x08free")
+    (movies / "top.mp4").write_bytes(b"\0\0\0\x08free")
+    assert [len(found) for found in files.list_units(str(movies), (".mp4",))] == [1, 100]
+    boxes = spark.read.format("isobmff_boxes").option("path", str(movies)).load()
+    assert boxes.select("path").distinct().count() == 201
+    one = boxes.where(F.col("path") == f"{movies}/7/deep/107.mp4")
+    assert [r.type for r in one.collect()] == ["free"]
