@@ -108,26 +108,37 @@ def compose_reference(decisions: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Component of each node: the smallest label reachable over the edges.
-
-    Labels start at the node and shrink by the neighbours' minimum; each round
-    also jumps to the label's own label, so rounds grow with the logarithm of
-    the longest path. The loop ends on one changed-count per round; every round
-    is written to the shared folder, so a lost executor costs one round.
+    """Component of each node: the smallest label reachable over the edges, whose ends are nodes too.
+
+    Links contract: each round every linked node hooks on the neighbour (or itself)
+    that is first in a hashed order, links move to the hooks, and those inside one hook
+    vanish. That order leaves a constant share of the nodes on any shape, so the rounds grow with the
+    logarithm and all of them together read a few times the links of the first. Hooks
+    of later rounds are looked up by those of earlier ones, from the last round back.
+    Nodes without a link meet the labels in the last step alone. Every round is written to
+    the shared folder, so a lost executor costs one round; a row count alone comes to the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("node").distinct().withColumn("label", F.col("node")))
-    while True:  # each round lowers some label, so it ends
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = cut_lineage(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels
+    order = F.xxhash64
+    links = lambda rows, a, b: rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    left = cut_lineage(links(edges.where("a <> b"), "a", "b"))
+    rounds = []
+    while True:
+        ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        near = left.select(ends.alias("e")).select("e.*").groupBy("a").agg(F.min_by("b", order("b")).alias("b"))
+        hooks = cut_lineage(near.select(F.col("a").alias("node"), F.when(order("b") < order("a"), F.col("b")).otherwise(F.col("a")).alias("hook")))
+        rounds.append(hooks)
+        at = lambda end: hooks.select(F.col("node").alias(end), F.col("hook").alias(f"_{end}"))
+        left = cut_lineage(links(left.join(at("a"), "a").join(at("b"), "b").where("_a <> _b"), "_a", "_b"))
+        if left.isEmpty():
+            break
+    roots = rounds.pop()
+    while rounds:
+        further = roots.select(F.col("node").alias("hook"), F.col("hook").alias("_root"))
+        roots = cut_lineage(rounds.pop().join(further, "hook", "left").select("node", F.coalesce("_root", "hook").alias("hook")))
+    first = roots.groupBy("hook").agg(F.min("node").alias("label"))
+    labels = nodes.select("node", F.lit(None).cast(nodes.schema["node"].dataType).alias("label")).unionByName(
+        roots.join(first, "hook").select("node", "label"))
+    return labels.groupBy("node").agg(F.min("label").alias("label")).select("node", F.coalesce("label", "node").alias("label"))
 
 
 def pair_edges(pairs: DataFrame, threshold: float, min_samples: int) -> DataFrame:

@@ -100,9 +100,7 @@ def dec_06(spark, sf):
 def dec_06_global(spark, sf):
     """The same over one graph of unbounded size, by contraction in written rounds."""
     edges = d.pair_edges(table_sql(spark, sf, EDGES, "lineitem"), 1.3, 20)
-    nodes = view(spark, sf, "v_stream").select((F.col("file_id") * 8 + F.col("stream_index")).alias("node"))
-    linked = edges.where("a <> b").select(F.col("b").alias("node"))
-    return d.connected_groups(nodes.unionByName(linked), edges)
+    return d.connected_groups(table_sql(spark, sf, "SELECT l_orderkey * 8 + l_linenumber AS node FROM lineitem", "lineitem"), edges)
 
 
 @query("dec_07", f"WITH RECURSIVE {COMP} SELECT label, arg_min(node, (CASE WHEN node % 3 = 0 THEN (node * 5) % 8 ELSE 1000000 END, node)) AS anchor, count(*) AS n_members FROM comp GROUP BY label")

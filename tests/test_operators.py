@@ -210,6 +210,22 @@ def test_connected_groups_long_chain(spark):
     assert {got[i] for i in range(26)} == {0} and got[31] == 30 and got[35] == 35
 
 
+def test_connected_groups_move_only_what_is_linked(spark, monkeypatch):
+    """Rounds read linked nodes alone, and a long path takes few of them."""
+    written = []
+    keep = d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    nodes = spark.range(20000).select(F.col("id").alias("node")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    path = [(i, i + 1) for i in range(100, 600)]
+    star = [(7000, i) for i in range(7001, 7100)] + [(50000, 7050), (5, 5), (9, None)]  # an end that the nodes lack; links that are none
+    edges = spark.createDataFrame(path * 2 + star, "a bigint, b bigint")
+    got = {r.node: r.label for r in d.connected_groups(nodes, edges).collect()}
+    assert len(got) == 20002 and got[None] is None and got[5] == 5 and got[9] == 9 and got[50000] == 7000
+    assert {got[i] for i in range(100, 601)} == {100} and {got[i] for i in range(7000, 7100)} == {7000}
+    assert sum(k == v for k, v in got.items() if k is not None) == 20002 - 1 - 500 - 100
+    assert sum(df.count() for df in written) < 20000 // 2 and len(written) < 50
+
+
 def test_file_groups_equal_the_global_form(spark):
     rng = np.random.default_rng(5)
     tracks = [(f, t, int(rng.integers(0, 3)) if rng.random() < 0.6 else None) for f in range(60) for t in range(8) if rng.random() < 0.8]
