@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -19,6 +19,7 @@ STATUSES = ["not_processed", "not_applicable", "already_aligned", "success", "lo
 OFFSET_LIMIT = float(1 << 31)
 BINDING = {"candidate_snr": 1.5, "min_abs_cc": 0.90, "lag_span": 5.0, "same_sign": 0.95}
 ACCURATE_TIERS = (1, 2)
+SOLVED = 1024  # files whose offsets a task solves together
 
 
 def _map(values: dict[str, str], key: Column) -> Column:
@@ -270,28 +271,64 @@ def follow_bound(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
                       F.when(F.col("_outcome").isNotNull(), F.col("_rep")).alias("bound_to"))
 
 
-def _least_squares(pairs: np.ndarray, anchor: int, channels: list[int], rounds: int,
-                   tolerance: float, limit: int):
-    """(cost, shift per channel, dropped) with ``anchor`` at 0, or None."""
-    live = pairs
-    spot = {c: i for i, c in enumerate(channels)}
+def _shifts(design: np.ndarray, delay: np.ndarray) -> np.ndarray:
+    """Least-squares shifts of least norm, to whole samples, of many (pairs, channels) designs; rows of zeros count as absent.
+
+    All designs are solved at once. A shift halfway between two samples is decided by the last bit, so such a
+    design is solved once more by itself, without its absent rows.
+    """
+    u, size, v = np.linalg.svd(design, full_matrices=False)
+    there = (design != 0).any(axis=2)
+    least = np.finfo(float).eps * np.maximum(there.sum(axis=1), design.shape[2]) * size.max(axis=1)
+    kept = size > least[:, None]
+    along = np.where(kept, (u * delay[:, :, None]).sum(axis=1) / np.where(kept, size, 1.0), 0.0)
+    x = (v * along[:, :, None]).sum(axis=1)
+    for k in np.flatnonzero((np.abs(x - np.floor(x) - 0.5) < 1e-6).any(axis=1)):
+        x[k] = np.linalg.lstsq(design[k, there[k]], delay[k, there[k]], rcond=None)[0]
+    return np.rint(x)
+
+
+def solve_files(a: np.ndarray, b: np.ndarray, delay: np.ndarray, weight: np.ndarray, n_channels: int, rounds: int,
+                tolerance: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, cost, dropped, shifts) of many files of equally many pairs and channels; anchor -1 where none fits.
+
+    One row per file: ends of its pairs as places of its channels, delays and weights. Every channel of every file
+    is tried as the anchor, all at once; a trial goes on without its worst pair until all fit.
+    """
+    files, n_pairs = a.shape
+    trials = files * n_channels
+    m = np.zeros((files, n_pairs, n_channels))
+    at = np.ogrid[:files, :n_pairs]
+    m[at[0], at[1], b] += 1
+    m[at[0], at[1], a] -= 1
+    others = np.array([[c for c in range(n_channels) if c != k] for k in range(n_channels)], int).reshape(n_channels, n_channels - 1)
+    free = m[:, :, others].transpose(0, 2, 1, 3).reshape(trials, n_pairs, n_channels - 1)
+    a, b, delay, weight = (np.repeat(v, n_channels, axis=0) for v in (a, b, delay, weight))
+    anchor = np.tile(np.arange(n_channels), files)
+    live, shifts = np.ones((trials, n_pairs), bool), np.zeros((trials, n_channels))
+    cost, dropped = np.full(trials, np.inf), np.zeros(trials, int)
+    going = np.arange(trials)
     for _ in range(rounds):
-        if not len(live):
-            return None
-        m = np.zeros((len(live), len(channels)))
-        rows = np.arange(len(live))
-        m[rows, [spot[c] for c in live["b"]]] += 1
-        m[rows, [spot[c] for c in live["a"]]] -= 1
-        free = np.delete(m, spot[anchor], axis=1) * live["weight"][:, None]
-        x = np.linalg.lstsq(free, live["delay"] * live["weight"], rcond=None)[0]
-        shift = np.insert(np.rint(x), spot[anchor], 0.0)
-        miss = m @ shift - live["delay"]
-        if np.abs(miss).max() <= tolerance:
-            if np.abs(shift).max() > limit:
-                return None
-            return float(miss @ miss), shift, len(pairs) - len(live)
-        live = np.delete(live, np.abs(miss).argmax())
-    return None
+        going = going[live[going].any(axis=1)]
+        if not len(going):
+            break
+        on = weight[going] * live[going]
+        shift = np.zeros((len(going), n_channels))
+        if n_channels > 1:
+            shift[np.arange(len(going))[:, None], others[anchor[going]]] = _shifts(free[going] * on[:, :, None], delay[going] * on)
+        miss = np.take_along_axis(shift, b[going], 1) - np.take_along_axis(shift, a[going], 1) - delay[going]
+        size = np.where(live[going], np.abs(miss), -1.0)
+        fits = size.max(axis=1) <= tolerance
+        near = fits & (np.abs(shift).max(axis=1) <= limit)
+        found = going[near]
+        shifts[found], dropped[found] = shift[near], n_pairs - live[found].sum(axis=1)
+        cost[found] = np.where(live[found], miss[near] ** 2, 0.0).sum(axis=1)
+        live[going[~fits], size[~fits].argmax(axis=1)] = False
+        going = going[~fits]
+    cost = cost.reshape(files, n_channels)
+    best = cost.argmin(axis=1)
+    pick = np.arange(files) * n_channels + best
+    return np.where(np.isfinite(cost).any(axis=1), best, -1), cost[np.arange(files), best], dropped[pick], shifts[pick]
 
 
 def solve_offsets(pairs: DataFrame, *, rounds: int = 6, tolerance: float = 2.0, limit: int = 4816) -> DataFrame:
@@ -302,30 +339,50 @@ def solve_offsets(pairs: DataFrame, *, rounds: int = 6, tolerance: float = 2.0,
     fit, or only with shifts beyond ``limit``, keeps its channels with no shift
     and a ``reason``. Several rows of one pair count as their mean delay with
     their summed weight, so a file's pairs (at most 28) travel as one short array.
+    Files of equally many pairs and channels are solved together, ``SOLVED`` files at a time.
     """
     pairs = pairs.groupBy("file_id", "a", "b").agg(F.avg("delay").alias("delay"), F.sum("weight").alias("weight"))
     packed = pairs.groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct("a", "b", "delay", "weight"))).alias("p"))
-    kind = [("a", "i8"), ("b", "i8"), ("delay", "f8"), ("weight", "f8")]
+    schema = "file_id bigint, channel bigint, anchor bigint, shift bigint, cost double, dropped bigint, reason string"
+
+    def solved(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("p").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        items = lists.values.slice(ends[0], ends[-1] - ends[0])
+        a, b, delay, weight = (items.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "delay", "weight"))
+        counts, starts = np.diff(ends), ends[:-1] - ends[0]
+        # channels of a file ascending, and where each end stands among them
+        owner = np.repeat(np.arange(len(counts)), counts)
+        every, place = np.unique(np.stack([np.tile(owner, 2), np.concatenate([a, b])]), axis=1, return_inverse=True)
+        first = np.searchsorted(every[0], np.arange(len(counts) + 1))
+        a_at, b_at = place[:len(a)] - first[owner], place[len(a):] - first[owner]
+        for n_pairs, n_channels in sorted(set(zip(counts.tolist(), np.diff(first).tolist()))):
+            of = np.flatnonzero((counts == n_pairs) & (np.diff(first) == n_channels))
+            rows = starts[of][:, None] + np.arange(n_pairs)
+            anchor, cost, dropped, shifts = solve_files(
+                a_at[rows], b_at[rows], delay[rows].astype(float), weight[rows].astype(float), n_channels, rounds, tolerance, limit)
+            channels = every[1][first[of][:, None] + np.arange(n_channels)]
+            none = np.repeat(anchor < 0, n_channels)
+            whole = lambda v: pa.array(v.astype(np.int64), mask=none)
+            wide = lambda v: np.repeat(v, n_channels)
+            yield pa.RecordBatch.from_arrays([
+                table.column("file_id").take(pa.array(wide(of))).combine_chunks(), pa.array(channels.ravel()),
+                whole(wide(channels[np.arange(len(of)), anchor])), whole(shifts.ravel()), pa.array(wide(cost), mask=none),
+                whole(wide(dropped)), pa.array(np.where(none, "no consistent shifts", ""), pa.string(), mask=~none)],
+                [c.split()[0] for c in schema.split(", ")])
 
     def per_batch(batches):
+        held = []
         for batch in batches:
-            out = []
-            for file_id, items in zip(batch["file_id"], batch["p"]):
-                rows = np.array([(i["a"], i["b"], i["delay"], i["weight"]) for i in items], dtype=kind)
-                channels = sorted(set(rows["a"].tolist()) | set(rows["b"].tolist()))
-                tried = [(*got, c) for c in channels if (
-                    got := _least_squares(rows, c, channels, rounds, tolerance, limit)) is not None]
-                if not tried:
-                    out += [(file_id, c, None, None, None, None, "no consistent shifts") for c in channels]
-                else:
-                    cost, shift, dropped, anchor = min(tried, key=lambda t: t[0])
-                    out += [(file_id, c, anchor, int(v), cost, dropped, None) for c, v in zip(channels, shift)]
-            frame = pd.DataFrame(out, columns=["file_id", "channel", "anchor", "shift", "cost", "dropped", "reason"])
-            yield frame.astype({c: "Int64" for c in ("anchor", "shift", "dropped")})
-
-    schema = "file_id bigint, channel bigint, anchor bigint, shift bigint, cost double, dropped bigint, reason string"
-    return packed.mapInPandas(per_batch, schema)
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= SOLVED:
+                yield from solved(held)
+                held = []
+        if held:
+            yield from solved(held)
+    return packed.mapInArrow(per_batch, schema)
 
 
 def robust_lines(points: DataFrame, keys: list[str], *, trials: int = 256, limit: float = 3.0, min_gap: float = 1.0) -> DataFrame:

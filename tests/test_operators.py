@@ -153,6 +153,54 @@ def test_solve_offsets_drops_the_odd_pair(spark):
     assert [r.shift - base for r in got] == true and {r.dropped for r in got} == {1} and {r.cost for r in got} == {0.0}
 
 
+def _solved_alone(p, anchor, channels):
+    """One file against one anchor by the plain loop."""
+    live = list(range(len(p)))
+    for _ in range(6):
+        if not live:
+            return None
+        m = np.zeros((len(live), len(channels)))
+        for i, k in enumerate(live):
+            m[i, channels.index(p[k][1])] += 1
+            m[i, channels.index(p[k][0])] -= 1
+        w, y = np.array([p[k][3] for k in live]), np.array([p[k][2] for k in live])
+        at = channels.index(anchor)
+        x = np.linalg.lstsq(np.delete(m, at, axis=1) * w[:, None], y * w, rcond=None)[0]
+        shift = np.insert(np.rint(x), at, 0.0)
+        miss = m @ shift - y
+        if np.abs(miss).max() <= 2.0:
+            return (float(miss @ miss), [int(v) for v in shift], len(p) - len(live)) if np.abs(shift).max() <= 4816 else None
+        del live[np.abs(miss).argmax()]
+    return None
+
+
+def test_files_solved_together_equal_each_alone(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for f in range(300):
+        n = int(rng.integers(2, 7))
+        every = [(a, b) for a in range(0, 2 * n, 2) for b in range(a + 2, 2 * n, 2)]  # channels need not be dense
+        some = sorted(every[i] for i in rng.choice(len(every), int(rng.integers(1, len(every) + 1)), replace=False))
+        far = 5000.0 if f % 50 == 0 else 0.0
+        p = [(a, b, (b - a) * 3.5 + far + (40.0 if rng.random() < 0.25 else 0.0), float(rng.integers(1, 6))) for a, b in some]
+        channels = sorted({c for a, b in some for c in (a, b)})
+        tried = [(*got, c) for c in channels if (got := _solved_alone(p, c, channels)) is not None]
+        cost, shift, dropped, anchor = min(tried, key=lambda t: t[0]) if tried else (None, [None] * len(channels), None, None)
+        want |= {(f, c): (anchor, v, cost, dropped, None if tried else "no consistent shifts") for c, v in zip(channels, shift)}
+        rows += [(f, *r) for r in p]
+    df = spark.createDataFrame(rows, "file_id bigint, a bigint, b bigint, delay double, weight double")
+    got = {(r.file_id, r.channel): (r.anchor, r.shift, r.cost, r.dropped, r.reason) for r in d.solve_offsets(df).collect()}
+    assert got == want and {w[4] for w in want.values()} == {None, "no consistent shifts"}
+    # 2,000 files of a shape are one call to the solver a round, not one a file, anchor and round
+    calls, plain = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *x, **k: calls.append(1) or plain(*x, **k))
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *x, **k: calls.append(1) or pytest.fail("solved alone"))
+    ends = np.tile([[0, 0, 1], [1, 2, 2]], (2000, 1, 1))
+    delay = np.tile([120.0, 75.0, 300.0], (2000, 1))
+    anchor, cost, dropped, shifts = d.solve_files(ends[:, 0], ends[:, 1], delay, np.ones((2000, 3)) + np.arange(3), 3, 6, 2.0, 4816)
+    assert len(calls) <= 6 and (dropped == 1).all() and (anchor >= 0).all() and shifts.shape == (2000, 3)
+
+
 def test_bind_pairs_takes_the_strongest_disjoint(spark):
     rows = [(1, 0, 1, 2.0, True), (1, 1, 2, 1.9, True), (1, 2, 3, 1.8, True), (1, 0, 3, 1.7, True), (2, 0, 1, 2.0, False)]
     df = spark.createDataFrame(rows, "file_id bigint, a bigint, b bigint, median double, rigid boolean")
