@@ -55,13 +55,19 @@ def output_format(streams: DataFrame, requests: DataFrame, default: str = "pcm")
 
 
 def _resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows with their parsed channel id and what of it exists in ``known`` streams."""
+    """Rows with their parsed channel id and what of it exists in ``known`` streams.
+
+    A stream that is found vouches for its source, so only rows without one look for the source.
+    """
     p = channel_parts(F.col("channel_id"))
     parsed = rows.select("*", *[c.alias(n) for n, c in p.items()])
+    known = cut_lineage(known.select("plan_id", "source_id", "stream_index", "channels"))
+    looked = cut_lineage(parsed.join(known, ["plan_id", "source_id", "stream_index"], "left"))
+    lost = F.col("channels").isNull() & F.col("source_id").isNotNull()
     sources = known.select("plan_id", "source_id", F.lit(True).alias("_source")).distinct()
-    streams = known.select("plan_id", "source_id", "stream_index", "channels")
-    return (parsed.join(sources, ["plan_id", "source_id"], "left")
-            .join(streams, ["plan_id", "source_id", "stream_index"], "left")
+    checked = looked.where(~lost).withColumn("_source", F.lit(True)).unionByName(
+        looked.where(lost).join(sources, ["plan_id", "source_id"], "left"))
+    return (checked
             .withColumn("canonical", F.concat(F.col("source_id"), F.lit(":s"), F.col("stream_index").cast("string"),
                                               F.lit(":c"), F.col("channel_index").cast("string")))
             .withColumn("reason", F.when(F.col("source_id").isNull(), "audio_channel_not_found")
@@ -85,30 +91,35 @@ def mapping_issues(entries: DataFrame, selected: DataFrame, known: DataFrame) ->
     Structure (fan-in, index order, copies, collapse) is only judged for plans
     whose references are all valid.
     """
-    # both tables feed several checks each, so they are written out once
-    ok = cut_lineage(_resolved(selected, known).where(F.col("reason").isNull()).select("plan_id", "canonical").distinct())
-    r = _resolved(entries, known).join(ok.withColumn("_selected", F.lit(True)), ["plan_id", "canonical"], "left")
-    r = r.withColumn("reason", F.coalesce("reason", F.when(F.col("_selected").isNull(), "audio_mapping_not_selected")))
-    broken = r.where(F.col("reason").isNotNull()).select("plan_id").distinct().withColumn("_broken", F.lit(True))
-    r = cut_lineage(r.select("plan_id", "output_index", "channel_id", "canonical", "reason").join(broken, "plan_id", "left"))
-    bad = r.where(F.col("reason").isNotNull())
-    out = bad.select("plan_id", "reason", F.col("channel_id").alias("location"))
-    good = r.where(F.col("_broken").isNull())
+    # selection and mapping are resolved in one pass; what feeds several checks is written out once
+    named = selected.select("plan_id", F.lit(None).cast(entries.schema["output_index"].dataType).alias("output_index"), "channel_id", F.lit(True).alias("_sel"))
+    both = _resolved(named.unionByName(entries.select("plan_id", "output_index", "channel_id", F.lit(False).alias("_sel"))), known)
+    ok = cut_lineage(both.where(F.col("_sel") & F.col("reason").isNull()).select("plan_id", "canonical").distinct())
+    r = both.where(~F.col("_sel")).select("plan_id", "output_index", "channel_id", "canonical", "reason").join(
+        ok.withColumn("_selected", F.lit(True)), ["plan_id", "canonical"], "left")
+    r = cut_lineage(r.withColumn("reason", F.coalesce("reason", F.when(F.col("_selected").isNull(), "audio_mapping_not_selected"))).drop("_selected"))
+    bad = F.col("reason").isNotNull()
+    out = r.where(bad).select("plan_id", "reason", F.col("channel_id").alias("location"))
     text = lambda c: F.col(c).cast("string")
-    fan = good.groupBy("plan_id", "output_index").agg(F.count_distinct("canonical").alias("k")).where("k > 1").select(
+    # per output, then per plan; a plan with a bad reference has ``bad`` above 0 and is no further judged
+    outputs = cut_lineage(r.groupBy("plan_id", "output_index").agg(
+        F.count_distinct("canonical").alias("k"), F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")))
+    plans = cut_lineage(outputs.groupBy("plan_id").agg(
+        F.sum("n").alias("n"), F.count("output_index").alias("d"), F.min("output_index").alias("lo"), F.max("output_index").alias("hi"), F.sum("bad").alias("bad")))
+    shape = plans.where("bad = 0")
+    fan = outputs.where("k > 1").join(shape, "plan_id", "left_semi").select(
         "plan_id", F.lit("audio_mix_not_supported").alias("reason"), text("output_index").alias("location"))
-    shape = good.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("output_index").alias("d"), F.min("output_index").alias("lo"), F.max("output_index").alias("hi"))
     order = shape.where(~((F.col("d") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1))).select(
         "plan_id", F.lit("audio_mapping_output_order").alias("reason"), F.lit("indices").alias("location"))
-    copies = good.groupBy("plan_id", "canonical").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(
+    copies = r.where(~bad).groupBy("plan_id", "canonical").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(
+        shape, "plan_id", "left_semi").select(
         "plan_id", F.lit("audio_mapping_output_order").alias("reason"), F.col("canonical").alias("location"))
-    wanted = ok.groupBy("plan_id").agg(F.count(F.lit(1)).alias("wanted"))
-    collapse = shape.join(wanted, "plan_id").where(F.col("wanted") > F.col("n")).select(
-        "plan_id", F.lit("audio_mix_not_supported").alias("reason"), F.lit("collapse").alias("location"))
-    empty = wanted.join(entries.select("plan_id").distinct(), "plan_id", "left_anti").select(
-        "plan_id", F.lit("audio_mapping_incomplete").alias("reason"), F.lit("mapping").alias("location"))
-    for part in (fan, order, copies, collapse, empty):
+    wanted = ok.groupBy("plan_id").agg(F.count(F.lit(1)).alias("wanted")).join(plans, "plan_id", "left")
+    empty = F.col("n").isNull()
+    whole = wanted.where(empty | ((F.col("bad") == 0) & (F.col("wanted") > F.col("n")))).select(
+        "plan_id", F.when(empty, "audio_mapping_incomplete").otherwise("audio_mix_not_supported").alias("reason"),
+        F.when(empty, "mapping").otherwise("collapse").alias("location"))
+    for part in (fan, order, copies, whole):
         out = out.unionByName(part)
     return out
 
