@@ -11,6 +11,7 @@ W_HEIGHT, W_RATIO, W_PROMINENCE = 0.3, 0.5, 0.2
 NEGATIVE_FACTOR, SECOND_GAP, SUCCESS_FACTOR = 1.2, 8, 2.0
 MIN_PHASE_SAMPLES, GUARD = 4096, 24
 TAPS_PER_FACTOR = 20
+STACKED = 1 << 17  # samples of one matrix
 
 GCC = T.StructType([T.StructField(n, t) for n, t in (
     ("delay", T.DoubleType()), ("confidence", T.DoubleType()), ("polarity", T.LongType()),
@@ -35,11 +36,17 @@ def fast_len(n: int) -> int:
 
 
 def _groups(*columns: pd.Series):
-    """Row numbers that share all array lengths, with their stacked matrices."""
+    """Row numbers that share all array lengths, with their stacked matrices.
+
+    A matrix has ``STACKED`` samples, or one row, at most: what a task holds, several times
+    that in spectra, does not grow with the rows of a batch.
+    """
     sizes = list(zip(*[c.map(len) for c in columns])) if len(columns[0]) else []
     for shape in sorted(set(sizes)):
-        rows = np.array([i for i, s in enumerate(sizes) if s == shape])
-        yield rows, [np.stack(c.iloc[rows].to_numpy()).astype(float) for c in columns]
+        alike = np.array([i for i, s in enumerate(sizes) if s == shape])
+        step = max(1, STACKED // max(1, *shape))
+        for rows in (alike[k:k + step] for k in range(0, len(alike), step)):
+            yield rows, [np.stack(c.iloc[rows].to_numpy()).astype(float) for c in columns]
 
 
 def _whitened(ref: np.ndarray, tgt: np.ndarray, nfft: int) -> np.ndarray:

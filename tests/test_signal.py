@@ -295,3 +295,23 @@ def test_rigid_pairs_move_together(spark):
     assert round(got[1, 3].offset_samples) == 13  # its own measurement stays
     assert got[2, 0].decision == "anchor" and (got[2, 3].decision, got[2, 3].shift_samples) == ("fixed", 12)
     assert {got[2, c].bound_to for c in range(4)} == {None} and got[2, 2].reason == "silent_track"
+
+
+def test_a_full_batch_of_long_takes_is_held_in_parts():
+    """256 takes of 6,400 samples in one batch: equal delays, a bounded share of them as spectra at a time."""
+    import tracemalloc
+
+    import pandas as pd
+    from archlens.functions import signal as parts
+    rng = np.random.default_rng(4)
+    tgt = rng.normal(size=(256, 6480)).astype(np.float32)
+    ref = tgt[:, 50:6450]  # a delay of 10 beyond the 40 searched on either side
+    one, two = pd.Series(list(ref)), pd.Series(list(tgt))
+    tracemalloc.start()
+    got = {int(r): v for rows, (x, y) in parts._groups(one, two)
+           for r, v in zip(rows, parts.gcc_batch(x, y, 40, -40, 40, parts.RMS_GATE)["delay"])}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == dict.fromkeys(range(256), 10.0) and peak < 40e6
+    mixed = pd.Series([np.zeros(n) for n in (3, 5, 3, 0, 1 << 18, 1 << 18)])
+    assert [r.tolist() for r, _ in parts._groups(mixed)] == [[3], [0, 2], [1], [4], [5]]
