@@ -308,6 +308,34 @@ def test_grid_and_constant_curve(spark):
     assert [r.y for r in out.where("k = 2").collect()] == [3.0] * 9
 
 
+def test_sum_of_curves(spark):
+    """Against interpolation by NumPy: equal times, points beyond the grid, no residual, one point, refused keys."""
+    first = {1: [(2.5, 10.0), (6.0, 17.0), (8.0, -4.0)], 2: [(0.0, 3.0)], 3: [(-4.0, 1.0), (3.25, 9.0), (30.0, 2.0)],
+             4: [(1.0, 5.0), (7.0, 600.0)], 5: [(12.0, 1.0), (40.0, 3.0)], 6: [(4.0, 480.0)]}
+    second = {1: [(1.25, 2.0), (6.0, 8.0), (6.5, 1.0)], 3: [(3.25, -7.0), (11.75, 4.0)], 4: [(2.0, 1.0)], 5: [(-9.0, 2.0), (-1.5, 6.0)],
+              6: [(4.0, 0.0)], 9: [(1.0, 1.0)]}
+    table = lambda curve: spark.createDataFrame([(k, t, y) for k, points in curve.items() for t, y in points], "k bigint, t_sec double, y double")
+    got = {}
+    for r in c.add_curves(table(first), table(second), ["k"], 15, gain=10).collect():
+        got.setdefault(r.k, []).append((r.t_sec, r.y))
+    grid = np.arange(15)
+    want = {k: 10 * np.interp(grid, *zip(*first[k])) + (np.interp(grid, *zip(*second[k])) if k in second else 0) for k in first}
+    assert sorted(got) == [1, 2, 3, 5, 6]  # 4 leaves the allowed range, 9 has no first curve, 6 is just within
+    for k, rows in got.items():
+        assert [t for t, _ in sorted(rows)] == list(grid)
+        np.testing.assert_allclose([y for _, y in sorted(rows)], want[k])
+
+
+def test_sum_of_curves_over_long_takes(spark):
+    """Points many position blocks apart."""
+    rng = np.random.default_rng(5)
+    first, second = ({t: float(rng.normal()) for t in map(float, sorted(rng.choice(300_000, n, replace=False)))} for n in (6, 4))
+    table = lambda curve: spark.createDataFrame([(1, t, y) for t, y in curve.items()], "k bigint, t_sec double, y double")
+    got = [r.y for r in c.add_curves(table(first), table(second), ["k"], 300_000).orderBy("t_sec").collect()]
+    grid = np.arange(300_000)
+    np.testing.assert_allclose(got, sum(np.interp(grid, list(x), list(x.values())) for x in (first, second)), atol=1e-9)
+
+
 def test_weighted_median(spark):
     rows = [(1, 5.0, 1.0), (1, 1.0, 1.0), (1, 9.0, 2.0), (2, 4.0, 0.0), (2, 8.0, 0.0)]
     df = spark.createDataFrame(rows, "k bigint, v double, w double")

@@ -1,5 +1,6 @@
 """Plans that must stay small: each step of a long chain is read, not planned, again."""
 from archlens import registry
+from archlens.operators import curves
 from tests.conftest import SF
 
 
@@ -44,3 +45,24 @@ def test_mapping_issues_derive_each_table_once(spark):
         (6, "audio_channel_not_found", "odd"), (6, "audio_mapping_not_selected", "cam:s1:c1"), (6, "audio_channel_not_found", None),
         (7, "audio_mapping_incomplete", "mapping"), (8, "audio_mapping_incomplete", "mapping"), (9, "audio_source_not_found", "cam:s1:c0")], key=str)
     assert {n: seen[n].value for n in names} == {"entries": len(entries), "selected": len(selected), "known": len(known)}
+
+
+def nodes(plan):
+    return [plan] + [n for i in range(plan.children().size()) for n in nodes(plan.children().apply(i))]
+
+
+def unfolds(plan):
+    """Whether rows that a Generate makes come out of ``plan`` one by one."""
+    if plan.nodeName() == "Aggregate":
+        return False
+    return plan.nodeName() == "Generate" or any(unfolds(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_curve_sum_joins_no_unfolded_seconds(spark, monkeypatch):
+    """Spark takes unfolded seconds for as few as the points they come from, and broadcasts them."""
+    frames, write = [], curves.cut_lineage
+    monkeypatch.setattr(curves, "cut_lineage", lambda df: frames.append(df) or write(df))
+    frames.append(registry.QUERIES["win_14"](spark, SF))
+    found = [n for df in frames for n in nodes(df._jdf.queryExecution().optimizedPlan())]
+    assert any(n.nodeName() == "Generate" for n in found) and any(n.nodeName() == "Join" for n in found)
+    assert not [n.toString() for n in found if n.nodeName() == "Join" and unfolds(n)]
